@@ -1,12 +1,26 @@
 """Queries and oracle SQL of this subpackage."""
 
+from eventloom.llm.bpe import op6_bpe
 from eventloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from eventloom.llm.fingerprint import op10_fingerprints
 from eventloom.llm.license_scan import OP4_SQL, op4_license_scan
+from eventloom.llm.mixing import op8_mixing
+from eventloom.llm.ngram_join import op7_ngram_join
+from eventloom.llm.quality import op2_quality
+from eventloom.llm.sharding import op5_sharding
+from eventloom.llm.toxicity import op9_toxicity
+from eventloom.llm.warc_audit import op3_warc_audit
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
+    "op3_warc_audit": op3_warc_audit,
     "op4_license_scan": op4_license_scan,
+    "op5_sharding": op5_sharding,
+    "op6_bpe": op6_bpe,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 
