@@ -8,7 +8,8 @@ A hash and its position live in one long, `hash << 27 | (2^27 - 1 - position)`:
 hash at its rightmost place, and no window builds a row. Hashes have 36 bits; a text may have 2^27 words.
 
 Defined results: null counts as empty; a text without words has the empty fingerprint; two empty fingerprints are alike (1.0), an
-empty and another one not (0.0). Equal texts have equal fingerprints. Extra columns aren't read.
+empty and another one not (0.0). Equal texts have equal fingerprints. In the edited texts a null id is after all others and has no partner to be joined with, so its
+row is left out there (`winnow` lists it); ids must be unique there. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -83,17 +84,16 @@ def ranked(ids: DataFrame, id_col: str) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text (last half replaced by the head of the next document, descending id)."""
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    own = stored(with_winnowed(texts, F.col("text"), "packed").select("id", F.char_length("text").alias("n_chars"), "packed"), "winnowed")
-
-    order = ranked(own.select("id", "n_chars"), "id")
+    order = ranked(texts.select("id", F.char_length("text").alias("n_chars")), "id")
     rows = order.count()
     order = order.withColumn("after", (F.col("rank") + 1) % max(rows, 1))
-    # who takes from whom: the document `id` gives its head to `to`, which needs `n_take` code points
-    gives = stored(order.select(F.col("rank").alias("at"), "id").join(order.select(F.col("after").alias("at"), F.col("id").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("n_take")), "at").drop("at"), "winnow-next")
-    heads = texts.join(gives, "id").select(F.col("to").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("n_take")).alias("head"))
-    nexts = own.join(gives.select("id", "to"), "id").select(F.col("to").alias("id"), hashes(F.col("packed")).alias("next_hashes"))
-
-    met = texts.join(heads, "id").join(own, "id").join(nexts, "id")
+    # the document `id` gives its head to `to`, which needs `n_take` code points
+    gives = order.select(F.col("rank").alias("at"), "id").join(order.select(F.col("after").alias("at"), F.col("id").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("n_take")), "at")
+    gives = stored(gives.drop("at"), "winnow-next")
+    # fingerprints are computed where the texts meet, twice: cheaper than to store and send them
+    given = with_winnowed(texts.join(gives, "id"), F.col("text"), "packed")
+    given = given.select(F.col("to").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("n_take")).alias("head"), hashes(F.col("packed")).alias("next_hashes"))
+    met = with_winnowed(texts.join(given, "id").withColumn("n_chars", F.char_length("text")), F.col("text"), "packed")
     stay = F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
     met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), stay), F.col("head"))).drop("text", "head")
     met = with_winnowed(met, F.col("edited"), "edited_packed")
