@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import table, whole
+from eventloom.llm.common import table
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer, as the tokenizer file's library has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -146,35 +146,37 @@ def coder_of(spec: str) -> Coder:
 
 
 def _coded(batches: Iterator[pa.RecordBatch], spec: str, chunk_chars: int) -> Iterator[pa.RecordBatch]:
+    """Adds ids and decoded to the rows; text is the last column, and isn't returned."""
     coder = coder_of(spec)
     for batch in batches:
-        first = 0
-        texts = batch.column(1)
-        lengths = [len(t) for t in texts.to_pylist()]
-        while first < len(lengths):
+        first, rest = 0, batch.schema.names[:-1]
+        texts = batch.column(len(rest)).fill_null("").to_pylist()
+        while first < len(texts):
             last, size = first, 0
-            while last < len(lengths) and (last == first or size + lengths[last] <= chunk_chars):
-                size += lengths[last]
+            while last < len(texts) and (last == first or size + len(texts[last]) <= chunk_chars):
+                size += len(texts[last])
                 last += 1
-            ids = coder.encode(texts[first:last].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(ids, pa.list_(pa.int32())), pa.array(map(coder.decode, ids), pa.string())], ["id", "ids", "decoded"])
+            ids = coder.encode(texts[first:last])
+            own = [batch.column(k)[first:last] for k in range(len(rest))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(ids, pa.list_(pa.int32())), pa.array(map(coder.decode, ids), pa.string())], [*rest, "ids", "decoded"])
             first = last
 
 
-def bpe_encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 20) -> DataFrame:
-    """(id_col, ids array<int>, decoded string). The tokenizer file is read once by the driver and travels with the task (its size is fixed: about 1.6 MB)."""
+def bpe_encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), chunk_chars: int = 1 << 20) -> DataFrame:
+    """(id_col, *keep, ids array<int>, decoded string). The tokenizer file is read once by the driver and travels with the task (its size is fixed: about 1.6 MB)."""
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    coded = rows.mapInArrow(lambda it: _coded(it, spec.value, chunk_chars), f"id {kind}, ids array<int>, decoded string")
-    return coded.select(F.col("id").alias(id_col), "ids", "decoded")
+    names = [f"c{k}" for k in range(len(keep) + 1)]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip((id_col, *keep), names, strict=True)), F.col(text_col).alias("text"))
+    kept = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    coded = rows.mapInArrow(lambda it: _coded(it, spec.value, chunk_chars), f"{kept}, ids array<int>, decoded string")
+    return coded.select(*(F.col(n).alias(c) for c, n in zip((id_col, *keep), names, strict=True)), "ids", "decoded")
 
 
-def bpe_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bpe_encode's rows as the contract lists them: (id_col, n_tokens, ids_sha256, decoded_sha256)."""
-    coded = bpe_encode(docs, tokenizer_file, id_col, text_col)
+def bpe_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """bpe_encode's rows as the contract lists them: (id_col, *keep, n_tokens, ids_sha256, decoded_sha256)."""
+    coded = bpe_encode(docs, tokenizer_file, id_col, text_col, keep)
     listed = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return coded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(id_col, *keep, F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:

@@ -138,6 +138,19 @@ def score(docs: DataFrame, chain: Chain, names: list[str], id_col: str = "doc_id
     return rows.mapInArrow(lambda it: _scored(it, chain), f"id {kind}, p array<double>").select(F.col("id").alias(id_col), *(F.col("p")[k].alias(f"p_{n}") for k, n in enumerate(names)))
 
 
+def _clean(batches: Iterator[pa.RecordBatch], chain: Chain, text_col: str, category: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
+        for first, hashed, at, look in text_words(texts):
+            p = chain.predict(chain.features(hashed, at, look))[:, category]
+            yield batch.slice(first, len(p)).filter(pa.array(p < TOXIC))
+
+
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", category: int = CATEGORIES.index("toxic")) -> DataFrame:
+    """The rows of docs, all columns, whose probability is below TOXIC."""
+    return docs.mapInArrow(lambda it: _clean(it, chain, text_col, category), docs.schema)
+
+
 def label_categories() -> dict[str, F.Column]:
     low, toxic = F.col("quality") == 0, F.col("toxic") == 1
     return dict(zip(CATEGORIES, (low, toxic, low & toxic), strict=True))
