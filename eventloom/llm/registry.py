@@ -9,7 +9,7 @@ from eventloom.llm.ngram_join import op7_ngram_join
 from eventloom.llm.quality import op2_quality
 from eventloom.llm.sharding import op5_sharding
 from eventloom.llm.toxicity import op9_toxicity
-from eventloom.llm.warc_audit import op3_warc_audit
+from eventloom.llm.warc_audit import OP3_SQL, op3_warc_audit
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -26,5 +26,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_warc_audit": OP3_SQL,
     "op4_license_scan": OP4_SQL,
 }

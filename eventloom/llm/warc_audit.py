@@ -1,12 +1,11 @@
 """Merkle fixity audit of WARC records.
 
-A page becomes a WARC response record; records lie in files of at most RECORDS slots, at running offsets in slot order. For each replica the record
-digests (SHA-256 over the record's bytes) and offset ranges are hashed into trees: a leaf is digest, offset and length of one slot, a node the hash
+A page becomes a WARC response record; records lie in files of at most RECORDS slots, at running offsets in slot order (`laid_out`). A replica is a table of
+slots with the bytes that it has there and their offset. For each replica the record digests (SHA-256 over the record's bytes) and offset ranges are hashed into trees: a leaf is digest, offset and length of one slot, a node the hash
 of its up to FANOUT children in order. Trees of two replicas are compared from the roots down; only children of mismatching nodes are
 looked at (a join on the node number), so the work below the roots is in proportion to the damage. Every level is a table in the shared folder.
 
-A located slot is `corrupt` (other bytes), `missing` or `extra` (in one replica only), or `moved` (same bytes at another offset, as behind a record of
-another length).
+A located slot is `truncated` (fewer bytes), `corrupt` (other bytes), `missing` or `extra` (in one replica only), or `moved` (same bytes at another offset).
 
 Defined results: null urls and texts count as empty; null page ids have no slot, and are left out of the tree (`unslotted` lists them); rows that repeat a page id
 are one slot whose digest covers all their records in order of digest. Ids may be sparse. Two empty replicas match. Extra columns aren't read.
@@ -28,13 +27,18 @@ def record(url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def leaves(records: DataFrame, id_col: str = "page_id", record_col: str = "record", rows: int = RECORDS) -> DataFrame:
+def laid_out(records: DataFrame, id_col: str = "page_id", record_col: str = "record", rows: int = RECORDS) -> DataFrame:
+    """records with their offset in their file (at most `rows` slots): the manifest of an archive."""
+    w = Window.partitionBy(F.floor(F.col(id_col) / rows)).orderBy(id_col, F.sha2(record_col, 256))
+    sized = records.where(F.col(id_col).isNotNull()).withColumn("length", F.octet_length(record_col).cast("long"))
+    return sized.withColumn("offset", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).drop("length")
+
+
+def leaves(slots: DataFrame, id_col: str = "page_id", record_col: str = "record", rows: int = RECORDS) -> DataFrame:
     """(node, file, offset, length, digest, hash) for each slot; node is the id."""
-    own = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.octet_length(record_col).cast("long").alias("length"), F.sha2(F.col(record_col), 256).alias("digest"))
-    slots = own.groupBy("node").agg(F.sum("length").alias("length"), F.when(F.count(F.lit(1)) == 1, F.max("digest")).otherwise(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256)).alias("digest"))
-    file = F.floor(F.col("node") / rows).cast("long")
-    placed = slots.withColumn("file", file).withColumn("offset", F.sum("length").over(Window.partitionBy("file").orderBy("node")) - F.col("length"))
-    return placed.withColumn("hash", F.sha2(F.concat_ws(":", "digest", "offset", "length"), 256))
+    own = slots.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), "offset", F.octet_length(record_col).cast("long").alias("length"), F.sha2(F.col(record_col), 256).alias("digest"))
+    one = own.groupBy("node").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.when(F.count(F.lit(1)) == 1, F.max("digest")).otherwise(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256)).alias("digest"))
+    return one.withColumn("file", F.floor(F.col("node") / rows).cast("long")).withColumn("hash", F.sha2(F.concat_ws(":", "digest", "offset", "length"), 256))
 
 
 def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -62,7 +66,7 @@ def height_for(leaf: DataFrame, other: DataFrame, fanout: int = FANOUT) -> int:
 
 
 def audit(left: DataFrame, right: DataFrame, id_col: str = "page_id", record_col: str = "record", rows: int = RECORDS, fanout: int = FANOUT) -> DataFrame:
-    """Differences of two replicas (id_col, record_col): (id_col, warc_file, status, offsets, lengths and digests on both sides)."""
+    """Differences of two replicas (id_col, record_col, offset): (id_col, warc_file, status, offsets, lengths and digests on both sides)."""
     a, b = (stored(leaves(x, id_col, record_col, rows), "merkle-0") for x in (left, right))
     height = height_for(a, b, fanout)
     mine, theirs = tree(a, height, fanout), tree(b, height, fanout)
@@ -74,7 +78,7 @@ def audit(left: DataFrame, right: DataFrame, id_col: str = "page_id", record_col
     cols = ("file", "offset", "length", "digest", "hash")
     kids = [x[0].withColumn("up", F.floor(F.col("node") / fanout).cast("long")).join(open_nodes.withColumnRenamed("node", "up"), "up", "left_semi").select("node", *(F.col(c).alias(f"{c}_{s}") for c in cols)) for x, s in ((mine, "a"), (theirs, "b"))]
     met = kids[0].join(kids[1], "node", "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-    status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").when(F.col("digest_a") != F.col("digest_b"), "corrupt").otherwise("moved")
+    status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").when(F.col("length_b") < F.col("length_a"), "truncated").when(F.col("digest_a") != F.col("digest_b"), "corrupt").otherwise("moved")
     return met.select(F.col("node").alias(id_col), F.coalesce("file_a", "file_b").alias("warc_file"), status.alias("status"), F.col("offset_a").alias("offset"), F.col("offset_b").alias("found_offset"), F.col("length_a").alias("length"), F.col("length_b").alias("found_length"), F.col("digest_a").alias("sha256"), F.col("digest_b").alias("found_sha256"))
 
 
@@ -83,10 +87,19 @@ def unslotted(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the records of all pages against a replica that Spark derives from them, with damage planted by rule: by the CRC-32 of the id, one record in 97 has a
-    byte changed, one in 1,009 is cut by its last byte (so later records of its file move), one in 2,003 is gone."""
-    pages = table(spark, sf_dir, "pages").select("page_id", record(whole("url"), whole("html")).alias("record"))
-    code = F.crc32(F.encode(F.col("page_id").cast("string"), "UTF-8"))
-    hurt = F.when(code % 97 == 0, F.concat(F.lit("w"), F.substring("record", 2, 1 << 30))).when(code % 1009 == 1, F.substring(F.col("record"), F.lit(1), F.char_length("record") - 1)).otherwise(F.col("record"))
-    return audit(pages, pages.where(code % 2003 != 2).withColumn("record", hurt))
-
+    """Audits the archive of all pages against a replica that Spark derives from it, with damage planted by the SHA-256 of the id: four records in 256 have a byte
+    changed, one lacks its last byte, one is gone."""
+    archive = laid_out(table(spark, sf_dir, "pages").select("page_id", record(whole("url"), whole("html")).alias("record")))
+    code = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
+    hurt = F.when(code.isin("00", "01", "02", "03"), F.concat(F.lit("w"), F.substring("record", 2, 1 << 30))).when(code == "a0", F.substring(F.col("record"), F.lit(1), F.char_length("record") - 1)).otherwise(F.col("record"))
+    return audit(archive, archive.where(code != "b0").withColumn("record", hurt))
+
+
+OP3_SQL = """
+WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record, left(sha256(CAST(page_id AS VARCHAR)), 2) AS code FROM pages),
+o AS (SELECT *, page_id // 1024 AS warc_file, strlen(record)::BIGINT AS length, (sum(strlen(record)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id) - strlen(record))::BIGINT AS "offset" FROM r),
+h AS (SELECT *, CASE WHEN code IN ('00', '01', '02', '03') THEN 'w' || substr(record, 2) WHEN code = 'a0' THEN left(record, length(record) - 1) WHEN code <> 'b0' THEN record END AS found FROM o)
+SELECT page_id, warc_file, CASE WHEN found IS NULL THEN 'missing' WHEN code = 'a0' THEN 'truncated' ELSE 'corrupt' END AS status, "offset", CASE WHEN found IS NOT NULL THEN "offset" END AS found_offset, length, strlen(found)::BIGINT AS found_length,
+  sha256(record) AS sha256, sha256(found) AS found_sha256 FROM h WHERE found IS NULL OR found <> record
+"""
