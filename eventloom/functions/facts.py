@@ -50,12 +50,12 @@ NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
 UNITS_EN = {"k": 10**3, "thousand": 10**3, "m": 10**6, "mn": 10**6, "million": 10**6, "b": 10**9, "bn": 10**9, "billion": 10**9, "trillion": 10**12}
 UNITS_KO = {"천": 10**3, "만": 10**4, "백만": 10**6, "천만": 10**7, "억": 10**8, "조": 10**12}
 _EN = r"(thousand|million|billion|trillion|k|m|mn|b|bn)?"
-AMOUNTS = (
-    ("KRW", UNITS_KO, rf"(?i)({NUMBER})\s*(천만|백만|천|만|억|조)?\s*원"),
-    ("KRW", UNITS_EN, rf"(?i)({NUMBER})\s*{_EN}\s*won\b"),
-    ("KRW", UNITS_EN, rf"(?i)(?:₩|krw\s*)({NUMBER})\s*{_EN}"),
-    ("USD", UNITS_EN, rf"(?i)(?:\$|usd\s*)({NUMBER})\s*{_EN}"),
-    ("USD", UNITS_EN, rf"(?i)({NUMBER})\s*{_EN}\s*(?:dollars?|usd)\b"),
+AMOUNTS = (  # currency, units, marks without one of which the pattern can't match, pattern
+    ("KRW", UNITS_KO, ("원",), rf"(?i)({NUMBER})\s*(천만|백만|천|만|억|조)?\s*원"),
+    ("KRW", UNITS_EN, ("won",), rf"(?i)({NUMBER})\s*{_EN}\s*won\b"),
+    ("KRW", UNITS_EN, ("₩", "krw"), rf"(?i)(?:₩|krw\s*)({NUMBER})\s*{_EN}"),
+    ("USD", UNITS_EN, ("$", "usd"), rf"(?i)(?:\$|usd\s*)({NUMBER})\s*{_EN}"),
+    ("USD", UNITS_EN, ("dollar", "usd"), rf"(?i)({NUMBER})\s*{_EN}\s*(?:dollars?|usd)\b"),
 )
 PERCENT = rf"(?i)\b({NUMBER})\s*(?:%|percent|pct)(?!\w)"
 ISO_DATE = r"\b(20\d{2})[-/.](\d{1,2})[-/.](\d{1,2})\b"
@@ -88,16 +88,20 @@ def plain_decimal(d: Column) -> Column:
 
 def amounts(text: Column) -> Column:
     """H4e: CUR:plain-decimal."""
+    none = F.array().cast("array<string>")
     parts = []
-    for currency, units, pattern in AMOUNTS:
-        numbers, names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        factor = _map({"": 1} | units)
-        parts.append(_money(numbers, names, factor, currency))
+    for currency, units, marks, pattern in AMOUNTS:
+        marked = F.greatest(F.lit(False), *(F.contains(F.lower(text), F.lit(m)) for m in marks))
+        parts.append(F.when(marked, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _money(pattern, _map({"": 1} | units), currency))).otherwise(none))
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda x: x.isNotNull())))
 
 
-def _money(numbers: Column, names: Column, factor: Column, currency: str) -> Column:
-    return F.zip_with(numbers, names, lambda n, u: F.concat(F.lit(f"{currency}:"), plain_decimal(F.replace(n, F.lit(","), F.lit("")).try_cast("decimal(20,6)") * F.element_at(factor, F.lower(u)).cast("decimal(13,0)"))))
+def _money(pattern: str, factor: Column, currency: str):
+    def told(match: Column) -> Column:
+        number = F.replace(F.regexp_extract(match, pattern, 1), F.lit(","), F.lit("")).try_cast("decimal(20,6)")
+        return F.concat(F.lit(f"{currency}:"), plain_decimal(number * F.element_at(factor, F.lower(F.regexp_extract(match, pattern, 2))).cast("decimal(13,0)")))
+
+    return told
 
 
 def percentages(text: Column) -> Column:
@@ -134,7 +138,7 @@ def with_facts(df: DataFrame, title: str = "title", description: str = "descript
     out = df.withColumn("_whole", whole).withColumn("title_key", title_key(F.col(title))).withColumn("_title", query_key(F.col(title))).withColumn("_text", query_key(F.col("_whole")))
     out = out.withColumn("_actions", F.array_distinct(F.concat(ordered_hits(F.col("_title"), ACTIONS), ordered_hits(F.col("_text"), ACTIONS))))
     aerospace = F.exists(F.array(*map(F.lit, AEROSPACE)), lambda w: F.contains(F.col("_whole"), w))
-    out = out.withColumn("_actions", F.when(aerospace, F.array_remove("_actions", "clinical_trial")).otherwise(F.col("_actions")))  # H4b
+    out = out.withColumn("_actions", F.filter("_actions", lambda a: ~((a == "clinical_trial") & aerospace)))  # H4b; one mention of _actions, so that it isn't computed twice
     out = out.withColumn("_milestones", F.array_sort(ordered_hits(F.col("_title"), MILESTONES)))
     segments = F.flatten(F.transform(F.regexp_extract_all(F.col(title), F.lit(PARTY), F.lit(1)), lambda s: F.split(s, PARTY_SPLIT)))
     named = F.concat(segments, F.regexp_extract_all(F.col(title), F.lit(PARTY_LISTED), F.lit(1)), F.regexp_extract_all(F.col(title), F.lit(PARTY_LAST), F.lit(1)))  # H4d
