@@ -52,7 +52,7 @@ def op_l3_partition_fallback(spark, d):
     return verdicts.with_fallback(*_partition(spark, d)).select("company", F.size("members").cast("long").alias("members"), "label")
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'all' ELSE o_orderpriority END AS group_id FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 AND g > 1 THEN 'all' ELSE o_orderpriority END AS group_id FROM orders JOIN (SELECT o_custkey, count(DISTINCT o_orderpriority) AS g FROM orders GROUP BY 1) USING (o_custkey)")
 def op_l4_merged_partitions(spark, d):
     """Pass 1 merges every group of even companies; for odd ones it is incomplete, so their first level stays. Pass 2 reduces nothing."""
     o = table(spark, d, "orders").where("o_orderkey >= 0")
