@@ -40,7 +40,7 @@ def op_b2_query_key(spark, d):
     return table(spark, d, "documents").select("doc_id", t.query_key(F.col("text")).alias("query_key"))
 
 
-@query("SELECT page_id, length(nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '')) AS plain_chars FROM pages")
+@query("SELECT page_id, length(nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '')) AS plain_chars FROM pages")
 def op_b3_plain_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(t.plain_text(F.col("html"))).cast("long").alias("plain_chars"))
 
