@@ -49,21 +49,21 @@ def filters(run: DataFrame) -> DataFrame:
     return run.groupBy("run", F.floor(at / ROW_BITS).cast("int").alias("slot")).agg(F.bitmap_construct_agg(at % ROW_BITS).alias("bits"))
 
 
-def passes(rows: DataFrame, one_filter: DataFrame, through: bool = True) -> DataFrame:
+def passes(rows: DataFrame, one_filter: DataFrame, through: bool = True, digest: str = "digest") -> DataFrame:
     """Rows whose digest one filter (slot, bits; at most FILTER_BITS / ROW_BITS rows) lets through, or else those that it rules out."""
-    at = F.pmod(F.col("digest"), F.lit(FILTER_BITS))
+    at = F.pmod(F.col(digest), F.lit(FILTER_BITS))
     bit = at % ROW_BITS
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    probed = rows.withColumn("slot", F.floor(at / ROW_BITS).cast("int")).join(F.broadcast(one_filter.select("slot", "bits")), "slot", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    probed = rows.withColumn("__slot", F.floor(at / ROW_BITS).cast("int")).join(F.broadcast(one_filter.select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits"))), "__slot", "left")
     hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
-    return probed.where(hit if through else ~hit).drop("slot", "bits")
+    return probed.where(hit if through else ~hit).drop("__slot", "__bits")
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, one_filter: DataFrame) -> DataFrame:
     """docs without the rows whose id is in gone(id_col, distinct). Rows that the filter of gone rules out stay where they are; the others meet gone in a shuffle."""
-    maybe = passes(docs.withColumn("digest", F.xxhash64(id_col)), one_filter).drop("digest").select(docs.columns)
-    sure = passes(docs.withColumn("digest", F.xxhash64(id_col)), one_filter, through=False).drop("digest").select(docs.columns)
-    return sure.unionByName(maybe.join(gone, id_col, "left_anti"))
+    keyed = docs.withColumn("__digest", F.xxhash64(id_col))
+    maybe, sure = (passes(keyed, one_filter, through, "__digest").select(*docs.columns) for through in (True, False))
+    return sure.unionByName(maybe.join(gone, id_col, "left_anti").select(*docs.columns))
 
 
 def compact(runs: DataFrame) -> DataFrame:
