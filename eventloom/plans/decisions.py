@@ -311,3 +311,67 @@ def op_a9_stage_snapshots(spark, d):
     io.write_stage(o.where("o_orderkey % 2 = 0"), path, "run", "direct")
     io.write_stage(o.where("o_orderkey % 2 = 1"), path, "run", "external")
     return metrics.histogram(spark.read.parquet(path), "stage")
+
+
+def _saved(rows, place, path, size=500):
+    """rows as saved runs: JSON files that hold up to `size` rows under a nested place, two names deep."""
+    from eventloom.operators.rank import chunked
+
+    chunks = chunked(rows.withColumn("_all", F.floor(F.col("_pos") / 100_000)), ["_all"], [F.col("_pos")], size)
+    kept = [c for c in rows.columns if c != "_pos"]
+    listed = chunks.groupBy("_all", "chunk").agg(F.collect_list(F.struct(*kept)).alias("rows"))
+    outer, inner, name = place
+    listed.select(F.to_json(F.struct(F.struct(F.struct(F.col("rows").alias(name)).alias(inner)).alias(outer))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("SELECT 'company-' || c_custkey AS company_id, c_name AS display_name, [lower(c_mktsegment)] AS search_terms FROM customer")
+def op_a2_companies(spark, d):
+    path = _scratch(spark, "companies")
+    c = table(spark, d, "customer")
+    c.select(F.concat(F.lit("company-"), F.col("c_custkey").cast("string")).alias("company_id"), F.col("c_name").alias("display_name"), F.array(F.lower("c_mktsegment")).alias("search_terms"), F.lit("x").alias("unknown")).write.json(path)
+    return io.read_companies(spark, path).select("company_id", "display_name", "search_terms")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS article_id, CASE WHEN page_id % 3 = 0 THEN 'c/' || page_id ELSE url END AS canonical_url FROM pages WHERE page_id % 7 <> 0")
+def op_a5_snapshot(spark, d):
+    """Pages saved as a run's articles; every seventh lacks its id, two of three their canonical url."""
+    path = _scratch(spark, "snapshot")
+    a = views.page_articles(spark, d)
+    rows = a.select(F.col("seq").alias("_pos"), F.when(F.col("seq") % 7 != 0, F.col("seq").cast("string")).alias("article_id"), "title", "url", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("c/"), F.col("seq").cast("string"))).alias("canonical_url"))
+    _saved(rows, ("stages", "enrichment", "articles"), path)
+    return io.read_snapshot(spark, path).select("article_id", "canonical_url")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS candidate_id, o_orderkey % 4 <> 0 AS whole FROM orders")
+def op_a6_judgments(spark, d):
+    """Orders saved as judgments; every fourth lacks its exposure."""
+    path = _scratch(spark, "judgments")
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    rows = o.select(F.col("o_orderkey").alias("_pos"), key.alias("candidate_id"), F.lit("c").alias("company"), F.struct(key.alias("title"), key.alias("url")).alias("article"), F.when(F.col("o_orderkey") % 4 != 0, F.struct(key.alias("exposure_id"))).alias("exposure"), F.struct(F.lit(True).alias("qualifies")).alias("judge"))
+    _saved(rows, ("stages", "judging", "records"), path)
+    good, bad = io.read_judgments(spark, path)
+    return good.select("candidate_id", F.lit(True).alias("whole")).union(bad.select("candidate_id", F.lit(False).alias("whole")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'jsonld' ELSE 'article_tag' END AS tier FROM pages")
+def op_c2_jsonld(spark, d):
+    """Every other page is given a JSON-LD article in a graph."""
+    from eventloom.operators.pages import extracted
+
+    p = table(spark, d, "pages")
+    script = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "NewsArticle", "headline": "Headline of page '), F.col("page_id").cast("string"), F.lit('"}]}</script>'))
+    return extracted(p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(script, F.col("html"))).otherwise(F.col("html")).alias("html"))).select("page_id", "tier")
+
+
+@query("SELECT min(event_id) AS seq FROM events GROUP BY user_id")
+def op_n2_stream_dedup(spark, d):
+    """Events as a stream of articles whose url is their user's; exact dedup in each batch."""
+    out = _scratch(spark, "n2")
+    e = table(spark, d, "events").select("event_id", "user_id")
+    source = _scratch(spark, "n2-in")
+    e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("url_key"), F.lit("").alias("title_key")).write.parquet(source)
+    keep = incremental.exact_batch()
+    stream = spark.readStream.schema("seq long, url_key string, title_key string").option("maxFilesPerTrigger", 1_000_000).parquet(source)
+    incremental.run_batches(stream, lambda b, i: keep(b).write.mode("overwrite").parquet(f"{out}/batch={i}"), _scratch(spark, "n2-checkpoint")).awaitTermination()
+    return spark.read.schema("seq long, url_key string").parquet(f"{out}/*").select("seq")
