@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.sources.shared import shared_dir, stored
 
-__all__ = ["BLANKS", "bounded_sample", "shared_dir", "stored", "table", "whole"]
+__all__ = ["BLANKS", "bounded_sample", "mapped", "shared_dir", "stored", "table", "whole"]
 
 #: Spark's own white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch on its way to Python: texts may be long, and both sides of the pipe hold a batch.
+BATCH_ROWS = 500
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_ROWS rows (a setting of the session, read when the plan runs)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def whole(text: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

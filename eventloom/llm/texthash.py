@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 #: Texts are taken in slices of about this many bytes, so that memory is bounded whatever the size of a batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,21 +35,34 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def spans(texts: pa.Array, most: int = SLICE_BYTES):
+    """(first, last) row numbers of runs of texts that have `most` bytes together at most, or are one text."""
+    size = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))))
+    first = 0
+    while first < len(texts):
+        last = max(int(np.searchsorted(size, size[first] + most, side="right")) - 1, first + 1)
+        yield first, last
+        first = last
+
+
 def slices(texts: pa.Array):
     """(first row, bytes of the texts with one line feed after each, start of every text and of the end), in slices."""
-    texts = texts.cast(pa.large_binary())
-    first, size = 0, 0
-    lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int64)
-    for i in range(len(texts) + 1):
-        if i == len(texts) or (size and size + lengths[i] > SLICE_BYTES):
-            if i > first:
-                part = [x.as_py() or b"" for x in texts[first:i]]
-                data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
-                starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in part])))
-                yield first, data, starts
-            first, size = i, 0
-        if i < len(texts):
-            size += lengths[i]
+    for first, last in spans(texts):
+        part = [x.encode() if x else b"" for x in texts[first:last].to_pylist()]
+        data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
+        yield first, data, np.concatenate(([0], np.cumsum([len(x) + 1 for x in part])))
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 to base^(n-1); kept for slices of the usual size."""
+    if n > SLICE_BYTES + 4096:
+        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base))))
+    if int(base) not in _powers:
+        _powers[int(base)] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(SLICE_BYTES + 4095, base))))
+    return _powers[int(base)][:n]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +72,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, letters_only: bool = False
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
     n = len(data)
-    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _P))))[: n + 1]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n])))
-    inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _P_INV))))
+    terms = low.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= powers(_P, n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(terms, out=total[1:])
+    inverse = powers(_P_INV, n)
     hashed = mix((total[end] - total[begin]) * inverse[begin])
     return hashed, np.searchsorted(begin, starts)
 
