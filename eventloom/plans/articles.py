@@ -237,7 +237,7 @@ def _built(spark, d):
     return registry.build_companies(names, aliases)
 
 
-@query("SELECT count(*) AS rows, count_if(c_custkey % 4 = 0) AS former_names, count_if(c_custkey % 3 = 0) AS matched, count_if(c_custkey % 3 <> 0) AS unmatched, 0::BIGINT AS short_names, count_if(c_custkey % 4 <> 0 AND c_custkey % 3 <> 0) AS single_term, 0::BIGINT AS duplicate_names FROM customer")
+@query("SELECT count(*) AS rows, count(*) FILTER (c_custkey % 4 = 0) AS former_names, count(*) FILTER (c_custkey % 3 = 0) AS matched, count(*) FILTER (c_custkey % 3 <> 0) AS unmatched, 0::BIGINT AS short_names, count(*) FILTER (c_custkey % 4 <> 0 AND c_custkey % 3 <> 0) AS single_term, 0::BIGINT AS duplicate_names FROM customer")
 def op_i13_build_profile(spark, d):
     return registry.build_profile(_built(spark, d))
 
@@ -262,12 +262,12 @@ def _outcomes(spark, d):
     return o.withColumn("o", t.feed_outcome(F.col("http_status"), F.col("error"))).select("*", "o.status", "o.transient").drop("o")
 
 
-@query(f"WITH {views.OUTCOMES_SQL} SELECT count(*) AS total, count_if(status = 'success') AS succeeded, count_if(status <> 'success') AS failed, count_if(status = 'success') / count(*) AS success_ratio, count_if(status = 'rate_limited') AS rate_limited, count_if(http_status >= 500 AND http_status <> 503) AS other_5xx, count_if(status = 'timeout') AS timeouts, sum(retry_attempts)::BIGINT AS retries FROM f")
+@query(f"WITH {views.OUTCOMES_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') / count(*) AS success_ratio, count(*) FILTER (status = 'rate_limited') AS rate_limited, count(*) FILTER (http_status >= 500 AND http_status <> 503) AS other_5xx, count(*) FILTER (status = 'timeout') AS timeouts, sum(retry_attempts)::BIGINT AS retries FROM f")
 def op_i1_feed_metrics(spark, d):
     return metrics.feed_metrics(_outcomes(spark, d))
 
 
-_GATE = f"WITH {views.OUTCOMES_SQL} SELECT count(*) AS total, count_if(status = 'success') AS succeeded, count_if(status = 'success') / count(*) AS ratio, count_if(status = 'success') / count(*) >= {{0}} AS sufficient, count_if(status = 'success') / count(*) >= 0.98 AS zero_news_healthy FROM f"
+_GATE = f"WITH {views.OUTCOMES_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status = 'success') / count(*) AS ratio, count(*) FILTER (status = 'success') / count(*) >= {{0}} AS sufficient, count(*) FILTER (status = 'success') / count(*) >= 0.98 AS zero_news_healthy FROM f"
 
 
 @query(_GATE.format("0.9"))
@@ -275,7 +275,7 @@ def op_i2_coverage_gate(spark, d):
     return metrics.coverage_gate(_outcomes(spark, d))
 
 
-@query(f"WITH {views.OUTCOMES_SQL} SELECT count_if(status = 'success') / count(*) >= 0.98 AS zero_news_healthy FROM f")
+@query(f"WITH {views.OUTCOMES_SQL} SELECT count(*) FILTER (status = 'success') / count(*) >= 0.98 AS zero_news_healthy FROM f")
 def op_i3_zero_news_gate(spark, d):
     return metrics.coverage_gate(_outcomes(spark, d)).select("zero_news_healthy")
 
@@ -285,7 +285,7 @@ def op_i5_latencies(spark, d):
     return metrics.latencies(table(spark, d, "events"), "value", ["event_type"])
 
 
-@query("SELECT event_type AS stage, count_if(user_id % 3 = 0) AS started, count_if(user_id % 3 = 1) AS completed, count_if(user_id % 3 = 2) AS failed, arg_max(event_id, (ts, event_id)) AS last_item FROM events GROUP BY 1")
+@query("SELECT event_type AS stage, count(*) FILTER (user_id % 3 = 0) AS started, count(*) FILTER (user_id % 3 = 1) AS completed, count(*) FILTER (user_id % 3 = 2) AS failed, arg_max(event_id, (ts, event_id)) AS last_item FROM events GROUP BY 1")
 def op_i16_progress(spark, d):
     e = table(spark, d, "events")
     status = F.element_at(F.array(*map(F.lit, ("started", "completed", "failed"))), (F.col("user_id") % 3 + 1).cast("int"))

@@ -190,7 +190,7 @@ def op_l21_guarded_rewrite(spark, d):
     return verdicts.guarded_rewrite(v0, v1, ["fact"], ["watch"])
 
 
-@query("SELECT o_orderstatus AS tier, count_if(quality = 1 AND toxic = 0) AS both, count_if(quality = 1 AND toxic = 1) AS lost, count_if(quality = 0 AND toxic = 0) AS gained, count_if(quality = 0 AND toxic = 1) AS neither FROM labels JOIN orders ON doc_id = o_orderkey GROUP BY 1")
+@query("SELECT o_orderstatus AS tier, count(*) FILTER (quality = 1 AND toxic = 0) AS both, count(*) FILTER (quality = 1 AND toxic = 1) AS lost, count(*) FILTER (quality = 0 AND toxic = 0) AS gained, count(*) FILTER (quality = 0 AND toxic = 1) AS neither FROM labels JOIN orders ON doc_id = o_orderkey GROUP BY 1")
 def op_i12_decision_report(spark, d):
     """Old decision by quality, new by toxicity."""
     x = table(spark, d, "labels").join(table(spark, d, "orders"), F.col("doc_id") == F.col("o_orderkey"))
@@ -199,7 +199,7 @@ def op_i12_decision_report(spark, d):
     return metrics.decision_report(old, new)
 
 
-@query("SELECT CAST(user_id % 3 AS VARCHAR) AS stage, count(*) AS total, count_if(event_id % 4 = 0) AS accept, count_if(event_id % 4 = 1) AS reject, count_if(event_id % 4 = 2) AS escalate, count_if(event_id % 4 = 3) AS failure, round(count_if(event_id % 4 < 2) / count(*), 6) AS resolution_rate, round(count_if(event_id % 4 = 2) / count(*), 6) AS escalation_rate FROM events GROUP BY 1")
+@query("SELECT CAST(user_id % 3 AS VARCHAR) AS stage, count(*) AS total, count(*) FILTER (event_id % 4 = 0) AS accept, count(*) FILTER (event_id % 4 = 1) AS reject, count(*) FILTER (event_id % 4 = 2) AS escalate, count(*) FILTER (event_id % 4 = 3) AS failure, round(count(*) FILTER (event_id % 4 < 2) / count(*), 6) AS resolution_rate, round(count(*) FILTER (event_id % 4 = 2) / count(*), 6) AS escalation_rate FROM events GROUP BY 1")
 def op_i6_stage_rates(spark, d):
     e = table(spark, d, "events")
     status = F.element_at(F.array(*map(F.lit, ("accept", "reject", "escalate", "failure"))), (F.col("event_id") % 4 + 1).cast("int"))
@@ -221,14 +221,14 @@ def op_i8_reject_reasons(spark, d):
     return metrics.histogram(e, "reason")
 
 
-@query("SELECT c_custkey AS company_id, count(o_orderkey) AS collected, coalesce(count_if(o_orderstatus <> 'P'), 0) AS fresh, coalesce(count_if(o_orderpriority = '1-URGENT'), 0) AS related FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 7 = 0 GROUP BY 1")
+@query("SELECT c_custkey AS company_id, count(o_orderkey) AS collected, coalesce(count(*) FILTER (o_orderstatus <> 'P'), 0) AS fresh, coalesce(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS related FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 7 = 0 GROUP BY 1")
 def op_i9_funnel(spark, d):
     rows = table(spark, d, "orders").where("o_orderkey % 7 = 0").withColumn("company_id", F.col("o_custkey"))
     flags = {"collected": F.lit(True), "fresh": F.col("o_orderstatus") != "P", "related": F.col("o_orderpriority") == "1-URGENT"}
     return metrics.funnel(table(spark, d, "customer").select(F.col("c_custkey").alias("company_id")), rows, flags)
 
 
-@query("SELECT count(*) AS total, count_if(event_type = 'error') AS failures, count_if(event_type = 'error') >= 3 AND count_if(event_type = 'error') / count(*) >= 0.25 AS systemic FROM events")
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') >= 3 AND count(*) FILTER (event_type = 'error') / count(*) >= 0.25 AS systemic FROM events")
 def op_i11_systemic_failure(spark, d):
     return metrics.systemic_failure(table(spark, d, "events"), F.col("event_type") == "error")
 
@@ -238,7 +238,7 @@ def op_i17_identity_counters(spark, d):
     return metrics.histogram(table(spark, d, "events").select((F.col("user_id") % 50).alias("company"), F.col("event_type").alias("verdict")), "company", "verdict")
 
 
-@query("SELECT sum(event_id % 3)::BIGINT AS calls, sum(event_id % 2)::BIGINT AS rewrites, count_if(event_type = 'error') AS failed FROM events")
+@query("SELECT sum(event_id % 3)::BIGINT AS calls, sum(event_id % 2)::BIGINT AS rewrites, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def op_i18_editorial_counters(spark, d):
     e = table(spark, d, "events")
     return e.agg(F.sum(F.col("event_id") % 3).alias("calls"), F.sum(F.col("event_id") % 2).alias("rewrites"), F.count_if(F.col("event_type") == "error").alias("failed"))

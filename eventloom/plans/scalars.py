@@ -222,7 +222,7 @@ def op_c5_enrichment(spark, d):
     return _enriched(spark, d).select("seq", "status", "tier")
 
 
-@query("SELECT count(*) AS articles, count_if(page_id % 3 = 2) AS candidates, count_if(page_id % 3 = 1) AS skipped, count_if(page_id % 3 = 2) AS succeeded, count_if(page_id % 3 = 2) - count(DISTINCT CASE WHEN page_id % 3 = 2 THEN url END) AS cache_hits FROM pages")
+@query("SELECT count(*) AS articles, count(*) FILTER (page_id % 3 = 2) AS candidates, count(*) FILTER (page_id % 3 = 1) AS skipped, count(*) FILTER (page_id % 3 = 2) AS succeeded, count(*) FILTER (page_id % 3 = 2) - count(DISTINCT CASE WHEN page_id % 3 = 2 THEN url END) AS cache_hits FROM pages")
 def op_c6_enrichment_counters(spark, d):
     return pg.enrichment_counters(_enriched(spark, d))
 
