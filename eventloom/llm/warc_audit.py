@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC records.
 
 A page becomes a WARC response record; records lie in files of at most RECORDS slots, at running offsets in slot order (`laid_out`). A replica is a table of
-slots with the bytes that it has there and their offset. For each replica the record digests (SHA-256 over the record's bytes) and offset ranges are hashed into trees: a leaf is digest, offset and length of one slot, a node the hash
+slots: length and digest of the bytes that it has there, and their offset. For each replica the record digests (SHA-256 over the record's bytes) and offset ranges are hashed into trees: a leaf is digest, offset and length of one slot, a node the hash
 of its up to FANOUT children in order. Trees of two replicas are compared from the roots down; only children of mismatching nodes are
 looked at (a join on the node number), so the work below the roots is in proportion to the damage. Every level is a table in the shared folder.
 
@@ -27,17 +27,22 @@ def record(url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def laid_out(records: DataFrame, id_col: str = "page_id", record_col: str = "record", rows: int = RECORDS) -> DataFrame:
-    """records with their offset in their file (at most `rows` slots): the manifest of an archive."""
-    w = Window.partitionBy(F.floor(F.col(id_col) / rows)).orderBy(id_col, F.sha2(record_col, 256))
-    sized = records.where(F.col(id_col).isNotNull()).withColumn("length", F.octet_length(record_col).cast("long"))
-    return sized.withColumn("offset", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).drop("length")
+def digested(records: DataFrame, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
+    """(id_col, length, digest) of each record: what the trees need, so no record's bytes are shuffled."""
+    return records.select(F.col(id_col), F.octet_length(record_col).cast("long").alias("length"), F.sha2(F.col(record_col), 256).alias("digest"))
 
 
-def leaves(slots: DataFrame, id_col: str = "page_id", record_col: str = "record", rows: int = RECORDS) -> DataFrame:
+def laid_out(slots: DataFrame, id_col: str = "page_id", rows: int = RECORDS) -> DataFrame:
+    """slots(id_col, length, digest, ...) with their offset in their file (at most `rows` slots): the manifest of an archive."""
+    w = Window.partitionBy(F.floor(F.col(id_col) / rows)).orderBy(id_col, "digest").rowsBetween(Window.unboundedPreceding, 0)
+    return slots.where(F.col(id_col).isNotNull()).withColumn("offset", F.sum("length").over(w) - F.col("length"))
+
+
+def leaves(slots: DataFrame, id_col: str = "page_id", rows: int = RECORDS) -> DataFrame:
     """(node, file, offset, length, digest, hash) for each slot; node is the id."""
-    own = slots.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), "offset", F.octet_length(record_col).cast("long").alias("length"), F.sha2(F.col(record_col), 256).alias("digest"))
-    one = own.groupBy("node").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.when(F.count(F.lit(1)) == 1, F.max("digest")).otherwise(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256)).alias("digest"))
+    own = slots.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), "offset", "length", "digest")
+    several = F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256)
+    one = own.groupBy("node").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.when(F.count(F.lit(1)) == 1, F.max("digest")).otherwise(several).alias("digest"))
     return one.withColumn("file", F.floor(F.col("node") / rows).cast("long")).withColumn("hash", F.sha2(F.concat_ws(":", "digest", "offset", "length"), 256))
 
 
@@ -65,9 +70,9 @@ def height_for(leaf: DataFrame, other: DataFrame, fanout: int = FANOUT) -> int:
     return height
 
 
-def audit(left: DataFrame, right: DataFrame, id_col: str = "page_id", record_col: str = "record", rows: int = RECORDS, fanout: int = FANOUT) -> DataFrame:
-    """Differences of two replicas (id_col, record_col, offset): (id_col, warc_file, status, offsets, lengths and digests on both sides)."""
-    a, b = (stored(leaves(x, id_col, record_col, rows), "merkle-0") for x in (left, right))
+def audit(left: DataFrame, right: DataFrame, id_col: str = "page_id", rows: int = RECORDS, fanout: int = FANOUT) -> DataFrame:
+    """Differences of two replicas (id_col, length, digest, offset): (id_col, warc_file, status, offsets, lengths and digests on both sides)."""
+    a, b = (stored(leaves(x, id_col, rows), "merkle-0") for x in (left, right))
     height = height_for(a, b, fanout)
     mine, theirs = tree(a, height, fanout), tree(b, height, fanout)
     differ = lambda x, y: x.select("node", F.col("hash").alias("hash_a")).join(y.select("node", F.col("hash").alias("hash_b")), "node", "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("node")
@@ -89,10 +94,13 @@ def unslotted(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the archive of all pages against a replica that Spark derives from it, with damage planted by the SHA-256 of the id: four records in 256 have a byte
     changed, one lacks its last byte, one is gone."""
-    archive = laid_out(table(spark, sf_dir, "pages").select("page_id", record(whole("url"), whole("html")).alias("record")))
+    pages = table(spark, sf_dir, "pages").select("page_id", record(whole("url"), whole("html")).alias("record"))
     code = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
     hurt = F.when(code.isin("00", "01", "02", "03"), F.concat(F.lit("w"), F.substring("record", 2, 1 << 30))).when(code == "a0", F.substring(F.col("record"), F.lit(1), F.char_length("record") - 1)).otherwise(F.col("record"))
-    return audit(archive, archive.where(code != "b0").withColumn("record", hurt))
+    both = pages.withColumn("hurt", hurt).select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), F.octet_length("hurt").cast("long").alias("found_length"), F.sha2("hurt", 256).alias("found_digest"))
+    manifest = stored(laid_out(both), "warc-manifest")
+    replica = manifest.where(code != "b0").select("page_id", F.col("found_length").alias("length"), F.col("found_digest").alias("digest"), "offset")
+    return audit(manifest.select("page_id", "length", "digest", "offset"), replica)
 
 
 OP3_SQL = """
