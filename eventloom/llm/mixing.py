@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, stored, table, whole
+from eventloom.llm.common import bounded_sample, mapped, stored, table, whole
 from eventloom.llm.learn import fit_softmax, softmax
 from eventloom.llm.texthash import BLANK, slices
 
@@ -62,7 +62,7 @@ def train(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str =
     """labelled(id_col, domain): at most sample_rows rows of it are used."""
     chosen = bounded_sample(labelled.where(F.col("domain").isin(names)), id_col, sample_rows)
     rows = docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "domain")  # at most sample_rows rows are sent
-    got = rows.mapInArrow(_sample_shares, "x array<float>, domain string").toArrow()
+    got = mapped(rows, _sample_shares, "x array<float>, domain string").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(len(got), 256)
     y = np.array([names.index(d) for d in got["domain"].to_pylist()], int)
     order = np.lexsort((*x.T[::16], y))  # rows come in any order: sorted by content, the fit is always the same
@@ -106,17 +106,17 @@ def fit_rates(members: DataFrame, weights: list[float], scale: float | None = No
 
     added = lambda df, k: np.array(df.select(*(F.sum(F.col("s")[i]) for i in range(k))).first(), float)
     narrow = members.select("n_tokens", "posteriors")
-    first = np.nan_to_num(added(narrow.mapInArrow(sums, "s array<double>"), d + d * d))
+    first = np.nan_to_num(added(mapped(narrow, sums, "s array<double>"), d + d * d))
     have, gram = first[:d], first[d:].reshape(d, d)
     share = np.array(weights) / sum(weights)
     wanted = share > 0
     total = scale if scale is not None else (float((have[wanted] / share[wanted]).min()) if len(have) else 0.0)
     target, rate = share * total, 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-9)
     steps: list[tuple[np.ndarray, float]] = []
-    ahead_totals = totals = have
+    ahead_totals = totals = before = have
     for k in range(iterations):
-        if np.abs(totals - target).max() <= TOLERANCE * max(total, 1):
-            break
+        if np.abs(totals - target).max() <= TOLERANCE * max(total, 1) or k > 9 and np.abs(totals - before).max() <= 0.1 * TOLERANCE * max(total, 1):
+            break  # met, or as near as the bounds of the rates allow
         steps.append((rate * (ahead_totals - target), k / (k + 3)))
 
         def rated(batches, done=tuple(steps)):
@@ -126,8 +126,8 @@ def fit_rates(members: DataFrame, weights: list[float], scale: float | None = No
                     now, ahead = replay(p, done, max_rate)
                     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(((tokens * now) @ p, (tokens * ahead) @ p))], pa.list_(pa.float64()))], ["s"])
 
-        got = np.nan_to_num(added(narrow.mapInArrow(rated, "s array<double>"), 2 * d))
-        totals, ahead_totals = got[:d], got[d:]
+        got = np.nan_to_num(added(mapped(narrow, rated, "s array<double>"), 2 * d))
+        before, totals, ahead_totals = totals, got[:d], got[d:]
     return steps, {"targets": target.tolist(), "totals": totals.tolist(), "iterations": len(steps)}
 
 
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     domains = train(docs, labelled, list(weights), id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    members = stored(rows.mapInArrow(lambda it: _belonging(it, domains), f"id {kind}, n_tokens long, posteriors array<double>"), "mixing-members")
+    members = stored(mapped(rows, lambda it: _belonging(it, domains), f"id {kind}, n_tokens long, posteriors array<double>"), "mixing-members")
     steps, _ = fit_rates(members, list(weights.values()), scale, max_rate)
 
     def final(batches):
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
                 rate = np.where(np.asarray(batch.column(1)) > 0, replay(_matrix(batch.column(2)), steps, max_rate)[0], 1.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], ["id", "n_tokens", "posteriors", "rate"])
 
-    return members.mapInArrow(final, f"id {kind}, n_tokens long, posteriors array<double>, rate double").select(F.col("id").alias(id_col), "n_tokens", "posteriors", "rate")
+    return mapped(members, final, f"id {kind}, n_tokens long, posteriors array<double>, rate double").select(F.col("id").alias(id_col), "n_tokens", "posteriors", "rate")
 
 
 def copies(rate: Column, key: Column, seed: int = 20) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, table, whole
+from eventloom.llm.common import bounded_sample, mapped, table, whole
 from eventloom.llm.learn import fit_logistic, looks, sigmoid
 from eventloom.llm.texthash import _P, mix, slices
 
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     """Fits the field on at most sample_rows rows of labels(id_col, label)."""
     chosen = bounded_sample(labels.select(id_col, F.col(label).cast("int").alias("good")).dropna(), id_col, sample_rows)
     rows = docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "good")  # at most sample_rows rows are sent
-    got = rows.mapInArrow(_sample_lines, "good int, length array<double>, features array<double>").toArrow()
+    got = mapped(rows, _sample_lines, "good int, length array<double>, features array<double>").toArrow()
     parts = sorted(zip(got["good"].to_pylist(), (np.array(c) for c in got["length"].to_pylist()), (np.array(c) for c in got["features"].to_pylist()), strict=True), key=lambda r: (r[0], r[2].tobytes()))
     if not parts:
         return Field(0.0, 1.0, np.zeros(1), np.zeros((2, 2)), (0.0, 0.0))
@@ -164,7 +164,7 @@ def _scored(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Reco
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) for every document."""
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _scored(it, field), f"id {rows.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), "score")
+    return mapped(rows, lambda it: _scored(it, field), f"id {rows.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), "score")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

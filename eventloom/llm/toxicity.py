@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, table, whole
+from eventloom.llm.common import bounded_sample, mapped, table, whole
 from eventloom.llm.learn import fit_logistic, looks, predict_logistic
 from eventloom.llm.texthash import slices, word_hashes
 
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], i
     chosen = bounded_sample(flags, id_col, sample_rows)
     rows = docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).drop(id_col)  # at most sample_rows rows are sent
     names = [f"flag_{k}" for k in range(len(categories))]
-    got = rows.select("text", *names).mapInArrow(_sample_words, "words array<long>, looks array<double>, " + ", ".join(f"{n} int" for n in names)).toArrow()
+    got = mapped(rows.select("text", *names), _sample_words, "words array<long>, looks array<double>, " + ", ".join(f"{n} int" for n in names)).toArrow()
     lists = got["words"].combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
     owner = np.repeat(np.arange(len(got)), np.asarray(lists.value_lengths()).astype(int)) if len(got) else np.zeros(0, int)
@@ -135,7 +135,7 @@ def score(docs: DataFrame, chain: Chain, names: list[str], id_col: str = "doc_id
     """(id_col, p_<category>...) for every document."""
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _scored(it, chain), f"id {kind}, p array<double>").select(F.col("id").alias(id_col), *(F.col("p")[k].alias(f"p_{n}") for k, n in enumerate(names)))
+    return mapped(rows, lambda it: _scored(it, chain), f"id {kind}, p array<double>").select(F.col("id").alias(id_col), *(F.col("p")[k].alias(f"p_{n}") for k, n in enumerate(names)))
 
 
 def _clean(batches: Iterator[pa.RecordBatch], chain: Chain, text_col: str, category: int) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def _clean(batches: Iterator[pa.RecordBatch], chain: Chain, text_col: str, categ
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", category: int = CATEGORIES.index("toxic")) -> DataFrame:
     """The rows of docs, all columns, whose probability is below TOXIC."""
-    return docs.mapInArrow(lambda it: _clean(it, chain, text_col, category), docs.schema)
+    return mapped(docs, lambda it: _clean(it, chain, text_col, category), docs.schema)
 
 
 def label_categories() -> dict[str, F.Column]:
