@@ -5,12 +5,11 @@ words where there are fewer. Two texts are linked when the Jaccard similarity of
 
 1. One pass in numpy makes, for each document, a 128-bit digest of its set and one hash per band; bands and rows follow
    from the threshold and the target recall (`choose_bands`). Texts with equal sets form one class, which goes on as one representative.
-2. Representatives meet in a shuffle on the band hashes. Buckets of up to SMALL representatives make all their pairs. A larger bucket makes a star, its
-   smallest id P with each member. If links so far don't join all its members, they meet again, exactly: with D(A) the symmetric difference of A and P,
-   a pair A, B reaches the threshold t only if |D(A)| + |D(B)| <= (|A| + |B|)(1-t)/(1+t), or if D(A) and D(B) have a hash in common. For the first case each member
-   is paired with the member of largest slack |A|(1-t)/(1+t) - |D(A)|, which stands for all others; for the second, members meet in sub-buckets of (bucket, hash)
-   over the first |A|(1-t)/t + 1 hashes of D(A) (prefix filter). Sub-buckets that hold members of one component only go; large ones are split in the same way.
-   So pairs grow with the rows, not with the square of a group, nothing is left out, and classes are those of all pairs that share a band.
+2. Representatives meet in a shuffle on the band hashes. Buckets of up to SMALL representatives list all their pairs. The members of larger buckets are dealt
+   into blocks of bounded size (BLOCK members, BLOCK_GRAMS hashes), and each two blocks of a bucket meet in a task, which compares all pairs that share a band.
+   Large buckets of one pivot (smallest id) are dealt together. A pair that several buckets hold is compared in a small one, or else in the one whose owner is smallest.
+   So every pair that shares a band is compared, and no pair twice. Links of blocks are listed only by `ngram_links`: `ngram_classes` takes each member's number of links and
+   a spanning forest from every two blocks, so its rows grow with the members times the blocks, not with the pairs.
 3. Pairs whose set sizes allow the threshold are verified on the full sets of 64-bit n-gram hashes.
 4. Links between representatives are joined to components; each document gets its class.
 
@@ -24,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import mapped, stored, table, whole
@@ -33,7 +33,7 @@ from eventloom.operators.graph import components
 from eventloom.llm.texthash import mix, shingle_hashes, slices, word_hashes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Most representatives of a bucket whose pairs are all listed: at most SMALL / 2 pairs a row.
+#: Most representatives of a bucket whose pairs are listed one by one, at most SMALL / 2 pairs a row; larger ones are compared in blocks.
 SMALL = 24
 
 
@@ -101,35 +101,127 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of columns key, rep, n, label, own set, pivot's set: the slack of each member and the hashes by which it meets others."""
-    for batch in batches:
-        slack, first = [], []
-        for x, p in zip(batch.column(4), batch.column(5), strict=True):
-            x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
-            apart = np.setxor1d(x, p, assume_unique=True)
-            slack.append(len(x) * (1 - THRESHOLD) / (1 + THRESHOLD) - len(apart))
-            first.append(apart[: int(len(x) * (1 - THRESHOLD) / THRESHOLD) + 1].view(np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(slack, pa.float64()), pa.array(first, pa.list_(pa.int64()))], ["key", "rep", "n", "label", "slack", "hashes"])
-
-
 def _fits(m: Column, n: Column) -> Column:
-    return F.least(m, n) >= F.lit(THRESHOLD) * F.greatest(m, n)
+    return F.least(m, n) >= F.lit(THRESHOLD) * F.greatest(m, n) - 1e-9
 
 
 def _small_pairs(met: DataFrame, small: int) -> DataFrame:
-    """All pairs (a, b) of buckets of up to `small` members whose components differ."""
-    near = met.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "label"))).alias("all"))
+    """All pairs (a, b) of buckets of up to `small` members."""
+    near = met.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("all"))
     near = near.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(small))).alias("y"))
-    return near.where(_fits(F.col("x.n"), F.col("y.n")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-
-#: Rounds of splitting after which what is left is compared pair by pair; so it is as soon as that takes at most PAIRS pairs for each document.
-ROUNDS, PAIRS = 8, 1
+    return near.where(_fits(F.col("x.n"), F.col("y.n")) & (F.col("x.rep") != F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+#: Most members and n-gram hashes of a block, on average: a task holds two blocks at once.
+BLOCK, BLOCK_GRAMS = 512, 1 << 19
+#: Hashes that are compared at once, and products of the matrices that cost as much as one comparison of two sets.
+WIDTH, PRODUCTS = 4096, 200_000
+#: Owners of small buckets, which are the first of all, and of none.
+FIRST, NONE = -(1 << 63), (1 << 63) - 1
+
+
+def _shared(one: list[np.ndarray], other: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets in `one` with those in `other`, where wanted."""
+    both = np.zeros(wanted.shape, np.int64)
+    if not wanted.any():
+        return both
+    rows, cols = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    sides = [(np.concatenate([sets[k] for k in at]), np.repeat(np.arange(len(at)), [len(sets[k]) for k in at])) for sets, at in ((one, rows), (other, cols))]
+    known = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    if np.count_nonzero(wanted) * PRODUCTS < len(rows) * len(cols) * len(known):
+        for k, m in zip(*np.nonzero(wanted), strict=True):
+            x, y = one[k], other[m]
+            both[k, m] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+        return both
+    placed = []
+    for grams, owner in sides:
+        at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+        there = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+        order = np.argsort(at[there], kind="stable")
+        placed.append((at[there][order], owner[there][order]))
+    met = np.zeros((len(rows), len(cols)), np.float32)
+    for begin in range(0, len(known), WIDTH):
+        held = []
+        for (at, owner), size in zip(placed, met.shape, strict=True):
+            first, last = np.searchsorted(at, (begin, begin + WIDTH))
+            part = np.zeros((size, min(WIDTH, len(known) - begin)), np.float32)
+            part[owner[first:last], at[first:last] - begin] = 1
+            held.append(part)
+        met += held[0] @ held[1].T
+    both[np.ix_(rows, cols)] = np.rint(met).astype(np.int64)
+    return both
+
+
+def _block_links(t: pa.Table, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers, row numbers, jaccard) of the links between the two blocks in t, or within one block."""
+    column = lambda name: t.column(name).combine_chunks() if t.column(name).num_chunks != 1 else t.column(name).chunk(0)
+    side, n, owner = np.asarray(column("side")), np.asarray(column("n")).astype(np.int64), int(t.column("owner")[0].as_py())
+    listed = column("sig")
+    row, sig = np.repeat(np.arange(len(n)), np.asarray(pc.list_value_length(listed))), listed.flatten()
+    keys, owners = np.zeros((len(n), bands), np.int64), np.full((len(n), bands), NONE, np.int64)
+    band = np.asarray(sig.field("band"))
+    keys[row, band], owners[row, band] = np.asarray(sig.field("key")), np.asarray(sig.field("owner"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column("grams")]
+    x, y = np.flatnonzero(side <= 0), np.flatnonzero(np.abs(side) == 1)
+    least = np.full((len(x), len(y)), NONE, np.int64)
+    for k in range(bands):
+        same = keys[x, k][:, None] == keys[y, k][None, :]
+        least = np.where(same, np.minimum(least, owners[x, k][:, None]), least)
+    wanted = least == owner
+    wanted &= 5 * np.minimum(n[x][:, None], n[y][None, :]) >= 4 * np.maximum(n[x][:, None], n[y][None, :])
+    if len(side) and side[0] == -1:
+        wanted = np.triu(wanted, 1)
+    both = _shared([sets[k] for k in x], [sets[k] for k in y], wanted)
+    jaccard = both / (n[x][:, None] + n[y][None, :] - both)
+    found = np.nonzero(wanted & (jaccard >= THRESHOLD))
+    return x[found[0]], y[found[1]], jaccard[found]
+
+
+def _forest(size: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Some of the links (a, b) between `size` rows that join all that the links join, without circles."""
+    linked = np.zeros((size, size), bool)
+    linked[a, b] = linked[b, a] = True
+    fresh, out = linked.any(axis=1), []
+    for start in range(size):
+        queue = [start] if fresh[start] else []
+        fresh[start] = False
+        while queue:
+            k = queue.pop()
+            new = np.flatnonzero(linked[k] & fresh)
+            fresh[new] = False
+            out += [(k, int(m)) for m in new]
+            queue += new.tolist()
+    return out
+
+
+def _listed(t: pa.Table, bands: int) -> pa.Table:
+    a, b, jaccard = _block_links(t, bands)
+    rep = t.column("rep")
+    return pa.table({"a": rep.take(pa.array(a)), "b": rep.take(pa.array(b)), "jaccard": pa.array(jaccard, pa.float64())})
+
+
+def _summed(t: pa.Table, bands: int) -> pa.Table:
+    """(a, b, null) for the links of a spanning forest, (rep, null, links) for each row that has links."""
+    a, b, _ = _block_links(t, bands)
+    rep, degree = t.column("rep"), np.bincount(np.concatenate((a, b)), minlength=t.num_rows)
+    tree, some = np.array(_forest(t.num_rows, a, b), np.int64).reshape(-1, 2), np.flatnonzero(degree)
+    one = rep.take(pa.array(np.concatenate((tree[:, 0], some)), pa.int64()))
+    other = rep.take(pa.array([*tree[:, 1].tolist(), *[None] * len(some)], pa.int64()))
+    return pa.table({"a": one, "b": other, "links": pa.array([*[None] * len(tree), *degree[some].tolist()], pa.int64())})
 
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, recall: float = RECALL, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(links(a, b, jaccard) between representatives a < b, members(id, rep, copies)): the whole join, copies not expanded into pairs."""
+    links, blocks, members = _joined(docs, id_col, text_col, words, recall, small)
+    if blocks is not None:
+        bands, kind = choose_bands(THRESHOLD, recall)[0], links.schema["a"].dataType.simpleString()
+        more = blocks.applyInArrow(lambda t: _listed(t, bands), f"a {kind}, b {kind}, jaccard double")
+        links = links.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard"))
+    return links, members
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, recall: float, small: int) -> tuple[DataFrame, GroupedData | None, DataFrame]:
+    """(links(a, b, jaccard) of small buckets, members of large ones grouped by two blocks each or None, members(id, rep, copies))."""
     bands, rows = choose_bands(THRESHOLD, recall)
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -147,48 +239,25 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = every.join(cold, ["low", "high"], "left").withColumn("found", F.coalesce("hot", "cold"))
     members = every.select("id", F.coalesce("found.rep", "id").alias("rep"), F.coalesce("found.copies", F.lit(1)).cast("long").alias("copies"))
 
-    met = classes.select(F.explode("first.bands").alias("key"), F.col("first.id").alias("rep"), F.col("first.n").alias("n"), F.col("first.id").alias("label"))
-    links = extra = sets = None
-    for turn in range(ROUNDS):
-        counted = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n", "label")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").drop("low", "high")
-        met = stored(met.join(counted, "key"), "ngram-met")
-        large = stored(met.where(F.col("size") > small).drop("size"), "ngram-large")
-        star = (large if links is None else met).where((F.col("rep") != F.col("pivot.rep")) & (F.col("label") != F.col("pivot.label")) & _fits(F.col("pivot.n"), F.col("n"))).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"))
-        if links is None:
-            pairs = _small_pairs(met, small).union(star).distinct()
-        else:  # stars may join what the small buckets' pairs would: so they go first, and pairs follow only where components still differ
-            links = links.union(_verified(stored(star.union(extra).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs"), sets))
-            joined = components(links).select(F.col("id").alias("rep"), F.col("label").alias("joined"))
-            pairs = _small_pairs(met.where(F.col("size") <= small).drop("label").join(joined, "rep", "left").withColumn("label", F.coalesce("joined", "rep")), small).distinct()
-        pairs = stored(pairs if links is None else pairs.join(links.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
-        new = _verified(pairs, _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words) if sets is None else sets)
-        links = new if links is None else links.union(new)
-        if large.limit(1).count() == 0:
-            return links, members
-        joined = components(links).select(F.col("id").alias("rep"), F.col("label").alias("joined"))
-        large = large.drop("label").join(joined, "rep", "left").withColumn("label", F.coalesce("joined", "rep")).drop("joined")
-        parts = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("part"))
-        apart = parts.groupBy("key").agg(F.max(F.struct("part", "label")).alias("top"), F.sum("part").alias("members"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        # pairs that are left: members outside a bucket's largest component with all its members
-        apart = stored(apart.select("key", F.col("top.label").alias("main"), (F.col("members") * (F.col("members") - F.col("top.part"))).cast("double").alias("cross")), "ngram-buckets")
-        rest = apart.agg(F.sum("cross")).first()[0]
-        if rest is None:
-            return links, members
-        large = stored(large.join(apart.select("key", "main"), "key"), "ngram-apart")
-        if sets is None:
-            sets = _sets_of(texts, large.select(F.col("rep").alias("id")).union(large.select(F.col("pivot.rep").alias("id"))).distinct(), words)
-        if rest <= PAIRS * total or turn == ROUNDS - 1:
-            break
-        large = large.select(F.xxhash64("pivot.rep").alias("key"), "rep", "n", "label", F.struct("pivot.rep").alias("pivot")).distinct()  # buckets of one pivot are one
-        seen = large.join(sets.withColumnRenamed("id", "rep"), "rep").join(sets.select(F.col("id").alias("p"), F.col("grams").alias("pivot_grams")), F.col("pivot.rep") == F.col("p"))
-        split = stored(mapped(seen.select("key", "rep", "n", "label", "grams", "pivot_grams"), _prefixes, f"key long, rep {kind}, n int, label {kind}, slack double, hashes array<long>"), "ngram-split")
-        best = split.groupBy("key").agg(F.max(F.struct("slack", "rep")).alias("best"))
-        near = split.join(best, "key").where((F.col("slack") + F.col("best.slack") >= -1e-9) & (F.col("rep") != F.col("best.rep")))
-        extra = near.select(F.least("rep", "best.rep").alias("a"), F.greatest("rep", "best.rep").alias("b"))
-        met = split.select(F.explode("hashes").alias("hash"), "key", "rep", "n", "label").select(F.xxhash64("key", "hash").alias("key"), "rep", "n", "label").distinct()
-    x, y = (side.select("key", F.col("rep").alias(r), F.col("label").alias(f"label_{r}"), F.col("n").alias(f"n_{r}")) for side, r in ((large.where("label <> main"), "a"), (large, "b")))
-    pairs = x.join(y, "key").where((F.col("label_a") != F.col("label_b")) & _fits(F.col("n_a"), F.col("n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return links.union(_verified(stored(pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs"), sets)), members
+    met = classes.select(F.posexplode("first.bands").alias("band", "key"), F.col("first.id").alias("rep"), F.col("first.n").alias("n"))
+    counted = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "ngram-buckets")
+    met = stored(met.join(counted, "key"), "ngram-met")
+    pairs = stored(_small_pairs(met, small).distinct(), "ngram-pairs")
+    large = met.withColumn("owner", F.when(F.col("size") <= small, F.lit(FIRST)).otherwise(F.greatest(F.xxhash64("pivot"), F.lit(FIRST + 1))))
+    held = large.groupBy("rep", "n").agg(F.max("owner").alias("last"), F.collect_list(F.struct("band", "key", "owner")).alias("sig")).where(F.col("last") != FIRST)
+    placed = stored(held.select("rep", "n", "sig", F.explode(F.array_distinct(F.filter(F.col("sig.owner"), lambda o: o != FIRST))).alias("owner")), "ngram-placed")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(placed.select(F.col("rep").alias("id"))).distinct()
+    sets = _sets_of(texts, wanted, words)
+    links = _verified(pairs, sets)
+    if placed.limit(1).count() == 0:
+        return links, None, members
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    dealt = placed.join(stored(placed.groupBy("owner").agg(count.alias("blocks")), "ngram-blocks"), "owner")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")).join(sets.withColumnRenamed("id", "rep"), "rep")
+    spread = dealt.select("owner", "rep", "n", "sig", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)  # -1: one block with itself
+    spread = spread.select("owner", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "rep", "n", "sig", "grams")
+    return links, spread.groupBy("owner", "i", "j"), members
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -206,12 +275,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(mapped(both.select("a", "b", "x", "y"), _jaccard, f"a {kind}, b {kind}, jaccard double").where(F.col("jaccard") >= THRESHOLD), "ngram-verified")
 
 
-def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, recall: float = RECALL, small: int = SMALL) -> DataFrame:
     """One row per document: (id_col, class_id, n_links, n_copies). class_id: smallest id of the documents that links and copies join;
-    n_links: verified links of its text to different texts (in buckets beyond SMALL, those that were needed to join the class); n_copies: rows with its n-gram set, itself included."""
-    links, members = ngram_links(docs, id_col, text_col, **options)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = degree.join(components(links).withColumnRenamed("id", "rep"), "rep")
+    n_links: links of its text to different texts, all of them verified; n_copies: rows with its n-gram set, itself included."""
+    links, blocks, members = _joined(docs, id_col, text_col, words, recall, small)
+    joins = links.select("a", "b")
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    if blocks is not None:
+        bands, kind = choose_bands(THRESHOLD, recall)[0], links.schema["a"].dataType.simpleString()
+        sums = stored(blocks.applyInArrow(lambda t: _summed(t, bands), f"a {kind}, b {kind}, links long"), "ngram-sums")
+        joins = joins.union(sums.where("links IS NULL").select("a", "b"))
+        degree = degree.union(sums.where("links IS NOT NULL").select("a", "links"))
+    degree = degree.groupBy("rep").agg(F.sum("n").alias("n_links"))
+    classes = degree.join(components(joins).withColumnRenamed("id", "rep"), "rep")
     found = members.join(classes, "rep", "left")
     named = found.select(F.col("id").alias(id_col), F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
     nameless = docs.where(F.col(id_col).isNull()).select(id_col, F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))

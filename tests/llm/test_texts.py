@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -104,6 +105,43 @@ def test_ngram_join_with_large_groups(spark, small):
     assert {x.n_copies for x in got if 100 <= x.doc_id < 130} == {31}
 
 
+@pytest.mark.parametrize("small", [2, 24])
+def test_ngram_join_counts_and_lists_every_link(spark, small, monkeypatch):
+    """A family of 80 different texts that are nearly all linked, in several blocks; another one that is a chain; copies and strangers."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(5000)}"
+    base = [word() for _ in range(200)]
+    rows = []
+    for k in range(80):
+        t = list(base)
+        t[r.randrange(200)] = word()
+        rows.append((k, " ".join(t)))
+    chain = [word() for _ in range(300)]
+    for k in range(40):
+        chain[k * 7] = word()
+        rows.append((100 + k, " ".join(chain)))
+    rows += [(200 + k, rows[3 * k][1]) for k in range(5)] + [(300 + k, " ".join(word() for _ in range(30))) for k in range(20)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_classes(rows)
+    assert {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.ngram_classes(docs, small=small).collect()} == want
+    links = [(x.a, x.b, round(x.jaccard, 9)) for x in ngram_join.ngram_links(docs, small=small)[0].collect()]
+    sets = {i: grams(t) for i, t in rows}
+    firsts = sorted({sets[i]: i for i, _ in reversed(sorted(rows))}.values())
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert sorted(links) == [(a, b, round(alike(a, b), 9)) for a in firsts for b in firsts if a < b and alike(a, b) >= 0.8]
+
+
+def test_shared_by_matrix_and_one_by_one(monkeypatch):
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 300, 60)).astype(np.uint64) for _ in range(30)]
+    wanted = r.random((12, 18)) < 0.4
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets[12:]] for x in sets[:12]]) * wanted
+    for products, width in ((1, 4096), (1, 7), (10**9, 4096), (0, 64)):
+        monkeypatch.setattr(ngram_join, "PRODUCTS", products)
+        monkeypatch.setattr(ngram_join, "WIDTH", width)
+        assert (ngram_join._shared(sets[:12], sets[12:], wanted) * wanted == want).all()
+
+
 def test_ngram_join_odd_rows(spark, odd, none):
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_classes(odd).collect()}
     assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (4, 0), 6: (6, 0), 7: (6, 0), 8: (8, 0), 9: (9, 0)}
