@@ -8,8 +8,8 @@ A hash and its position live in one long, `hash << 27 | (2^27 - 1 - position)`:
 hash at its rightmost place, and no window builds a row. Hashes have 36 bits; a text may have 2^27 words.
 
 Defined results: null counts as empty; a text without words has the empty fingerprint; two empty fingerprints are alike (1.0), an
-empty and another one not (0.0). Equal texts have equal fingerprints. In the edited texts a null id is after all others and has no partner to be joined with, so its
-row is left out there (`winnow` lists it); ids must be unique there. Extra columns aren't read.
+empty and another one not (0.0). Equal texts have equal fingerprints. Every row has one result in the edited texts: null ids come
+after all others, and rows that repeat an id follow each other by the hashes of their texts. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from eventloom.llm.common import BLANKS, stored, table, whole
+from eventloom.llm.exact_dedup import filters, passes
 
 K, W = 5, 8
 PLACES = 1 << 27
@@ -72,28 +73,51 @@ def winnow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     return df.select(id_col, F.char_length("text").alias("n_chars"), F.transform("packed", pair).alias("prints"))
 
 
-def ranked(ids: DataFrame, id_col: str) -> DataFrame:
-    """ids with `rank`, 0 for the largest id: one range shuffle of narrow rows; the only window over everything is over one row per partition."""
-    dealt = ids.repartitionByRange(F.col(id_col).desc_nulls_last()).sortWithinPartitions(F.col(id_col).desc_nulls_last())
+def ranked(ids: DataFrame, id_col: str, *ties: str) -> DataFrame:
+    """ids with `rank`, 0 for the largest id, ties by further columns: one range shuffle of narrow rows; the only window over everything is over one row per partition."""
+    by = [F.col(id_col).desc_nulls_last(), *(F.col(c) for c in ties)]
+    dealt = ids.repartitionByRange(*by).sortWithinPartitions(*by)
     dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     firsts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return dealt.join(F.broadcast(firsts.drop("_n")), "_part").withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
 
 
+#: What tells rows apart: id and two hashes of the text. Rows that are equal in all three are copies, any of which serves for the others.
+ROW = ("id", "low", "high")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["id"].eqNullSafe(b["_id"]) & (a["low"] == b["_low"]) & (a["high"] == b["_high"])
+
+
+def _single(texts: DataFrame, order: DataFrame) -> DataFrame:
+    """One of the rows of texts that are copies of each other. Only rows that may have a copy are shuffled."""
+    digest = F.xxhash64(*ROW).alias("digest")
+    repeated = stored(order.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(0).alias("run"), digest), "winnow-repeated")
+    if repeated.limit(1).count() == 0:
+        return texts
+    sieve, keyed = filters(repeated), texts.withColumn("digest", digest)
+    maybe, sure = (passes(keyed, sieve, through).select(*texts.columns) for through in (True, False))
+    return sure.unionByName(maybe.dropDuplicates(list(ROW)))
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text (last half replaced by the head of the next document, descending id)."""
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    order = ranked(texts.select("id", F.char_length("text").alias("n_chars")), "id")
+    texts = texts.select("id", F.xxhash64("text").alias("low"), F.xxhash64(F.lit(7), F.col("text")).alias("high"), "text")
+    order = ranked(texts.select(*ROW, F.char_length("text").alias("n_chars")), *ROW)
     rows = order.count()
+    texts = _single(texts, order)
     order = order.withColumn("after", (F.col("rank") + 1) % max(rows, 1))
-    # the document `id` gives its head to `to`, which needs `n_take` code points
-    gives = order.select(F.col("rank").alias("at"), "id").join(order.select(F.col("after").alias("at"), F.col("id").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("n_take")), "at")
+    # the row of rank `at` gives its head to the row `to`, which needs `n_take` code points
+    takes = order.select(F.col("after").alias("at"), F.struct(*ROW).alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("n_take"))
+    gives = order.select(F.col("rank").alias("at"), *(F.col(c).alias(f"_{c}") for c in ROW)).join(takes, "at")
     gives = stored(gives.drop("at"), "winnow-next")
     # fingerprints are computed where the texts meet, twice: cheaper than to store and send them
-    given = with_winnowed(texts.join(gives, "id"), F.col("text"), "packed")
-    given = given.select(F.col("to").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("n_take")).alias("head"), hashes(F.col("packed")).alias("next_hashes"))
-    met = with_winnowed(texts.join(given, "id").withColumn("n_chars", F.char_length("text")), F.col("text"), "packed")
+    given = with_winnowed(texts.join(gives, _same(texts, gives)), F.col("text"), "packed")
+    given = given.select(*(F.col(f"to.{c}").alias(f"_{c}") for c in ROW), F.substring(F.col("text"), F.lit(1), F.col("n_take")).alias("head"), hashes(F.col("packed")).alias("next_hashes"))
+    met = with_winnowed(texts.join(given, _same(texts, given)).withColumn("n_chars", F.char_length("text")), F.col("text"), "packed")
     stay = F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
     met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), stay), F.col("head"))).drop("text", "head")
     met = with_winnowed(met, F.col("edited"), "edited_packed")

@@ -141,6 +141,21 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert fingerprint.edited_fingerprints(none).count() == 0
 
 
+def test_fingerprints_of_null_and_repeated_ids(spark, odd):
+    """Every row has a result, and its edited text ends with the head of exactly one other row."""
+    assert sorted(r.doc_id for r in fingerprint.edited_fingerprints(odd).collect()) == [1, 2, 3, 4, 5, 5, 6, 7, 8, 9]
+    rows = [(None, "no name one"), (None, "without a name"), (3, "aaaa bbbb"), (3, "aaaa bbbb"), (3, "cccc dddd eeee"), (7, "the first of all"), (5, "middle text")]
+    got = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.fingerprint) for r in got) == sorted((i or 0, brute_winnow(t)) for i, t in rows)
+    cut = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+    possible = []
+    for nameless in (rows[:2], rows[1::-1]):
+        for threes in (rows[2:5], [rows[4], *rows[2:4]]):
+            order = [rows[5], rows[6], *threes, *nameless]
+            possible.append(sorted((i or 0, cut(t, order[(k + 1) % 7][1])) for k, (i, t) in enumerate(order)))
+    assert sorted((r.doc_id or 0, r.edited_sha256) for r in got) in possible
+
+
 def test_warc_audit(spark):
     rows = spark.range(3000).select(F.col("id").alias("page_id"), warc_audit.record(F.concat(F.lit("u"), F.col("id").cast("string")), F.lit("body é")).alias("record"))
     good = warc_audit.laid_out(warc_audit.digested(rows))
