@@ -24,29 +24,44 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id."""
-    found = exact_dedup.exact_dedup(docs)
-    return _without(docs, found.where(~F.col("kept")))
+    """Of equal texts one row, that of the smallest doc_id."""
+    rows = _numbered(docs)
+    found = exact_dedup.exact_dedup(rows.select(KEY, "text"), KEY)
+    return _without(rows, found.where(~F.col("kept")).select(f"{KEY}.{ROW}"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links join the smallest doc_id."""
-    found = ngram_join.ngram_classes(docs)
-    return _without(docs, found.where(F.col("class_id").isNotNull() & (F.col("class_id") != F.col("doc_id"))))
+    """Of texts that links join one row, that of the smallest doc_id."""
+    rows = _numbered(docs)
+    found = ngram_join.ngram_classes(rows.select(KEY, "text"), KEY)
+    return _without(rows, found.where(F.col("class_id") != F.col(KEY)).select(f"{KEY}.{ROW}"), docs.columns)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids in dropped. A filter of fixed size parts off the rows that surely stay, so only the others are shuffled."""
-    gone = stored(dropped.select("doc_id").distinct(), "dropped")
-    sieve = exact_dedup.filters(gone.select(F.lit(0).alias("run"), F.xxhash64("doc_id").alias("digest")))
-    return exact_dedup.without(docs, gone, "doc_id", sieve)
+#: Number of a row within its stage, and its unique key: in order of doc_id, null last; rows that repeat a doc_id by their texts, then by number.
+ROW, KEY = "_row", "_key"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW and KEY, kept as a table: so a decision about a row, whatever its doc_id, finds just that row again."""
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("digest"), ROW))
+
+
+def _without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows whose ROW isn't in dropped. A filter of fixed size parts off the rows that surely stay, so only the others are shuffled."""
+    gone = stored(dropped.select(ROW), "dropped")
+    sieve = exact_dedup.filters(gone.select(F.lit(0).alias("run"), F.xxhash64(ROW).alias("digest")))
+    return exact_dedup.without(rows.select(*columns, ROW), gone, ROW, sieve).select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents thinned to the target weights: rates are bounded by 1, so no document comes twice."""
+    rows = _numbered(docs)
     labelled = mixing.label_domains(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labelled, max_rate=1.0)
-    return _without(docs, mixed.where(mixing.copies(F.col("rate"), F.col("doc_id")) < 1))
+    mixed = mixing.mix(rows, labelled, max_rate=1.0, keep_col=KEY)
+    key = F.col(KEY)
+    copies = F.when(key["nameless"], mixing.copies(F.col("rate"), key["digest"])).otherwise(mixing.copies(F.col("rate"), key["doc_id"]))
+    return _without(rows, mixed.where(copies < 1).select(f"{KEY}.{ROW}"), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

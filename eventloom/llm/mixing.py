@@ -137,11 +137,11 @@ def label_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang").join(known, "doc_id").select("doc_id", F.when(F.col("quality") == 0, F.lit("junk")).otherwise(F.col("lang")).alias("domain"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", scale: float | None = None, max_rate: float = float("inf")) -> DataFrame:
-    """(id_col, n_tokens, posteriors, rate) for every document; expected totals sum(n_tokens * rate * posterior[d]) meet the targets."""
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", scale: float | None = None, max_rate: float = float("inf"), keep_col: str | None = None) -> DataFrame:
+    """(id_col or keep_col, n_tokens, posteriors, rate) for every document; expected totals sum(n_tokens * rate * posterior[d]) meet the targets."""
     weights = weights or WEIGHTS
     domains = train(docs, labelled, list(weights), id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(keep_col or id_col).alias("id"), whole(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     members = stored(mapped(rows, lambda it: _belonging(it, domains), f"id {kind}, n_tokens long, posteriors array<double>"), "mixing-members")
     steps, _ = fit_rates(members, list(weights.values()), scale, max_rate)
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
                 rate = np.where(np.asarray(batch.column(1)) > 0, replay(_matrix(batch.column(2)), steps, max_rate)[0], 1.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], ["id", "n_tokens", "posteriors", "rate"])
 
-    return mapped(members, final, f"id {kind}, n_tokens long, posteriors array<double>, rate double").select(F.col("id").alias(id_col), "n_tokens", "posteriors", "rate")
+    return mapped(members, final, f"id {kind}, n_tokens long, posteriors array<double>, rate double").select(F.col("id").alias(keep_col or id_col), "n_tokens", "posteriors", "rate")
 
 
 def copies(rate: Column, key: Column, seed: int = 20) -> Column:

@@ -195,6 +195,23 @@ def test_pipeline_of_odd_rows(spark, odd, none):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_pipeline_decides_by_row(spark, odd, monkeypatch):
+    """Repeated and null ids: just the rows that were decided about go, and one of identical rows stays."""
+    stage, schema = dict(corpus_pipeline.STAGES), "doc_id long, text string"
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    rows = [(3, "a"), (5, "a"), (5, "unique text"), (None, "a"), (None, "b c"), (None, "b c"), (7, "x"), (7, "x"), (8, None), (8, None)]
+    once = stage["exact_dedup"](spark, spark.createDataFrame(rows, schema).repartition(3), SF)
+    assert left(once) == sorted([(3, "a"), (5, "unique text"), (None, "b c"), (7, "x"), (8, None)], key=repr)
+    assert sorted(r.doc_id for r in stage["exact_dedup"](spark, odd, SF).collect()) == [1, 3, 4, 6, 8, 9]
+    words = [f"w{k}" for k in range(200)]
+    family = [(k if k % 3 else None, " ".join([*words[: 5 * k], "new", *words[5 * k + 1 :]])) for k in range(40)]
+    others = [(2, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (None, "red green blue white black brown")]
+    near = stage["ngram_jaccard_join"](spark, spark.createDataFrame(family + others, schema).repartition(3), SF)
+    assert left(near) == sorted([family[1], *others], key=repr)
+    monkeypatch.setattr(mixing, "copies", lambda rate, key: F.when(key == 3, 1).otherwise(0))
+    assert left(stage["mixing"](spark, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang"), SF)) == [(3, "a")]
+
+
 def test_copies_follow_the_rate(spark):
     df = spark.range(20_000).select(mixing.copies(F.lit(0.3), F.col("id")).alias("a"), mixing.copies(F.lit(2.5), F.col("id")).alias("b"))
     a, b = df.agg(F.avg("a"), F.avg("b")).first()
