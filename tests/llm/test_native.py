@@ -1,6 +1,7 @@
 """Exact dedup, licence scan, fingerprints, WARC audit and sharding on odd rows and against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -88,23 +89,34 @@ def test_licence_pruning_loses_nothing():
                     assert len(grams) * 0.8 / 1.2 <= len(part) + 1e-9
 
 
+def turned(x, by):
+    return (x << by | x >> (64 - by)) & ((1 << 64) - 1)
+
+
+def brute_runs(text, k):
+    """(hash, place) of every run of k characters, hashed afresh."""
+    if 0 < len(text) < k:
+        return [xxhash.xxh64_intdigest(text.encode(), 42)]
+    own, out = [xxhash.xxh64_intdigest(c.encode(), 42) for c in text], []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for d, x in enumerate(own[i : i + k]):
+            h ^= turned(x, k - 1 - d)
+        out.append(h)
+    return out if text else []
+
+
 def brute_winnow(text, k=fingerprint.K, w=fingerprint.W):
-    words = [x for x in BLANKS.split(text.lower()) if x]
-    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
-    own = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in words]
-    grams = []
-    for i in range(max(len(own) - k + 1, min(len(own), 1))):
-        h = 42
-        for x in own[i : i + k]:
-            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
-        grams.append(h & ((1 << 36) - 1))
+    bits = 64 - fingerprint.PLACE_BITS
+    low = [h & ((1 << bits) - 1) for h in brute_runs(text, k)]
+    own = [h - (1 << bits) if h >> (bits - 1) else h for h in low]
     kept = []
-    for i in range(max(len(grams) - w + 1, min(len(grams), 1))):
-        window = grams[i : i + w]
+    for i in range(max(len(own) - w + 1, min(len(own), 1))):
+        window = own[i : i + w]
         best = i + max(j for j, g in enumerate(window) if g == min(window))
-        if not kept or kept[-1][1] != best:
-            kept.append((grams[best], best))
-    return ",".join(f"{g:x}:{p}" for g, p in kept)
+        if not kept or kept[-1] != best:
+            kept.append(best)
+    return ",".join(f"{xxhash.xxh64_intdigest(text[p : p + k].encode(), 42):x}:{p}" for p in kept)
 
 
 def test_fingerprints_against_brute_force(spark, sf):
@@ -127,20 +139,36 @@ def test_fingerprints_against_brute_force(spark, sf):
 
 
 def test_fingerprint_guarantee(spark):
-    shared = " ".join(f"w{k}" for k in range(fingerprint.K + fingerprint.W - 1))
-    df = spark.createDataFrame([(1, f"a b c {shared} d e f"), (2, f"p q {shared} r s t u v")], "doc_id long, text string")
-    a, b = (set(x.hash for x in r.prints) for r in fingerprint.winnow(df).orderBy("doc_id").collect())
-    assert a & b
+    """Shared runs of K + W - 1 characters share a kept run, wherever they stand, pieces' ends included; texts without blanks too."""
+    rng = random.Random(3)
+    shared = "".join(rng.choices("数据工程师的文本处理引擎abcdefgh\U0001f600", k=fingerprint.K + fingerprint.W - 1))
+    texts = [(k, "".join(rng.choices("木林森水火土金", k=k * 23)) + shared + "".join(rng.choices("0123456789", k=900 - k))) for k in range(40)]
+    got = fingerprint.winnow(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    prints = {r.doc_id: {(x.hash, x.position - 23 * r.doc_id) for x in r.prints if 0 <= x.position - 23 * r.doc_id < fingerprint.W} for r in got}
+    assert prints[0] and all(prints[0] & p for p in prints.values())
+    shown = {r.doc_id: ",".join(f"{x.hash & (2**64 - 1):x}:{x.position}" for x in r.prints) for r in got}
+    assert shown == {k: brute_winnow(t) for k, t in texts}
+    assert brute_winnow(shared[:63]) and {r.n_chars for r in got} == {len(t) for _, t in texts}
 
 
 def test_fingerprints_of_odd_rows(odd, none):
-    rows = odd.dropDuplicates(["doc_id"])
-    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(rows).collect()}
-    assert len(got) == 9 and got[1].fingerprint == got[2].fingerprint == got[3].fingerprint == "" and got[6].fingerprint == got[7].fingerprint
-    assert got[1].near_edited == 1.0 and got[6].near_next == 0.0
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    got = fingerprint.edited_fingerprints(odd).collect()
+    assert sorted((r.doc_id, r.fingerprint) for r in got) == sorted([*((i, brute_winnow(t)) for i, t in texts.items()), (5, brute_winnow(texts[5]))])
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[1].fingerprint == by_id[2].fingerprint == "" and by_id[6].fingerprint == by_id[7].fingerprint
+    assert by_id[2].near_next == by_id[1].near_edited == 1.0 and by_id[7].near_next == 1.0 and by_id[6].near_next == 0.0
     assert fingerprint.edited_fingerprints(none).count() == 0
 
 
+def test_fingerprints_of_texts_without_blanks(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choices("春夏秋冬山川草木花鳥風月", k=2000))
+    df = spark.createDataFrame([(2, text), (1, text[:1900] + "".join(rng.choices("一二三四五六七八九十", k=100)))], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(df).collect()}
+    assert got[2].near_next > 0.8 and got[1].near_next > 0.8 and got[2].near_edited > 0.2
+
+
 def test_fingerprints_of_null_and_repeated_ids(spark, odd):
     """Every row has a result, and its edited text ends with the head of exactly one other row."""
     assert sorted(r.doc_id for r in fingerprint.edited_fingerprints(odd).collect()) == [1, 2, 3, 4, 5, 5, 6, 7, 8, 9]
