@@ -50,12 +50,13 @@ def window_minima(pieces: DataFrame) -> DataFrame:
     n = PIECE + W + K - 2
     df = _level(pieces, [f"xxhash64(get(split(piece, ''), {i}))" for i in range(n)], keep)
     by = 1
-    while by < K:  # runs of `by` code points to runs of 2 * by
+    while by < K // 2:  # runs of `by` code points to runs of 2 * by
         n -= by
         df = _level(df, [f"({_turned(f'v{i}', by)}) ^ v{i + by}" for i in range(n)], keep)
         by *= 2
-    packed = [f"if({i + K} <= char_length(piece), shiftleft(v{i}, {PLACE_BITS}) | {PLACES - 1 - i}L, {NO_RUN}L)" for i in range(n)]
-    packed[0] = f"if({K} <= char_length(piece), shiftleft(v0, {PLACE_BITS}) | {PLACES - 1}L, if(char_length(piece) > 0, shiftleft(xxhash64(piece), {PLACE_BITS}) | {PLACES - 1}L, {NO_RUN}L))"
+    n -= by
+    packed = [f"if({i + K} <= char_length(piece), shiftleft(({_turned(f'v{i}', by)}) ^ v{i + by}, {PLACE_BITS}) | {PLACES - 1 - i}L, {NO_RUN}L)" for i in range(n)]
+    packed[0] = packed[0].replace(f"{NO_RUN}L", f"if(char_length(piece) > 0, shiftleft(xxhash64(piece), {PLACE_BITS}) | {PLACES - 1}L, {NO_RUN}L)")
     df = _level(df, packed, keep)
     df = _level(df, [f"least({', '.join(f'v{i + d}' for d in range(8))})" for i in range(n - 7)], keep)
     df = _level(df, [f"least({', '.join(f'v{i + 8 * d}' for d in range(W // 8))})" for i in range(PIECE)], keep)
@@ -133,7 +134,7 @@ def ranked(ids: DataFrame, id_col: str, *ties: str) -> DataFrame:
     return dealt.join(F.broadcast(firsts.drop("_n")), "_part").withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
 
 
-#: What tells rows apart: the id (as text, and whether it is null) and two hashes of the text. Rows that are equal in all are copies, any of which serves for the others.
+#: What tells rows apart: the id (as text, which casts back to it, and whether it is null) and two hashes of the text. Rows that are equal in all are copies, any of which serves for the others.
 ROW = ("name", "nameless", "low", "high")
 
 
@@ -150,36 +151,37 @@ def _single(texts: DataFrame, order: DataFrame) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text (last half replaced by the head of the next document, descending id)."""
-    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    texts = texts.select("id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), F.col("id").isNull().alias("nameless"), F.xxhash64("text").alias("low"), F.xxhash64(F.lit(7), F.col("text")).alias("high"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    kind = rows.schema["id"].dataType
+    texts = rows.select("id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), F.col("id").isNull().alias("nameless"), F.xxhash64("text").alias("low"), F.xxhash64(F.lit(7), F.col("text")).alias("high"), "text")
     order = ranked(texts.select("id", *ROW, F.char_length("text").alias("n_chars")), "id", "low", "high").drop("id")
     rows = order.count()
-    texts = _single(texts, order)
+    texts = _single(texts.drop("id"), order)  # the same columns meet twice, so that their shuffle is used twice
     order = order.withColumn("after", (F.col("rank") + 1) % max(rows, 1))
     # the row of rank `at` gives its head to the row `to` of rank `to_rank`, which needs `n_take` code points
     takes = order.select(F.col("after").alias("at"), F.col("rank").alias("to_rank"), F.struct(*ROW).alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("n_take"))
     gives = stored(order.select(F.col("rank").alias("at"), *ROW).join(takes, "at").drop("at"), "winnow-next")
     # a text's prints are computed where it gives and where it takes: cheaper than to send them. What isn't a piece stands in a text's first row only
-    given = texts.drop("id").join(gives, list(ROW)).select(*ROW, "to", "to_rank", F.substring(F.col("text"), F.lit(1), F.col("n_take")).alias("head"), F.char_length("text").alias("n_chars"), chunks(F.col("text")).alias("chunks"))
+    given = texts.join(gives, list(ROW)).select(*ROW, "to", "to_rank", F.substring(F.col("text"), F.lit(1), F.col("n_take")).alias("head"), F.char_length("text").alias("n_chars"), chunks(F.col("text")).alias("chunks"))
     given = given.select(*ROW, "to", "to_rank", "head", F.posexplode(pieces_of("chunks", F.col("n_chars"))).alias("k", "p")).select(*ROW, "to", "to_rank", F.when(F.col("k") == 0, F.col("head")).alias("head"), "p.*")
     given = with_prints(given).groupBy(*ROW, "to", "to_rank").agg(F.max("head").alias("head"), F.array_distinct(F.flatten(F.collect_list(F.col("prints.hash")))).alias("next_hashes"))
     given = given.select(*(F.col(f"to.{c}").alias(c) for c in ROW), "to_rank", "head", "next_hashes")
 
     n, stay = F.col("n_chars"), F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
     met = texts.join(given, list(ROW)).withColumn("n_chars", F.char_length("text"))
-    met = met.select("id", *ROW, "to_rank", "n_chars", "next_hashes", "text", F.concat(F.substring(F.col("text"), F.lit(1), stay), F.col("head")).alias("edited"))
-    met = met.select("id", *ROW, "to_rank", "n_chars", "next_hashes", F.sha2("edited", 256).alias("edited_sha256"), F.char_length("edited").alias("n_edited"), chunks(F.col("text")).alias("own"), chunks(F.col("edited")).alias("other"))
+    met = met.select(*ROW, "to_rank", "n_chars", "next_hashes", "text", F.concat(F.substring(F.col("text"), F.lit(1), stay), F.col("head")).alias("edited"))
+    met = met.select(*ROW, "to_rank", "n_chars", "next_hashes", F.sha2("edited", 256).alias("edited_sha256"), F.char_length("edited").alias("n_edited"), chunks(F.col("text")).alias("own"), chunks(F.col("edited")).alias("other"))
     # pieces that end in the part that stays are the same in both texts
     same = F.when((n_windows(n) > 0) & (n_windows(F.col("n_edited")) > 0), F.greatest(F.floor((F.least(stay, F.col("n_edited")) - OVERLAP) / PIECE).cast("int"), F.lit(0))).otherwise(0)
     met = met.withColumn("same", same)
     tag = lambda pieces, mine: F.transform(pieces, lambda p: F.struct((F.lit(mine) | (p["place"] < F.col("same") * PIECE)).alias("mine"), (F.lit(not mine) | (p["place"] < F.col("same") * PIECE)).alias("edits"), p["place"].alias("place"), p["piece"].alias("piece"), p["n_windows"].alias("n_windows")))
     every = F.concat(tag(pieces_of("own", n), True), tag(pieces_of("other", F.col("n_edited"), F.col("same")), False))
-    met = met.select("id", *ROW, "to_rank", "n_chars", "edited_sha256", "next_hashes", F.posexplode(every).alias("k", "p"))
-    met = met.select("id", *ROW, "to_rank", "n_chars", "edited_sha256", F.when(F.col("k") == 0, F.col("next_hashes")).alias("next_hashes"), "p.*")
-    met = with_prints(met).groupBy(*ROW, "to_rank", "id", "n_chars", "edited_sha256").agg(
+    met = met.select(*ROW, "to_rank", "n_chars", "edited_sha256", "next_hashes", F.posexplode(every).alias("k", "p"))
+    met = met.select(*ROW, "to_rank", "n_chars", "edited_sha256", F.when(F.col("k") == 0, F.col("next_hashes")).alias("next_hashes"), "p.*")
+    met = with_prints(met).groupBy(*ROW, "to_rank", "n_chars", "edited_sha256").agg(
         F.max("next_hashes").alias("next_hashes"), gathered(F.when(F.col("mine"), F.struct("place", "prints"))).alias("mine"), gathered(F.when(F.col("edits"), F.struct("place", "prints"))).alias("edits"),
     )
-    met = met.select("id", "n_chars", "edited_sha256", "next_hashes", without_repeats("mine").alias("mine"), without_repeats("edits").alias("edits"))
+    met = met.select(F.when(~F.col("nameless"), F.col("name").cast(kind)).alias("id"), "n_chars", "edited_sha256", "next_hashes", without_repeats("mine").alias("mine"), without_repeats("edits").alias("edits"))
     met = met.select("*", hashes(F.col("mine")).alias("hashes"))
     return met.select(
         F.col("id").alias(id_col), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", shown(F.col("mine")).alias("fingerprint"), shown(F.col("edits")).alias("edited_fingerprint"),
