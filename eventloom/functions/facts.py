@@ -41,7 +41,7 @@ MILESTONES = {
 STOPWORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "into", "of", "on", "the", "to", "with", "announces", "announced", "company", "regulator", "update", "new", "대한", "관련", "발표")
 GENERIC = ("co", "kr", "com", "net", "뉴스", "일", "발사", "시험", "시험비행", "추진", "첫", "새벽", "마쳐", "도전", "리허설", "발표", "관련", "소식", "업데이트")
 AEROSPACE = ("로켓", "발사", "우주", "준궤도", "위성", "시험비행")
-#: Patterns of parties, numbers, money and dates, and factors of the units.
+#: Patterns of parties, numbers, money and dates, and factors of the units. (?U): letters, digits and word ends as Unicode has them.
 PARTY = r"(?:partnership with|partners with|partnered with|from|versus|vs\.?|acquisition of|merger with|contract with|agreement with|with)\s+([A-Z][A-Za-z0-9.'-]*(?:\s+(?:(?:and|&)\s+)?[A-Z][A-Za-z0-9.'-]*|\s*,\s*[A-Z][A-Za-z0-9.'-]*){0,8})"
 PARTY_SPLIT = r"(?i)\s*(?:,|\band\b|&)\s*"
 PARTY_LISTED = r"([가-힣A-Za-z0-9.&-]{2,30})(?=\s*(?:와|과|·|,))"
@@ -51,18 +51,18 @@ UNITS_EN = {"k": 10**3, "thousand": 10**3, "m": 10**6, "mn": 10**6, "million": 1
 UNITS_KO = {"천": 10**3, "만": 10**4, "백만": 10**6, "천만": 10**7, "억": 10**8, "조": 10**12}
 _EN = r"(thousand|million|billion|trillion|k|m|mn|b|bn)?"
 AMOUNTS = (  # currency, units, marks without one of which the pattern can't match, pattern
-    ("KRW", UNITS_KO, ("원",), rf"(?i)({NUMBER})\s*(천만|백만|천|만|억|조)?\s*원"),
-    ("KRW", UNITS_EN, ("won",), rf"(?i)({NUMBER})\s*{_EN}\s*won\b"),
-    ("KRW", UNITS_EN, ("₩", "krw"), rf"(?i)(?:₩|krw\s*)({NUMBER})\s*{_EN}"),
-    ("USD", UNITS_EN, ("$", "usd"), rf"(?i)(?:\$|usd\s*)({NUMBER})\s*{_EN}"),
-    ("USD", UNITS_EN, ("dollar", "usd"), rf"(?i)({NUMBER})\s*{_EN}\s*(?:dollars?|usd)\b"),
+    ("KRW", UNITS_KO, ("원",), rf"(?iU)({NUMBER})\s*(천만|백만|천|만|억|조)?\s*원"),
+    ("KRW", UNITS_EN, ("won",), rf"(?iU)({NUMBER})\s*{_EN}\s*won\b"),
+    ("KRW", UNITS_EN, ("₩", "krw"), rf"(?iU)(?:₩|krw\s*)({NUMBER})\s*{_EN}"),
+    ("USD", UNITS_EN, ("$", "usd"), rf"(?iU)(?:\$|usd\s*)({NUMBER})\s*{_EN}"),
+    ("USD", UNITS_EN, ("dollar", "usd"), rf"(?iU)({NUMBER})\s*{_EN}\s*(?:dollars?|usd)\b"),
 )
-PERCENT = rf"(?i)\b({NUMBER})\s*(?:%|percent|pct)(?!\w)"
-ISO_DATE = r"\b(20\d{2})[-/.](\d{1,2})[-/.](\d{1,2})\b"
-KO_DATE = r"\b(20\d{2})년\s*(\d{1,2})월\s*(\d{1,2})일"
-KO_DAY = r"(?<!\d)([1-9]|[12]\d|3[01])일(?=\s|$|[,.…'\"])"
+PERCENT = rf"(?iU)\b({NUMBER})\s*(?:%|percent|pct)(?!\w)"
+ISO_DATE = r"(?U)\b(20\d{2})[-/.](\d{1,2})[-/.](\d{1,2})\b"
+KO_DATE = r"(?U)\b(20\d{2})년\s*(\d{1,2})월\s*(\d{1,2})일\b"
+KO_DAY = r"(?U)(?<!\d)([1-9]|[12]\d|3[01])일(?=\s|$|[,.…'\"])"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-EN_DATE = r"(?i)\b(jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|september|oct|october|nov|november|dec|december)\s+(\d{1,2}),?\s+(20\d{2})\b"
+EN_DATE = r"(?iU)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{1,2}),?\s+(20\d{2})\b"
 
 
 def _map(values: dict) -> Column:
@@ -149,7 +149,7 @@ def with_facts(df: DataFrame, title: str = "title", description: str = "descript
     facts = F.struct(
         F.array_sort("_actions").alias("actions"), F.slice("_actions", 1, 1).alias("primary"), F.array_sort(F.slice("_actions", 2, 100)).alias("secondary"),
         F.array_sort(F.array_distinct(F.transform("_parties", lambda p: F.trim(p)))).alias("parties"), F.col("_milestones").alias("milestones"), dates(F.col("_whole"), F.col(published)).alias("dates"),
-        F.array_sort(F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(r"\b(\d+(?:\.\d+)?)\b"), F.lit(1)))).alias("numbers"),  # H4i
+        F.array_sort(F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(r"(?U)\b(\d+(?:\.\d+)?)\b"), F.lit(1)))).alias("numbers"),  # H4i
         amounts(F.col("_whole")).alias("amounts"), percentages(F.col("_whole")).alias("percentages"), F.array_sort(subjects).alias("subjects"),
         F.array_sort(F.array_distinct(F.filter(F.coalesce(families, none) if families is not None else none, lambda f: (f != "") & (f != "none")))).alias("families"),
     )

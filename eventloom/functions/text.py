@@ -20,7 +20,18 @@ FORMER_NAME = r"(?i)\(구\s*[,.]\s*(.+)\)\s*$"
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid")
 AGGREGATOR_HOSTS = ("news.google.com", "google.com", "www.google.com")
 REPOST_MARKERS = ("naver blog", "네이버 블로그", "blog.naver.com", "tistory", "티스토리")
-FILLER = ("monitor developments", "watch closely", "remains to be seen")
+#: Filler phrases of watchpoints.
+FILLER = (
+    "귀추가 주목된다", "긍정적 영향", "부정적 영향", "기업가치 상승 기대", "경쟁력 강화 전망",
+    "성장이 기대된다", "큰 도움이 될 전망", "지켜볼 필요가 있다", "향후 상황을 지켜",
+)
+#: Zone names of RFC 2822 and their hours from UTC; page status codes that mean blocked; status names of feeds.
+ZONE_HOURS = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+BLOCKED_CODES = (401, 403, 407, 429, 451)
+RETRIED_CODES = (429, 502, 503, 504)
+TRANSIENT_STATUSES = ("rate_limited", "service_unavailable", "timeout", "connection_error")
+#: White space of Unicode; the JVM's own classes know ASCII only.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
@@ -54,7 +65,18 @@ def public_address(host: pd.Series) -> pd.Series:
 
 
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def url_host(url: Column) -> Column:
+    """The host of any URL with a scheme, lower-cased, without port and brackets, whatever characters it has; null where there is none."""
+    place = F.substring_index(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), "@", -1)
+    return F.lower(F.nullif(F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.substring_index(place, ":", 1)), F.lit("")))
 
 
 def canonical_url(url: Column) -> Column:
@@ -81,14 +103,19 @@ def plain_text(c: Column) -> Column:
 
 def publisher_name(title: Column, name: Column, default: str = "Unknown") -> Column:
     """B4."""
-    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(name), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(stripped(title), F.lit("")), F.nullif(stripped(name), F.lit("")), F.lit(default))
 
 
 def published_at(c: Column) -> Column:
-    """RFC 2822 to UTC; the weekday is cut, since Spark doesn't parse it; no zone means UTC."""
-    bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
-    zoned = F.regexp_replace(F.regexp_replace(bare, r"\s(GMT|UT|UTC|Z)$", " +0000"), r"(\d{2}:\d{2}:\d{2})$", "$1 +0000")
-    return F.coalesce(*(F.try_to_timestamp(zoned, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd'T'HH:mm:ssXXX")))
+    """RFC 2822 to UTC, with or without weekday and seconds; years of two digits are 1969 to 2068; no zone, or one of an unknown name, means UTC. ISO times as well."""
+    part = lambda k: F.regexp_extract(stripped(c), r"^(?:[A-Za-z]+,?\s*)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(.*)$", k)
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(F.when(part(3) > "68", "19").otherwise("20"), part(3)))
+    told = F.concat_ws(" ", part(1), F.initcap(part(2)), year, F.concat_ws(":", part(4), part(5), F.coalesce(F.nullif(part(6), F.lit("")), F.lit("00"))), F.lit("+0000"))
+    zone = F.regexp_extract(part(7), r"^([+-])(\d{2})(\d{2})", 0)
+    named = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in ZONE_HOURS.items() for x in p)), F.upper(F.regexp_extract(part(7), "^[A-Za-z]+", 0))), F.lit(0)) * 60
+    minutes = F.when(zone != "", F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))).otherwise(named)
+    rfc = F.try_to_timestamp(told, F.lit("d MMM yyyy H:mm:ss Z")) - F.make_dt_interval(mins=minutes)
+    return F.coalesce(rfc, F.try_to_timestamp(stripped(c), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
 
 
 def title_key(c: Column) -> Column:
@@ -98,22 +125,22 @@ def title_key(c: Column) -> Column:
 
 def identity_key(c: Column) -> Column:
     """Company identity without blanks and one legal suffix."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(nfkc_casefold(c), r"\s+", ""), LEGAL_KEY_SUFFIX, ""), F.lit(" ,."))
+    return F.btrim(F.regexp_replace(F.regexp_replace(nfkc_casefold(c), f"{SPACE}+", ""), LEGAL_KEY_SUFFIX, ""), F.lit(" ,."))
 
 
 def source_name(c: Column) -> Column:
     """struct(current, former, malformed)."""
-    value = F.trim(nfkc(c))
-    former = F.trim(F.regexp_extract(value, FORMER_NAME, 1))
+    value = stripped(nfkc(c))
+    former = stripped(F.regexp_extract(value, FORMER_NAME, 1))
     has = value.rlike(FORMER_NAME)
-    current = F.when(has, F.trim(F.regexp_replace(value, FORMER_NAME, ""))).otherwise(value)
+    current = F.when(has, stripped(F.regexp_replace(value, FORMER_NAME, ""))).otherwise(value)
     return F.struct(current.alias("current"), F.when(has, former).alias("former"), (has & ((current == "") | (former == ""))).alias("malformed"))
 
 
 def display_name(c: Column) -> Column:
     """Prefix once, then suffixes until none is left; the name itself where nothing would be left."""
-    bare = F.btrim(F.regexp_replace(F.trim(F.regexp_replace(c, LEGAL_PREFIX, "")), LEGAL_SUFFIX, ""), F.lit(" ,."))
-    return F.coalesce(F.nullif(bare, F.lit("")), F.trim(c))
+    bare = F.btrim(F.regexp_replace(stripped(F.regexp_replace(c, LEGAL_PREFIX, "")), LEGAL_SUFFIX, ""), F.lit(" ,."))
+    return F.coalesce(F.nullif(bare, F.lit("")), stripped(c))
 
 
 def short_hash(c: Column, n: int = 16) -> Column:
@@ -142,15 +169,20 @@ def casefold(s: pd.Series) -> pd.Series:
 
 
 def nfkc_casefold_only(c: Column) -> Column:
-    return casefold(F.trim(c))
+    return casefold(stripped(c))
 
 
 def event_id(company: Column, ids: Column, route: str = "direct") -> Column:
-    """Company None for cross-company events."""
+    """Company None for cross-company events; ids are the member ids."""
     parts = [F.lit(route)] + ([company] if company is not None else [])
     return short_hash(F.concat_ws("|", *parts, F.array_join(F.array_sort(ids), "|")))
 
 
+def labelled_event_hash(company: Column, label: Column) -> Column:
+    """The hash of an event that has a label: its first 16 digits are the event's id, all of it the event's fingerprint."""
+    return F.sha2(F.concat_ws("|", company, casefold(label)), 256)
+
+
 def link_id(*parts: Column) -> Column:
     """B13."""
     return short_hash(F.concat_ws("|", *parts))
@@ -172,23 +204,24 @@ def short_ascii(c: Column) -> Column:
 
 def safe_url(url: Column) -> Column:
     """http(s), a host, no credentials, not local, not a private or reserved address."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    user = F.try_parse_url(url, F.lit("USERINFO"))
+    host = url_host(url)
+    place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    user = F.nullif(F.translate(F.when(F.instr(place, "@") > 0, F.regexp_replace(place, "@[^@]*$", "")).otherwise(""), ":", ""), F.lit(""))
     local = host.isin("localhost", "localhost.localdomain") | host.endswith(".local")
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & host.isNotNull() & user.isNull() & ~local & public_address(host), F.lit(False))
+    return F.coalesce(F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https") & host.isNotNull() & user.isNull() & ~local & public_address(host), F.lit(False))
 
 
 def is_aggregator(url: Column) -> Column:
     """B17, first half."""
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    host = F.coalesce(url_host(url), F.lit(""))
     return host.isin(*AGGREGATOR_HOSTS) | host.endswith(".google.com")
 
 
 def wrapper_target(url: Column) -> Column:
     """B17, second half: the wrapper's reader route instead of its feed route."""
-    feed = F.lower(F.try_parse_url(url, F.lit("HOST"))).eqNullSafe("news.google.com") & F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).startswith("/rss/articles/")
+    feed = url_host(url).eqNullSafe("news.google.com") & F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).startswith("/rss/articles/")
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/rss/articles/", "/articles/")
-    kept = F.array_join(F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin("hl", "gl", "ceid")), "&")
+    kept = F.array_join(F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin("hl", "gl", "ceid")), "&")
     query = F.concat(F.when(kept != "", F.concat(kept, F.lit("&"))).otherwise(""), F.lit("hl=en-US&gl=US&ceid=US%3Aen"))
     return F.when(feed, F.concat(F.substring_index(bare, "?", 1), F.lit("?"), query)).otherwise(url)
 
@@ -218,13 +251,30 @@ def match_fold(c: Column) -> Column:
 
 
 def feed_outcome(code: Column, error: Column) -> Column:
-    """struct(status, transient) of a fetch row."""
+    """B22 of a feed: struct(status, transient: worth another try, signal: counts for the failure alarm J8)."""
+    e = F.lower(F.coalesce(error, F.lit("")))
+    late, cut = e.contains("timeout") | e.contains("timed out"), e.contains("connect")
+    status = F.when(code == 429, "rate_limited").when(code == 503, "service_unavailable").when(code >= 400, "http_error").when(cut, "connection_error").when(late, "timeout").when(e != "", "http_error").otherwise("success")
+    transient = F.coalesce(code.isin(*RETRIED_CODES), F.lit(False)) | (F.coalesce(code < 400, F.lit(True)) & (late | cut))
+    return F.struct(status.alias("status"), transient.alias("transient"), status.isin(*TRANSIENT_STATUSES).alias("signal"))
+
+
+def page_outcome(code: Column, error: Column) -> Column:
+    """B22 of a page: status of a fetch by its code or the kind of its error."""
+    e = F.lower(F.coalesce(error, F.lit("")))
+    return F.when(e.contains("timeout") | e.contains("timed out"), "timeout").when(code.isin(*BLOCKED_CODES), "blocked").when(code >= 400, "http_error").when(e.contains("parse"), "parse_error").when(e != "", "http_error").otherwise("success")
+
+
+def stage_reason(code: Column, error: Column, stage: str) -> Column:
+    """B22 of a model stage: struct(reason, retryable); the first match wins."""
     e = F.lower(F.coalesce(error, F.lit("")))
-    status = (
-        F.when(code == 429, "rate_limited").when(code == 503, "unavailable").when(code >= 500, "server_error").when(code.isin(401, 403, 407, 451), "blocked").when(code >= 400, "http_error")
-        .when(e.contains("timeout") | e.contains("timed out"), "timeout").when(e.contains("connect"), "connection").when(e != "", "other").otherwise("success")
+    says = lambda *words: F.greatest(F.lit(False), F.lit(False), *(e.contains(w) for w in words))
+    of = lambda test: F.coalesce(test, F.lit(False))
+    reason = (
+        F.when(says("timeout"), f"{stage}_timeout").when(of(code == 429) | says("429"), f"{stage}_429_exhausted").when(of(code >= 500) | says("5xx", "server error"), f"{stage}_5xx_exhausted")
+        .when(says("schema", "malformed", "unexpected", "violates"), f"{stage}_schema_failure").otherwise(f"{stage}_client_error")
     )
-    return F.struct(status.alias("status"), status.isin("rate_limited", "unavailable", "server_error", "timeout", "connection").alias("transient"))
+    return F.struct(reason.alias("reason"), (of(code == 429) | of(code >= 500) | says("429", "5xx", "server error", "connection", "timeout")).alias("retryable"))
 
 
 def is_repost(*parts: Column) -> Column:
@@ -240,7 +290,7 @@ def has_filler(c: Column, phrases: tuple[str, ...] = FILLER) -> Column:
 def source_class(url: Column, source: Column, redirect: Column | None = None) -> Column:
     """H14. The marker lists."""
     u, s = F.lower(url), F.lower(source)
-    host = F.coalesce(F.try_parse_url(u, F.lit("HOST")), F.lit(""))
+    host = F.coalesce(url_host(u), F.lit(""))
     any_of = lambda cols, marks: F.greatest(*(F.coalesce(F.contains(c, F.lit(m)), F.lit(False)) for c in cols for m in marks))
     record = any_of((host, u), (".gov", ".go.kr", "sec.gov", "dart.fss", "fda.gov", "ema.europa.eu", "ir.", "newsroom", "investor"))
     aggregator = any_of((host, s), ("news.google", "google.com", "yahoo", "msn.com", "newsbreak", "feedproxy", "feedburner"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from eventloom.functions.facts import GENERIC, conflict, partial_mismatch, shared_identity, signature
-from eventloom.functions.text import event_id, source_class, title_key
+from eventloom.functions.text import event_id, nfkc_casefold_only, source_class, title_key
 from eventloom.operators.graph import components
 from eventloom.sources.shared import stored
 
@@ -131,9 +131,12 @@ def clustered(rows: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
 
 
 def identity_groups(rows: DataFrame) -> DataFrame:
-    """H9: rows(id, url_key, title_key, source, published_at) -> (id, label): transitive union by url or by (title, source, time)."""
-    other = F.sha2(F.concat_ws("\u0001", "title_key", "source", F.coalesce(F.col("published_at").cast("string"), F.lit(""))), 256)
-    keyed = rows.select("id", F.explode(F.array(F.concat(F.lit("u:"), "url_key"), F.concat(F.lit("a:"), other))).alias("key")).where("key <> 'u:'")
+    """H9: rows(id, url_key, title_key, source, published_at) -> (id, label): transitive union by url or by (title, folded source, time); a row without title or time has
+    no such key, and a blank url none either."""
+    url = F.nullif(nfkc_casefold_only(F.col("url_key")), F.lit(""))
+    whole = F.col("published_at").isNotNull() & (F.coalesce("title_key", F.lit("")) != "")
+    other = F.when(whole, F.sha2(F.concat_ws("\u0001", "title_key", F.coalesce(nfkc_casefold_only(F.col("source")), F.lit("")), F.unix_micros("published_at").cast("string")), 256))
+    keyed = rows.select("id", F.explode(F.array(F.concat(F.lit("u:"), url), F.concat(F.lit("a:"), other))).alias("key")).where("key IS NOT NULL")
     first = keyed.groupBy("key").agg(F.min("id").alias("b"))
     links = keyed.join(first, "key").where("id <> b").select(F.col("id").alias("a"), "b")
     return rows.select("id").join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label"))

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from eventloom.sources.shared import stored
 
 
-def dedup_map(rows: DataFrame, max_rounds: int = 200) -> DataFrame:
+def dedup_map(rows: DataFrame) -> DataFrame:
     """H1: rows(seq, url_key, title_key) -> (seq, primary_seq, reason); reason is null for rows that stay.
 
     A row is a duplicate if an earlier *retained* row has its url key, else its title key; blank keys never match. That is the greedy
     independent set in order of seq. Each round retains the rows that are smallest among the undecided ones of both their keys, and
-    discards the undecided rows that share a key with them. The smallest undecided row is always settled, so rounds end; more than max_rounds raise. A round
+    discards the undecided rows that share a key with them. The smallest undecided row is always settled, so rounds end. A round
     aggregates keys map-side and joins the minima back, so a hot title costs each task one row; its rows are split by the skew join."""
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     left = stored(rows.select("seq", blank("url_key").alias("url_key"), blank("title_key").alias("title_key")), "dedup-left")
     every, kept = left, None
-    for _ in range(max_rounds):
+    while True:
         first = {k: left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("seq").alias(f"{k}_first")) for k in ("url_key", "title_key")}
         seen = left.join(first["url_key"], "url_key", "left").join(first["title_key"], "title_key", "left")
         stays = stored(seen.where((F.coalesce("url_key_first", "seq") == F.col("seq")) & (F.coalesce("title_key_first", "seq") == F.col("seq"))).select("seq", "url_key", "title_key"), "dedup-kept")
@@ -29,8 +29,6 @@ def dedup_map(rows: DataFrame, max_rounds: int = 200) -> DataFrame:
         left = stored(left.select("seq", "url_key", "title_key"), "dedup-left")
         if left.limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError(f"article dedup did not settle in {max_rounds} rounds")
     by_url = kept.where(F.col("url_key").isNotNull()).select("url_key", F.col("seq").alias("by_url"))
     by_title = kept.where(F.col("title_key").isNotNull()).select("title_key", F.col("seq").alias("by_title"))
     met = every.join(kept.select("seq", F.lit(True).alias("stays")), "seq", "left").join(by_url, "url_key", "left").join(by_title, "title_key", "left")
@@ -41,8 +39,12 @@ def dedup_map(rows: DataFrame, max_rounds: int = 200) -> DataFrame:
 def merged_provenance(rows: DataFrame, mapped: DataFrame, lists: list[str]) -> DataFrame:
     """H2: (primary_seq, *lists): the lists of a retained row and its duplicates, distinct in order of seq."""
     met = rows.select("seq", *lists).join(mapped.select("seq", "primary_seq"), "seq")
-    gathered = met.groupBy("primary_seq").agg(*(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("v")))).alias(c) for c in lists))
-    return gathered.select("primary_seq", *(F.array_distinct(F.flatten(F.transform(c, lambda s: s["v"]))).alias(c) for c in lists))
+    out = mapped.select("primary_seq").distinct()
+    for c in lists:  # first place of each value, before anything is gathered: a group of any size sends its distinct values only
+        values = met.select("primary_seq", "seq", F.posexplode(c).alias("pos", "v")).groupBy("primary_seq", "v").agg(F.min(F.struct("seq", "pos")).alias("first"))
+        one = values.groupBy("primary_seq").agg(F.array_sort(F.collect_list(F.struct("first", "v"))).alias("all")).select("primary_seq", F.transform("all", lambda s: s["v"]).alias(c))
+        out = out.join(one, "primary_seq", "left").withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
+    return out
 
 
 def duplicate_groups(mapped: DataFrame) -> DataFrame:

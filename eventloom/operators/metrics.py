@@ -58,6 +58,11 @@ def histogram(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def identity_audit(verdicts: DataFrame, reason: Column) -> DataFrame:
+    """verdicts(batch_id, id, verdict) -> (company_id, id, verdict, reason_code); a verdict without a reason says so."""
+    return verdicts.select(F.col("batch_id").alias("company_id"), "id", "verdict", F.coalesce(reason, F.lit("provider_no_audit")).alias("reason_code"))
+
+
 def funnel(companies: DataFrame, rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """Counts per company, with rows of zeros for silent ones."""
     g = rows.groupBy("company_id").agg(*(F.count_if(c).alias(k) for k, c in flags.items()))

@@ -41,21 +41,21 @@ def capped(items: DataFrame, per_company: int, total: int | None = None) -> Data
     return kept.orderBy(*rank_order()).limit(total) if total else kept
 
 
-def capped_shared(items: DataFrame, cap: int, max_rounds: int = 500) -> DataFrame:
-    """J2, several companies an item: items(item_id, rank, companies) that fit every company's cap when taken in order of rank.
+def capped_shared(items: DataFrame, cap: int, total: int | None = None) -> DataFrame:
+    """J2, several companies an item: items(item_id, rank, companies) that fit every company's cap when taken in order of rank; of these the first `total`.
 
     Rounds: an undecided item is accepted when each of its companies has room even if all undecided items before it were accepted, rejected when one is
     full with earlier accepted items. The first undecided item is always settled."""
     left = stored(items.select("item_id", "rank", F.explode(F.array_distinct("companies")).alias("company"), F.lit(None).cast("boolean").alias("ok")), "caps")
-    for _ in range(max_rounds):
+    while True:
         w = Window.partitionBy("company").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         seen = left.withColumn("sure", F.coalesce(F.sum(F.col("ok").eqNullSafe(True).cast("int")).over(w), F.lit(0))).withColumn("open", F.coalesce(F.sum(F.col("ok").isNull().cast("int")).over(w), F.lit(0)))
         said = seen.groupBy("item_id").agg(F.min((F.col("sure") + F.col("open") < cap).cast("int")).alias("fits"), F.max((F.col("sure") >= cap).cast("int")).alias("full"))
         now = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.col("fits") == 1, True).when(F.col("full") == 1, False)
         left = stored(left.join(said, "item_id").select("item_id", "rank", "company", now.alias("ok")), "caps")
         if left.where("ok IS NULL").limit(1).count() == 0:
-            return items.join(left.where("ok").select("item_id").distinct(), "item_id", "left_semi")
-    raise RuntimeError(f"caps did not settle in {max_rounds} rounds")
+            kept = items.join(left.where("ok").select("item_id").distinct(), "item_id", "left_semi")
+            return kept.orderBy("rank").limit(total) if total else kept
 
 
 def unsent(items: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -8,13 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import FILLER, has_filler
+from eventloom.functions.text import FILLER, has_filler, squeezed
 
-#: Reject codes and their reasons.
+#: Reject codes and their reasons; pattern of accept codes.
 REJECT_REASONS = {
-    "WRONG_CONTEXT": "wrong_context", "WEAK_LINK": "weak_link", "BROAD_INDUSTRY": "broad_industry", "JURISDICTION": "jurisdiction",
-    "NON_MATERIAL": "non_material", "DUPLICATE_ONLY": "non_material", "OPINION": "weak_link",
-}
+    "BROAD_INDUSTRY_ONLY": "broad_industry_only",
+    "WRONG_CONTEXT": "wrong_context",
+    "NON_MATERIAL": "non_material",
+    "WRONG_JURISDICTION": "wrong_jurisdiction",
+    "WEAK_CAUSAL_LINK": "weak_causal_link",
+    "DUPLICATE_EVENT": "duplicate_event",
+    "NO_MATERIAL_LINK": "weak_causal_link",
+}
+ACCEPT_CODE = r"^MATERIAL_LINK\|([a-z0-9_]+)\|(high|medium|low)\|(positive|negative|mixed|neutral)$"
 
 
 def batch_verdicts(asked: DataFrame, answered: DataFrame, default: str = "UNCERTAIN") -> DataFrame:
@@ -96,9 +102,8 @@ def contract_violations(candidates: DataFrame, decisions: DataFrame) -> DataFram
 
 def accept_parts(code: Column, families: Column) -> Column:
     """struct(family, materiality, direction) of MATERIAL_LINK|family|materiality|direction; null unless the family is allowed."""
-    pattern = r"^MATERIAL_LINK\|([^|]+)\|(high|medium|low)\|(positive|negative|mixed|unclear)$"
-    part = lambda k: F.regexp_extract(code, pattern, k)
-    return F.when(code.rlike(pattern) & F.array_contains(families, part(1)), F.struct(part(1).alias("family"), part(2).alias("materiality"), part(3).alias("direction")))
+    part = lambda k: F.regexp_extract(code, ACCEPT_CODE, k)
+    return F.when(code.rlike(ACCEPT_CODE) & F.array_contains(families, part(1)), F.struct(part(1).alias("family"), part(2).alias("materiality"), part(3).alias("direction")))
 
 
 def reject_reason(code: Column) -> Column:
@@ -113,7 +118,7 @@ def two_tier(candidates: DataFrame, tier1: DataFrame, tier2: DataFrame, on_unres
     a1, a2 = accept_parts(F.col("c1"), F.col("families")), accept_parts(F.col("c2"), F.col("families"))
     r1, r2 = reject_reason(F.col("c1")), reject_reason(F.col("c2"))
     source = F.when(a1.isNotNull() | r1.isNotNull(), "tier1").when(a2.isNotNull() | r2.isNotNull(), "tier2").otherwise("conservative" if on_unresolved == "accept_low" else "unresolved")
-    fallback = F.when(F.lit(on_unresolved == "accept_low"), F.struct(F.get("families", F.lit(0)).alias("family"), F.lit("low").alias("materiality"), F.lit("unclear").alias("direction")))
+    fallback = F.when(F.lit(on_unresolved == "accept_low"), F.struct(F.get("families", F.lit(0)).alias("family"), F.lit("low").alias("materiality"), F.lit("neutral").alias("direction")))
     accepted = F.when(a1.isNotNull(), a1).when(r1.isNull() & a2.isNotNull(), a2).when(r1.isNull() & r2.isNull(), fallback)
     reason = F.when(accepted.isNull(), F.coalesce(r1, r2, F.lit("unresolved")))
     return met.select("candidate_id", accepted.isNotNull().alias("qualifies"), accepted["family"].alias("family"), accepted["materiality"].alias("materiality"), accepted["direction"].alias("direction"), reason.alias("reason"), source.alias("decided_by"))
@@ -125,18 +130,28 @@ def summary_error(route: Column, why: Column, insight: Column, evidence: Column,
     return (
         F.when((route == "external") & (blank(why) | blank(insight)), "external_needs_why_and_insight").when((route == "direct") & ~blank(why), "direct_has_why")
         .when(F.size(evidence) == 0, "evidence_missing").when(F.size(evidence) != F.size(F.array_distinct(evidence)), "evidence_repeated")
-        .when(F.size(F.array_except(evidence, known)) > 0, "evidence_unknown").when(has_filler(F.coalesce(watchpoint, F.lit("")), FILLER), "filler")
+        .when(F.size(F.array_except(evidence, known)) > 0, "evidence_unknown").when(has_filler(squeezed(F.coalesce(watchpoint, F.lit(""))), FILLER), "filler")
     )
 
 
-#: Safe watchpoints by dimension.
-WATCHPOINTS = {"timing": "Confirm the stated date.", "size": "Confirm the stated amount.", "party": "Confirm the named party.", "approval": "Confirm the approval status."}
-
-
-def safe_summary(title: Column, mechanism: Column, dimension: Column) -> Column:
-    """Fact (title clause, 500), mechanism (350) and a template watchpoint."""
-    mark = F.element_at(F.create_map(*(F.lit(x) for p in WATCHPOINTS.items() for x in p)), dimension)
-    return F.struct(F.substring(title, 1, 500).alias("fact"), F.substring(mechanism, 1, 350).alias("mechanism"), mark.alias("watchpoint"))
+#: Safe watchpoints by dimension, and that of all other dimensions.
+WATCHPOINTS = {
+    "regulatory_clinical": "관련 임상·규제 진행과 공식 결과가 후속 발표에서 확인되는지 주시.",
+    "financing_runway": "관련 자금조달·계약 집행의 공식 발표가 후속 보도에서 확인되는지 주시.",
+    "customer_platform": "관련 기업의 실제 도입·계약·사업화 진전이 후속 보도나 공식 발표에서 확인되는지 주시.",
+    "commercialization": "관련 제품·서비스의 실제 도입·사업화 진전이 후속 보도나 공식 발표에서 확인되는지 주시.",
+    "competition": "관련 제품·서비스의 실제 도입과 시장 반응이 후속 보도에서 확인되는지 주시.",
+}
+OTHER_WATCHPOINT = "해당 사건의 실제 이행과 관련 공식 발표가 후속 보도에서 확인되는지 주시."
+NO_TITLE = "대표 기사에 명시된 사건을 확인했습니다."
+NO_MECHANISM = "승인된 회사별 영향 맥락을 후속 보도와 함께 확인할 필요가 있습니다."
+
+
+def safe_summary(title: Column, mechanism: Column, dimension: Column, route: Column) -> Column:
+    """Fact (title clause, 500), mechanism of external events (350) and a template watchpoint; each has a sentence for what is missing."""
+    mark = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in WATCHPOINTS.items() for x in p)), dimension), F.lit(OTHER_WATCHPOINT))
+    said = lambda c, n, other: F.coalesce(F.nullif(F.substring(F.trim(c), 1, n), F.lit("")), F.lit(other))
+    return F.struct(said(title, 500, NO_TITLE).alias("fact"), F.when(route == "external", said(mechanism, 350, NO_MECHANISM)).alias("mechanism"), mark.alias("watchpoint"))
 
 
 def evidence_payload(events: DataFrame, members: DataFrame, limit: int = 2) -> DataFrame:

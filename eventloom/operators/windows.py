@@ -27,8 +27,10 @@ def freshness(ts: Column, start, end) -> Column:
     return F.when(ts.isNull(), "missing").when(ts > F.lit(end), "future").when(ts < F.lit(start), "too_old").otherwise("accepted")
 
 
-def lookback_days(start: datetime, end: datetime, maximum: int) -> int:
-    """Date partitions to scan: a superset of the exact filter."""
+def lookback_days(start: datetime | Column, end: datetime | Column, maximum: int) -> int | Column:
+    """Date partitions to scan: a superset of the exact filter. Of two times, or of two timestamp columns."""
+    if isinstance(start, Column):
+        return F.least(F.greatest(F.ceil((F.unix_micros(end) - F.unix_micros(start)) / 86_400_000_000), F.lit(1)), F.lit(maximum)).cast("long")
     return min(max(-((start - end) // timedelta(days=1)), 1), maximum)
 
 

@@ -34,15 +34,20 @@ def _fresh(spark, d, start, end):
 @query("SELECT max(ts) - INTERVAL 2 HOURS AS window_start, TIMESTAMP '2024-01-20 00:00:00' AS window_end FROM events WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-20 00:00:00'")
 def op_d1_delivery_window(spark, d):
     """The last success is the last purchase before the run."""
-    runs = table(spark, d, "events").where("event_type = 'purchase'").where(F.col("ts") <= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).agg(F.max("ts").alias("last"))
-    return runs.select((F.col("last") - F.expr("INTERVAL 2 HOURS")).alias("window_start"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz").alias("window_end"))
+    runs = table(spark, d, "events").where("event_type = 'purchase'").where(F.col("ts") <= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    last = runs.agg(F.max("ts")).first()[0]
+    start, end = windows.delivery_window(NOW, last.replace(tzinfo=timezone.utc) if last else None)
+    return spark.range(1).select(_bound(start).alias("window_start"), _bound(end).alias("window_end"))
+
+
+def _bound(x):
+    return F.lit(x.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 @query("SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-17 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'")
 def op_d2_lookback(spark, d):
     start, end = windows.lookback_window(NOW, 3)
-    bound = lambda x: F.lit(x.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    return table(spark, d, "events").where(F.col("ts").between(bound(start), bound(end))).select("event_id")
+    return table(spark, d, "events").where(F.col("ts").between(_bound(start), _bound(end))).select("event_id")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'missing' WHEN ts > TIMESTAMP '2024-01-20' THEN 'future' WHEN ts < TIMESTAMP '2024-01-10' THEN 'too_old' ELSE 'accepted' END AS freshness FROM events")
@@ -52,11 +57,13 @@ def op_d3_freshness(spark, d):
 
 @query("SELECT user_id, CAST(least(greatest(ceil((epoch(max(ts)) - epoch(min(ts))) / 86400), 1), 14) AS BIGINT) AS days FROM events GROUP BY user_id")
 def op_d4_lookback_days(spark, d):
-    span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 86_400_000_000
-    return table(spark, d, "events").groupBy("user_id").agg(F.least(F.greatest(F.ceil(span), F.lit(1)), F.lit(14)).cast("long").alias("days"))
+    return table(spark, d, "events").groupBy("user_id").agg(windows.lookback_days(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp"), 14).alias("days"))
 
 
-_RECUR = f"""WITH RECURSIVE {CANON}, a AS (SELECT k.page_id AS seq, nullif(lower(canonical_url), '') AS u, nullif({FOLD.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '') AS ti FROM k JOIN pages USING (page_id)),
+_PAGE_KEYS = f"""{CANON}, a AS (SELECT k.page_id AS seq, nullif(lower(canonical_url), '') AS u, nullif({FOLD.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '') AS ti FROM k JOIN pages USING (page_id))"""
+_DOCUMENT_KEYS = f"""a AS (SELECT doc_id AS seq, 'https://news.example.com/story/' || doc_id // 2 AS u, nullif({FOLD.format("split_part(text, chr(10), 1)")}, '') AS ti FROM documents)"""
+#: First wins, by recursion over the rows in order; us and ts are the keys taken so far.
+_FIRST_WINS = """,
 o AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM a),
 g AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, []::VARCHAR[] AS us, []::VARCHAR[] AS ts, FALSE AS stays
   UNION ALL SELECT o.n, o.seq, CASE WHEN d THEN us WHEN u IS NULL THEN us ELSE list_append(us, u) END, CASE WHEN d THEN ts WHEN ti IS NULL THEN ts ELSE list_append(ts, ti) END, NOT d
@@ -64,6 +71,7 @@ g AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, []::VARCHAR[] AS us, []::VARCH
 kept AS (SELECT a.* FROM g JOIN a USING (seq) WHERE stays),
 m AS (SELECT a.seq, CASE WHEN s.seq IS NOT NULL THEN a.seq WHEN ku.seq < a.seq THEN ku.seq ELSE kt.seq END AS primary_seq, CASE WHEN s.seq IS NOT NULL THEN NULL WHEN ku.seq < a.seq THEN 'canonical_url' ELSE 'normalized_title' END AS reason
   FROM a LEFT JOIN kept s ON s.seq = a.seq LEFT JOIN kept ku ON ku.u = a.u LEFT JOIN kept kt ON kt.ti = a.ti)"""
+_RECUR = f"WITH RECURSIVE {_PAGE_KEYS}{_FIRST_WINS}"
 
 
 def _page_map(spark, d):
@@ -88,7 +96,7 @@ def op_h3_duplicate_groups(spark, d):
     return dedup.duplicate_groups(_page_map(spark, d)[1])
 
 
-@query(None)
+@query(f"WITH RECURSIVE {_DOCUMENT_KEYS}{_FIRST_WINS} SELECT seq, primary_seq, reason FROM m")
 def op_h1_document_dedup(spark, d):
     a = views.document_articles(spark, d)
     return dedup.dedup_map(a.select("seq", F.lower("url").alias("url_key"), t.title_key(F.col("title")).alias("title_key")))
@@ -138,14 +146,14 @@ def op_e4_union_queries(spark, d):
 
 
 def _asked(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     p = table(spark, d, "part")
     j = o.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("o_orderkey").agg(F.min("p_type").alias("p_type"), F.min("o_orderdate").alias("o_orderdate"))
     key = F.when(F.col("o_orderkey") % 10 == 0, F.lit(None).cast("string")).when(F.col("o_orderkey") % 10 == 1, "unknown").otherwise(F.lower("p_type"))
     return j.select(F.col("o_orderkey").alias("seq"), key.alias("query_key"), F.when(F.col("o_orderkey") % 10 != 2, F.col("o_orderdate").cast("timestamp")).alias("published_at"))
 
 
-_ASKED = "q AS (SELECT o_orderkey AS seq, CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' ELSE lower(min(p_type)) END AS query_key, CASE WHEN o_orderkey % 10 <> 2 THEN min(o_orderdate) END AS published_at FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey)"
+_ASKED = "q AS (SELECT o_orderkey AS seq, CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' ELSE lower(min(p_type)) END AS query_key, CASE WHEN o_orderkey % 10 <> 2 THEN min(o_orderdate) END AS published_at FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey)"
 _G2 = f"WITH {_X}, {_ASKED}, j AS (SELECT q.seq, exposure_id, CASE WHEN coalesce(q.query_key, '') = '' THEN 'missing_query' WHEN exposure_id IS NULL THEN 'unregistered_query' WHEN published_at IS NULL THEN 'missing_timestamp' WHEN CAST(published_at AS DATE) < valid_from THEN 'before_valid_from' END AS rejection FROM q LEFT JOIN x USING (query_key))"
 
 
@@ -259,7 +267,7 @@ def op_m5_exposure_faults(spark, d):
 
 def _outcomes(spark, d):
     o = views.feed_outcomes(spark, d)
-    return o.withColumn("o", t.feed_outcome(F.col("http_status"), F.col("error"))).select("*", "o.status", "o.transient").drop("o")
+    return o.withColumn("o", t.feed_outcome(F.col("http_status"), F.col("error"))).select("*", "o.status", "o.transient", "o.signal").drop("o")
 
 
 @query(f"WITH {views.OUTCOMES_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') / count(*) AS success_ratio, count(*) FILTER (status = 'rate_limited') AS rate_limited, count(*) FILTER (http_status >= 500 AND http_status <> 503) AS other_5xx, count(*) FILTER (status = 'timeout') AS timeouts, sum(retry_attempts)::BIGINT AS retries FROM f")
@@ -294,7 +302,7 @@ def op_i16_progress(spark, d):
 
 @query(f"WITH {views.OUTCOMES_SQL} SELECT event_id, round(avg(transient::INTEGER) OVER w, 6) AS transient_share, count(*) OVER w = 6 AND avg(transient::INTEGER) OVER w >= 0.8 AS alarm FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 def op_j8_rolling_failure(spark, d):
-    return metrics.rolling_failure(_outcomes(spark, d), ["user_id"], ["ts", "event_id"]).select("event_id", "transient_share", "alarm")
+    return metrics.rolling_failure(_outcomes(spark, d).withColumn("transient", F.col("signal")), ["user_id"], ["ts", "event_id"]).select("event_id", "transient_share", "alarm")
 
 
 @query("SELECT c.column_name AS \"column\", nonblank, distinct_values AS \"distinct\", round(distinct_values / nonblank, 6) AS unique_ratio, nonblank BETWEEN 20 AND 1000 AS eligible FROM (SELECT 'c_name' AS column_name, count(c_name) AS nonblank, count(DISTINCT c_name) AS distinct_values FROM customer UNION ALL SELECT 'c_mktsegment', count(c_mktsegment), count(DISTINCT c_mktsegment) FROM customer) c")

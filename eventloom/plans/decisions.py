@@ -55,7 +55,7 @@ def op_l3_partition_fallback(spark, d):
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 AND g > 1 THEN 'all' ELSE o_orderpriority END AS group_id FROM orders JOIN (SELECT o_custkey, count(DISTINCT o_orderpriority) AS g FROM orders GROUP BY 1) USING (o_custkey)")
 def op_l4_merged_partitions(spark, d):
     """Pass 1 merges every group of even companies; for odd ones it is incomplete, so their first level stays. Pass 2 reduces nothing."""
-    o = table(spark, d, "orders").where("o_orderkey >= 0")
+    o = table(spark, d, "orders")
     first = o.select(F.col("o_custkey").alias("company"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("group_id"))
     groups = first.select("company", "group_id").distinct()
     one = groups.where("company % 2 = 0").select("company", "group_id", F.lit("all").alias("merged_id"))
@@ -112,54 +112,83 @@ def op_l10_contract(spark, d):
     return verdicts.contract_violations(c, dec).select("candidate_id", "violation")
 
 
+#: One code of each kind: every direction, materiality and reject code, a family that isn't allowed, and codes that nothing settles.
+CODES = (
+    *(f"MATERIAL_LINK|{family}|{level}|{direction}" for family, level, direction in (("price", "high", "positive"), ("supply", "medium", "negative"), ("price", "low", "mixed"), ("supply", "high", "neutral"), ("weather", "high", "mixed"))),
+    *verdicts.REJECT_REASONS, "AMBIGUOUS", "MATERIAL_LINK|price|high|unclear", "WEAK_LINK",
+)
+
+
 def _codes(spark, d):
-    e = table(spark, d, "events")
-    k = F.col("event_id") % 5
-    cand = e.select(F.col("event_id").alias("candidate_id"), F.array(F.lit("supply"), F.lit("price")).alias("families"))
-    tier1 = e.select(F.col("event_id").alias("candidate_id"), F.when(k == 0, "MATERIAL_LINK|price|high|positive").when(k == 1, "WEAK_LINK").otherwise("ESCALATE").alias("code"))
-    tier2 = e.where(k != 4).select(F.col("event_id").alias("candidate_id"), F.when(k == 2, "MATERIAL_LINK|supply|low|mixed").when(k == 3, "MATERIAL_LINK|weather|low|mixed").otherwise("WRONG_CONTEXT").alias("code"))
-    return cand, tier1, tier2
+    """Tier 1 by event_id modulo 15, tier 2 (not there for every fourth event) modulo 15 of a third of the id."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("candidate_id"))
+    code = lambda k: F.element_at(F.array(*map(F.lit, CODES)), (k % len(CODES) + 1).cast("int"))
+    cand = e.select("candidate_id", F.array(F.lit("supply"), F.lit("price")).alias("families"))
+    return cand, e.select("candidate_id", code(F.col("candidate_id")).alias("code")), e.where("candidate_id % 4 <> 3").select("candidate_id", code(F.expr("candidate_id div 3")).alias("code"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'price' WHEN 2 THEN 'supply' END AS family, CASE event_id % 5 WHEN 0 THEN 'high' WHEN 2 THEN 'low' END AS materiality FROM events")
+_CODES = """WITH c AS (SELECT event_id AS candidate_id, [('price', 'high', 'positive', NULL), ('supply', 'medium', 'negative', NULL), ('price', 'low', 'mixed', NULL), ('supply', 'high', 'neutral', NULL), NULL,
+  (NULL, NULL, NULL, 'broad_industry_only'), (NULL, NULL, NULL, 'wrong_context'), (NULL, NULL, NULL, 'non_material'), (NULL, NULL, NULL, 'wrong_jurisdiction'), (NULL, NULL, NULL, 'weak_causal_link'), (NULL, NULL, NULL, 'duplicate_event'), (NULL, NULL, NULL, 'weak_causal_link'), NULL, NULL, NULL] AS says, event_id % 15 + 1 AS k1, CASE WHEN event_id % 4 <> 3 THEN event_id // 3 % 15 + 1 END AS k2 FROM events),
+t AS (SELECT candidate_id, coalesce(says[k1], says[k2]) AS x, CASE WHEN says[k1] IS NOT NULL THEN 'tier1' WHEN says[k2] IS NOT NULL THEN 'tier2' END AS who, says[k1] AS one FROM c)"""
+
+
+@query(f"{_CODES} SELECT candidate_id AS event_id, one[1] AS family, one[2] AS materiality, one[3] AS direction FROM t")
 def op_l11_accept_codes(spark, d):
-    _, t1, t2 = _codes(spark, d)
-    code = t1.join(t2.withColumnRenamed("code", "c2"), "candidate_id", "left")
-    p = verdicts.accept_parts(F.when(F.col("code") == "ESCALATE", F.col("c2")).otherwise(F.col("code")), F.array(F.lit("supply"), F.lit("price")))
-    return code.select(F.col("candidate_id").alias("event_id"), p["family"].alias("family"), p["materiality"].alias("materiality"))
+    """All levels and directions, and codes that aren't accepted."""
+    p = verdicts.accept_parts(F.col("code"), F.array(F.lit("supply"), F.lit("price")))
+    return _codes(spark, d)[1].select(F.col("candidate_id").alias("event_id"), p["family"].alias("family"), p["materiality"].alias("materiality"), p["direction"].alias("direction"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 'weak_link' END AS reason FROM events")
+@query(f"{_CODES} SELECT candidate_id AS event_id, one[4] AS reason FROM t")
 def op_l12_reject_codes(spark, d):
+    """All reject codes."""
     return _codes(spark, d)[1].select(F.col("candidate_id").alias("event_id"), verdicts.reject_reason(F.col("code")).alias("reason"))
 
 
-@query("SELECT event_id AS candidate_id, event_id % 5 <> 1 AS qualifies, CASE event_id % 5 WHEN 0 THEN 'price' WHEN 1 THEN NULL ELSE 'supply' END AS family, CASE event_id % 5 WHEN 1 THEN 'weak_link' END AS reason, ['tier1', 'tier1', 'tier2', 'conservative', 'conservative'][event_id % 5 + 1] AS decided_by FROM events")
+@query(f"{_CODES} SELECT candidate_id, who IS NULL OR x[4] IS NULL AS qualifies, CASE WHEN who IS NULL THEN 'supply' ELSE x[1] END AS family, CASE WHEN who IS NULL THEN 'low' ELSE x[2] END AS materiality, CASE WHEN who IS NULL THEN 'neutral' ELSE x[3] END AS direction, x[4] AS reason, coalesce(who, 'conservative') AS decided_by FROM t")
 def op_l13_two_tier(spark, d):
-    return verdicts.two_tier(*_codes(spark, d)).select("candidate_id", "qualifies", "family", "reason", "decided_by")
+    return verdicts.two_tier(*_codes(spark, d))
 
 
-@query("SELECT event_id AS candidate_id, event_id % 5 IN (0, 2) AS qualifies, CASE WHEN event_id % 5 = 1 THEN 'weak_link' WHEN event_id % 5 IN (3, 4) THEN 'unresolved' END AS reason FROM events")
+@query(f"{_CODES} SELECT candidate_id, who IS NOT NULL AND x[4] IS NULL AS qualifies, CASE WHEN who IS NULL THEN 'unresolved' ELSE x[4] END AS reason FROM t")
 def op_l14_legacy_tiers(spark, d):
     return verdicts.two_tier(*_codes(spark, d), on_unresolved="reject").select("candidate_id", "qualifies", "reason")
 
 
 @query("SELECT o_orderkey, [NULL, 'external_needs_why_and_insight', 'direct_has_why', 'evidence_missing', 'evidence_repeated', 'evidence_unknown', 'filler'][o_orderkey % 7 + 1] AS error FROM orders")
 def op_l15_summary_checks(spark, d):
-    """L15, L19."""
+    """L15, L19; every filler phrase in turn."""
+    from eventloom.functions.text import FILLER
+
     k = F.col("o_orderkey") % 7
+    phrase = F.element_at(F.array(*map(F.lit, FILLER)), (F.expr("o_orderkey div 7") % len(FILLER) + 1).cast("int"))
     key = F.col("o_orderkey")
     none = F.array().cast("array<bigint>")
     err = verdicts.summary_error(
-        F.when(k == 2, "direct").otherwise("external"), F.when(k == 1, F.lit(None)).otherwise(F.lit("why")), F.lit("insight"), F.when(k == 3, none).when(k == 4, F.array(key, key)).when(k == 5, F.array(key + 1)).otherwise(F.array(key)), F.array(key), F.when(k == 6, F.lit("It remains to be seen")).otherwise(F.lit("Confirm")))
+        F.when(k == 2, "direct").otherwise("external"), F.when(k == 1, F.lit(None)).otherwise(F.lit("why")), F.lit("insight"), F.when(k == 3, none).when(k == 4, F.array(key, key)).when(k == 5, F.array(key + 1)).otherwise(F.array(key)), F.array(key), F.when(k == 6, F.concat(F.lit("이번 계약은  "), phrase)).otherwise(F.lit("계약 이행 확인")))
     return table(spark, d, "orders").select("o_orderkey", err.alias("error"))
 
 
-@query("SELECT o_orderkey, c_name AS fact, o_orderpriority AS mechanism, ['Confirm the stated date.', 'Confirm the stated amount.', 'Confirm the named party.', NULL][o_orderkey % 4 + 1] AS watchpoint FROM orders JOIN customer ON o_custkey = c_custkey")
+_MARKS = ", ".join(f"'{x}'" for x in (*verdicts.WATCHPOINTS.values(), verdicts.OTHER_WATCHPOINT))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '{verdicts.NO_TITLE}' ELSE c_name END AS fact, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN '{verdicts.NO_MECHANISM}' ELSE o_orderpriority END END AS mechanism, [{_MARKS}][o_orderkey % 6 + 1] AS watchpoint FROM orders JOIN customer ON o_custkey = c_custkey")
 def op_l16_safe_summary(spark, d):
+    """Every dimension with a template and one without; titles and mechanisms that are missing."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    dim = F.element_at(F.array(*map(F.lit, ("timing", "size", "party", "other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return o.select("o_orderkey", verdicts.safe_summary(F.col("c_name"), F.col("o_orderpriority"), dim).alias("s")).select("o_orderkey", "s.*")
+    key = F.col("o_orderkey")
+    dim = F.element_at(F.array(*map(F.lit, (*verdicts.WATCHPOINTS, "strategy"))), (key % 6 + 1).cast("int"))
+    said = verdicts.safe_summary(F.when(key % 7 == 0, F.lit(" ")).otherwise(F.col("c_name")), F.when(key % 8 != 0, F.col("o_orderpriority")), dim, F.when(key % 2 == 0, "external").otherwise("direct"))
+    return o.select("o_orderkey", said.alias("s")).select("o_orderkey", "s.*")
+
+
+@query(f"SELECT o_orderkey, o_orderkey % 10 < 9 AS filler FROM orders")
+def op_d8_filler(spark, d):
+    """Every filler phrase, and a sentence without one."""
+    from eventloom.functions.text import FILLER, has_filler
+
+    said = F.element_at(F.array(*(F.lit(f"앞으로 {p}.") for p in FILLER), F.lit("계약 이행을 확인.")), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", has_filler(said).alias("filler"))
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
@@ -215,15 +244,14 @@ def op_i7_stage_cost(spark, d):
     return metrics.stage_cost(usage, prices)
 
 
-@query("SELECT [NULL, 'weak_link'][event_id % 2 + 1] AS reason, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1")
+@query(f"{_CODES} SELECT x[4] AS reason, count(*) AS n FROM t GROUP BY 1")
 def op_i8_reject_reasons(spark, d):
-    e = table(spark, d, "events").where("event_id % 2 = 1").select(verdicts.reject_reason(F.lit("WEAK_LINK")).alias("reason"))
-    return metrics.histogram(e, "reason")
+    return metrics.histogram(verdicts.two_tier(*_codes(spark, d)), "reason")
 
 
-@query("SELECT c_custkey AS company_id, count(o_orderkey) AS collected, coalesce(count(*) FILTER (o_orderstatus <> 'P'), 0) AS fresh, coalesce(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS related FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 7 = 0 GROUP BY 1")
+@query("SELECT c_custkey AS company_id, count(o_orderkey) AS collected, coalesce(count(*) FILTER (o_orderstatus <> 'P'), 0) AS fresh, coalesce(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS related FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def op_i9_funnel(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 7 = 0").withColumn("company_id", F.col("o_custkey"))
+    rows = table(spark, d, "orders").withColumn("company_id", F.col("o_custkey"))
     flags = {"collected": F.lit(True), "fresh": F.col("o_orderstatus") != "P", "related": F.col("o_orderpriority") == "1-URGENT"}
     return metrics.funnel(table(spark, d, "customer").select(F.col("c_custkey").alias("company_id")), rows, flags)
 
@@ -238,6 +266,13 @@ def op_i17_identity_counters(spark, d):
     return metrics.histogram(table(spark, d, "events").select((F.col("user_id") % 50).alias("company"), F.col("event_type").alias("verdict")), "company", "verdict")
 
 
+@query("SELECT user_id AS company_id, event_id AS id, CASE WHEN user_id % 4 = 0 THEN 'UNCERTAIN' ELSE event_type END AS verdict, CASE WHEN user_id % 4 = 0 THEN 'provider_no_audit' ELSE 'judged' END AS reason_code FROM events")
+def op_i17_identity_audit(spark, d):
+    """The audit row of every verdict, the defaults of incomplete batches included."""
+    said = op_l1_batch_verdicts(spark, d)
+    return metrics.identity_audit(said, F.when(F.col("verdict") != "UNCERTAIN", "judged"))
+
+
 @query("SELECT sum(event_id % 3)::BIGINT AS calls, sum(event_id % 2)::BIGINT AS rewrites, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def op_i18_editorial_counters(spark, d):
     e = table(spark, d, "events")
@@ -287,7 +322,7 @@ def op_n4_rolling_window(spark, d):
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'UNRELATED' ELSE 'RELATED' END AS verdict FROM events")
 def op_o1_user_judge(spark, d):
-    """A rule as the user function."""
+    """O1: a rule as the user function."""
 
     def judge(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": batch["event_id"], "verdict": ["UNRELATED" if x == "error" else "RELATED" for x in batch["event_type"]]})
@@ -295,6 +330,40 @@ def op_o1_user_judge(spark, d):
     return verdicts.by_user_function(table(spark, d, "events").select("event_id", "event_type"), judge, "id long, verdict string")
 
 
+@query("SELECT event_id AS left_id, event_id + 1 AS right_id, CASE WHEN user_id % 3 = 0 THEN 'SAME_EVENT' ELSE 'DIFFERENT_EVENT' END AS verdict FROM events")
+def op_o3_user_resolver(spark, d):
+    """O3: a rule in place of a pair resolver; its verdicts are what H19 takes."""
+
+    def resolve(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"left_id": batch["event_id"], "right_id": batch["event_id"] + 1, "verdict": ["SAME_EVENT" if u % 3 == 0 else "DIFFERENT_EVENT" for u in batch["user_id"]]})
+
+    return verdicts.by_user_function(table(spark, d, "events").select("event_id", "user_id"), resolve, "left_id long, right_id long, verdict string")
+
+
+@query("SELECT o_orderkey AS event_id, CASE WHEN o_orderpriority < '3' THEN 'DELIVER' ELSE 'IGNORE' END AS action, CASE WHEN o_orderpriority < '3' THEN o_clerk END AS fact FROM (SELECT o_orderkey, o_orderpriority, 'order ' || o_orderkey AS o_clerk FROM orders)")
+def op_o4_user_assessment(spark, d):
+    """A rule in place of a judge; its answers go through G5 and L6–L8."""
+    o = table(spark, d, "orders")
+
+    def assess(batch: pd.DataFrame) -> pd.DataFrame:
+        send = batch["o_orderpriority"] < "3"
+        fact = ("order " + batch["o_orderkey"].astype(str)).where(send, None)
+        return pd.DataFrame({"event_id": batch["o_orderkey"], "action": ["DELIVER" if x else "IGNORE" for x in send], "materiality": ["high" if x else "none" for x in send], "fact": fact, "evidence_ids": [[k] if x else [] for k, x in zip(batch["o_orderkey"], send, strict=True)]})
+
+    said = verdicts.by_user_function(o.select("o_orderkey", "o_orderpriority"), assess, "event_id long, action string, materiality string, fact string, evidence_ids array<long>")
+    return verdicts.assessed(o.select(F.col("o_orderkey").alias("event_id"), F.array("o_orderkey").alias("member_ids")), said).select("event_id", "action", "fact")
+
+
+@query("SELECT o_orderkey AS event_id, 'order ' || o_orderkey || ' of ' || o_custkey AS fact_summary FROM orders")
+def op_o5_user_summary(spark, d):
+    """A rule in place of a summary writer."""
+
+    def write(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"event_id": batch["o_orderkey"], "fact_summary": "order " + batch["o_orderkey"].astype(str) + " of " + batch["o_custkey"].astype(str)})
+
+    return verdicts.by_user_function(table(spark, d, "orders").select("o_orderkey", "o_custkey"), write, "event_id long, fact_summary string")
+
+
 @query("SELECT o_custkey AS company, o_orderstatus AS label, count(*) AS members FROM orders GROUP BY 1, 2")
 def op_o2_user_grouping(spark, d):
     def group(part: pd.DataFrame) -> pd.DataFrame:

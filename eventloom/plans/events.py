@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import facts as ft
 from eventloom.functions import text as t
 from eventloom.operators import cluster, metrics, rank
+from eventloom.plans.scalars import FOLD
 from eventloom.sources import io, views
 from eventloom.sources.shared import stored
 
@@ -255,10 +256,14 @@ def op_h11_external_events(spark, d):
     return e.select("group", F.size("links").cast("long").alias("links"), "companies", "materiality", "family")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE a AS (SELECT doc_id AS id, 'u' || doc_id // 2 AS u, CASE WHEN doc_id % 5 <> 0 THEN nullif({FOLD.format("split_part(text, chr(10), 1)")}, '') || '|' || lower(source) || '|' || doc_id % 3 END AS f FROM documents),
+k AS (SELECT id, u AS key FROM a UNION ALL SELECT id, f FROM a WHERE f IS NOT NULL), m AS (SELECT key, min(id) AS least FROM k GROUP BY 1), e AS (SELECT DISTINCT id AS x, least AS y FROM k JOIN m USING (key)), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT id, id AS reached FROM a UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.reached) SELECT id, min(reached) AS label FROM r GROUP BY 1""")
 def op_h9_identity_groups(spark, d):
+    """Documents on three days; every fifth has no time."""
     a = views.document_articles(spark, d)
-    return cluster.identity_groups(a.select(F.col("seq").alias("id"), F.lower("url").alias("url_key"), t.title_key(F.col("title")).alias("title_key"), "source", F.lit(None).cast("timestamp").alias("published_at")))
+    day = F.when(F.col("seq") % 5 != 0, F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(days=(F.col("seq") % 3).cast("int")))
+    return cluster.identity_groups(a.select(F.col("seq").alias("id"), F.lower("url").alias("url_key"), t.title_key(F.col("title")).alias("title_key"), "source", day.alias("published_at")))
 
 
 @query(f"{FACTS}, k AS (SELECT DISTINCT amounts, dates, primary_action, parties, company FROM e) SELECT count(*) AS groups FROM k")
@@ -287,7 +292,8 @@ def op_j2_caps(spark, d):
 
 @query(None)
 def op_j2_shared_caps(spark, d):
-    return rank.capped_shared(rank.ranked(views.ranked_items(spark, d)), 3).select("item_id")
+    """With a total limit; against brute force in the tests."""
+    return rank.capped_shared(rank.ranked(views.ranked_items(spark, d)), 3, 200).select("item_id")
 
 
 @query(f"{I}, x AS (SELECT *, row_number() OVER (PARTITION BY kind, fingerprint ORDER BY rank) AS k, count(*) OVER (PARTITION BY kind, fingerprint) AS same_run FROM r) SELECT item_id, same_run FROM x WHERE k = 1")

@@ -40,9 +40,9 @@ def op_b2_query_key(spark, d):
     return table(spark, d, "documents").select("doc_id", t.query_key(F.col("text")).alias("query_key"))
 
 
-@query("SELECT page_id, length(nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '')) AS plain_chars FROM pages")
+@query("SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS plain FROM pages")
 def op_b3_plain_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(t.plain_text(F.col("html"))).cast("long").alias("plain_chars"))
+    return table(spark, d, "pages").select("page_id", t.plain_text(F.col("html")).alias("plain"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN 'Supplier desk' ELSE 'Unknown' END AS publisher FROM supplier")
@@ -53,14 +53,15 @@ def op_b4_publisher_name(spark, d):
 
 @query("SELECT event_id, date_trunc('second', ts) AS published_at FROM events")
 def op_b5_published_at(spark, d):
-    """RFC 2822 text made of each event's time, in two zones and without one, read back to UTC."""
+    """RFC 2822 text made of each event's time, in three zones (one of them named, with a year of two digits) and without one, read back to UTC."""
     e = table(spark, d, "events").withColumn("utc", F.col("ts").cast("timestamp"))
     local = lambda hours: F.date_format(F.col("utc") + F.expr(f"INTERVAL {hours} HOURS"), "EEE, dd MMM yyyy HH:mm:ss")
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(local(0), F.lit(" GMT"))).when(F.col("event_id") % 3 == 1, F.concat(local(9), F.lit(" +0900"))).otherwise(local(0))
+    short = F.date_format(F.col("utc") - F.expr("INTERVAL 5 HOURS"), "EEE, dd MMM yy HH:mm:ss")
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(short, F.lit(" EST"))).when(F.col("event_id") % 3 == 0, F.concat(local(0), F.lit(" GMT"))).when(F.col("event_id") % 3 == 1, F.concat(local(9), F.lit(" +0900"))).otherwise(local(0))
     return e.select("event_id", t.published_at(text).cast("timestamp_ntz").alias("published_at"))
 
 
-@query(f"SELECT doc_id, {FOLD.format('left(text, 80)')} AS title_key FROM documents")
+@query(f"SELECT doc_id, {FOLD.format('split_part(text, chr(10), 1)')} AS title_key FROM documents")
 def op_b6_title_key(spark, d):
     return views.document_articles(spark, d).select(F.col("seq").alias("doc_id"), t.title_key(F.col("title")).alias("title_key"))
 
@@ -159,13 +160,13 @@ def op_b19_relative_age(spark, d):
     return table(spark, d, "events").select("event_id", t.relative_age(F.col("ts").cast("timestamp"), F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("age"))
 
 
-@query("SELECT doc_id, left(CASE WHEN doc_id % 3 = 0 THEN substr(text, 81, 160) ELSE text END, 1400) AS lead FROM documents")
+@query("SELECT doc_id, left(CASE WHEN doc_id % 3 = 0 THEN substr(text, length(split_part(text, chr(10), 1)) + 2) ELSE text END, 1400) AS lead FROM documents")
 def op_b20_lead_text(spark, d):
     a = views.document_articles(spark, d)
     return a.select(F.col("seq").alias("doc_id"), t.lead_text(F.when(F.col("seq") % 3 == 0, F.lit("")).otherwise(F.col("text")), F.col("description")).alias("lead"))
 
 
-@query("SELECT doc_id, replace(replace(lower(left(text, 80)), 'ß', 'ss'), 'x', '-') AS folded FROM documents")
+@query("SELECT doc_id, replace(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss'), 'x', '-') AS folded FROM documents")
 def op_b21_match_fold(spark, d):
     a = views.document_articles(spark, d)
     return a.select(F.col("seq").alias("doc_id"), t.match_fold(F.translate("title", "xX", "–—")).alias("folded"))
@@ -177,6 +178,44 @@ def op_b22_outcome_class(spark, d):
     return o.select("event_id", t.feed_outcome(F.col("http_status"), F.col("error")).alias("o")).select("event_id", "o.status", "o.transient")
 
 
+_LOG = ("429 too many", "read timeout", "5xx", "server error", "malformed reply", "connection reset", "refused")
+
+
+def _log(spark, d):
+    """Every status code beside every error text, by event."""
+    e = table(spark, d, "events")
+    code = F.element_at(F.array(*map(F.lit, (200, 401, 403, 404, 407, 429, 451, 500, 502, 503, 504))), (F.col("event_id") % 11 + 1).cast("int"))
+    error = F.element_at(F.array(*map(F.lit, _LOG)), (F.expr("event_id div 11") % len(_LOG) + 1).cast("int"))
+    return e.select("event_id", F.when(F.col("event_id") % 4 != 1, code).alias("code"), F.when(F.col("event_id") % 4 != 0, error).alias("error"))
+
+
+_LOG_SQL = f"WITH x AS (SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN [200, 401, 403, 404, 407, 429, 451, 500, 502, 503, 504][event_id % 11 + 1] END AS code, CASE WHEN event_id % 4 <> 0 THEN {list(_LOG)}[event_id // 11 % {len(_LOG)} + 1] ELSE '' END AS e FROM events)"
+
+
+@query(f"""{_LOG_SQL} SELECT event_id, CASE WHEN code = 429 THEN 'rate_limited' WHEN code = 503 THEN 'service_unavailable' WHEN code >= 400 THEN 'http_error' WHEN e LIKE '%connect%' THEN 'connection_error' WHEN e LIKE '%timeout%' THEN 'timeout' WHEN e <> '' THEN 'http_error' ELSE 'success' END AS status,
+coalesce(code IN (429, 502, 503, 504), FALSE) OR (coalesce(code, 0) < 400 AND (e LIKE '%timeout%' OR e LIKE '%connect%')) AS transient FROM x""")
+def op_b22_feed_outcomes(spark, d):
+    return _log(spark, d).select("event_id", t.feed_outcome(F.col("code"), F.col("error")).alias("o")).select("event_id", "o.status", "o.transient")
+
+
+@query(f"{_LOG_SQL} SELECT event_id, CASE WHEN e LIKE '%timeout%' THEN 'timeout' WHEN code IN (401, 403, 407, 429, 451) THEN 'blocked' WHEN code >= 400 OR e <> '' THEN 'http_error' ELSE 'success' END AS status FROM x")
+def op_b22_page_outcomes(spark, d):
+    return _log(spark, d).select("event_id", t.page_outcome(F.col("code"), F.col("error")).alias("status"))
+
+
+@query(f"""{_LOG_SQL} SELECT event_id, 'tier1_' || CASE WHEN e LIKE '%timeout%' THEN 'timeout' WHEN coalesce(code, 0) = 429 OR e LIKE '%429%' THEN '429_exhausted' WHEN coalesce(code, 0) >= 500 OR e LIKE '%5xx%' OR e LIKE '%server error%' THEN '5xx_exhausted' WHEN e LIKE '%malformed%' THEN 'schema_failure' ELSE 'client_error' END AS reason,
+coalesce(code, 0) = 429 OR coalesce(code, 0) >= 500 OR regexp_matches(e, '429|5xx|server error|connection|timeout') AS retryable FROM x""")
+def op_b22_stage_reasons(spark, d):
+    return _log(spark, d).select("event_id", t.stage_reason(F.col("code"), F.col("error"), "tier1").alias("o")).select("event_id", "o.reason", "o.retryable")
+
+
+@query("SELECT o_orderkey, left(sha256(o_orderpriority || '|' || lower(o_comment_)), 16) AS event_id FROM (SELECT *, 'Signed ORDER ' || o_orderkey % 50 AS o_comment_ FROM orders)")
+def op_b12_labelled_event(spark, d):
+    """Ids of events that have a label."""
+    label = F.concat(F.lit("Signed ORDER "), (F.col("o_orderkey") % 50).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", F.substring(t.labelled_event_hash(F.col("o_orderpriority"), label), 1, 16).alias("event_id"))
+
+
 @query(f"WITH {CANON} SELECT page_id, canonical_url, url FROM k WHERE page_id % 5 <> 0")
 def op_a1_feed_articles(spark, d):
     """Pages as feed items; every fifth one lacks its title."""
@@ -237,10 +276,3 @@ def op_d7_reposts(spark, d):
     a = views.document_articles(spark, d)
     source = F.when(F.col("source").contains("src1"), F.lit("Naver Blog")).otherwise(F.col("source"))
     return a.select(F.col("seq").alias("doc_id"), t.is_repost(F.lit("title"), source, F.col("url")).alias("repost"))
-
-
-@query("SELECT o_orderkey, o_orderkey % 4 = 0 AS filler FROM orders")
-def op_d8_filler(spark, d):
-    o = table(spark, d, "orders")
-    mark = F.when(F.col("o_orderkey") % 4 == 0, F.lit("It Remains to be seen whether")).otherwise(F.lit("Confirm the date of"))
-    return o.select("o_orderkey", t.has_filler(F.concat_ws(" ", mark, F.col("o_orderkey").cast("string"))).alias("filler"))

@@ -21,9 +21,10 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One article per document: the text's first 80 characters are the title, the next 160 the description; urls repeat."""
+    """One article per document: the text's first line is the title, all the rest the description; two documents whose ids follow each other share a url."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("seq"), F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 160).alias("description"), "text", "lang", "source", F.concat(F.lit("https://news.example.com/story/"), (F.col("doc_id") % 4999).cast("string")).alias("url"))
+    title = F.substring_index("text", "\n", 1)
+    return d.select(F.col("doc_id").alias("seq"), title.alias("title"), F.substring(F.col("text"), F.char_length(title) + 2, F.char_length("text")).alias("description"), "text", "lang", "source", F.concat(F.lit("https://news.example.com/story/"), F.expr("doc_id div 2").cast("string")).alias("url"))
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,5 @@ r AS (SELECT *, row_number() OVER (ORDER BY priority, published_at DESC NULLS LA
 )
 OUTCOMES_SQL = """
 f AS (SELECT event_id, ts, user_id, CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 5 = 4 THEN NULL ELSE [429, 503, 500, 404, 0][event_id % 5 + 1] END AS http_status,
-        CASE WHEN event_type <> 'error' THEN 'success' ELSE ['rate_limited', 'unavailable', 'server_error', 'http_error', 'timeout'][event_id % 5 + 1] END AS status,
-        event_type = 'error' AND event_id % 5 <> 3 AS transient, user_id % 7 AS retry_attempts, value, event_type FROM events)"""
+        CASE WHEN event_type <> 'error' THEN 'success' ELSE ['rate_limited', 'service_unavailable', 'http_error', 'http_error', 'timeout'][event_id % 5 + 1] END AS status,
+        event_type = 'error' AND event_id % 5 NOT IN (2, 3) AS transient, user_id % 7 AS retry_attempts, value, event_type FROM events)"""
