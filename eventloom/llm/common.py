@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.sources.shared import shared_dir, stored
+from eventloom.sources.shared import discard, shared_dir, stored
 
-__all__ = ["BLANKS", "bounded_sample", "mapped", "shared_dir", "stored", "table", "whole"]
+__all__ = ["BLANKS", "bounded_sample", "discard", "mapped", "shared_dir", "stored", "table", "whole"]
 
 #: Spark's own white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"

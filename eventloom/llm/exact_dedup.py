@@ -1,12 +1,17 @@
-"""Exact dedup over a log-structured merge index of text digests, with DataFrame operations only.
-
-* A memtable is one slice of the arriving rows. Flushing it writes a *run*: one row per digest (smallest id, row count),
-  sorted by digest, in the shared folder, plus the run's filter (bitmaps over the hashed digests).
-* Compaction merges runs; of equal digests the smallest identifier stays and the counts add up.
-* A digest that more than one row has is a hit. Hits receive byte verification: their whole normalised texts are
+r"""Exact dedup over a log-structured merge index of text digests, with DataFrame operations only.
+
+* A memtable is one slice of the arriving rows (by hash of the id). Flushing writes a *run* for each: one row per digest (smallest identifier, row count),
+  sorted by digest, in the shared folder, with the run's *filter*: a bitmap over its digests, sized by their counted number.
+* Merging runs probes each digest in the other runs' filters. One that none of them lets through is in its run alone and is copied as it is; only the others are
+  shuffled and grouped: the smallest identifier stays, counts add up.
+* Compaction is tiered by size: as soon as FAN_IN runs of one tier are there, they become one of a higher tier. So an index takes further loads (`DigestIndex.add`), and a row is
+  rewritten as often as there are tiers.
+* A digest of more than one row is a hit. Hits receive byte verification: their whole normalised texts are
   grouped by (digest, text), so texts that merely share a digest part again. Map-side aggregation sends one row
   per task and distinct text, so a group of copies of any size costs each task one row.
 
+Filters are broadcast up to MAX_FILTER_BITS together; where more digests are there, rows are grouped without them (one more shuffle, the same result).
+
 Defined results: null text counts as empty, so all empty and null texts form one group (white space alone normalises to one
 blank, another group). A null id is never the smallest unless the whole group has none; then keep_id is null and
 kept is true for all of that group, since nothing tells its rows apart. Rows that repeat an id and its text are one document: they get equal results.
@@ -15,17 +20,22 @@ Other columns are not read, so extra or clashing ones don't matter. An empty tab
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BLANKS, stored, table, whole
+from eventloom.llm.common import BLANKS, discard, stored, table, whole
 
 #: Digest bits that one filter row holds: Spark's bitmap aggregate has 4,096 bytes.
 ROW_BITS = 32768
-#: Bits of one filter, whatever the number of rows: 8,388,608 bits are 1 MB, the proven bound of what is broadcast.
-FILTER_BITS = 1 << 23
+#: Bits for each digest (one in sixteen others passes by chance), and bits of all filters that are broadcast at once: 8 MB.
+DIGEST_BITS, MAX_FILTER_BITS = 16, 1 << 26
 #: A group with more than this share of the rows is hot; there are at most as many hot groups.
 HOT_SHARE = 1000
+#: Runs of one tier that are merged; a tier's runs have FAN_IN times the rows of the tier below.
+FAN_IN = 4
 
 
 def normalised(text: str | Column) -> Column:
@@ -36,58 +46,138 @@ def text_digest(norm: Column) -> Column:
     return F.xxhash64(norm)
 
 
-def flush(keyed: DataFrame, memtables: int) -> DataFrame:
-    """keyed(id, digest) as `memtables` sorted runs: (run, digest, min_id, n_rows)."""
-    rows = keyed.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int"))
-    run = rows.groupBy("run", "digest").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"))
-    return stored(run.sortWithinPartitions("run", "digest"), "dedup-runs")
+def _bits_for(count: int) -> int:
+    return ROW_BITS * max(1, -(-count * DIGEST_BITS // ROW_BITS))
 
 
-def filters(run: DataFrame) -> DataFrame:
-    """(run, slot, bits): a bitmap filter of each run; a digest whose bit is unset is in no row of the run."""
-    at = F.pmod(F.col("digest"), F.lit(FILTER_BITS))
-    return run.groupBy("run", F.floor(at / ROW_BITS).cast("int").alias("slot")).agg(F.bitmap_construct_agg(at % ROW_BITS).alias("bits"))
+def _bitmaps(digests: DataFrame, bits: int, *by: str) -> DataFrame:
+    """(*by, slot, bits) of digests(*by, digest)."""
+    at = F.pmod(F.col("digest"), F.lit(bits))
+    return digests.groupBy(*by, F.floor(at / ROW_BITS).cast("int").alias("slot")).agg(F.bitmap_construct_agg(at % ROW_BITS).alias("bits"))
 
 
-def passes(rows: DataFrame, one_filter: DataFrame, through: bool = True, digest: str = "digest") -> DataFrame:
-    """Rows whose digest one filter (slot, bits; at most FILTER_BITS / ROW_BITS rows) lets through, or else those that it rules out."""
-    at = F.pmod(F.col(digest), F.lit(FILTER_BITS))
-    bit = at % ROW_BITS
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    probed = rows.withColumn("__slot", F.floor(at / ROW_BITS).cast("int")).join(F.broadcast(one_filter.select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits"))), "__slot", "left")
-    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
-    return probed.where(hit if through else ~hit).drop("__slot", "__bits")
+def _is_set(bits: Column, digest: Column, n_bits: Column | int) -> Column:
+    bit = F.pmod(digest, n_bits if isinstance(n_bits, Column) else F.lit(n_bits)) % ROW_BITS
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.bit_get(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, one_filter: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in gone(id_col, distinct). Rows that the filter of gone rules out stay where they are; the others meet gone in a shuffle."""
-    keyed = docs.withColumn("__digest", F.xxhash64(id_col))
-    maybe, sure = (passes(keyed, one_filter, through, "__digest").select(*docs.columns) for through in (True, False))
-    return sure.unionByName(maybe.join(gone, id_col, "left_anti").select(*docs.columns))
+@dataclass
+class Sieve:
+    """A filter of a set of digests, or (bitmaps None) of too many for one: then it lets everything through."""
+
+    bitmaps: DataFrame | None
+    n_bits: int = 0
 
+    @staticmethod
+    def of(digests: DataFrame, digest: str = "digest") -> Sieve:
+        """digests: a stored table; its rows are counted."""
+        n_bits = _bits_for(digests.count())
+        return Sieve(None) if n_bits > MAX_FILTER_BITS else Sieve(_bitmaps(digests.select(F.col(digest).alias("digest")), n_bits), n_bits)
 
-def compact(runs: DataFrame) -> DataFrame:
-    """All runs as one: (digest, min_id, n_rows); the smallest identifier of a digest stays."""
-    merged = runs.groupBy("digest").agg(F.min("min_id").alias("min_id"), F.sum("n_rows").alias("n_rows"))
-    return merged.sortWithinPartitions("digest")
+    def split(self, rows: DataFrame, digest: str = "digest") -> tuple[DataFrame, DataFrame]:
+        """(rows whose digest may be in the set, rows whose digest surely isn't)."""
+        if self.bitmaps is None:
+            return rows, rows.limit(0)
+        at = F.floor(F.pmod(F.col(digest), F.lit(self.n_bits)) / ROW_BITS).cast("int")
+        probed = rows.withColumn("__slot", at).join(F.broadcast(self.bitmaps.select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits"))), "__slot", "left")
+        hit = _is_set(F.col("__bits"), F.col(digest), self.n_bits)
+        return tuple(probed.where(x).drop("__slot", "__bits") for x in (hit, ~hit))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = 4, digest=text_digest) -> DataFrame:
-    """One row per row of docs: (id_col, keep_id, group_size, kept, text_sha256). digest: column of the normalised text -> long column."""
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in gone(id_col, distinct; a stored table). Rows that the filter of gone rules out stay where they are; the others meet gone in a shuffle."""
+    sieve = Sieve.of(gone.select(F.xxhash64(id_col).alias("digest")))
+    maybe, sure = (part.select(*docs.columns) for part in sieve.split(docs.withColumn("__digest", F.xxhash64(id_col)), "__digest"))
+    return sure.unionByName(maybe.join(gone, id_col, "left_anti").select(*docs.columns))
+
+
+@dataclass
+class Run:
+    """A sorted run (digest, min_id, n_rows) and its number of rows."""
+
+    rows: DataFrame
+    size: int
+
+    @property
+    def tier(self) -> int:
+        tier = 0
+        while self.size >= FAN_IN ** (tier + 1):
+            tier += 1
+        return tier
+
+
+def merged(runs: list[Run]) -> DataFrame:
+    """All runs as one: (digest, min_id, n_rows). Digests that no other run's filter lets through are not shuffled."""
+    tagged = reduce(DataFrame.unionByName, (r.rows.select(F.lit(k).alias("run"), "digest", "min_id", "n_rows") for k, r in enumerate(runs)))
+    group = lambda rows: rows.groupBy("digest").agg(F.min("min_id").alias("min_id"), F.sum("n_rows").alias("n_rows"))
+    n_bits = _bits_for(max(r.size for r in runs))  # one size for all filters, so that a digest has the same place in each
+    if len(runs) == 1:
+        return runs[0].rows.select("digest", "min_id", "n_rows")
+    if n_bits * len(runs) > MAX_FILTER_BITS:
+        return group(tagged)
+    by_slot = _bitmaps(tagged, n_bits, "run").groupBy(F.col("slot").alias("__slot")).agg(F.collect_list(F.struct("run", "bits")).alias("__filters"))  # one entry for each run
+    probed = tagged.withColumn("__slot", F.floor(F.pmod("digest", F.lit(n_bits)) / ROW_BITS).cast("int")).join(F.broadcast(by_slot), "__slot")
+    elsewhere = F.exists("__filters", lambda f: (f["run"] != F.col("run")) & _is_set(f["bits"], F.col("digest"), n_bits))
+    alone, met = (probed.where(x).select("digest", "min_id", "n_rows") for x in (~elsewhere, elsewhere))
+    return alone.unionByName(group(met))
+
+
+class DigestIndex:
+    """The runs of all loads so far."""
+
+    def __init__(self) -> None:
+        self.runs: list[Run] = []
+
+    def add(self, keyed: DataFrame, memtables: int = FAN_IN) -> DigestIndex:
+        """Takes a load keyed(id, digest): flushes it as `memtables` sorted runs, then compacts. Identifiers of all loads must have one type."""
+        sliced = keyed.withColumn("run", F.pmod(F.xxhash64("id", "digest"), F.lit(memtables)).cast("int"))
+        run = sliced.groupBy("run", "digest").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"))
+        flushed = stored(run.sortWithinPartitions("run", "digest"), "dedup-runs")
+        sizes = {r.run: r.n for r in flushed.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each memtable
+        self.runs += [Run(flushed.where(F.col("run") == k), n) for k, n in sorted(sizes.items())]
+        return self.compact()
+
+    def compact(self) -> DigestIndex:
+        while True:
+            tiers: dict[int, list[Run]] = {}
+            for run in self.runs:
+                tiers.setdefault(run.tier, []).append(run)
+            full = next((t for t in sorted(tiers) if len(tiers[t]) >= FAN_IN), None)
+            if full is None:
+                return self
+            one = stored(merged(tiers[full]).sortWithinPartitions("digest"), "dedup-run")
+            self.runs = [r for r in self.runs if r.tier != full] + [Run(one, one.count())]
+
+    def entries(self) -> DataFrame:
+        """(digest, min_id, n_rows) of all runs."""
+        return merged(self.runs)
+
+    def hits(self) -> DataFrame:
+        """(digest) of more than one row, of all loads."""
+        return self.entries().where("n_rows > 1").select("digest")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = FAN_IN, digest=text_digest, index: DigestIndex | None = None) -> DataFrame:
+    """One row per row of docs: (id_col, keep_id, group_size, kept, text_sha256). digest: column of the normalised text -> long column.
+    index: the index of docs, if it is there already (see `keyed`); else docs are one load."""
+    index = index if index is not None else DigestIndex().add(keyed(docs, id_col, text_col, digest), memtables)
     norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    index = compact(flush(norm.select("id", "digest"), memtables))
-    hits = stored(index.where("n_rows > 1").select(F.lit(0).alias("run"), "digest"), "dedup-hits")
-    candidates = passes(norm, filters(hits))
+    if not index.runs:
+        return norm.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("norm", 256).alias("text_sha256"))
+    hits = stored(index.hits(), "dedup-hits")
+    candidates, _ = Sieve.of(hits).split(norm)
     verified = stored(
         candidates.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
         .select("digest", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"),
         "dedup-classes",
     )
+    discard(hits)
     total = docs.count()
     hot = verified.where(F.col("group_size") * HOT_SHARE > total).select("digest", "text_sha256", F.struct("keep_id", "group_size").alias("hot"))
     cold = verified.where(F.col("group_size") * HOT_SHARE <= total).select("digest", "text_sha256", F.struct("keep_id", "group_size").alias("cold"))
     every = norm.select("id", "digest", F.sha2("norm", 256).alias("text_sha256")).join(F.broadcast(hot), ["digest", "text_sha256"], "left")
-    every = every.withColumn("digest", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("id", "text_sha256")))  # a hot group is dealt out evenly
+    every = every.withColumn("digest", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("id", "text_sha256", F.spark_partition_id())))  # a hot group is dealt out evenly
     found = every.join(cold, ["digest", "text_sha256"], "left").withColumn("class", F.coalesce("hot", "cold"))
     keep = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class.keep_id"))
     return found.select(
@@ -96,6 +186,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=text_digest) -> DataFrame:
+    """(id, digest) of every row: what an index takes."""
+    return docs.select(F.col(id_col).alias("id"), digest(normalised(text_col)).alias("digest"))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

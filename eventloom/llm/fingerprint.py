@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from eventloom.llm.common import stored, table, whole
-from eventloom.llm.exact_dedup import filters, passes
+from eventloom.llm.exact_dedup import Sieve
 
 #: Code points of a run (a power of two), runs of a window (a multiple of eight). Two texts that share 63 code points share a kept run.
 K, W = 16, 48
@@ -141,11 +141,10 @@ ROW = ("name", "nameless", "low", "high")
 def _single(texts: DataFrame, order: DataFrame) -> DataFrame:
     """One of the rows of texts that are copies of each other. Only rows that may have a copy are shuffled."""
     digest = F.xxhash64(*ROW).alias("digest")
-    repeated = stored(order.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(0).alias("run"), digest), "winnow-repeated")
+    repeated = stored(order.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(digest), "winnow-repeated")
     if repeated.limit(1).count() == 0:
         return texts
-    sieve, keyed = filters(repeated), texts.withColumn("digest", digest)
-    maybe, sure = (passes(keyed, sieve, through).select(*texts.columns) for through in (True, False))
+    maybe, sure = (part.select(*texts.columns) for part in Sieve.of(repeated).split(texts.withColumn("digest", digest)))
     return sure.unionByName(maybe.dropDuplicates(list(ROW)))
 
 

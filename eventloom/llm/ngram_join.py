@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import mapped, stored, table, whole
-from eventloom.llm.exact_dedup import HOT_SHARE, filters, passes
+from eventloom.llm.exact_dedup import HOT_SHARE, Sieve
 from eventloom.operators.graph import components
 from eventloom.llm.texthash import mix, shingle_hashes, slices, word_hashes
 
@@ -261,9 +261,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, recall: flo
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, grams) of the texts in wanted(id), and of few others: a filter of fixed size picks them, so no other text is shuffled."""
-    sieve = filters(wanted.select(F.lit(0).alias("run"), F.xxhash64("id").alias("digest")))
-    kept = passes(texts.withColumn("digest", F.xxhash64("id")), sieve).select("id", "text")
+    """(id, grams) of the texts in wanted(id), and of few others: a filter picks them (where they are too many for one, all texts' sets are kept)."""
+    asked = stored(wanted.select(F.xxhash64("id").alias("digest")), "ngram-wanted")
+    kept = Sieve.of(asked).split(texts.withColumn("digest", F.xxhash64("id")))[0].select("id", "text")
     kind = texts.schema["id"].dataType.simpleString()
     return stored(mapped(kept, lambda it: _sets(it, words), f"id {kind}, grams binary").dropDuplicates(["id"]), "ngram-sets")
 

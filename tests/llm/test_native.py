@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from eventloom.llm import exact_dedup, fingerprint, license_scan, sharding, warc_audit
+from eventloom.sources.shared import stored
 
 BLANKS = re.compile("[\x20\x09-\x0d]+")
 
@@ -49,21 +50,48 @@ def test_dedup_null_ids_and_empty_table(spark, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
-def test_filter_has_no_false_negatives(spark):
-    df = spark.range(5000).select(F.xxhash64("id").alias("digest"))
-    half = df.where("digest % 2 = 0")
-    f = exact_dedup.filters(half.select(F.lit(0).alias("run"), "digest"))
-    assert exact_dedup.passes(half, f).count() == half.count()
-    assert exact_dedup.passes(df, f).count() + exact_dedup.passes(df, f, through=False).count() == 5000
+def test_filters_let_every_digest_through(spark):
+    df = stored(spark.range(5000).select(F.xxhash64("id").alias("digest")), "t")
+    half = stored(df.where("digest % 2 = 0"), "t")
+    sieve = exact_dedup.Sieve.of(half)
+    maybe, sure = sieve.split(df)
+    assert maybe.where("digest % 2 = 0").count() == half.count() and maybe.count() + sure.count() == 5000 and sure.count() > 2000
+    assert exact_dedup.Sieve(None).split(df)[0].count() == 5000
 
 
-def test_without_keeps_clashing_columns(spark, odd):
-    gone = spark.createDataFrame([(2,), (6,)], "doc_id long")
-    f = exact_dedup.filters(gone.select(F.lit(0).alias("run"), F.xxhash64("doc_id").alias("digest")))
-    got = exact_dedup.without(odd, gone, "doc_id", f)
+def test_removal_keeps_clashing_columns(spark, odd):
+    gone = stored(spark.createDataFrame([(2,), (6,)], "doc_id long"), "t")
+    got = exact_dedup.without(odd, gone, "doc_id")
     assert got.columns == odd.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 5, 5, 7, 8, 9]
 
 
+def test_dedup_index_of_several_loads(spark):
+    """Loads of an index give what one load gives; runs are merged tier by tier; identifiers and counts are exact."""
+    rows = [(k, f"text {k % 37} {'y' * (k % 11)}") for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = exact_dedup.DigestIndex()
+    for load in ("doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2"):
+        index.add(exact_dedup.keyed(df.where(load)), memtables=2)
+    want = {}
+    for k, t in rows:
+        want.setdefault(t, []).append(k)
+    assert sorted((r.min_id, r.n_rows) for r in index.entries().collect()) == sorted((min(x), len(x)) for x in want.values())
+    one = exact_dedup.exact_dedup(df).collect()
+    assert sorted(map(tuple, exact_dedup.exact_dedup(df, index=index).collect())) == sorted(map(tuple, one)) == brute_dedup(rows)
+    tiers = [r.tier for r in index.runs]
+    assert all(tiers.count(t) < exact_dedup.FAN_IN for t in tiers)
+    digests = [r.digest for r in index.runs[-1].rows.coalesce(1).collect()]
+    assert len(digests) == len(set(digests))
+
+
+def test_dedup_without_filters(spark, monkeypatch):
+    """Beyond the size of what may be broadcast the result is the same."""
+    rows = [(k, f"text {k % 17}") for k in range(300)]
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 1)
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute_dedup(rows)
+
+
 def test_licences(spark, odd, none):
     texts = [
         (1, "intro\nReleased under the MIT License.\nend"), (2, "RELEASED UNDER -- THE MIT LICENSE"), (3, "released under the license"), (4, "Licensed under the Apache License,\nVersion 2.0."), (5, None),
