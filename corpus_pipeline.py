@@ -48,10 +48,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of rows whose ROW isn't in dropped. A filter of fixed size parts off the rows that surely stay, so only the others are shuffled."""
+    """The columns of rows whose ROW isn't in dropped. A filter parts off the rows that surely stay, so only the others are shuffled."""
     gone = stored(dropped.select(ROW), "dropped")
-    sieve = exact_dedup.filters(gone.select(F.lit(0).alias("run"), F.xxhash64(ROW).alias("digest")))
-    return exact_dedup.without(rows.select(*columns, ROW), gone, ROW, sieve).select(*columns)
+    return exact_dedup.without(rows.select(*columns, ROW), gone, ROW).select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
