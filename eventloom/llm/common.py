@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.sources.shared import discard, shared_dir, stored
 
-__all__ = ["BLANKS", "bounded_sample", "discard", "mapped", "shared_dir", "stored", "table", "whole"]
+__all__ = ["BLANKS", "bounded_sample", "discard", "labelled_texts", "mapped", "shared_dir", "stored", "table", "whole"]
 
 #: Spark's own white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,20 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: Longer texts are no part of a sample that classifiers are fitted on: so its rows bound what the driver gets. They are scored like all others.
+SAMPLE_TEXT_BYTES = 1 << 16
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, labels: list[str]) -> DataFrame:
+    """(text, *labels) of the chosen ids (a bounded sample, one row an id); of an id that repeats in docs, the text of the smallest hash."""
+    text = whole(text_col)
+    rows = docs.select(id_col, text.alias("text")).where(F.octet_length(text) <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), id_col)
+    one = rows.groupBy(id_col, *labels).agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("first"))
+    return one.select("first.text", *labels)
+
+
 def bounded_sample(labelled: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """At most `rows` rows, those whose hashed id is smallest: the same rows at every run and partitioning."""
-    return labelled.orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(rows)
+    """At most `rows` rows, those whose hashed id is smallest, one an id: the same rows at every run and partitioning."""
+    others = [c for c in labelled.columns if c != id_col]
+    one = labelled.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*others)).alias("_first")).select(id_col, "_first.*")
+    return one.orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(rows)

@@ -10,7 +10,7 @@ Target totals are in proportion to the weights. `scale` sets their sum: by defau
 pass 1; `max_rate` bounds the rates from above as well.
 
 Tokens are words (runs without white space). Defined results: null counts as empty; a text without tokens has rate 1 and changes no total; an empty table gives
-an empty result; a domain that no sample row has gets posterior 0. Null ids are kept. Rows that repeat count each. Extra columns aren't read.
+an empty result; a domain that no sample row has gets posterior 0; a document of a domain without a weight is shared out among those that have one. Null ids are kept. Rows that repeat count each. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, mapped, stored, table, whole
+from eventloom.llm.common import bounded_sample, labelled_texts, mapped, stored, table, whole
 from eventloom.llm.learn import fit_softmax, softmax
 from eventloom.llm.texthash import BLANK, slices
 
@@ -61,7 +61,7 @@ def _sample_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Domains:
     """labelled(id_col, domain): at most sample_rows rows of it are used."""
     chosen = bounded_sample(labelled.where(F.col("domain").isin(names)), id_col, sample_rows)
-    rows = docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "domain")  # at most sample_rows rows are sent
+    rows = labelled_texts(docs, chosen, id_col, text_col, ["domain"])
     got = mapped(rows, _sample_shares, "x array<float>, domain string").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(len(got), 256)
     y = np.array([names.index(d) for d in got["domain"].to_pylist()], int)
@@ -95,7 +95,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, weights: list[float], scale: float | None = None, max_rate: float = float("inf"), iterations: int = ITERATIONS) -> tuple[list, dict]:
-    """members(n_tokens, posteriors) -> (gradient steps that replay() turns into rates, {targets, totals, iterations})."""
+    """members(n_tokens, posteriors) -> (gradient steps that replay() turns into rates, {targets, totals, iterations, met: within ten times TOLERANCE of the sum of targets})."""
     d = len(weights)
 
     def sums(batches):
@@ -128,7 +128,8 @@ def fit_rates(members: DataFrame, weights: list[float], scale: float | None = No
 
         got = np.nan_to_num(added(mapped(narrow, rated, "s array<double>"), 2 * d))
         before, totals, ahead_totals = totals, got[:d], got[d:]
-    return steps, {"targets": target.tolist(), "totals": totals.tolist(), "iterations": len(steps)}
+    met = bool(np.abs(totals - target).max(initial=0) <= 10 * TOLERANCE * max(total, 1))
+    return steps, {"targets": target.tolist(), "totals": totals.tolist(), "iterations": len(steps), "met": met}
 
 
 def label_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,14 +138,15 @@ def label_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang").join(known, "doc_id").select("doc_id", F.when(F.col("quality") == 0, F.lit("junk")).otherwise(F.col("lang")).alias("domain"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", scale: float | None = None, max_rate: float = float("inf"), keep_col: str | None = None) -> DataFrame:
-    """(id_col or keep_col, n_tokens, posteriors, rate) for every document; expected totals sum(n_tokens * rate * posterior[d]) meet the targets."""
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", scale: float | None = None, max_rate: float = float("inf"), keep_col: str | None = None) -> tuple[DataFrame, dict]:
+    """((id_col or keep_col, n_tokens, posteriors, rate) for every document, report). The expected totals sum(n_tokens * rate * posterior[d]) meet the targets, or come as near
+    as the bounds of the rates and the number of iterations let them: the report has {domains, targets, totals, iterations, met}."""
     weights = weights or WEIGHTS
     domains = train(docs, labelled, list(weights), id_col, text_col)
     rows = docs.select(F.col(keep_col or id_col).alias("id"), whole(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     members = stored(mapped(rows, lambda it: _belonging(it, domains), f"id {kind}, n_tokens long, posteriors array<double>"), "mixing-members")
-    steps, _ = fit_rates(members, list(weights.values()), scale, max_rate)
+    steps, report = fit_rates(members, list(weights.values()), scale, max_rate)
 
     def final(batches):
         for batch in batches:
@@ -152,7 +154,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
                 rate = np.where(np.asarray(batch.column(1)) > 0, replay(_matrix(batch.column(2)), steps, max_rate)[0], 1.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], ["id", "n_tokens", "posteriors", "rate"])
 
-    return mapped(members, final, f"id {kind}, n_tokens long, posteriors array<double>, rate double").select(F.col("id").alias(keep_col or id_col), "n_tokens", "posteriors", "rate")
+    rated = mapped(members, final, f"id {kind}, n_tokens long, posteriors array<double>, rate double").select(F.col("id").alias(keep_col or id_col), "n_tokens", "posteriors", "rate")
+    return rated, {"domains": list(weights)} | report
 
 
 def copies(rate: Column, key: Column, seed: int = 20) -> Column:
@@ -163,6 +166,7 @@ def copies(rate: Column, key: Column, seed: int = 20) -> Column:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mix(docs, label_domains(docs, table(spark, sf_dir, "labels")))
+    mixed, report = mix(docs, label_domains(docs, table(spark, sf_dir, "labels")))
     best = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
-    return mixed.select("doc_id", "n_tokens", F.element_at(F.array(*map(F.lit, WEIGHTS)), best).alias("likeliest"), F.array_max("posteriors").alias("likelihood"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    of = lambda name: F.element_at(F.array(*map(F.lit, report[name])), best)
+    return mixed.select("doc_id", "n_tokens", F.element_at(F.array(*map(F.lit, WEIGHTS)), best).alias("likeliest"), F.array_max("posteriors").alias("likelihood"), "rate", of("targets").alias("domain_target"), of("totals").alias("domain_total"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))

@@ -20,6 +20,7 @@ Rows that repeat an id count as copies. Extra columns aren't read. Texts are rea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import mapped, stored, table, whole
+from eventloom.llm.common import discard, mapped, stored, table, whole
 from eventloom.llm.exact_dedup import HOT_SHARE, Sieve
 from eventloom.operators.graph import components
 from eventloom.llm.texthash import mix, shingle_hashes, slices, word_hashes
@@ -37,12 +38,28 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 SMALL = 24
 
 
-def choose_bands(threshold: float, recall: float, rows: int = 4) -> tuple[int, int]:
-    """(bands, rows): the fewest bands of `rows` hashes that a pair at the threshold shares one of with at least the target recall."""
-    bands = 1
-    while 1 - (1 - threshold**rows) ** bands < recall:
-        bands += 1
-    return bands, rows
+#: What a band's row in the shuffle costs in MinHash values, and what it costs in them if all unlike pairs met.
+BAND_COST, PAIR_COST = 8, 3000
+MOST_ROWS = 10
+
+
+def meeting(similarity: float, bands: int, rows: int) -> float:
+    """Probability that a pair shares a band."""
+    return 1 - (1 - similarity**rows) ** bands
+
+
+@lru_cache
+def choose_bands(threshold: float, recall: float) -> tuple[int, int]:
+    """(bands, rows) that reach the target recall at the threshold at the least cost: of making and sending the bands, and of the pairs below the threshold that meet
+    for nothing (the mean of `meeting` over all similarities below it)."""
+    found = []
+    for rows in range(1, MOST_ROWS + 1):
+        bands = 1
+        while meeting(threshold, bands, rows) < recall:
+            bands += 1
+        below = [meeting(threshold * (k + 0.5) / 100, bands, rows) for k in range(100)]
+        found.append((bands * (rows + BAND_COST) + PAIR_COST * sum(below) / 100, bands, rows))
+    return min(found)[1:]
 
 
 def ngram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -212,16 +229,18 @@ def _summed(t: pa.Table, bands: int) -> pa.Table:
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, recall: float = RECALL, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(links(a, b, jaccard) between representatives a < b, members(id, rep, copies)): the whole join, copies not expanded into pairs."""
-    links, blocks, members = _joined(docs, id_col, text_col, words, recall, small)
-    if blocks is not None:
+    links, blocks, members, spent = _joined(docs, id_col, text_col, words, recall, small)
+    if blocks is None:
+        discard(*spent)
+    else:
         bands, kind = choose_bands(THRESHOLD, recall)[0], links.schema["a"].dataType.simpleString()
         more = blocks.applyInArrow(lambda t: _listed(t, bands), f"a {kind}, b {kind}, jaccard double")
         links = links.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard"))
     return links, members
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, recall: float, small: int) -> tuple[DataFrame, GroupedData | None, DataFrame]:
-    """(links(a, b, jaccard) of small buckets, members of large ones grouped by two blocks each or None, members(id, rep, copies))."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, recall: float, small: int) -> tuple[DataFrame, GroupedData | None, DataFrame, list[DataFrame]]:
+    """(links(a, b, jaccard) of small buckets, members of large ones grouped by two blocks each or None, members(id, rep, copies), tables that only the blocks read)."""
     bands, rows = choose_bands(THRESHOLD, recall)
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -242,6 +261,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, recall: flo
     met = classes.select(F.posexplode("first.bands").alias("band", "key"), F.col("first.id").alias("rep"), F.col("first.n").alias("n"))
     counted = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "ngram-buckets")
     met = stored(met.join(counted, "key"), "ngram-met")
+    discard(counted)
     pairs = stored(_small_pairs(met, small).distinct(), "ngram-pairs")
     large = met.withColumn("owner", F.when(F.col("size") <= small, F.lit(FIRST)).otherwise(F.greatest(F.xxhash64("pivot"), F.lit(FIRST + 1))))
     held = large.groupBy("rep", "n").agg(F.max("owner").alias("last"), F.collect_list(F.struct("band", "key", "owner")).alias("sig")).where(F.col("last") != FIRST)
@@ -249,15 +269,17 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, recall: flo
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(placed.select(F.col("rep").alias("id"))).distinct()
     sets = _sets_of(texts, wanted, words)
     links = _verified(pairs, sets)
+    discard(met, pairs)
     if placed.limit(1).count() == 0:
-        return links, None, members
+        return links, None, members, [placed, sets]
     count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-    dealt = placed.join(stored(placed.groupBy("owner").agg(count.alias("blocks")), "ngram-blocks"), "owner")
+    sizes = stored(placed.groupBy("owner").agg(count.alias("blocks")), "ngram-blocks")
+    dealt = placed.join(sizes, "owner")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")).join(sets.withColumnRenamed("id", "rep"), "rep")
     spread = dealt.select("owner", "rep", "n", "sig", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)  # -1: one block with itself
     spread = spread.select("owner", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "rep", "n", "sig", "grams")
-    return links, spread.groupBy("owner", "i", "j"), members
+    return links, spread.groupBy("owner", "i", "j"), members, [placed, sizes, sets]
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -265,7 +287,9 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     asked = stored(wanted.select(F.xxhash64("id").alias("digest")), "ngram-wanted")
     kept = Sieve.of(asked).split(texts.withColumn("digest", F.xxhash64("id")))[0].select("id", "text")
     kind = texts.schema["id"].dataType.simpleString()
-    return stored(mapped(kept, lambda it: _sets(it, words), f"id {kind}, grams binary").dropDuplicates(["id"]), "ngram-sets")
+    sets = stored(mapped(kept, lambda it: _sets(it, words), f"id {kind}, grams binary").dropDuplicates(["id"]), "ngram-sets")
+    discard(asked)
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -278,14 +302,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, recall: float = RECALL, small: int = SMALL) -> DataFrame:
     """One row per document: (id_col, class_id, n_links, n_copies). class_id: smallest id of the documents that links and copies join;
     n_links: links of its text to different texts, all of them verified; n_copies: rows with its n-gram set, itself included."""
-    links, blocks, members = _joined(docs, id_col, text_col, words, recall, small)
+    links, blocks, members, spent = _joined(docs, id_col, text_col, words, recall, small)
     joins = links.select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     if blocks is not None:
         bands, kind = choose_bands(THRESHOLD, recall)[0], links.schema["a"].dataType.simpleString()
-        sums = stored(blocks.applyInArrow(lambda t: _summed(t, bands), f"a {kind}, b {kind}, links long"), "ngram-sums")
+        sums = stored(blocks.applyInArrow(lambda t: _summed(t, bands), f"a {kind}, b {kind}, links long"), "ngram-sums")  # cuts the lineage: what the blocks read is needed no more
         joins = joins.union(sums.where("links IS NULL").select("a", "b"))
         degree = degree.union(sums.where("links IS NOT NULL").select("a", "links"))
+    discard(*spent)
     degree = degree.groupBy("rep").agg(F.sum("n").alias("n_links"))
     classes = degree.join(components(joins).withColumnRenamed("id", "rep"), "rep")
     found = members.join(classes, "rep", "left")

@@ -1,8 +1,8 @@
 """Quality classifier: a linear-chain conditional random field labels every line good or bad; length-weighted marginals make the document's score.
 
 Features of a line: its looks (shares of byte groups, word length, length), whether the line stood in the text before, and the
-same of the lines before and after. The field has two states; it is trained by maximum likelihood on a bounded sample of labelled rows (smallest hashed
-ids), each line bearing its document's label. A document's quality is the mean of its lines' forward-backward marginals, weighted by length, mapped
+same of the lines before and after. The field has two states; it is trained by maximum likelihood on a bounded sample of labelled rows (SAMPLE_ROWS, smallest hashed
+ids, texts of up to SAMPLE_LINES lines and SAMPLE_TEXT_BYTES), each line bearing its document's label. A document's quality is the mean of its lines' forward-backward marginals, weighted by length, mapped
 to a probability by a logistic curve that is fitted on the same sample.
 
 Defined results: null counts as empty; an empty text is one empty line and is scored as such. Equal texts get equal scores. Null ids are kept.
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, mapped, table, whole
+from eventloom.llm.common import bounded_sample, labelled_texts, mapped, table, whole
 from eventloom.llm.learn import fit_logistic, looks, sigmoid
 from eventloom.llm.texthash import _P, mix, slices
 
 SAMPLE_ROWS, ROUNDS, GOOD = 4000, 150, 0.3
+#: Texts of more lines are no part of the sample.
+SAMPLE_LINES = 1000
 
 
 def line_features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +138,8 @@ def fit_field(x: np.ndarray, length: np.ndarray, first: np.ndarray, good: np.nda
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Field:
     """Fits the field on at most sample_rows rows of labels(id_col, label)."""
     chosen = bounded_sample(labels.select(id_col, F.col(label).cast("int").alias("good")).dropna(), id_col, sample_rows)
-    rows = docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "good")  # at most sample_rows rows are sent
+    lines = F.size(F.split("text", "\n"))
+    rows = labelled_texts(docs, chosen, id_col, text_col, ["good"]).where(lines <= SAMPLE_LINES)
     got = mapped(rows, _sample_lines, "good int, length array<double>, features array<double>").toArrow()
     parts = sorted(zip(got["good"].to_pylist(), (np.array(c) for c in got["length"].to_pylist()), (np.array(c) for c in got["features"].to_pylist()), strict=True), key=lambda r: (r[0], r[2].tobytes()))
     if not parts:

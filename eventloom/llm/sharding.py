@@ -1,7 +1,7 @@
 """Sharding by Hilbert order: metadata dimensions are quantised, rows sorted by their curve index and cut into runs of equal count.
 
-* Quantisation: each dimension becomes a number (a string its first eight bytes, which keeps the order), and approximate quantiles over all
-  rows give its 2^bits bins; so bins hold about equal rows, and ties fall into one bin.
+* Quantisation: the distinct values of each dimension are counted and ranked (whole strings, numbers as they are), and a value's rank gives one of 2^bits bins;
+  so bins hold about equal rows, and ties fall into one bin.
 * Curve: the Hilbert index of every cell comes from a table of 2^(bits * dimensions) rows that a rule makes; its size is a parameter,
   and it is the only table that is broadcast (beside one row for each partition).
 * Order: (index, CRC-32 of the text, id, hash of the text). One range shuffle of narrow rows sorts them; a hot cell is cut like any other, since its rows
@@ -12,7 +12,7 @@
 Neighbouring shards cover compact boxes of the dimensions, so min/max statistics of files prune on each of them.
 
 Defined results: null dimension values come before all others; null texts have no bytes (size 16, CRC 0). Rows that repeat get neighbouring places. Fewer rows than
-shards leave shards empty. Null ids are kept and come first. Extra columns aren't read.
+shards leave shards empty. Null ids are kept and come first of their texts' place. Equal texts lie side by side only if their dimensions are equal. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import stored, table, whole
+from eventloom.llm.common import discard, stored, table, whole
 
 SHARDS, BITS = 40, 4
 
@@ -63,24 +63,28 @@ def _rotate_left(x: int, by: int, n: int) -> int:
     return _rotate_right(x, n - by % n, n)
 
 
-def as_number(column: Column, kind: str) -> Column:
-    """Order-keeping number: strings by their first eight bytes (63 bits of them), others as they are."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def cut_points(rows: DataFrame, dim: str, bits: int) -> list[tuple[object, int]]:
+    """(smallest value, bin) of the bins above 0 that a value opens: a value's bin is floor(2^bits * rows below it / rows), by its rank among the counted distinct values, whole
+    strings included. One range shuffle of (value, count); at most 2^bits - 1 values reach the driver."""
+    counts = rows.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = stored(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()), "shard-values")
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("rows"))  # one row for each partition of the range shuffle
+    before = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    total = placed.agg(F.sum("n")).first()[0] or 1
+    below = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value")) - F.col("n")
+    binned = placed.join(F.broadcast(before), "part").withColumn("bin", F.floor(below * F.lit(1 << bits) / F.lit(total)).cast("int"))
+    found = [(r.value, r.bin) for r in binned.groupBy("bin").agg(F.min("value").alias("value")).where("bin > 0").collect()]
+    discard(placed)
+    return sorted(found, key=lambda x: x[1])
 
 
 def quantised(rows: DataFrame, dims: list[str], bits: int) -> DataFrame:
-    """rows with bin_0, bin_1, ...: number of the cut points at or below the value, 0 to 2^bits - 1 (null: 0)."""
-    n = 1 << bits
-    at = [k / n for k in range(1, n)]
-    cuts = rows.agg(*(F.percentile_approx(d, at, 10_000).alias(d) for d in dims)).first()
-    for k, d in enumerate(dims):
-        points = sorted(set(cuts[d] or []))
-        above = F.lit(0)
-        for x in points:
-            above = above + (F.col(d) >= F.lit(x)).cast("int")
-        rows = rows.withColumn(f"bin_{k}", F.coalesce(above, F.lit(0)))
+    """rows with bin_0, bin_1, ..., 0 to 2^bits - 1 (null: 0)."""
+    for k, dim in enumerate(dims):
+        number = F.lit(0)
+        for value, n in cut_points(rows, dim, bits):
+            number = F.when(F.col(dim) >= F.lit(value), F.lit(n)).otherwise(number)
+        rows = rows.withColumn(f"bin_{k}", number)
     return rows
 
 
@@ -96,10 +100,8 @@ def curve(spark: SparkSession, dims: int, bits: int) -> DataFrame:
 def hilbert_shards(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """(id_col, size, text_crc32, curve_index, dims..., shard, slot) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(whole(text_col)) + 16).cast("long").alias("size"), F.crc32(F.encode(whole(text_col), "UTF-8")).alias("text_crc32"), F.xxhash64(whole(text_col)).alias("tie"), *(c.alias(f"dim_{k}") for k, c in enumerate(dims.values())))
-    kinds = dict(rows.dtypes)
     names = [f"dim_{k}" for k in range(len(dims))]
-    rows = stored(rows.select("id", "size", "text_crc32", "tie", *names, *(as_number(F.col(n), kinds[n]).alias(f"num_{k}") for k, n in enumerate(names))), "shard-rows")
-    binned = quantised(rows, [f"num_{k}" for k in range(len(dims))], bits)
+    binned = quantised(stored(rows, "shard-rows"), names, bits)
     bins = [f"bin_{k}" for k in range(len(dims))]
     placed = binned.join(F.broadcast(curve(docs.sparkSession, len(dims), bits)), bins)
     order = ["curve_index", "text_crc32", "id", "tie"]

@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain: categories are predicted one after the other, each linear model gets the probabilities of the
 earlier categories as features, and while training these probabilities are out-of-fold predictions.
 
-The models are fitted on a bounded sample of labelled rows (`sample_rows`, smallest hashed ids). Features: presence of the words (runs of letters,
+The models are fitted on a bounded sample of labelled rows (`sample_rows`, smallest hashed ids; texts of up to SAMPLE_TEXT_BYTES). Rows of equal content share a fold; a
+fold's words, scales and weights are chosen without it. Features: presence of the words (runs of letters,
 ASCII capitals as small) that tell the sample's categories best, and shares of byte groups. Scoring reads every whole text once, in numpy.
 
 Defined results: null and empty texts have no words and get the chain's constant terms; where no sample row is labelled, or a category has one value only,
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, mapped, table, whole
+from eventloom.llm.common import bounded_sample, labelled_texts, mapped, table, whole
 from eventloom.llm.learn import fit_logistic, looks, predict_logistic
-from eventloom.llm.texthash import slices, word_hashes
+from eventloom.llm.texthash import mix, slices, word_hashes
 
 SAMPLE_ROWS, WORD_FEATURES, FOLDS = 8000, 160, 5
 #: A document at or above this probability of being toxic is rejected.
@@ -83,22 +84,48 @@ def telling_words(owner: np.ndarray, words: np.ndarray, y: np.ndarray, most: int
     return np.sort(known[chosen[best[chosen] > 0]])
 
 
-def fit_chain(owner: np.ndarray, words: np.ndarray, look: np.ndarray, y: np.ndarray, most: int = WORD_FEATURES, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
-    """(chain, out-of-fold probabilities of the rows). owner, words: a pair for each distinct word of each row; y: rows x categories of 0 and 1."""
-    chosen = telling_words(owner, words, y, most)
-    middle = look.mean(axis=0) if len(look) else np.zeros(look.shape[1])
-    spread = np.maximum(look.std(axis=0), 1e-6) if len(look) else np.ones(look.shape[1])
-    chain = Chain(chosen, middle, spread, [])
+def content_order(owner: np.ndarray, words: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each row when sorted by content, group of each row): rows of equal content share a group, whatever order they come in."""
+    mixed = np.zeros(len(look), np.uint64)
+    np.add.at(mixed, owner, mix(words))
+    key = np.column_stack((mixed.astype(np.float64), look)) if len(look) else np.zeros((0, 1))
+    _, group = np.unique(key, axis=0, return_inverse=True)
+    place = np.empty(len(look), int)
+    place[np.lexsort((np.arange(len(look)), group.ravel()))] = np.arange(len(look))
+    return place, group.ravel()
+
+
+def fit_once(owner: np.ndarray, words: np.ndarray, look: np.ndarray, y: np.ndarray, rows: np.ndarray, most: int) -> Chain:
+    """A chain without weights yet: words and scales chosen by the rows in the mask alone."""
+    mine = rows[owner]
+    numbers = np.cumsum(rows) - 1
+    chosen = telling_words(numbers[owner[mine]], words[mine], y[rows], most)
+    some = look[rows]
+    middle = some.mean(axis=0) if len(some) else np.zeros(look.shape[1])
+    spread = np.maximum(some.std(axis=0), 1e-6) if len(some) else np.ones(look.shape[1])
+    return Chain(chosen, middle, spread, [])
+
+
+def fit_chain(owner: np.ndarray, words: np.ndarray, look: np.ndarray, y: np.ndarray, group: np.ndarray | None = None, most: int = WORD_FEATURES, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
+    """(chain, out-of-fold probabilities of the rows). owner, words: a pair for each distinct word of each row; y: rows x categories of 0 and 1; group: rows of one group fall into one fold.
+
+    A fold's probabilities come from models whose words, scales and weights the other folds alone have chosen; where these have no row, the probability is 0.5."""
     order = np.argsort(owner, kind="stable")
-    x = chain.features(words[order], np.searchsorted(owner[order], np.arange(len(y) + 1)), look)
-    fold, seen = np.arange(len(y)) % folds, np.zeros((len(y), 0))
+    at = np.searchsorted(owner[order], np.arange(len(y) + 1))
+    fold = (np.arange(len(y)) if group is None else group) % folds
+    chain = fit_once(owner, words, look, y, np.ones(len(y), bool), most)
+    x = chain.features(words[order], at, look)
+    parts = []  # (rows of the fold, features of all rows as the other folds see them)
+    for k in range(folds):
+        if (fold == k).any() and (fold != k).any():
+            parts.append((fold == k, fit_once(owner, words, look, y, fold != k, most).features(words[order], at, look)))
+    seen = np.zeros((len(y), 0))
     for c in range(y.shape[1]):
-        with_seen = np.column_stack((x, seen))
-        out = np.zeros(len(y))
-        for k in range(folds):
-            if (fold == k).any() and (fold != k).any():
-                out[fold == k] = predict_logistic(with_seen[fold == k], fit_logistic(with_seen[fold != k], y[fold != k, c]))
-        chain.weights.append(fit_logistic(with_seen, y[:, c]))
+        out = np.full(len(y), 0.5)
+        for rows, own in parts:
+            with_seen = np.column_stack((own, seen))
+            out[rows] = predict_logistic(with_seen[rows], fit_logistic(with_seen[~rows], y[~rows, c]))
+        chain.weights.append(fit_logistic(np.column_stack((x, seen)), y[:, c]))
         seen = np.column_stack((seen, out))
     return chain, seen
 
@@ -106,10 +133,9 @@ def fit_chain(owner: np.ndarray, words: np.ndarray, look: np.ndarray, y: np.ndar
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Chain, np.ndarray, np.ndarray]:
     """Fits a chain on at most sample_rows rows of labels(id_col, ...): (chain, out-of-fold probabilities, labels). categories: 0/1 columns over labels, in chain order."""
     flags = labels.select(id_col, *(c.cast("int").alias(f"flag_{k}") for k, c in enumerate(categories.values()))).dropna()
-    chosen = bounded_sample(flags, id_col, sample_rows)
-    rows = docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).drop(id_col)  # at most sample_rows rows are sent
     names = [f"flag_{k}" for k in range(len(categories))]
-    got = mapped(rows.select("text", *names), _sample_words, "words array<long>, looks array<double>, " + ", ".join(f"{n} int" for n in names)).toArrow()
+    rows = labelled_texts(docs, bounded_sample(flags, id_col, sample_rows), id_col, text_col, names)
+    got = mapped(rows, _sample_words, "words array<long>, looks array<double>, " + ", ".join(f"{n} int" for n in names)).toArrow()
     lists = got["words"].combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
     owner = np.repeat(np.arange(len(got)), np.asarray(lists.value_lengths()).astype(int)) if len(got) else np.zeros(0, int)
@@ -117,10 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], i
     width = len(looks(np.zeros(1, np.uint8), np.array([0]), np.array([1]))[0])
     look = np.array(got["looks"].to_pylist(), float).reshape(len(got), width)
     y = np.column_stack([np.asarray(got[n]).astype(float) for n in names])
-    order = np.lexsort((look[:, -1], look[:, 0], np.bincount(owner, weights=words.astype(float), minlength=len(got)))) if len(got) else np.zeros(0, int)
-    place = np.empty(len(order), int)
-    place[order] = np.arange(len(order))  # rows come in any order from the cluster: sorted by content, the fit is always the same
-    chain, oof = fit_chain(place[owner], words, look[order], y[order])
+    place, group = content_order(owner, words, look)  # rows come in any order from the cluster: sorted by content, the fit is always the same
+    order = np.argsort(place)
+    chain, oof = fit_chain(place[owner], words, look[order], y[order], group[order])
     return chain, oof, y[order]
 
 

@@ -107,6 +107,57 @@ def test_chain_uses_earlier_categories_out_of_fold():
     assert ((oof[:, 1] > 0.5) == (y0 == 1)).mean() > 0.9
 
 
+def brute_chain(rows, look, y, group, most, folds):
+    """Out-of-fold probabilities of a chain, with sets of words and plain loops; rows: a set of words each."""
+
+    def words_of(some):
+        best = {}
+        for w in sorted(set().union(*(rows[i] for i in some))):
+            have = [i for i in some if w in rows[i]]
+            scores = [0.0]
+            for c in range(y.shape[1]):
+                share = sum(y[i, c] for i in some) / len(some)
+                if 0 < share < 1:
+                    scores.append((sum(y[i, c] for i in have) - len(have) * share) ** 2 / (len(have) * share * (1 - share)))
+            best[w] = max(scores) if len(have) >= 5 else 0.0
+        return sorted(w for w in sorted(best, key=lambda w: -best[w])[:most] if best[w] > 0)
+
+    out = np.zeros_like(y)
+    for c in range(y.shape[1]):
+        for k in range(folds):
+            test, rest = [i for i in range(len(rows)) if group[i] % folds == k], [i for i in range(len(rows)) if group[i] % folds != k]
+            chosen, middle, spread = words_of(rest), look[rest].mean(axis=0), np.maximum(look[rest].std(axis=0), 1e-6)
+            x = np.array([[float(w in rows[i]) for w in chosen] + list((look[i] - middle) / spread) + list(out[i, :c]) for i in range(len(rows))])
+            w = learn.fit_logistic(x[rest], y[rest, c])
+            out[test, c] = [1 / (1 + np.exp(-(x[i] @ w[:-1] + w[-1]))) for i in test]
+    return out
+
+
+def test_chain_against_brute_force():
+    rng = np.random.default_rng(4)
+    y = np.column_stack((rng.random(240) < 0.4, rng.random(240) < 0.3)).astype(float)
+    rows = [{int(w) for w in rng.integers(1, 60, 12)} | ({100} if a and rng.random() < 0.8 else set()) | ({200} if b and rng.random() < 0.7 else set()) for a, b in y]
+    look, group = rng.normal(size=(240, 3)), rng.integers(0, 100, 240)
+    owner = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
+    _, oof = toxicity.fit_chain(owner, np.array([w for r in rows for w in sorted(r)], np.uint64), look, y, group, most=7, folds=5)
+    assert np.allclose(oof, brute_chain(rows, look, y, group, 7, 5), atol=1e-6)
+
+
+def test_out_of_fold_probabilities_know_nothing_of_their_fold():
+    """Labels that nothing tells: words chosen with the fold's own rows would seem to tell them."""
+    rng = np.random.default_rng(0)
+    y = (rng.random(600) < 0.5).astype(float)[:, None]
+    owner, words = np.repeat(np.arange(600), 40), rng.integers(0, 3000, 24_000).astype(np.uint64)
+    _, oof = toxicity.fit_chain(owner, words, rng.normal(size=(600, 3)), y)
+    assert abs(auc(oof[:, 0], y[:, 0]) - 0.5) < 0.08
+
+
+def test_equal_content_shares_a_fold():
+    look = np.array([[1.0], [2.0], [1.0]])
+    place, group = toxicity.content_order(np.array([0, 1, 2]), np.array([5, 5, 5], np.uint64), look)
+    assert group[0] == group[2] != group[1] and sorted(place) == [0, 1, 2]
+
+
 def test_toxicity_of_odd_rows(odd, none, spark, labels):
     chain, _, _ = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels, toxicity.label_categories())
     got = toxicity.score(odd, chain, list(toxicity.CATEGORIES)).collect()
@@ -150,7 +201,10 @@ def test_mixing(spark, odd, none, labels):
     totals = got.groupby("likeliest").apply(lambda g: (g.n_tokens * g.rate).sum(), include_groups=False)
     assert abs(totals["en"] / totals.sum() - mixing.WEIGHTS["en"]) < 0.05
     labelled = mixing.label_domains(docs, labels)
-    assert mixing.mix(odd, labelled).count() == 10 and mixing.mix(none, labelled).count() == 0
+    assert mixing.mix(odd, labelled)[0].count() == 10 and mixing.mix(none, labelled)[0].count() == 0
+    assert np.allclose(got.groupby("likeliest").domain_total.first() / got.groupby("likeliest").domain_target.first(), 1, rtol=0.02)
+    nameless = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "d e")], "doc_id long, text string")
+    assert [r.n_tokens for r in mixing.mix(nameless, labelled)[0].where("doc_id IS NULL").collect()] == [3, 3]
 
 
 def test_softmax_and_logistic():

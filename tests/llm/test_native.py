@@ -214,7 +214,7 @@ def test_fingerprints_of_null_and_repeated_ids(spark, odd):
 
 def test_warc_audit(spark):
     rows = spark.range(3000).select(F.col("id").alias("page_id"), warc_audit.record(F.concat(F.lit("u"), F.col("id").cast("string")), F.lit("body é")).alias("record"))
-    good = warc_audit.laid_out(warc_audit.digested(rows))
+    good = warc_audit.laid_out(warc_audit.slotted(warc_audit.digested(rows)))
     hurt = rows.where("page_id <> 7").withColumn("record", F.when(F.col("page_id") == 1500, F.concat(F.lit("w"), F.substring("record", 2, 1000))).when(F.col("page_id") == 2999, F.lit("")).otherwise(F.col("record")))
     bad = warc_audit.digested(hurt).join(good.select("page_id", (F.col("offset") + (F.col("page_id") == 9).cast("int")).alias("offset")), "page_id")
     bad = bad.union(spark.createDataFrame([(5000, 3, "new", 0)], "page_id long, length long, digest string, offset long"))
@@ -225,13 +225,34 @@ def test_warc_audit(spark):
 
 def test_warc_odd_rows(spark):
     rows = spark.createDataFrame([(None, "x"), (1, "a"), (1, "a"), (1, "b"), (1 << 40, "far")], "page_id long, record string")
-    laid = warc_audit.laid_out(warc_audit.digested(rows))
+    lay = lambda df: warc_audit.laid_out(warc_audit.slotted(warc_audit.digested(df)))
+    laid = lay(rows)
     assert warc_audit.audit(laid, laid).count() == 0 and warc_audit.unslotted(rows).count() == 1
-    assert [r.status for r in warc_audit.audit(laid, laid.where(F.col("digest") != F.sha2(F.lit("b"), 256))).collect()] == ["truncated"]
+    assert [r.status for r in warc_audit.audit(laid, lay(rows.where("record <> 'b'"))).collect()] == ["truncated"]
+    swapped = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1 << 40, "far")], "page_id long, record string")
+    assert [(r.page_id, r.status) for r in warc_audit.audit(laid, lay(swapped)).collect()] == [(1, "corrupt")]
+    clashing = rows.select("page_id", "record", F.lit("x").alias("digest"), F.lit("y").alias("offset"), F.lit(1).alias("node"), F.lit(2).alias("length"))
+    assert warc_audit.audit(laid, lay(clashing)).count() == 0
     empty = laid.limit(0)
     assert warc_audit.audit(empty, empty).count() == 0
 
 
+def test_nodes_are_offset_ranges(spark):
+    """Every inner node spans its slots, from file and offset to file and offset, against plain Python."""
+    rows = spark.range(2500).select(F.col("id").alias("page_id"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("record"))
+    leaf = warc_audit.leaves(warc_audit.laid_out(warc_audit.slotted(warc_audit.digested(rows))))
+    offset, end = {}, {}
+    for k in range(2500):
+        offset[k] = 0 if k % 1024 == 0 else end[k - 1]
+        end[k] = offset[k] + k % 7
+    level, size = leaf, 1
+    for _ in range(3):
+        level, size = warc_audit.parents(level), size * warc_audit.FANOUT
+        for r in level.collect():
+            low, high = r.node * size, min((r.node + 1) * size, 2500) - 1
+            assert tuple(r.first) == (low // 1024, offset[low]) and tuple(r.last) == (high // 1024, max(end[k] for k in range(low, high + 1) if k // 1024 == high // 1024))
+
+
 def test_hilbert_curve_is_a_walk():
     for dims, bits in ((2, 3), (3, 2), (3, 4)):
         side = range(1 << bits)
@@ -261,3 +282,19 @@ def test_shards_of_odd_rows(odd, none):
     got = sharding.hilbert_shards(odd, dims, shards=4).toPandas()
     assert sorted(got["shard"].value_counts()) == [2, 2, 3, 3] and got[got.doc_id == 1]["size"].item() == 16
     assert sharding.hilbert_shards(none, dims).count() == 0
+
+
+def test_bins_of_long_shared_prefixes(spark):
+    """Values are ranked whole: ten sources with one long prefix fall into ten bins, numbers beyond 2^53 into their own."""
+    rows = spark.createDataFrame([(k, f"xhttps://a.org/a/long/shared/path/{k % 10}", (1 << 60) + k % 4, None if k % 2 else "v") for k in range(400)], "id long, s string, n long, half string")
+    got = sharding.quantised(rows, ["s", "n", "half"], 4)
+    assert got.select("s", "bin_0").distinct().count() == got.select("bin_0").distinct().count() == 10
+    assert sorted(r.bin_1 for r in got.select("bin_1").distinct().collect()) == [0, 4, 8, 12]
+    assert [r.bin_2 for r in got.select("bin_2").distinct().collect()] == [0]
+    assert sorted((r.s, r.bin_0) for r in got.select("s", "bin_0").distinct().collect()) == [(f"xhttps://a.org/a/long/shared/path/{k}", k * 16 // 10) for k in range(10)]
+
+
+def test_shards_of_null_ids(spark):
+    rows = spark.createDataFrame([(None, "a", "en"), (None, "a", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    got = sharding.hilbert_shards(rows, {"lang": F.col("lang")}, shards=2).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in got) == [(0, 17), (0, 17), (2, 16)] and sorted(r.shard for r in got) == [0, 0, 1]
