@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents thinned to the target weights: rates are bounded by 1, so no document comes twice."""
     rows = _numbered(docs)
     labelled = mixing.label_domains(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(rows, labelled, max_rate=1.0, keep_col=KEY)
+    mixed, _ = mixing.mix(rows, labelled, max_rate=1.0, keep_col=KEY)
     key = F.col(KEY)
     copies = F.when(key["nameless"], mixing.copies(F.col("rate"), key["digest"])).otherwise(mixing.copies(F.col("rate"), key["doc_id"]))
     return _without(rows, mixed.where(copies < 1).select(f"{KEY}.{ROW}"), docs.columns)
