@@ -103,6 +103,20 @@ def test_licences(spark, odd, none):
     assert license_scan.license_scan(odd).count() == license_scan.license_scan(none).count() == 0
 
 
+def test_licences_inside_longer_text(spark):
+    """Notices within a line, over line ends, with usual wordings; licences of like wording don't add their names; null ids are one document."""
+    texts = [
+        (1, "Copyright 2020 Foo Corp and contributors. Released under the MIT License. See the file for details."),
+        (2, "some words before it, licensed under the\nApache License,\nVersion 2.0, and words after"), (3, "This project is licensed under the GNU General Public License, version 2."),
+        (4, "Copyright 2024 Acme Corp. Licensed under the MIT License."), (5, "available under the Eclipse Public License 2.0"), (6, "the license was available under the public bridge and released the work"),
+        (7, "x y z " * 300 + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution." + " q" * 500),
+        (None, "Released under the ISC License."), (None, "a. Released under the ISC License. b"), (8, "License"), (9, "Licensed under CC BY 4.0. Also: licensed under CC BY-SA 4.0."),
+    ]
+    got = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.license) for r in got) == [(0, "ISC"), (1, "MIT"), (2, "Apache-2.0"), (3, "GPL-2.0"), (4, "MIT"), (5, "EPL-2.0"), (7, "BSD-2-Clause"), (7, "BSD-3-Clause"), (9, "CC-BY-4.0"), (9, "CC-BY-SA-4.0")]
+    assert {(r.doc_id, r.unit) for r in got} >= {(1, "window"), (2, "window"), (3, "text")} and all(r.dice >= 0.8 for r in got)
+
+
 def test_licence_pruning_loses_nothing():
     """Brute force: every subset of a template that reaches the threshold holds an anchor and an admitted size."""
     rng = np.random.default_rng(1)
