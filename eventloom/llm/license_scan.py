@@ -89,6 +89,10 @@ TEXTS = {
 TEMPLATES = {name: [w.format(n) for n in NAMES.get(name, ()) for w in WORDINGS] + TEXTS.get(name, []) for name in sorted({*NAMES, *TEXTS})}
 
 
+#: Words of any English text: anchors only where a template has too few others.
+COMMON = {"a", "all", "and", "any", "anyone", "as", "be", "by", "can", "file", "for", "from", "in", "is", "it", "not", "of", "on", "or", "project", "that", "the", "this", "to", "under", "use", "with", "work", "you"}
+
+
 def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
@@ -99,9 +103,9 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def anchor_words(grams: list[str], threshold: float) -> set[str]:
-    """Longest words first, until fewer bigrams are untouched than any match must hold."""
+    """Telling words first (longest first, numbers and COMMON words last), until fewer bigrams are untouched than any match must hold."""
     need, left, anchors = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9), list(grams), set()
-    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, w.isdigit(), -len(w), w)):
         if len(left) < need:
             break
         anchors.add(word)
@@ -118,6 +122,11 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2))))
 
 
+def once(value: Column) -> Column:
+    """The value, computed once a row: as the one element of an exploded array it isn't put into the filters and lambdas that read it."""
+    return F.explode(F.array(value))
+
+
 def _units(bodies: Column, kind: int) -> Column:
     return F.transform(bodies, lambda body, i: F.struct(F.lit(kind).alias("unit"), i.cast("int").alias("position"), body.alias("body")))
 
@@ -144,18 +153,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(rows, "license-texts")
     lines, paragraphs = F.split("text", "\n"), F.split("text", "\n[ \t]*\n")
     parts = F.flatten(F.array(_units(F.array("text"), 0), _units(lines, 1), _units(paragraphs, 2)))
-    units = rows.select("id", F.explode(F.filter(parts, lambda u: has_stem(u["body"]))).alias("u")).select("id", "u.unit", "u.position", words(F.col("u.body")).alias("words"))
-    units = units.select("id", "unit", "position", bigrams(F.col("words")).alias("own"))
+    units = rows.select("id", F.explode(F.filter(parts, lambda u: has_stem(u["body"]))).alias("u")).select("id", "u.unit", "u.position", once(words(F.col("u.body"))).alias("words"))
+    units = units.select("id", "unit", "position", once(bigrams(F.col("words"))).alias("own"))
     whole_units = units.withColumn("n_unit", F.size("own")).join(F.broadcast(by_size), "n_unit").select("id", "license", "unit", "position", "own", "grams")
 
-    told = rows.select("id", words(F.col("text")).alias("words"))
+    told = rows.select("id", once(words(F.col("text"))).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(anchors))
     near = told.select("id", "words", F.explode(hits).alias("hit"))  # a stretch around each anchor, long enough for every template
     first = F.greatest(F.col("hit.at") - longest, F.lit(0))
     near = near.select("id", F.col("hit.at").alias("position"), F.col("hit.word").alias("anchor"), (F.col("hit.at") - first).alias("inside"), F.slice("words", first + 1, F.lit(2 * longest + 1)).alias("stretch"))
     begin = F.col("inside") - F.col("place")
-    windows = near.join(F.broadcast(by_anchor), "anchor").select("id", "license", "position", "grams", F.slice("stretch", F.greatest(begin, F.lit(0)) + 1, F.greatest(F.least(F.col("n_words"), begin + F.col("n_words")), F.lit(0))).alias("words"))
-    windows = windows.select("id", "license", F.lit(3).alias("unit"), F.col("position").cast("int").alias("position"), bigrams(F.col("words")).alias("own"), "grams").where((F.size("own") >= F.size("grams") * low - 1e-9) & (F.size("own") <= F.size("grams") * high + 1e-9))
+    piece = F.slice("stretch", F.greatest(begin, F.lit(0)) + 1, F.greatest(F.least(F.col("n_words"), begin + F.col("n_words")), F.lit(0)))
+    windows = near.join(F.broadcast(by_anchor), "anchor").select("id", "license", "position", "grams", once(piece).alias("words"))
+    windows = windows.select("id", "license", F.lit(3).alias("unit"), F.col("position").cast("int").alias("position"), once(bigrams(F.col("words"))).alias("own"), "grams")
+    windows = windows.where((F.size("own") >= F.size("grams") * low - 1e-9) & (F.size("own") <= F.size("grams") * high + 1e-9))
 
     every = whole_units.unionByName(windows)
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.size("grams"))
