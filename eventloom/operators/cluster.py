@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,50 +85,111 @@ def decided(met: DataFrame, company: Column | None = None, hours: int = WINDOW_H
 
 
 def resolved(pair_rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """AMBIGUOUS pairs (left_id, right_id, decision, ...) take the table's verdict; a missing or failed one counts as DIFFERENT."""
-    met = pair_rows.join(verdicts.select("left_id", "right_id", "verdict"), ["left_id", "right_id"], "left")
+    """AMBIGUOUS pairs (left_id, right_id, decision, ...) take the table's verdict (left_id, right_id, verdict; in either order); a missing, failed or contradictory one counts as DIFFERENT."""
+    one = verdicts.groupBy(F.least("left_id", "right_id").alias("_a"), F.greatest("left_id", "right_id").alias("_b")).agg(F.min("verdict").alias("verdict"), F.count_distinct("verdict").alias("_n"))
+    met = pair_rows.withColumn("_a", F.least("left_id", "right_id")).withColumn("_b", F.greatest("left_id", "right_id")).join(one, ["_a", "_b"], "left")
     ambiguous = F.col("decision") == "AMBIGUOUS"
-    verdict = F.when(F.col("verdict").isin("SAME_EVENT", "DIFFERENT_EVENT"), F.col("verdict")).otherwise("DIFFERENT_EVENT")
-    return met.withColumn("final_decision", F.when(ambiguous, verdict).otherwise(F.col("decision"))).withColumn("resolver_used", ambiguous)
+    verdict = F.when((F.col("verdict") == "SAME_EVENT") & (F.col("_n") == 1), "SAME_EVENT").otherwise("DIFFERENT_EVENT")
+    return met.withColumn("final_decision", F.when(ambiguous, verdict).otherwise(F.col("decision"))).withColumn("resolver_used", ambiguous).drop("_a", "_b", "_n")
 
 
-MAX_COMPONENT = 5000
+def asked_pairs(rows: DataFrame, scope: list[str], verdicts: DataFrame) -> DataFrame:
+    """The pairs (l, r structs as in `pairs`) that the verdict table calls SAME: no other pair without a common block can be SAME in the end."""
+    same = verdicts.where("verdict = 'SAME_EVENT'").select("left_id", "right_id")
+    side = lambda name: rows.select(F.col("id").alias(f"{name}_id"), *(F.col(c).alias(f"_{name}_{c}") for c in scope), F.struct("ord", "id", "published_at", "title_key", "facts").alias(name))
+    met = same.join(side("left"), "left_id").join(side("right"), "right_id").where("left_id <> right_id")
+    for c in scope:
+        met = met.where(F.col(f"_left_{c}") == F.col(f"_right_{c}"))
+    turned = F.col("left.ord") > F.col("right.ord")
+    return met.select(*(F.col(f"_left_{c}").alias(c) for c in scope), F.when(turned, F.col("right")).otherwise(F.col("left")).alias("l"), F.when(turned, F.col("left")).otherwise(F.col("right")).alias("r"))
 
 
-def greedy_groups(rows: DataFrame, same: DataFrame) -> DataFrame:
+def same_pairs(ordered: DataFrame, scope: list[str], company: Column | None, hours: int, verdicts: DataFrame | None) -> DataFrame:
+    """(l, r ids) of the pairs that are SAME by the rules, or AMBIGUOUS and SAME by the verdict table."""
+    met = pairs(ordered, scope, hours)
+    if verdicts is not None:
+        more = asked_pairs(ordered, scope, verdicts)
+        met = met.unionByName(more).withColumn("_l", F.col("l.id")).withColumn("_r", F.col("r.id")).dropDuplicates(["_l", "_r"]).drop("_l", "_r")
+    said = decided(met, company, hours).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "decision")
+    if verdicts is not None:
+        said = resolved(said, verdicts).select("left_id", "right_id", F.col("final_decision").alias("decision"))
+    return stored(said.where("decision = 'SAME_EVENT'").select(F.col("left_id").alias("l"), F.col("right_id").alias("r")), "cluster-same")
+
+
+#: Rows of a component that are settled at once; a larger component takes several rounds.
+CHUNK = 5000
+
+
+def greedy_groups(rows: DataFrame, same: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """rows(id, ord), same(l, r ids) -> (id, group): the id of the first row of its group. In order of ord, a row joins the first group all of
-    whose members it is SAME with. A group lies in one component of the SAME graph, so only components are gathered; beyond MAX_COMPONENT rows the run stops with a message."""
-    labels = components(same.select(F.col("l").alias("a"), F.col("r").alias("b")))
-    members = stored(labels.join(rows.select("id", "ord"), "id"), "cluster-members")
-    largest = members.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    if largest > MAX_COMPONENT:
-        raise ValueError(f"a component has {largest} rows, more than {MAX_COMPONENT}: its block keys are too general")
-    linked = members.join(same.select(F.col("l").alias("id"), F.col("r").alias("other")).union(same.select(F.col("r").alias("id"), F.col("l").alias("other"))), "id").groupBy("label", "id", "ord").agg(F.collect_set("other").alias("others"))
-
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        out = []
-        for row in part.sort_values("ord").itertuples():
-            near = set(row.others)
-            home = next((g for g in groups if near.issuperset(g)), None)
-            if home is None:
-                home = []
-                groups.append(home)
-            home.append(row.id)
-            out.append((row.id, home[0]))
-        return pd.DataFrame(out, columns=["id", "group"])
+    whose members it is SAME with.
 
+    A group lies in one component of the SAME graph. The components' rows are settled in order, up to `chunk` rows of each in a round: joins tell for every row which settled groups it is SAME with
+    as a whole (its links into the group are as many as the group's members), and the round's rows of a component then meet in one task. So a task holds `chunk` rows at most, whatever the component's size."""
+    labels = components(same.select(F.col("l").alias("a"), F.col("r").alias("b")))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("ord", "id"))
+    members = stored(labels.join(rows.select("id", "ord"), "id").select("label", "id", place.alias("pos")), "cluster-members")
+    both = same.select(F.col("l").alias("id"), F.col("r").alias("other")).union(same.select(F.col("r").alias("id"), F.col("l").alias("other"))).distinct()
     kind = rows.schema["id"].dataType.simpleString()
-    grouped = linked.groupBy("label").applyInPandas(settle, f"id {kind}, `group` {kind}")
-    return rows.select("id").join(grouped, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
+    shape = f"label {labels.schema['label'].dataType.simpleString()}, id {kind}, `group` {kind}, first int"
+    largest, done = members.agg(F.max("pos")).first()[0] or 0, None
+    for begin in range(0, largest, chunk):
+        now = members.where(F.col("pos").between(begin + 1, begin + chunk))
+        linked = now.join(both, "id")
+        inside = linked.join(now.select(F.col("id").alias("other")), "other").groupBy("id").agg(F.collect_set("other").alias("others"))
+        todo = now.join(inside, "id", "left")
+        if done is None:
+            todo = todo.withColumn("homes", F.array().cast(f"array<struct<first:int,`group`:{kind}>>"))
+        else:
+            sizes = done.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+            whole = linked.join(done.select(F.col("id").alias("other"), "group", "first"), "other").groupBy("id", "group", "first").agg(F.count(F.lit(1)).alias("n")).join(sizes, "group").where("n = size")
+            todo = todo.join(whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "group"))).alias("homes")), "id", "left")
+        settled = stored(todo.groupBy("label").applyInPandas(_settled, shape), "cluster-settled")
+        done = settled if done is None else done.unionByName(settled)
+    if done is None:
+        return rows.select("id", F.col("id").alias("group"))
+    return rows.select("id").join(done.select("id", "group"), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
+
+
+def _settled(part: pd.DataFrame) -> pd.DataFrame:
+    """One component's rows (label, id, pos, others: SAME rows of this round, homes: settled groups they are SAME with as a whole), in order of pos."""
+    added: dict = {}  # group -> (its first place, its rows of this round)
+    out = []
+    for row in part.sort_values("pos").itertuples():
+        near = set(row.others) if row.others is not None else set()
+        old = [(h["first"], h["group"]) for h in row.homes] if row.homes is not None else []
+        fresh = sorted((first, group) for group, (first, _) in added.items() if first >= part["pos"].min())
+        home = next(((first, group) for first, group in old + fresh if near.issuperset(added[group][1] if group in added else ())), None)
+        first, group = home or (row.pos, row.id)
+        added.setdefault(group, (first, []))[1].append(row.id)
+        out.append((row.label, row.id, group, first))
+    return pd.DataFrame(out, columns=["label", "id", "group", "first"])
+
+
+def clustered(rows: DataFrame, hours: int = WINDOW_HOURS, verdicts: DataFrame | None = None) -> DataFrame:
+    """H8: rows(id, company, published_at, url, title_key, facts) -> (id, group). Pairs never leave their company. verdicts(left_id, right_id, verdict) settle AMBIGUOUS pairs."""
+    ordered = rows.withColumn("ord", F.struct(F.lower("company").alias("c"), F.col("published_at").isNull().alias("n"), F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("t"), F.lower("url").alias("u"), F.col("id").alias("i")))
+    return greedy_groups(ordered, same_pairs(ordered, ["company"], F.col("company"), hours, verdicts))
 
 
-def clustered(rows: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
-    """H8: rows(id, company, published_at, url, title_key, facts) -> (id, group). Pairs never leave their company."""
-    ordered = rows.withColumn("ord", F.struct(F.lower("company").alias("c"), F.col("published_at").isNull().alias("n"), F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("t"), F.lower("url").alias("u"), F.col("id").alias("i")))
-    same = decided(pairs(ordered, ["company"], hours), F.col("company"), hours).where("decision = 'SAME_EVENT'").select(F.col("l.id").alias("l"), F.col("r.id").alias("r"))
-    flat = ordered.withColumn("ord", F.concat_ws("\u0001", F.lower("company"), F.col("published_at").isNull().cast("string"), F.lpad(F.coalesce(F.unix_micros("published_at"), F.lit(0)).cast("string"), 20, "0"), F.lower("url"), F.col("id").cast("string")))
-    return greedy_groups(flat, stored(same, "cluster-same"))
+def external_clusters(links: DataFrame, hours: int = WINDOW_HOURS, verdicts: DataFrame | None = None) -> DataFrame:
+    """links(id, link_key, company, url, url_key, title, title_key, source, text, description, published_at, facts with families) -> (id, identity, best, group).
+
+    Links of one article (H9) are one identity, which its best link (H15, H16) stands for; identities in order of their first link_key are clustered as in H8, without companies. verdicts tell of best links."""
+    named = stored(links.join(identity_groups(links).withColumnRenamed("label", "identity"), "id"), "external-links")
+    ranked = represented(scored(named), "identity")
+    best = ranked.where("rank = 1").select("identity", "id", "published_at", "title_key", "facts").join(named.groupBy("identity").agg(F.min("link_key").alias("ord")), "identity")
+    best = stored(best, "external-best")
+    groups = greedy_groups(best, same_pairs(best, [], None, hours, verdicts)).withColumnRenamed("id", "best")
+    return named.select("id", "identity").join(best.select("identity", F.col("id").alias("best")), "identity").join(groups, "best").select("id", "identity", "best", "group")
+
+
+def collapses(links: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The audit of identities with several links: links(id, company, exposure_id, family), clusters(id, identity, best) -> (best, link ids, companies, exposures, families), each distinct and sorted."""
+    met = links.select("id", "company", "exposure_id", "family").join(clusters.select("id", "identity", "best"), "id")
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    got = met.groupBy("identity", "best").agg(F.count(F.lit(1)).alias("n"), listed("id").alias("link_ids"), listed("company").alias("companies"), listed("exposure_id").alias("exposures"), listed("family").alias("families"))
+    return got.where("n > 1").drop("n", "identity")
 
 
 def identity_groups(rows: DataFrame) -> DataFrame:
@@ -167,23 +229,19 @@ def represented(rows: DataFrame, group: str = "group", repost: Column | None = N
 
 
 def corroborating(rows: DataFrame, group: str = "group", limit: int = 3) -> DataFrame:
-    """rows(group, id, rank, url, score, facts) -> (group, pick, id): up to `limit` members that add most unseen signature words, then score, then the shorter url."""
-    slim = rows.select(group, "id", "rank", F.col("score.total").alias("total"), F.lower("url").alias("fold"), F.length("url").alias("url_length"), signature(F.col("facts")).alias("words"))
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["total", "fold", "id"], ascending=[False, True, True])
-        covered = set().union(*part[part["rank"] == 1].words)
-        left = [r for r in part.itertuples() if r.rank != 1]
-        out = []
-        while left and len(out) < limit:
-            best = max(left, key=lambda r: (len(set(r.words) - covered), r.total, -r.url_length))
-            left.remove(best)
-            covered |= set(best.words)
-            out.append((part[group].iloc[0], len(out) + 1, best.id))
-        return pd.DataFrame(out, columns=["group", "pick", "id"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return slim.groupBy(group).applyInPandas(pick, f"`group` {rows.schema[group].dataType.simpleString()}, pick int, id {kind}")
+    """rows(group, id, rank, url, score, facts) -> (group, pick, id): up to `limit` members that add most unseen signature words, then score, then the shorter url, then the url and id.
+
+    A pick is a round: one minimum for each group, aggregated map-side, so no group is gathered."""
+    slim = stored(rows.select(F.col(group).alias("group"), "id", "rank", F.col("score.total").alias("total"), F.lower("url").alias("fold"), F.length("url").alias("url_length"), signature(F.col("facts")).alias("words")), "picks")
+    covered, left, out = slim.where("rank = 1").select("group", F.col("words").alias("seen")), slim.where("rank <> 1"), []
+    for k in range(1, limit + 1):
+        gain = F.size(F.array_except("words", F.coalesce("seen", F.array().cast("array<string>"))))
+        order = F.struct((-gain).alias("gain"), (-F.col("total")).alias("total"), "url_length", "fold", "id")
+        best = left.join(covered, "group", "left").groupBy("group").agg(F.min(F.struct(order.alias("order"), F.col("words").alias("words"), F.col("seen").alias("seen"))).alias("best"))
+        best = stored(best.select("group", F.col("best.order.id").alias("id"), F.array_union(F.coalesce("best.seen", F.array().cast("array<string>")), F.col("best.words")).alias("seen")), "pick")
+        out.append(best.select("group", F.lit(k).alias("pick"), "id"))
+        covered, left = best.select("group", "seen"), left.join(best.select("group", "id"), ["group", "id"], "left_anti")
+    return reduce(DataFrame.unionByName, out)
 
 
 def events(rows: DataFrame, company: bool = True) -> DataFrame:

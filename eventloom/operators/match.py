@@ -27,7 +27,7 @@ def bounded(term: Column) -> Column:
 def contains_term(folded: Column, term: Column) -> Column:
     """term in folded text; terms without ASCII letters and digits match with blanks removed, too. Both folded."""
     ascii_ = term.rlike("[a-z0-9]")
-    return (F.trim(term) != "") & (F.regexp(folded, bounded(F.trim(term))) | (~ascii_ & F.contains(squashed(folded), squashed(term))))
+    return (F.trim(term) != "") & (~ascii_ | F.contains(folded, F.trim(term))) & (F.regexp(folded, bounded(F.trim(term))) | (~ascii_ & F.contains(squashed(folded), squashed(term))))
 
 
 def any_term(folded: Column, terms: Column) -> Column:
@@ -68,9 +68,10 @@ def candidates(articles: DataFrame, terms: DataFrame, id_col: str, text: Column,
     folded = articles.select(F.col(id_col), match_fold(text).alias("folded"))
     keyed = term_keys(terms)
     small = keyed.limit(broadcast_terms + 1).count() <= broadcast_terms
-    keys = folded.select(id_col, F.explode(text_keys(F.col("folded"), single=True)).alias("key"))
-    hits = keys.join(F.broadcast(keyed) if small else keyed, "key").drop("key")
-    return hits.join(folded, id_col)
+    keys = folded.select(id_col, "folded", F.explode(text_keys(F.col("folded"), single=True)).alias("key"))
+    if small:  # the text goes through the explode to the broadcast join within one task: it is folded once and never shuffled
+        return keys.join(F.broadcast(keyed), "key").drop("key")
+    return keys.drop("folded").join(keyed, "key").drop("key").join(folded, id_col)
 
 
 def matches(articles: DataFrame, terms: DataFrame, id_col: str = "seq", text: Column | None = None) -> DataFrame:

@@ -283,23 +283,25 @@ def _scratch(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT freshness, count(*) AS n FROM (SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'too_old' WHEN ts > TIMESTAMP '2024-01-20' THEN 'future' ELSE 'accepted' END AS freshness FROM events) GROUP BY 1")
-def op_n1_incremental_freshness(spark, d):
-    """Events as a file stream; each batch appends its classes."""
-    from eventloom.operators.windows import freshness
-
-    out = _scratch(spark, "n1")
-    e = table(spark, d, "events")
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d) if not _is_folder(spark, f"{d}/events.parquet") else spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet")
-    seen = stream.select(freshness(F.col("ts").cast("timestamp"), "2024-01-10 00:00:00", "2024-01-20 00:00:00").alias("freshness"))
-    q = incremental.run_batches(seen, lambda b, i: b.groupBy("freshness").count().write.mode("overwrite").parquet(f"{out}/batch={i}"), _scratch(spark, "n1-checkpoint"))
-    q.awaitTermination()
-    return spark.read.schema("freshness string, `count` long").parquet(f"{out}/*").groupBy("freshness").agg(F.sum("count").alias("n"))
+def _slices(spark, rows, order, n=3):
+    """rows as n files of one folder, in order: a stream that comes in n batches."""
+    path = _scratch(spark, "stream-in")
+    cuts = rows.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(F.col(order) > low)
+        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def _is_folder(spark, path):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+@query("SELECT freshness, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'missing' WHEN ts < TIMESTAMP '2024-01-10' THEN 'too_old' WHEN ts > TIMESTAMP '2024-01-20' THEN 'future' ELSE 'accepted' END AS freshness FROM events) GROUP BY 1")
+def op_n1_incremental_freshness(spark, d):
+    """Events as a stream of three files, a batch each; every batch writes its classes, late rows apart."""
+    out = _scratch(spark, "n1")
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("ts").cast("timestamp")).alias("published_at"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(_slices(spark, e, "event_id"))
+    handle = incremental.fresh_batches(out, "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+    incremental.run_batches(stream, handle, _scratch(spark, "n1-checkpoint")).awaitTermination()
+    return spark.read.schema("event_id long, published_at timestamp, batch long, freshness string").parquet(out).groupBy("freshness").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT 'u' || user_id AS fingerprint FROM events WHERE user_id % 5 <> 0")
@@ -435,12 +437,9 @@ def op_c2_jsonld(spark, d):
 
 @query("SELECT min(event_id) AS seq FROM events GROUP BY user_id")
 def op_n2_stream_dedup(spark, d):
-    """Events as a stream of articles whose url is their user's; exact dedup in each batch."""
-    out = _scratch(spark, "n2")
-    e = table(spark, d, "events").select("event_id", "user_id")
-    source = _scratch(spark, "n2-in")
-    e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("url_key"), F.lit("").alias("title_key")).write.parquet(source)
-    keep = incremental.exact_batch()
-    stream = spark.readStream.schema("seq long, url_key string, title_key string").option("maxFilesPerTrigger", 1_000_000).parquet(source)
-    incremental.run_batches(stream, lambda b, i: keep(b).write.mode("overwrite").parquet(f"{out}/batch={i}"), _scratch(spark, "n2-checkpoint")).awaitTermination()
+    """Events as a stream of articles whose url is their user's, in three batches; a url that an earlier batch retained stays out of the later ones."""
+    out, state = _scratch(spark, "n2"), _scratch(spark, "n2-state")
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("url_key"), F.lit("").alias("title_key"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(_slices(spark, e, "seq"))
+    incremental.run_batches(stream, incremental.dedup_batches(out, state), _scratch(spark, "n2-checkpoint")).awaitTermination()
     return spark.read.schema("seq long, url_key string").parquet(f"{out}/*").select("seq")

@@ -1,4 +1,4 @@
-"""Incremental runs with Structured Streaming: freshness with late rows apart, exact dedup per batch, idempotent delivery, a rolling event window."""
+"""Incremental runs with Structured Streaming: freshness with late rows apart, exact dedup over all batches, idempotent delivery, a rolling event window."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.operators.dedup import dedup_map
+from eventloom.operators.windows import freshness
 
 
 def fresh_stream(spark: SparkSession, path: str, schema: str, late: str = "2 hours", ts: str = "published_at", key: str = "canonical_url") -> DataFrame:
@@ -21,16 +22,6 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def exact_batch(seq: str = "seq") -> Callable[[DataFrame], DataFrame]:
-    """Exact H1 inside a batch."""
-
-    def keep(batch: DataFrame) -> DataFrame:
-        m = dedup_map(batch.select(F.col(seq).alias("seq"), "url_key", "title_key"))
-        return batch.join(m.where("reason IS NULL").select(F.col("seq").alias(seq)), seq, "left_semi")
-
-    return keep
-
-
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that may not be there before the first batch."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,6 +29,34 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def fresh_batches(out: str, start, end, ts: str = "published_at") -> Callable[[DataFrame, int], None]:
+    """Writes each batch's rows under their class (accepted, too_old, future, missing), so that late rows are kept and counted apart from those that go on. A repeated batch replaces its own folder."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("freshness", freshness(F.col(ts), start, end)).write.mode("overwrite").partitionBy("freshness").parquet(f"{out}/batch={batch_id}")
+
+    return handle
+
+
+def dedup_batches(out: str, state: str, seq: str = "seq") -> Callable[[DataFrame, int], None]:
+    """Exact H1 over all batches. The rows that stay are written, and their keys are the state: a row of a later batch whose url or title key an earlier batch retained goes before the
+    batch's own H1. Batches come in order and seq grows with them, so this is H1 over all rows. Both writes replace their batch's own folder and the state of other batches alone is read: a repeated batch changes nothing."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+        rows = batch.select(F.col(seq).alias("seq"), blank("url_key").alias("url_key"), blank("title_key").alias("title_key"))
+        known = _read(spark, state, "seq long, url_key string, title_key string, batch long").where(F.col("batch") < batch_id)
+        for key in ("url_key", "title_key"):
+            rows = rows.join(known.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+        kept = dedup_map(rows).where("reason IS NULL").select("seq")
+        stay = batch.withColumnRenamed(seq, "seq").join(kept, "seq", "left_semi")
+        stay.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark.read.schema(stay.schema).parquet(f"{out}/batch={batch_id}").select("seq", blank("url_key").alias("url_key"), blank("title_key").alias("title_key")).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    return handle
+
+
 def deliver(out: str, ledger: str, kind: str = "event") -> Callable[[DataFrame, int], None]:
     """Writes rows whose fingerprint the ledger lacks, then marks them. Both writes replace their batch's own folder, so a repeated batch changes nothing; a row is
     marked only after it was written."""

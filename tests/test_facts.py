@@ -105,3 +105,13 @@ def test_article_id_of_a_null_time(spark):
     import hashlib
 
     assert df.select(t.article_id(F.col("u"), F.col("t"), F.col("ts"))).first()[0] == hashlib.sha256(b"https://a.com|t|None").hexdigest()[:16]
+
+
+def test_words_end_as_unicode_has_it(spark):
+    """Korean particles are letters: a percentage, date or number that one follows isn't told as such."""
+    text = "매출 5%가 늘어 2026년 3월 5일에 3억 규모, 2026-03-05에 7%, 2026-03-06, 12 won짜리 15 won."
+    df = spark.createDataFrame([(text,)], "x string")
+    got = df.select(ft.percentages(F.col("x")).alias("p"), ft.dates(F.col("x"), F.lit(None).cast("timestamp")).alias("d"), ft.amounts(F.col("x")).alias("a")).first()
+    assert got.p == ["0.07"] and got.d == ["2026-03-06"] and got.a == ["KRW:15"]
+    row = ft.with_facts(spark.createDataFrame([("3억 규모 42 items", "", "")], "title string, description string, text string").withColumn("published_at", F.lit(None).cast("timestamp"))).first()
+    assert row.facts.numbers == ["42"]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import match, metrics, pages, rank, verdicts, windows
+from eventloom.operators import cluster, match, metrics, pages, rank, verdicts, windows
 from eventloom.sources import io
 from eventloom.streaming import incremental
 
@@ -116,11 +116,73 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_stream_dedup_and_delivery(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "u", "t", "f1"), (2, "u", "x", "f2"), (3, "v", "y", "f1")], "seq long, url_key string, title_key string, fingerprint string")
-    rows.write.parquet(str(tmp_path / "in"))
-    keep, out, ledger = incremental.exact_batch(), str(tmp_path / "out"), str(tmp_path / "ledger")
-    deliver = incremental.deliver(out, ledger)
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = incremental.run_batches(stream, lambda b, i: deliver(keep(b), i), str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert [r.fingerprint for r in spark.read.parquet(out).collect()] == ["f1"]
+    """Three batches: keys of earlier batches keep rows out of later ones; a batch that comes twice changes nothing; fingerprints are delivered once."""
+    batches = [[(1, "u", "t", "f1"), (2, "u", "x", "f2")], [(3, "v", "y", "f1"), (4, "u", "z", "f3"), (5, "", "t", "f4")], [(6, "w", "x", "f5"), (7, "v", "", "f6"), (8, "", "", "f7")]]
+    shape = "seq long, url_key string, title_key string, fingerprint string"
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    keep = incremental.dedup_batches(out, state)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.run_batches(stream, keep, str(tmp_path / "cp")).awaitTermination()
+    keep(spark.createDataFrame(batches[1], shape), 1)
+    assert sorted(r.seq for r in spark.read.parquet(f"{out}/*").collect()) == [1, 3, 6, 8]
+    deliver = incremental.deliver(str(tmp_path / "sent"), str(tmp_path / "ledger"))
+    for k in (0, 1, 1, 2):
+        deliver(spark.read.parquet(f"{out}/batch={k}").select("fingerprint"), k)
+    assert sorted(r.fingerprint for r in spark.read.parquet(f"{tmp_path}/sent/*").collect()) == ["f1", "f5", "f7"]
+
+
+def test_watermarked_prefilter(spark, tmp_path):
+    rows = [("2026-01-01 00:00:00", "a"), ("2026-01-01 00:10:00", "a"), ("2026-01-01 01:00:00", "b")]
+    spark.createDataFrame(rows, "at string, canonical_url string").selectExpr("timestamp(at) AS published_at", "canonical_url").write.parquet(str(tmp_path / "in"))
+    stream = incremental.fresh_stream(spark, str(tmp_path / "in"), "published_at timestamp, canonical_url string")
+    incremental.run_batches(stream, lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={i}"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.canonical_url for r in spark.read.parquet(f"{tmp_path}/out/*").collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("chunk", [2, 5, 100])
+def test_greedy_groups_against_brute_force(spark, chunk):
+    """Complete linkage in order, whatever part of a component is settled at once."""
+    rng = random.Random(7)
+    order = list(range(40))
+    links = {(a, b) for a in order for b in order if a < b and (a // 8 == b // 8 and rng.random() < 0.8 or rng.random() < 0.05)}
+    same = lambda a, b: (min(a, b), max(a, b)) in links
+    groups = []
+    for row in order:
+        home = next((g for g in groups if all(same(row, x) for x in g)), None)
+        if home is None:
+            groups.append([row])
+        else:
+            home.append(row)
+    rows = spark.createDataFrame([(k, f"{k:04d}") for k in order], "id long, ord string")
+    got = cluster.greedy_groups(rows, spark.createDataFrame(sorted(links), "l long, r long"), chunk).collect()
+    assert sorted((r.id, r.group) for r in got) == sorted((x, g[0]) for g in groups for x in g)
+
+
+def test_corroborating_against_brute_force(spark):
+    rng = random.Random(2)
+    members = [(g, f"m{g}{k}", k + 1, f"https://h/{'x' * rng.randrange(4)}{k}", rng.randrange(3), [f"w{x}" for x in sorted(rng.sample(range(9), 3))]) for g in range(6) for k in range(g + 1)]
+    want = []
+    for g in range(6):
+        part = sorted((m for m in members if m[0] == g), key=lambda m: (m[3].lower(), m[1]))
+        seen, left = set(next(m[5] for m in part if m[2] == 1)), [m for m in part if m[2] > 1]
+        for pick in range(1, 4):
+            if left:
+                best = min(left, key=lambda m: (-len(set(m[5]) - seen), -m[4], len(m[3]), m[3].lower(), m[1]))
+                left.remove(best)
+                seen |= set(best[5])
+                want.append((g, pick, best[1]))
+    df = spark.createDataFrame(members, "group long, id string, rank int, url string, total int, words array<string>")
+    none = F.array().cast("array<string>")
+    facts = F.struct(*(none.alias(k) for k in ("primary", "parties", "milestones", "dates", "amounts", "percentages")), F.col("words").alias("subjects"))
+    got = cluster.corroborating(df.withColumn("score", F.struct("total")).withColumn("facts", facts)).collect()
+    assert sorted((r.group, r.pick, r.id) for r in got) == want
+
+
+def test_identity_groups_need_title_and_time(spark):
+    t = "2026-01-01 00:00:00"
+    rows = [(1, "u1", "same title", "Desk", t), (2, "u2", "same title", " DESK", t), (3, "u3", "same title", "desk", None), (4, "u4", "same title", "desk", None), (5, "u5", "", "desk", t), (6, "u6", "", "desk", t), (7, "U1 ", "other", "x", None), (8, "", "p", "x", t), (9, "", "q", "x", t)]
+    df = spark.createDataFrame(rows, "id long, url_key string, title_key string, source string, at string").withColumn("published_at", F.col("at").cast("timestamp"))
+    got = {r.id: r.label for r in cluster.identity_groups(df).collect()}
+    assert got == {1: 1, 2: 1, 7: 1, 3: 3, 4: 4, 5: 5, 6: 6, 8: 8, 9: 9}

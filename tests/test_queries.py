@@ -5,10 +5,8 @@ import pytest
 from eventloom.plans import catalog
 from tests.oracle import check
 
-SLOW = {"op_a10_review_rows", "op_h16_representatives", "op_h17_corroborating", "op_h18_repost_override", "op_i10_source_classes", "op_i15_event_coverage", "op_h10_external_clusters"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, sf, name):
     check(catalog.QUERIES[name], catalog.ORACLE_SQL[name], spark, sf)
 
