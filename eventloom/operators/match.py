@@ -87,9 +87,8 @@ def matches(articles: DataFrame, terms: DataFrame, id_col: str = "seq", text: Co
     hit = hit.where(~forbidden | (~any_term(folded, col("negative")) & any_term(folded, col("forbidden_required"))))  # F8
     english = term.rlike("[a-z]")
     hit = hit.where(~english | (~any_term(folded, col("english_negative")) & ((F.size(col("english_required")) == 0) | any_term(folded, col("english_required")))))  # F9
-    sure, spans = hit.where(F.size(col("negative")) == 0), hit.where(F.size(col("negative")) > 0)
-    spans = spans.where(outside_spans(folded, bounded(term), F.transform("negative", bounded)))  # only rows with negative terms reach Python
-    both = sure.select(id_col, "company_id", "term", "term_fold").union(spans.select(id_col, "company_id", "term", "term_fold"))
+    text = F.when(F.size(col("negative")) > 0, folded).otherwise(F.lit(""))  # F6 tests spans in Python; texts go there only for terms with negative ones
+    both = hit.where(outside_spans(text, bounded(term), F.transform(col("negative"), bounded))).select(id_col, "company_id", "term", "term_fold")
     gathered = both.groupBy(id_col, "company_id").agg(F.array_sort(F.collect_set(F.struct("term_fold", "term"))).alias("found"))
     longest = F.filter("found", lambda x: ~F.exists(F.col("found"), lambda y: (x["term_fold"] != y["term_fold"]) & F.contains(y["term_fold"], x["term_fold"])))  # F10
     return gathered.select(id_col, "company_id", F.array_sort(F.transform(longest, lambda x: x["term"])).alias("matched_terms"))

@@ -9,7 +9,7 @@ import pandas as pd
 
 
 def plain(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(plain(x) for x in v)
