@@ -9,7 +9,8 @@ A merge makes a symbol that only later ranks use, or such that a pair with a low
 piece this is the order of plain BPE: always the lowest rank, leftmost first; pieces don't touch each other.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to the empty text. The added tokens of the file (its special
-tokens) are cut out first, as the tokenizers library does. Texts are encoded whole. Extra columns aren't read.
+tokens) are cut out first, as the tokenizers library does. Texts are encoded whole. Null ids are kept, rows that repeat are coded each. Extra columns
+aren't read. A tokenizer file of another form (FORM) is refused.
 """
 
 from __future__ import annotations
@@ -36,6 +37,29 @@ LATIN_PATTERN = re.compile(r""" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)|
 NOT_LATIN = re.compile(r"[^\x00-\x1b\x20-\x7e\x80-\x84\x86-\x9fÀ-ÖØ-öø-ɏ]")
 #: Distinct pieces that a worker keeps encoded in each of two generations: when the younger one is full, the elder one goes. Costs time only.
 CACHED_PIECES = 200_000
+#: Longer pieces (in characters) are encoded wherever they are met and not kept, so the kept ones have a bound in bytes.
+KEPT_LENGTH = 200
+#: What a tokenizer file must say, for anything else would change the ids: byte-level cutting by PATTERN, plain merges, added tokens as they stand.
+FORM = {
+    "normalizer": (None,), "model.type": ("BPE",), "model.dropout": (None, 0, 0.0), "model.continuing_subword_prefix": (None, ""), "model.end_of_word_suffix": (None, ""), "model.byte_fallback": (None, False),
+    "model.ignore_merges": (None, False), "pre_tokenizer.type": ("ByteLevel",), "pre_tokenizer.add_prefix_space": (False,), "pre_tokenizer.use_regex": (None, True), "decoder.type": ("ByteLevel",),
+}
+
+
+def check_form(spec: dict) -> None:
+    """Raises ValueError for a tokenizer file that this module would not follow to the letter."""
+    for name, allowed in FORM.items():
+        value = spec
+        for key in name.split("."):
+            value = (value or {}).get(key)
+        if value not in allowed:
+            raise ValueError(f"tokenizer file: {name} is {value!r}, only {allowed[-1]!r} is supported")
+    for token in spec.get("added_tokens") or []:
+        for flag in ("single_word", "lstrip", "rstrip"):
+            if token.get(flag):
+                raise ValueError(f"tokenizer file: added token {token['content']!r} has {flag}, which is not supported")
+    if max(spec["model"]["vocab"].values()) >= 1 << 20:
+        raise ValueError("tokenizer file: ids of 2^20 and more are not supported")
 
 
 def byte_letters() -> list[str]:
@@ -50,6 +74,7 @@ class Vocabulary:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        check_form(spec)
         ids, letters = spec["model"]["vocab"], byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.byte_ids = [ids[c] for c in letters]
@@ -57,7 +82,7 @@ class Vocabulary:
         self.merges = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.bytes = {i: bytes(byte_of[c] for c in t) for t, i in ids.items()}
         self.numbers = list(range(max(ids.values()) + 1))  # one object for each id, however many pieces have it
-        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
@@ -145,7 +170,11 @@ class Coder:
         self.known.update((p, self.elder[p]) for p in again)
         fresh = sorted(missed - again)
         self.known.update(zip(fresh, map(tuple, encode_pieces(fresh, self.vocab)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, pieces))) for pieces in cut]
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, pieces))) for pieces in cut]
+        for piece in fresh:
+            if len(piece) > KEPT_LENGTH:
+                del self.known[piece]
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocab.bytes.__getitem__, ids)).decode("utf-8", errors="replace")

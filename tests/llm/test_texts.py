@@ -1,6 +1,7 @@
 """BPE, n-gram join and the pipeline against the tokenizers library and brute force."""
 
 import hashlib
+import json
 import random
 from collections import defaultdict
 
@@ -41,6 +42,35 @@ def test_bpe_generations(monkeypatch, library):
     assert len(coder.known) + len(coder.elder) < 80
 
 
+def test_bpe_keeps_no_long_pieces(library):
+    coder = bpe.Coder(open(bpe.public_tokenizer(), encoding="utf-8").read())
+    text = f"{'ab' * 5000} word {'ab' * 5000}"
+    assert coder.encode([text, text]) == [library.encode(text, add_special_tokens=False).ids] * 2
+    assert max(map(len, coder.known)) <= bpe.KEPT_LENGTH
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda s: s.update(normalizer={"type": "NFC"}),
+        lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+        lambda s: s["pre_tokenizer"].update(use_regex=False),
+        lambda s: s.update(pre_tokenizer=None),
+        lambda s: s["model"].update(type="Unigram"),
+        lambda s: s["model"].update(ignore_merges=True),
+        lambda s: s["model"].update(dropout=0.1),
+        lambda s: s["added_tokens"][0].update(lstrip=True),
+        lambda s: s["model"]["vocab"].update(a=1 << 20),
+    ],
+)
+def test_bpe_refuses_files_of_another_form(change):
+    spec = json.loads(open(bpe.public_tokenizer(), encoding="utf-8").read())
+    bpe.check_form(spec)
+    change(spec)
+    with pytest.raises(ValueError, match="tokenizer file"):
+        bpe.check_form(spec)
+
+
 def test_bpe_query(spark, library):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
