@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import bounded_sample, labelled_texts, mapped, stored, table, whole
-from eventloom.llm.learn import fit_softmax, softmax
+from eventloom.llm.learn import fit_softmax, settled, softmax
 from eventloom.llm.texthash import BLANK, slices
 
 SAMPLE_ROWS, ITERATIONS, TOLERANCE = 6000, 60, 1e-4
@@ -49,7 +49,7 @@ class Domains:
         self.names, self.middle, self.spread, self.weights = names, middle, spread, weights
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
-        return softmax(((x - self.middle) / self.spread) @ self.weights[:-1] + self.weights[-1])
+        return settled(softmax(((x - self.middle) / self.spread) @ self.weights[:-1] + self.weights[-1]))
 
 
 def _sample_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

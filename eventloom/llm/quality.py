@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import bounded_sample, labelled_texts, mapped, table, whole
-from eventloom.llm.learn import fit_logistic, looks, sigmoid
+from eventloom.llm.learn import fit_logistic, looks, settled, sigmoid
 from eventloom.llm.texthash import _P, mix, slices
 
 SAMPLE_ROWS, ROUNDS, GOOD = 4000, 150, 0.3
@@ -106,7 +106,7 @@ class Field:
         return np.log(mean / (1 - mean))
 
     def score(self, x: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return sigmoid(self.curve[0] * self.raw(x, length, first) + self.curve[1])
+        return settled(sigmoid(self.curve[0] * self.raw(x, length, first) + self.curve[1]))
 
 
 def fit_field(x: np.ndarray, length: np.ndarray, first: np.ndarray, good: np.ndarray, rounds: int = ROUNDS, rate: float = 0.1, l2: float = 1e-3) -> Field:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import bounded_sample, labelled_texts, mapped, table, whole
-from eventloom.llm.learn import fit_logistic, looks, predict_logistic
+from eventloom.llm.learn import fit_logistic, looks, predict_logistic, settled
 from eventloom.llm.texthash import mix, slices, word_hashes
 
 SAMPLE_ROWS, WORD_FEATURES, FOLDS = 8000, 160, 5
@@ -65,7 +65,7 @@ class Chain:
         seen = np.zeros((len(x), 0))
         for w in self.weights:
             seen = np.column_stack((seen, predict_logistic(np.column_stack((x, seen)), w)))
-        return seen
+        return settled(seen)
 
 
 def telling_words(owner: np.ndarray, words: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:

@@ -89,6 +89,34 @@ def test_quality_of_odd_rows(spark, odd, none, labels):
     assert {r.score for r in quality.score(odd, flat).collect()} == {0.5}
 
 
+@pytest.fixture(scope="module")
+def nameless(spark):
+    """Rows without ids (one of them twice) beside rows with the same texts, and extra columns named like the operators' own."""
+    rows = [(None, "one good line"), (None, "one good line"), (3, "one good line"), (None, None), (5, None), (None, "<div> 77 %% !!")]
+    return spark.createDataFrame([(i, t, 9, 0.5, "x") for i, t in rows], "doc_id long, text string, good int, score double, id string")
+
+
+def test_quality_of_null_ids(spark, nameless, labels):
+    field = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    got = quality.score(nameless, field)
+    assert got.columns == ["doc_id", "score"]
+    scores = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in got.collect())
+    named = {i: x for none, i, x in scores if not none}
+    others = sorted(x for none, _, x in scores if none)
+    assert len(others) == 4 and others.count(named[3]) == 2 and named[5] in others
+    assert quality.train(nameless, labels.select(F.lit(None).cast("long").alias("doc_id"), "quality")).curve == (0.0, 0.0)
+
+
+def test_toxicity_of_null_ids(spark, nameless, labels):
+    chain, _, _ = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels, toxicity.label_categories())
+    got = [(r.doc_id, r.p_toxic) for r in toxicity.score(nameless, chain, list(toxicity.CATEGORIES)).collect()]
+    named = {i: p for i, p in got if i is not None}
+    others = [p for i, p in got if i is None]
+    assert len(others) == 4 and others.count(named[3]) == 2 and named[5] in others
+    kept = toxicity.keep_clean(nameless, chain)
+    assert kept.columns == nameless.columns and kept.count() == sum(p < toxicity.TOXIC for _, p in got)
+
+
 def test_toxicity_chain(spark, labels):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     train, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")

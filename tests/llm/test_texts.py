@@ -85,6 +85,13 @@ def test_bpe_odd_rows(odd, none):
     assert bpe.bpe_digests(none, bpe.public_tokenizer()).count() == 0
 
 
+def test_bpe_of_null_ids(spark, library):
+    rows = [(None, "a b", 1), (None, "a b", 1), (3, "a b", 2), (None, None, 3), (5, "", 4)]
+    df = spark.createDataFrame([(i, t, [n]) for i, t, n in rows], "doc_id long, text string, ids array<int>")
+    got = sorted((repr(r.doc_id), r.decoded, r.ids) for r in bpe.bpe_encode(df, bpe.public_tokenizer()).collect())
+    assert got == sorted((repr(i), t or "", library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows)
+
+
 def grams(text):
     w = (text or "").lower().split()
     return frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
