@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.sources.shared import discard, shared_dir, stored
 
-__all__ = ["BLANKS", "bounded_sample", "discard", "labelled_texts", "mapped", "shared_dir", "stored", "table", "whole"]
+__all__ = ["BLANKS", "attach", "bounded_sample", "discard", "labelled_texts", "mapped", "shared_dir", "small_batches", "stored", "table", "whole"]
 
 #: Spark's own white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -21,14 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 500
 
 
-def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_ROWS rows (a setting of the session, read when the plan runs)."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches have at most BATCH_ROWS rows from now on (a setting of the session, read when a plan runs)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow in small batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+#: A key with more than one in HOT_SHARE rows is hot; so there are fewer hot keys than that.
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows with the columns of table (one row a key; null where there is none). weight: column of table with the number of rows that have the key, of total.
+
+    Hot keys (fewer than HOT_SHARE) are broadcast and their rows dealt out evenly; the other keys are met in a shuffle."""
+    others = [c for c in table.columns if c not in (key, weight)]
+    side = lambda name, where: table.where(where).select(key, F.struct(*others).alias(name))
+    hot = F.col(weight) * HOT_SHARE > total
+    met = rows.join(F.broadcast(side("__hot", hot)), key, "left")
+    met = met.withColumn("__deal", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(1 << 30)) + 1).cast("int"))
+    met = met.join(side("__cold", ~hot).withColumn("__deal", F.lit(0)), [key, "__deal"], "left").withColumn("__met", F.coalesce("__hot", "__cold"))
+    return met.select(*(F.col(c) for c in rows.columns), *(F.col(f"__met.{c}").alias(c) for c in others))
+
+
 def whole(text: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
