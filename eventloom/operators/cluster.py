@@ -53,13 +53,17 @@ def all_pairs(rows: DataFrame, scope: list[str], hours: int = WINDOW_HOURS) -> D
     return met.where(F.abs(F.unix_timestamp("l.published_at") - F.unix_timestamp("r.published_at")) <= hours * 3600)
 
 
+def named_subjects(facts: Column, company: Column | None) -> Column:
+    """Subjects that tell events of a company apart: neither general words nor the company's own."""
+    own = F.split(title_key(company), " ") if company is not None else F.array().cast("array<string>")
+    return F.filter(F.array_except(F.array_except(facts["subjects"], F.array(*map(F.lit, GENERIC))), own), lambda t: F.length(t) > 1)
+
+
 def decided(met: DataFrame, company: Column | None = None, hours: int = WINDOW_HOURS) -> DataFrame:
     """H6: met(l, r, ...) with decision and reason: the first rule that holds."""
     a, b = F.col("l.facts"), F.col("r.facts")
     gap = F.abs(F.unix_micros("l.published_at") - F.unix_micros("r.published_at")) > hours * 3_600_000_000
-    own = F.split(title_key(company), " ") if company is not None else F.array().cast("array<string>")
-    named = lambda f: F.filter(F.array_except(F.array_except(f["subjects"], F.array(*map(F.lit, GENERIC))), own), lambda t: F.length(t) > 1)
-    met = met.withColumn("_na", named(a)).withColumn("_nb", named(b)).withColumn("_ids", shared_identity(a, b))
+    met = met.withColumn("_na", named_subjects(a, company)).withColumn("_nb", named_subjects(b, company)).withColumn("_ids", shared_identity(a, b))
     subject = F.arrays_overlap(a["subjects"], b["subjects"])
     equal = lambda k: (F.size(a[k]) > 0) & (a[k] == b[k])
     has_company = F.lit(company is not None)
@@ -89,8 +93,10 @@ def resolved(pair_rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     one = verdicts.groupBy(F.least("left_id", "right_id").alias("_a"), F.greatest("left_id", "right_id").alias("_b")).agg(F.min("verdict").alias("verdict"), F.count_distinct("verdict").alias("_n"))
     met = pair_rows.withColumn("_a", F.least("left_id", "right_id")).withColumn("_b", F.greatest("left_id", "right_id")).join(one, ["_a", "_b"], "left")
     ambiguous = F.col("decision") == "AMBIGUOUS"
+    answered = F.col("verdict").isin("SAME_EVENT", "DIFFERENT_EVENT") & (F.col("_n") == 1)
     verdict = F.when((F.col("verdict") == "SAME_EVENT") & (F.col("_n") == 1), "SAME_EVENT").otherwise("DIFFERENT_EVENT")
-    return met.withColumn("final_decision", F.when(ambiguous, verdict).otherwise(F.col("decision"))).withColumn("resolver_used", ambiguous).drop("_a", "_b", "_n")
+    met = met.withColumn("final_decision", F.when(ambiguous, verdict).otherwise(F.col("decision"))).withColumn("resolver_used", ambiguous).withColumn("answered", F.coalesce(answered, F.lit(False)))
+    return met.drop("_a", "_b", "_n")
 
 
 def asked_pairs(rows: DataFrame, scope: list[str], verdicts: DataFrame) -> DataFrame:

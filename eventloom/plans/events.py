@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import facts as ft
 from eventloom.functions import text as t
-from eventloom.operators import cluster, metrics, rank
+from eventloom.operators import cluster, metrics, rank, trail
 from eventloom.plans.scalars import FOLD
 from eventloom.sources import io, views
 from eventloom.sources.shared import stored
@@ -135,17 +135,28 @@ def op_g3_same_pairs(spark, d):
     return _decided(spark, d).where("decision = 'SAME_EVENT'").select(F.col("l.id").alias("l"), F.col("r.id").alias("r"))
 
 
-def _audit(spark, d):
-    return cluster.decided(cluster.all_pairs(_ordered(_facts(spark, d)), ["company"]), F.col("company"))
+#: Headlines of which every fourth order's tell no fact, in order of their company; their groups (of two tellings at most) and what clustering compares.
+_MIXED = (
+    _SAME
+    + """, x AS (SELECT e.* EXCLUDE (company), company, o_orderkey % 4 = 1 AS vague, row_number() OVER (PARTITION BY company ORDER BY published_at, lower(url), seq) AS pos FROM e),
+f1 AS (SELECT s.r, min(x.pos) AS first FROM s JOIN x ON x.seq = s.l WHERE NOT vague GROUP BY s.r), z AS (SELECT x.*, coalesce(first, x.pos) AS first, g.seq AS grp FROM x LEFT JOIN f1 ON f1.r = x.seq JOIN x g ON g.company = x.company AND g.pos = coalesce(first, x.pos)),
+t AS (SELECT a.company, a.seq AS l, b.seq AS r, b.grp, b.published_at - a.published_at <= INTERVAL 72 HOURS AS near, CASE WHEN b.published_at - a.published_at > INTERVAL 72 HOURS THEN 'DIFFERENT_EVENT' WHEN a.vague OR b.vague THEN 'AMBIGUOUS'
+    WHEN a.amounts = b.amounts AND a.primary_action = b.primary_action AND a.dates = b.dates THEN 'SAME_EVENT' ELSE 'DIFFERENT_EVENT' END AS decision FROM z a JOIN z b ON a.company = b.company AND a.pos < b.pos AND a.first <= b.first)"""
+)
 
 
-_AUDIT = f"{FACTS}, s AS (SELECT a.seq AS l, b.seq AS r, a.amounts = b.amounts AND a.primary_action = b.primary_action AND a.dates = b.dates AS same FROM e a JOIN e b ON a.company = b.company AND (a.published_at, lower(a.url), a.seq) < (b.published_at, lower(b.url), b.seq) AND b.published_at - a.published_at <= INTERVAL 72 HOURS)"
+def _mixed(spark, d):
+    h = views.headlines(spark, d)
+    h = h.withColumn("title", F.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("story "), F.col("seq").cast("string"))).otherwise(F.col("title")))
+    f = stored(_ordered(ft.with_facts(h).withColumn("id", F.col("seq"))), "mixed")
+    return f, stored(cluster.clustered(f.drop("ord")), "mixed-groups")
 
 
-@query(f"{_AUDIT} SELECT CASE WHEN same THEN 'SAME_EVENT' ELSE 'DIFFERENT_EVENT' END AS decision, count(*) AS n FROM s GROUP BY 1")
+@query(f"{_MIXED} SELECT z.company, coalesce(any_value(n.compared), 0) AS compared, coalesce(any_value(beyond_window), 0) AS beyond_window, coalesce(any_value(same), 0) AS same, coalesce(any_value(different), 0) AS different, coalesce(any_value(ambiguous), 0) AS ambiguous FROM z LEFT JOIN (SELECT company, count(*) AS compared, count(*) FILTER (NOT near) AS beyond_window, count(*) FILTER (decision = 'SAME_EVENT') AS same, count(*) FILTER (decision = 'DIFFERENT_EVENT') AS different, count(*) FILTER (decision = 'AMBIGUOUS') AS ambiguous FROM t GROUP BY 1) n USING (company) GROUP BY z.company")
 def op_i4_pair_counters(spark, d):
-    """I4: all pairs within the window (the audit mode). These headlines all have amount, action and date, so unequal ones conflict."""
-    return metrics.histogram(_audit(spark, d), "decision")
+    """I4: decisions on all pairs that clustering compares, counted for each company without listing them."""
+    found = trail.pair_counters(*_mixed(spark, d))
+    return found.select(F.col("scope").alias("company"), "compared", "beyond_window", "same", "different", "ambiguous")
 
 
 _VAGUE = """WITH x AS (SELECT o_orderkey AS id, o_custkey AS company, o_orderdate AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
@@ -167,11 +178,12 @@ def _vague(spark, d):
     return f, said, said.where("left_id % 3 = 0").select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), verdict.alias("verdict"))
 
 
-@query(f"{_VAGUE} SELECT l AS left_id, r AS right_id, CASE WHEN same THEN 'SAME_EVENT' ELSE 'DIFFERENT_EVENT' END AS final_decision, NOT late AS resolver_used FROM v")
+@query(f"{_VAGUE}, c AS (SELECT r AS id, l AS grp FROM v WHERE same), g AS (SELECT x.*, coalesce(y.n, x.n) AS first FROM x LEFT JOIN c ON c.id = x.id AND NOT EXISTS (SELECT 1 FROM c c2 WHERE c2.id = c.grp) LEFT JOIN x y ON y.id = c.grp) SELECT a.id AS left_id, b.id AS right_id, CASE WHEN coalesce(v.same, FALSE) THEN 'SAME_EVENT' ELSE 'DIFFERENT_EVENT' END AS final_decision, TRUE AS resolver_used FROM g a JOIN g b ON a.company = b.company AND a.n < b.n AND a.first <= b.first AND b.day <= a.day + INTERVAL 72 HOURS LEFT JOIN v ON v.l = a.id AND v.r = b.id")
 def op_h19_resolved_pairs(spark, d):
-    """Pairs that no rule settles take the table's verdict; for a third of them there is one, half of these failed."""
-    _, said, verdicts = _vague(spark, d)
-    return cluster.resolved(said, verdicts).select("left_id", "right_id", "final_decision", "resolver_used")
+    """Every pair within the window that clustering compares: no rule settles them, so they take the table's verdict; for a third of the neighbours there is one, half of these failed."""
+    f, _, verdicts = _vague(spark, d)
+    groups = stored(cluster.clustered(f.drop("ord"), verdicts=verdicts), "vague-groups")
+    return trail.trail(f, groups, verdicts=verdicts, beyond=False).select("left_id", "right_id", "final_decision", "resolver_used")
 
 
 @query(f"{_VAGUE}, c AS (SELECT r AS id, l AS \"group\" FROM v WHERE same) SELECT x.id, coalesce(c.\"group\", x.id) AS \"group\" FROM x LEFT JOIN c ON c.id = x.id AND NOT EXISTS (SELECT 1 FROM c c2 WHERE c2.id = c.\"group\")")
@@ -383,12 +395,17 @@ def op_k3_set_difference(spark, d):
     return c.select(F.col("c_custkey").alias("id")).exceptAll(o.where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")).distinct())
 
 
-@query(f"{_REP} SELECT grp AS event_id, count(*) AS members, max(CASE WHEN rank = 1 THEN total END)::INTEGER AS best FROM rk GROUP BY 1")
+_PLAIN = "CASE o_orderkey % 3 WHEN 1 THEN 40 WHEN 2 THEN -30 ELSE 20 END + CASE WHEN description IS NOT NULL THEN CASE WHEN length(description) >= 60 THEN 10 ELSE 5 END ELSE -15 END"
+_TOLD = "least(10, 3 * (len(amounts) + len(dates))) + least(10, 3 * len(list_distinct(parties || primary_action || CASE WHEN level = 3 THEN ['contract'] ELSE [] END || milestones)))"
+
+
+@query(f"{_MIXED} SELECT grp AS event_id, count(*) AS members, max({_PLAIN} + CASE WHEN vague THEN 0 ELSE {_TOLD} END)::INTEGER AS best, coalesce(any_value(d.n), 0) AS decisions, coalesce(any_value(d.ambiguous), 0) AS ambiguous, coalesce(any_value(d.different), 0) AS different FROM z LEFT JOIN (SELECT grp, count(*) AS n, count(*) FILTER (decision = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (decision = 'DIFFERENT_EVENT') AS different FROM t WHERE near GROUP BY 1) d USING (grp) GROUP BY 1")
 def op_a10_review_rows(spark, d):
-    """Nested review rows of every event."""
-    r = _represented(spark, d)
+    """Nested review rows of every event: its members, and the trail of the pairs within the window that were compared when they were clustered."""
+    f, groups = _mixed(spark, d)
+    r = cluster.represented(cluster.scored(f.join(groups, "id")))
     ev = r.where("rank = 1").select(F.col("group").alias("event_id"), "company")
     members = r.select(F.col("group").alias("event_id"), "id", "rank", F.col("score.total").alias("score"))
-    dec = _decided(spark, d).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "decision", "reason").join(r.select(F.col("id").alias("left_id"), F.col("group").alias("event_id")), "left_id")
-    rows = io.review_rows(ev, members, dec)
-    return rows.select("event_id", F.size("members").cast("long").alias("members"), F.get("members", F.lit(0))["score"].alias("best"))
+    rows = io.review_rows(ev, members, trail.trail(f, groups, beyond=False).withColumnRenamed("group", "event_id"))
+    said = lambda kind: F.coalesce(F.size(F.filter("decisions", lambda x: x["decision"] == kind)), F.lit(0)).cast("long")
+    return rows.select("event_id", F.size("members").cast("long").alias("members"), F.get("members", F.lit(0))["score"].alias("best"), F.coalesce(F.size("decisions"), F.lit(0)).cast("long").alias("decisions"), said("AMBIGUOUS").alias("ambiguous"), said("DIFFERENT_EVENT").alias("different"))
