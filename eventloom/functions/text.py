@@ -178,9 +178,13 @@ def nfkc_casefold_only(c: Column) -> Column:
     return casefold(stripped(c))
 
 
-def event_id(company: Column, ids: Column, route: str = "direct") -> Column:
+#: First parts of event ids by route.
+EVENT_ROUTES = {"direct": "route_a", "external": "route_b"}
+
+
+def event_id(company: Column | None, ids: Column, route: str = "direct") -> Column:
     """Company None for cross-company events; ids are the member ids."""
-    parts = [F.lit(route)] + ([company] if company is not None else [])
+    parts = [F.lit(EVENT_ROUTES[route])] + ([company] if company is not None else [])
     return short_hash(F.concat_ws("|", *parts, F.array_join(F.array_sort(ids), "|")))
 
 

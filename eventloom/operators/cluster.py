@@ -257,6 +257,22 @@ def events(rows: DataFrame, company: bool = True) -> DataFrame:
     return e.withColumn("event_id", event_id(F.col("company") if company else None, F.col("members"), "direct" if company else "external"))
 
 
+#: The parts of an event's identity across runs, in order of their names, and the facts they come from.
+IDENTITY = {"actions": "primary", "amounts": "amounts", "companies": None, "counterparties": "parties", "dates": "dates", "families": "families", "milestones": "milestones", "percentages": "percentages", "route": None}
+
+
+def fingerprinted(items: DataFrame) -> DataFrame:
+    """items(route, company, companies, url, title, facts, label_hash or null) with `kind` and `fingerprint` for the ledger. The route gives the kind. A direct item is known again by its label's hash, else by the canonical JSON of
+    its identity if it has a primary action and one more fact; any other item by route, company, url and title."""
+    x = F.col("facts")
+    strong = (F.col("route") == "direct") & (F.size(x["primary"]) > 0) & (F.size(F.concat(*(x[k] for k in ("milestones", "parties", "dates", "amounts", "percentages", "families")))) > 0)
+    own = {"companies": F.array_sort(F.when(F.size("companies") > 0, F.col("companies")).otherwise(F.array("company"))), "route": F.col("route")}
+    identity = F.to_json(F.struct(*((own[name] if k is None else F.array_sort(x[k])).alias(name) for name, k in IDENTITY.items())))
+    label = F.when(F.col("route") == "direct", F.nullif("label_hash", F.lit("")))
+    plain = F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("route", "company", "url", "title"))), 256)
+    return items.withColumn("kind", F.when(F.col("route") == "direct", "event").otherwise("article")).withColumn("fingerprint", F.coalesce(label, F.when(strong, F.sha2(identity, 256)), plain))
+
+
 MATERIALITY = {"low": 1, "medium": 2, "high": 3}
 
 

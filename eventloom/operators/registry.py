@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import company_id, display_name, identity_key, nfkc_casefold, query_key, short_ascii, source_name
+from eventloom.functions.text import company_id, display_name, identity_key, nfkc_casefold, query_key, short_ascii, source_name, stripped
 
 
 def build_companies(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,22 +56,30 @@ def hashed_sample(rows: DataFrame, key: str, n: int, namespace: str) -> DataFram
     return rows.orderBy(F.sha2(F.concat(F.lit(f"{namespace}|"), F.col(key)), 256), key).limit(n)
 
 
-def dimension_faults(companies: DataFrame) -> DataFrame:
-    """M1–M4: companies(company_id, name, terms) -> (check, key) of every fault."""
+#: Fixed value: pattern of company ids.
+COMPANY_ID = "^[a-z0-9][a-z0-9-]{7,63}$"
+
+
+def dimension_faults(companies: DataFrame, declared: int | None = None) -> DataFrame:
+    """M1–M4: companies(company_id, name, terms) -> (check, key) of every fault; declared: the number of companies that the source tells. A term belongs to the company that has its identity key (B7), so
+    that a legal form makes no difference; terms of one company are unequal after folding."""
     fault = lambda df, name, key: df.select(F.lit(name).alias("check"), F.col(key).cast("string").alias("key"))
     ids = companies.groupBy("company_id").count().where("count > 1")
     identities = companies.withColumn("identity", identity_key(F.col("name"))).groupBy("identity").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR identity = ''")
-    terms = companies.select("company_id", F.explode("terms").alias("term")).withColumn("term_key", nfkc_casefold(F.trim("term")))
-    shared = terms.where("term_key <> ''").groupBy("term_key").agg(F.count_distinct("company_id").alias("n")).where("n > 1")
-    repeated = terms.groupBy("company_id", "term_key").count().where("count > 1 OR term_key = ''")
-    odd = companies.where(~F.col("company_id").rlike("^[a-z0-9][a-z0-9_#-]*$"))
-    return fault(ids, "M1_id_repeated", "company_id").union(fault(odd, "M1_id_pattern", "company_id")).union(fault(identities, "M2_identity", "identity")).union(fault(shared, "M3_term_shared", "term_key")).union(fault(repeated, "M4_term_repeated", "company_id"))
+    terms = companies.select("company_id", F.explode("terms").alias("term")).withColumn("term_key", stripped(nfkc_casefold(F.col("term")))).withColumn("identity", identity_key(F.col("term")))
+    shared = terms.groupBy("identity").agg(F.count_distinct("company_id").alias("n")).where("n > 1").withColumnRenamed("identity", "term_key")
+    repeated = terms.groupBy("company_id", "term_key").count().where("count > 1 OR term_key = ''").select("company_id").distinct()
+    odd = companies.where(~F.coalesce(F.col("company_id").rlike(COMPANY_ID), F.lit(False)))
+    counted = companies.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != declared) if declared is not None else companies.agg(F.count(F.lit(1)).alias("n")).where("false")
+    return fault(counted, "M1_count", "n").union(fault(ids, "M1_id_repeated", "company_id")).union(fault(odd, "M1_id_pattern", "company_id")).union(fault(identities, "M2_identity", "identity")).union(fault(shared, "M3_term_shared", "term_key")).union(fault(repeated, "M4_term_repeated", "company_id"))
 
 
-def exposure_faults(exposures: DataFrame, known_families: DataFrame, closures: DataFrame) -> DataFrame:
-    """M5, M6: exposures(company, exposure_id, family), closures(company, closed) -> (check, key): repeated ids, unknown families, and companies with both or neither of exposures and a true closure."""
+def exposure_faults(exposures: DataFrame, known_families: DataFrame, closures: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """M5, M6: exposures(company, exposure_id, families), one row an exposure, known_families(family), rules(family), closures(company, closed) -> (check, key): ids of several exposures, of one company or of
+    many, unknown families, known families without a rule, and companies with both or neither of exposures and a true closure."""
     fault = lambda df, name, key: df.select(F.lit(name).alias("check"), F.col(key).cast("string").alias("key"))
-    twice = exposures.groupBy("exposure_id").agg(F.count_distinct("company").alias("n")).where("n > 1")
-    unknown = exposures.join(known_families.select("family"), "family", "left_anti").select("family").distinct()
+    twice = exposures.groupBy("exposure_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    unknown = exposures.select(F.explode("families").alias("family")).distinct().join(known_families.select("family"), "family", "left_anti")
+    ruleless = known_families.select("family").distinct().join((rules if rules is not None else known_families).select("family"), "family", "left_anti")
     both = exposures.select("company", F.lit(1).alias("has")).distinct().join(closures, "company", "full").where(F.col("has").isNotNull() == F.coalesce(F.col("closed"), F.lit(False)))
-    return fault(twice, "M5_exposure_repeated", "exposure_id").union(fault(unknown, "M5_family_unknown", "family")).union(fault(both, "M6_closure", "company"))
+    return fault(twice, "M5_exposure_repeated", "exposure_id").union(fault(unknown, "M5_family_unknown", "family")).union(fault(ruleless, "M5_family_without_rule", "family")).union(fault(both, "M6_closure", "company"))

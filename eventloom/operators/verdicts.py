@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.text import FILLER, has_filler, squeezed
 
-#: Reject codes and their reasons; pattern of accept codes.
+#: Reject codes and their reasons.
 REJECT_REASONS = {
     "BROAD_INDUSTRY_ONLY": "broad_industry_only",
     "WRONG_CONTEXT": "wrong_context",
@@ -20,6 +20,10 @@ REJECT_REASONS = {
     "DUPLICATE_EVENT": "duplicate_event",
     "NO_MATERIAL_LINK": "weak_causal_link",
 }
+#: Materialities of direct events, and bounds of an assessment's parts.
+MATERIALITIES = ("high", "medium", "none")
+FACT_CHARS, INSIGHT_CHARS, MOST_EVIDENCE = 500, 350, 4
+#: Fixed value: pattern of accept codes.
 ACCEPT_CODE = r"^MATERIAL_LINK\|([a-z0-9_]+)\|(high|medium|low)\|(positive|negative|mixed|neutral)$"
 
 
@@ -67,16 +71,26 @@ def compressed(members: DataFrame) -> DataFrame:
 
 
 def assessed(events: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """events(event_id, member_ids) left join verdicts(event_id, action, materiality, fact, evidence_ids) -> action, reason, violation."""
-    met = events.join(verdicts, "event_id", "left")
+    """events(event_id, member_ids) left join verdicts(event_id, action, materiality, fact, insight, evidence_ids) -> action, reason, violation, materiality, fact, insight.
+
+    An answer that its own rules forbid is none: the event ends as a failed assessment, as without an answer. One that names foreign evidence is ignored, and loses what it says."""
+    if "insight" not in verdicts.columns:
+        verdicts = verdicts.withColumn("insight", F.lit(None).cast("string"))
+    met = events.join(verdicts.withColumn("_told", F.lit(True)), "event_id", "left")
     deliver = F.col("action") == "DELIVER"
-    no_text = F.coalesce(F.trim("fact"), F.lit("")) == ""
-    none = F.coalesce(F.col("materiality"), F.lit("none")) == "none"
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    none = F.col("materiality") == "none"
     evidence = F.coalesce(F.col("evidence_ids"), F.array().cast(events.schema["member_ids"].dataType))
-    violation = F.when(F.col("action").isNull(), F.lit(None)).when(deliver & (none | no_text | (F.size(evidence) == 0)), "incomplete_deliver").when(~deliver & (~none | ~no_text), "text_on_ignore")  # L6
+    known = F.coalesce(F.col("action").isin("DELIVER", "IGNORE") & F.col("materiality").isin(*MATERIALITIES), F.lit(False))
+    long = (F.length("fact") > FACT_CHARS) | (F.length("insight") > INSIGHT_CHARS) | (F.size(evidence) > MOST_EVIDENCE)
+    violation = (
+        F.when(F.col("_told").isNull(), F.lit(None)).when(~known, "unknown_value").when(F.coalesce(long, F.lit(False)), "too_long")
+        .when(deliver & (none | empty("fact") | (F.size(evidence) == 0)), "incomplete_deliver").when(~deliver & (~none | ~empty("fact") | ~empty("insight")), "text_on_ignore")
+    )  # L6
     foreign = F.size(F.array_except(evidence, F.col("member_ids"))) > 0
-    reason = F.when(F.col("action").isNull(), "model_assessment_failure").when(foreign, "invalid_evidence_id").when(violation.isNotNull(), violation)  # L8, L7
-    return met.select("event_id", F.when(reason.isNotNull(), "IGNORE").otherwise(F.col("action")).alias("action"), reason.alias("reason"), violation.alias("violation"), "materiality", "fact")
+    reason = F.when(F.col("_told").isNull() | violation.isNotNull(), "model_assessment_failure").when(foreign, "invalid_evidence_id")  # L8, L7
+    said = lambda c, other=None: F.when(reason.isNull(), F.col(c)).otherwise(F.lit(other)).alias(c)
+    return met.select("event_id", said("action", "IGNORE"), reason.alias("reason"), violation.alias("violation"), said("materiality", "none"), said("fact"), said("insight"))
 
 
 def grounded(items: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -87,15 +101,15 @@ def grounded(items: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def contract_violations(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """candidates(candidate_id, company, exposure_id, families), decisions(candidate_id, company, exposure_id, qualifies, family, materiality, reason) -> rows with `violation`."""
-    d = decisions.select("candidate_id", *(F.col(c).alias(f"d_{c}") for c in ("company", "exposure_id", "qualifies", "family", "materiality", "reason")))
+    """candidates(candidate_id, company, exposure_id, families), decisions(candidate_id, company, exposure_id, qualifies, family, materiality, direction, reason) -> rows with `violation`. A reason null or `none` is none; a reject's direction is neutral."""
+    d = decisions.select("candidate_id", *(F.col(c).alias(f"d_{c}") for c in ("company", "exposure_id", "qualifies", "family", "materiality", "direction", "reason")))
     met = candidates.join(d, "candidate_id")
     none = lambda c: F.coalesce(F.col(c), F.lit("none")) == "none"
     v = (
         F.when((F.col("company") != F.col("d_company")) | (F.col("exposure_id") != F.col("d_exposure_id")), "identity_changed")
         .when(F.col("d_qualifies") & ~F.array_contains("families", F.col("d_family")), "family_not_allowed")
-        .when(F.col("d_qualifies") & none("d_materiality"), "missing_materiality").when(F.col("d_qualifies") & F.col("d_reason").isNotNull(), "reason_on_accept")
-        .when(~F.col("d_qualifies") & (~none("d_family") | ~none("d_materiality")), "value_on_reject").when(~F.col("d_qualifies") & F.col("d_reason").isNull(), "missing_reason")
+        .when(F.col("d_qualifies") & none("d_materiality"), "missing_materiality").when(F.col("d_qualifies") & ~none("d_reason"), "reason_on_accept")
+        .when(~F.col("d_qualifies") & (~none("d_family") | ~none("d_materiality") | ~F.col("d_direction").eqNullSafe(F.lit("neutral"))), "value_on_reject").when(~F.col("d_qualifies") & none("d_reason"), "missing_reason")
     )
     return met.withColumn("violation", v)
 
@@ -124,13 +138,13 @@ def two_tier(candidates: DataFrame, tier1: DataFrame, tier2: DataFrame, on_unres
     return met.select("candidate_id", accepted.isNotNull().alias("qualifies"), accepted["family"].alias("family"), accepted["materiality"].alias("materiality"), accepted["direction"].alias("direction"), reason.alias("reason"), source.alias("decided_by"))
 
 
-def summary_error(route: Column, why: Column, insight: Column, evidence: Column, known: Column, watchpoint: Column) -> Column:
-    """The first error of a summary; null if it is good."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+def summary_error(route: Column, why: Column, evidence: Column, known: Column, mode: Column, insight: Column) -> Column:
+    """The first error of a summary; null if it is good. mode: implication or watchpoint; only a watchpoint's insight is searched for filler."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
     return (
-        F.when((route == "external") & (blank(why) | blank(insight)), "external_needs_why_and_insight").when((route == "direct") & ~blank(why), "direct_has_why")
+        F.when((route == "external") & blank(why), "external_needs_why").when((route == "direct") & ~blank(why), "direct_has_why")
         .when(F.size(evidence) == 0, "evidence_missing").when(F.size(evidence) != F.size(F.array_distinct(evidence)), "evidence_repeated")
-        .when(F.size(F.array_except(evidence, known)) > 0, "evidence_unknown").when(has_filler(squeezed(F.coalesce(watchpoint, F.lit(""))), FILLER), "filler")
+        .when(F.size(F.array_except(evidence, known)) > 0, "evidence_unknown").when((mode == "watchpoint") & has_filler(squeezed(F.coalesce(insight, F.lit(""))), FILLER), "filler")
     )
 
 

@@ -250,19 +250,23 @@ def op_i13_build_profile(spark, d):
     return registry.build_profile(_built(spark, d))
 
 
-@query("SELECT 'M3_term_shared' AS \"check\", lower(c_mktsegment) AS key FROM customer GROUP BY lower(c_mktsegment) HAVING count(*) > 1 UNION ALL SELECT 'M4_term_repeated', 'company-' || c_custkey FROM customer WHERE c_custkey % 7 = 0")
+@query("SELECT 'M3_term_shared' AS \"check\", lower(c_mktsegment) AS key FROM customer GROUP BY lower(c_mktsegment) HAVING count(*) > 1 UNION ALL SELECT 'M4_term_repeated', 'company-' || c_custkey FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 13 <> 0 UNION ALL SELECT 'M4_term_repeated', 'C_' || c_custkey FROM customer WHERE c_custkey % 91 = 0 UNION ALL SELECT 'M1_id_pattern', 'C_' || c_custkey FROM customer WHERE c_custkey % 13 = 0 UNION ALL SELECT 'M1_count', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'M3_term_shared', 'twin' || c_custkey // 2 FROM customer GROUP BY c_custkey // 2 HAVING count(*) > 1")
 def op_m1_dimension_faults(spark, d):
-    """M1–M4; shared segments and, for every seventh company, a repeated term are planted."""
+    """M1–M4; planted are a wrong count, shared segments (half of them with a legal form), twins that differ in their legal form only, ids of a wrong pattern, and a repeated term for every seventh company."""
     c = table(spark, d, "customer")
-    terms = F.when(F.col("c_custkey") % 7 == 0, F.array("c_name", "c_mktsegment", F.upper("c_name"))).otherwise(F.array("c_name", "c_mktsegment"))
-    return registry.dimension_faults(c.select(F.concat(F.lit("company-"), F.col("c_custkey").cast("string")).alias("company_id"), F.col("c_name").alias("name"), terms.alias("terms")))
+    k = F.col("c_custkey")
+    legal = F.when(k % 2 == 0, " Inc.").otherwise("")
+    terms = F.concat(F.array(F.col("c_name"), F.concat("c_mktsegment", legal), F.concat(F.lit("Twin"), F.expr("c_custkey div 2").cast("string"), legal)), F.when(k % 7 == 0, F.array(F.upper("c_name"))).otherwise(F.array().cast("array<string>")))
+    made = c.select(F.concat(F.when(k % 13 == 0, "C_").otherwise("company-"), k.cast("string")).alias("company_id"), F.col("c_name").alias("name"), terms.alias("terms"))
+    return registry.dimension_faults(made, declared=0)
 
 
-@query("SELECT 'M5_family_unknown' AS \"check\", p_type AS key FROM part WHERE p_type LIKE 'E%' GROUP BY p_type UNION ALL SELECT 'M5_exposure_repeated', p_type FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) > 1 UNION ALL SELECT DISTINCT 'M6_closure', p_brand FROM part WHERE right(p_brand, 1) = '1'")
+@query("SELECT 'M5_family_unknown' AS \"check\", p_type AS key FROM part WHERE p_type LIKE 'E%' GROUP BY p_type UNION ALL SELECT 'M5_exposure_repeated', p_brand || p_type FROM part GROUP BY p_brand, p_type HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'M5_family_without_rule', p_type FROM part WHERE p_type LIKE 'S%' UNION ALL SELECT DISTINCT 'M6_closure', p_brand FROM part WHERE right(p_brand, 1) = '1'")
 def op_m5_exposure_faults(spark, d):
     p = table(spark, d, "part")
-    e = p.select(F.col("p_brand").alias("company"), F.col("p_type").alias("exposure_id"), F.col("p_type").alias("family")).distinct()
-    return registry.exposure_faults(e, e.where("family NOT LIKE 'E%'").select("family").distinct(), e.where("company LIKE '%1'").select("company", F.lit(True).alias("closed")).distinct())
+    e = p.select(F.col("p_brand").alias("company"), F.concat("p_brand", "p_type").alias("exposure_id"), F.array("p_type").alias("families"))
+    known = p.select(F.col("p_type").alias("family")).distinct().where("family NOT LIKE 'E%'")
+    return registry.exposure_faults(e, known, e.where("company LIKE '%1'").select("company", F.lit(True).alias("closed")).distinct(), known.where("family NOT LIKE 'S%'"))
 
 
 def _outcomes(spark, d):

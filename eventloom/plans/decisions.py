@@ -75,20 +75,21 @@ def op_l5_compressed(spark, d):
 def _assessed(spark, d):
     o = table(spark, d, "orders")
     events = o.select(F.col("o_orderkey").alias("event_id"), F.array("o_orderkey", F.col("o_orderkey") + 1).alias("member_ids"))
-    k = F.col("o_orderkey") % 6
+    k = F.col("o_orderkey") % 10
     v = o.where(k != 0).select(
-        F.col("o_orderkey").alias("event_id"), F.when(k == 5, "IGNORE").otherwise("DELIVER").alias("action"), F.when(k.isin(1, 2, 3), "high").otherwise("none").alias("materiality"),
-        F.when(k != 5, F.lit("a fact")).alias("fact"), F.when(k == 2, F.array(F.col("o_orderkey") + 9)).otherwise(F.array("o_orderkey")).alias("evidence_ids"))
+        F.col("o_orderkey").alias("event_id"), F.when(k.isin(5, 7), "IGNORE").otherwise("DELIVER").alias("action"), F.when(k == 6, "low").when(k == 3, "medium").when(k.isin(4, 5, 7), "none").otherwise("high").alias("materiality"),
+        F.when(~k.isin(5, 7), F.lit("a fact")).alias("fact"), F.when(k.isin(7, 8), F.lit("an insight")).alias("insight"),
+        F.when(k == 2, F.array(F.col("o_orderkey") + 9)).when(k == 9, F.array_repeat("o_orderkey", 5)).otherwise(F.array("o_orderkey")).alias("evidence_ids"))
     return events, v
 
 
-@query("SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 6 IN (1, 3) THEN 'DELIVER' ELSE 'IGNORE' END AS action, CASE o_orderkey % 6 WHEN 0 THEN 'model_assessment_failure' WHEN 2 THEN 'invalid_evidence_id' WHEN 4 THEN 'incomplete_deliver' END AS reason FROM orders")
+@query("SELECT o_orderkey AS event_id, CASE WHEN k IN (1, 3, 8) THEN 'DELIVER' ELSE 'IGNORE' END AS action, CASE WHEN k IN (0, 4, 6, 7, 9) THEN 'model_assessment_failure' WHEN k = 2 THEN 'invalid_evidence_id' END AS reason, CASE k WHEN 4 THEN 'incomplete_deliver' WHEN 6 THEN 'unknown_value' WHEN 7 THEN 'text_on_ignore' WHEN 9 THEN 'too_long' END AS violation, CASE WHEN k = 8 THEN 'an insight' END AS insight FROM (SELECT *, o_orderkey % 10 AS k FROM orders)")
 def op_l6_assessments(spark, d):
-    """Kinds of verdict by order: none, good, foreign evidence, good, incoherent, ignored."""
-    return verdicts.assessed(*_assessed(spark, d)).select("event_id", "action", "reason")
+    """Kinds of verdict by order: none, good, foreign evidence, good, without materiality, ignored, of an unknown materiality, ignored with an insight, good with one, with too much evidence."""
+    return verdicts.assessed(*_assessed(spark, d)).select("event_id", "action", "reason", "violation", "insight")
 
 
-@query("SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey % 6 IN (1, 3)")
+@query("SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey % 10 IN (1, 3, 8)")
 def op_d9_delivered(spark, d):
     return verdicts.assessed(*_assessed(spark, d)).where("action = 'DELIVER'").select("event_id")
 
@@ -101,14 +102,14 @@ def op_l9_grounding(spark, d):
     return verdicts.grounded(items, v)
 
 
-@query("SELECT o_orderkey AS candidate_id, [NULL, 'identity_changed', 'family_not_allowed', 'missing_materiality', 'reason_on_accept', NULL, 'value_on_reject', 'missing_reason'][o_orderkey % 8 + 1] AS violation FROM orders")
+@query("SELECT o_orderkey AS candidate_id, [NULL, 'identity_changed', 'family_not_allowed', 'missing_materiality', 'reason_on_accept', NULL, 'value_on_reject', 'missing_reason', 'value_on_reject'][o_orderkey % 9 + 1] AS violation FROM orders")
 def op_l10_contract(spark, d):
     o = table(spark, d, "orders")
-    k = F.col("o_orderkey") % 8
+    k = F.col("o_orderkey") % 9
     c = o.select(F.col("o_orderkey").alias("candidate_id"), F.lit("c").alias("company"), F.lit("x").alias("exposure_id"), F.array(F.lit("supply"), F.lit("price")).alias("families"))
     dec = o.select(
         F.col("o_orderkey").alias("candidate_id"), F.when(k == 1, "other").otherwise("c").alias("company"), F.lit("x").alias("exposure_id"), (k <= 4).alias("qualifies"), F.when(k == 2, "weather").when((k <= 4) | (k == 6), "supply").otherwise("none").alias("family"),
-        F.when(k == 3, "none").when(k <= 4, "high").otherwise("none").alias("materiality"), F.when((k == 4) | (k == 5) | (k == 6), "weak_link").alias("reason"))
+        F.when(k == 3, "none").when(k <= 4, "high").otherwise("none").alias("materiality"), F.when(k.isin(4, 5, 6, 8), "weak_link").otherwise("none").alias("reason"), F.when((k <= 4) | (k == 8), "positive").otherwise("neutral").alias("direction"))
     return verdicts.contract_violations(c, dec).select("candidate_id", "violation")
 
 
@@ -155,17 +156,17 @@ def op_l14_legacy_tiers(spark, d):
     return verdicts.two_tier(*_codes(spark, d), on_unresolved="reject").select("candidate_id", "qualifies", "reason")
 
 
-@query("SELECT o_orderkey, [NULL, 'external_needs_why_and_insight', 'direct_has_why', 'evidence_missing', 'evidence_repeated', 'evidence_unknown', 'filler'][o_orderkey % 7 + 1] AS error FROM orders")
+@query("SELECT o_orderkey, [NULL, 'external_needs_why', 'direct_has_why', 'evidence_missing', 'evidence_repeated', 'evidence_unknown', 'filler', NULL][o_orderkey % 8 + 1] AS error FROM orders")
 def op_l15_summary_checks(spark, d):
-    """L15, L19; every filler phrase in turn."""
+    """L15, L19; every filler phrase in turn, in a watchpoint (an error) and in an implication (none)."""
     from eventloom.functions.text import FILLER
 
-    k = F.col("o_orderkey") % 7
-    phrase = F.element_at(F.array(*map(F.lit, FILLER)), (F.expr("o_orderkey div 7") % len(FILLER) + 1).cast("int"))
+    k = F.col("o_orderkey") % 8
+    phrase = F.element_at(F.array(*map(F.lit, FILLER)), (F.expr("o_orderkey div 8") % len(FILLER) + 1).cast("int"))
     key = F.col("o_orderkey")
     none = F.array().cast("array<bigint>")
     err = verdicts.summary_error(
-        F.when(k == 2, "direct").otherwise("external"), F.when(k == 1, F.lit(None)).otherwise(F.lit("why")), F.lit("insight"), F.when(k == 3, none).when(k == 4, F.array(key, key)).when(k == 5, F.array(key + 1)).otherwise(F.array(key)), F.array(key), F.when(k == 6, F.concat(F.lit("이번 계약은  "), phrase)).otherwise(F.lit("계약 이행 확인")))
+        F.when(k == 2, "direct").otherwise("external"), F.when(k == 1, F.lit(None)).otherwise(F.lit("why")), F.when(k == 3, none).when(k == 4, F.array(key, key)).when(k == 5, F.array(key + 1)).otherwise(F.array(key)), F.array(key), F.when(k == 7, "implication").otherwise("watchpoint"), F.when(k.isin(6, 7), F.concat(F.lit("이번 계약은  "), phrase)).otherwise(F.lit("계약 이행 확인")))
     return table(spark, d, "orders").select("o_orderkey", err.alias("error"))
 
 

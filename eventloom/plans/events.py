@@ -250,7 +250,7 @@ def op_h17_corroborating(spark, d):
     return cluster.corroborating(_represented(spark, d))
 
 
-@query(f"{_REP}, m AS (SELECT grp, company, arg_min(seq, rank) AS primary_id, count(*) AS coverage_count, string_agg(CAST(seq AS VARCHAR), '|' ORDER BY CAST(seq AS VARCHAR)) AS ids FROM rk GROUP BY 1, 2) SELECT primary_id, coverage_count, left(sha256('direct|' || company || '|' || ids), 16) AS event_id FROM m")
+@query(f"{_REP}, m AS (SELECT grp, company, arg_min(seq, rank) AS primary_id, count(*) AS coverage_count, string_agg(CAST(seq AS VARCHAR), '|' ORDER BY CAST(seq AS VARCHAR)) AS ids FROM rk GROUP BY 1, 2) SELECT primary_id, coverage_count, left(sha256('route_a|' || company || '|' || ids), 16) AS event_id FROM m")
 def op_i15_event_coverage(spark, d):
     """Event ids, primaries and coverage."""
     return cluster.events(_represented(spark, d)).select("primary_id", "coverage_count", "event_id")
@@ -261,22 +261,31 @@ def op_i10_source_classes(spark, d):
     return metrics.histogram(_represented(spark, d).where("rank = 1"), "source_class")
 
 
-@query(f"{FACTS}, f AS (SELECT seq, 'event' AS kind FROM e) SELECT seq, kind FROM f")
+_PRINTED = (
+    FACTS
+    + """, q AS (SELECT *, o_orderkey % 4 = 1 AS vague, CASE WHEN o_orderkey % 3 = 1 THEN 'external' ELSE 'direct' END AS route, CASE WHEN o_orderkey % 4 = 1 THEN 'story ' || seq ELSE title END AS told FROM e),
+j AS (SELECT seq, CASE WHEN route = 'direct' THEN 'event' ELSE 'article' END AS kind, sha256(CASE WHEN route = 'direct' AND o_orderkey % 10 = 5 THEN 'label' || o_orderkey WHEN route = 'direct' AND NOT vague
+  THEN '{"actions":' || CAST(to_json(primary_action) AS VARCHAR) || ',"amounts":' || CAST(to_json(amounts) AS VARCHAR) || ',"companies":' || CAST(to_json(CASE WHEN o_orderkey % 7 = 0 THEN list_sort([company, 'Other']) ELSE [company] END) AS VARCHAR) || ',"counterparties":' || CAST(to_json(parties) AS VARCHAR)
+    || ',"dates":' || CAST(to_json(dates) AS VARCHAR) || ',"families":[],"milestones":' || CAST(to_json(milestones) AS VARCHAR) || ',"percentages":[],"route":"direct"}'
+  ELSE route || '|' || company || '|' || url || '|' || told END) AS fingerprint FROM q)"""
+)
+
+
+@query(f"{_PRINTED} SELECT * FROM j")
 def op_h20_fingerprint_kind(spark, d):
-    return _fingerprints(spark, d).select("seq", "kind")
+    """Direct and external items, some with the hash of their label, some with two companies, some without any fact."""
+    return _fingerprints(spark, d).select("seq", "kind", "fingerprint")
 
 
 def _fingerprints(spark, d):
-    """Canonical JSON of an event's facts where it has an action and another fact, else its url and title."""
-    f = ft.with_facts(views.headlines(spark, d))
-    x = F.col("facts")
-    strong = (F.size(x["primary"]) > 0) & (F.size(F.concat(x["milestones"], x["parties"], x["dates"], x["amounts"], x["percentages"], x["families"])) > 0)
-    event = F.to_json(F.struct(F.lit("direct").alias("route"), F.array("company").alias("companies"), *(x[k].alias(k) for k in ("actions", "milestones", "parties", "dates", "amounts", "percentages", "families"))))
-    article = F.to_json(F.struct(F.lit("direct").alias("route"), "company", F.col("url").alias("url"), F.col("title_key").alias("title")))
-    return f.select("seq", F.when(strong, "event").otherwise("article").alias("kind"), F.sha2(F.when(strong, event).otherwise(article), 256).alias("fingerprint"))
+    h = views.headlines(spark, d)
+    f = ft.with_facts(h.withColumn("title", F.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("story "), F.col("seq").cast("string"))).otherwise(F.col("title"))))
+    companies = F.when(F.col("o_orderkey") % 7 == 0, F.array("company", F.lit("Other"))).otherwise(F.array("company"))
+    label = F.when(F.col("o_orderkey") % 10 == 5, F.sha2(F.concat(F.lit("label"), F.col("o_orderkey").cast("string")), 256))
+    return cluster.fingerprinted(f.withColumn("route", F.when(F.col("o_orderkey") % 3 == 1, "external").otherwise("direct")).withColumn("companies", companies).withColumn("label_hash", label))
 
 
-@query(f"{FACTS} SELECT count(*) AS n FROM (SELECT company, primary_action, milestones, parties, dates, amounts, level FROM e GROUP BY ALL)")
+@query(f"{_PRINTED} SELECT count(DISTINCT fingerprint) AS n FROM j")
 def op_h20_distinct_events(spark, d):
     return _fingerprints(spark, d).agg(F.count_distinct("fingerprint").alias("n"))
 

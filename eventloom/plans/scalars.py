@@ -106,7 +106,7 @@ def op_b11_article_id(spark, d):
     return a.select(F.col("seq").alias("page_id"), t.article_id(t.canonical_url(F.col("url")), F.col("title"), F.col("published_at")).alias("article_id"))
 
 
-@query("SELECT o_custkey, left(sha256('direct|Customer ' || o_custkey || '|' || string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY CAST(o_orderkey AS VARCHAR))), 16) AS event_id FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, left(sha256('route_a|Customer ' || o_custkey || '|' || string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY CAST(o_orderkey AS VARCHAR))), 16) AS event_id FROM orders GROUP BY o_custkey")
 def op_b12_event_id(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(F.col("o_orderkey").cast("string")).alias("ids"))
     return o.select("o_custkey", t.event_id(F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.col("ids")).alias("event_id"))
