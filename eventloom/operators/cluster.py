@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 from eventloom.functions.facts import GENERIC, conflict, partial_mismatch, shared_identity, signature
 from eventloom.functions.text import event_id, nfkc_casefold_only, source_class, title_key
 from eventloom.operators.graph import components
-from eventloom.sources.shared import stored
+from eventloom.sources.shared import discard, stored
 
 WINDOW_HOURS, RATIO = 72, 0.92
 
@@ -24,20 +24,23 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if 2 * min(len(x), len(y)) >= RATIO * (len(x) + len(y)) else None for x, y in zip(a, b, strict=True)])
 
 
-def pairs(rows: DataFrame, scope: list[str], hours: int = WINDOW_HOURS) -> DataFrame:
-    """Candidate pairs (l, r structs; l before r in cluster order) of rows(ord, id, published_at, title_key, facts, *scope).
+def pairs(rows: DataFrame, scope: list[str], hours: int = WINDOW_HOURS, fresh: Column | None = None) -> DataFrame:
+    """Candidate pairs (l, r structs; l before r in cluster order) of rows(ord, id, published_at, title_key, facts, *scope). fresh: only pairs with a row for which it holds; the others aren't joined among themselves.
 
     Every SAME decision needs equal titles or an equal non-empty identity set, so rows meet in blocks of those (with the scope); dated rows also by
     time bucket (own and next), undated rows by block alone, since no time gap parts them from any row."""
     keys = [F.struct(F.lit("title").alias("kind"), F.col("title_key").alias("value"))]
     keys += [F.when(F.size(F.col("facts")[k]) > 0, F.struct(F.lit(k).alias("kind"), F.array_join(F.col("facts")[k], "\u0001").alias("value"))) for k in ("amounts", "percentages", "parties", "dates")]
-    slim = rows.select(*scope, F.struct("ord", "id", "published_at", "title_key", "facts").alias("row"), F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("block"))
+    new = F.lit(True) if fresh is None else fresh
+    slim = rows.select(*scope, F.struct("ord", "id", "published_at", "title_key", "facts").alias("row"), new.alias("new"), F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("block"))
     dated = slim.where("row.published_at IS NOT NULL").withColumn("bucket", F.floor(F.unix_timestamp("row.published_at") / (hours * 3600)))
     on = [*scope, "block"]
-    left = dated.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1, F.col("bucket") - 1)))
+    left = dated.where("new").withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1, F.col("bucket") - 1)))
     near = left.select(*on, "bucket", F.col("row").alias("l")).join(dated.select(*on, "bucket", F.col("row").alias("r")), [*on, "bucket"])
     undated = slim.where("row.published_at IS NULL")
-    loose = undated.select(*on, F.col("row").alias("l")).join(slim.select(*on, F.col("row").alias("r")), on)
+    loose = undated.where("new").select(*on, F.col("row").alias("l")).join(slim.select(*on, F.col("row").alias("r")), on)
+    if fresh is not None:
+        loose = loose.unionByName(undated.select(*on, F.col("row").alias("l")).join(slim.where("new").select(*on, F.col("row").alias("r")), on))
     met = near.select(*scope, "l", "r").union(loose.select(*scope, "l", "r")).where("l.id <> r.id")
     turned = F.col("l.ord") > F.col("r.ord")
     met = met.select(*scope, F.when(turned, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(turned, F.col("l")).otherwise(F.col("r")).alias("r"))
@@ -110,9 +113,9 @@ def asked_pairs(rows: DataFrame, scope: list[str], verdicts: DataFrame) -> DataF
     return met.select(*(F.col(f"_left_{c}").alias(c) for c in scope), F.when(turned, F.col("right")).otherwise(F.col("left")).alias("l"), F.when(turned, F.col("left")).otherwise(F.col("right")).alias("r"))
 
 
-def same_pairs(ordered: DataFrame, scope: list[str], company: Column | None, hours: int, verdicts: DataFrame | None) -> DataFrame:
-    """(l, r ids) of the pairs that are SAME by the rules, or AMBIGUOUS and SAME by the verdict table."""
-    met = pairs(ordered, scope, hours)
+def same_pairs(ordered: DataFrame, scope: list[str], company: Column | None, hours: int, verdicts: DataFrame | None, fresh: Column | None = None) -> DataFrame:
+    """(l, r ids) of the pairs (those with a fresh row) that are SAME by the rules, or AMBIGUOUS and SAME by the verdict table."""
+    met = pairs(ordered, scope, hours, fresh)
     if verdicts is not None:
         more = asked_pairs(ordered, scope, verdicts)
         met = met.unionByName(more).withColumn("_l", F.col("l.id")).withColumn("_r", F.col("r.id")).dropDuplicates(["_l", "_r"]).drop("_l", "_r")
@@ -126,19 +129,21 @@ def same_pairs(ordered: DataFrame, scope: list[str], company: Column | None, hou
 CHUNK = 5000
 
 
-def greedy_groups(rows: DataFrame, same: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def greedy_groups(rows: DataFrame, same: DataFrame, chunk: int = CHUNK, labels: DataFrame | None = None) -> DataFrame:
     """rows(id, ord), same(l, r ids) -> (id, group): the id of the first row of its group. In order of ord, a row joins the first group all of
     whose members it is SAME with.
 
     A group lies in one component of the SAME graph. The components' rows are settled in order, up to `chunk` rows of each in a round: joins tell for every row which settled groups it is SAME with
-    as a whole (its links into the group are as many as the group's members), and the round's rows of a component then meet in one task. So a task holds `chunk` rows at most, whatever the component's size."""
-    labels = components(same.select(F.col("l").alias("a"), F.col("r").alias("b")))
+    as a whole (its links into the group are as many as the group's members), and the round's rows of a component then meet in one task. So a task holds `chunk` rows at most, whatever the component's size. labels(id, label): the components, if they are known."""
+    given = labels is not None
+    labels = labels if given else components(same.select(F.col("l").alias("a"), F.col("r").alias("b")))
     place = F.row_number().over(Window.partitionBy("label").orderBy("ord", "id"))
     members = stored(labels.join(rows.select("id", "ord"), "id").select("label", "id", place.alias("pos")), "cluster-members")
     both = same.select(F.col("l").alias("id"), F.col("r").alias("other")).union(same.select(F.col("r").alias("id"), F.col("l").alias("other"))).distinct()
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"label {labels.schema['label'].dataType.simpleString()}, id {kind}, `group` {kind}, first int"
     largest, done = members.agg(F.max("pos")).first()[0] or 0, None
+    steps = [members] if given else [members, labels]
     for begin in range(0, largest, chunk):
         now = members.where(F.col("pos").between(begin + 1, begin + chunk))
         linked = now.join(both, "id")
@@ -151,10 +156,12 @@ def greedy_groups(rows: DataFrame, same: DataFrame, chunk: int = CHUNK) -> DataF
             whole = linked.join(done.select(F.col("id").alias("other"), "group", "first"), "other").groupBy("id", "group", "first").agg(F.count(F.lit(1)).alias("n")).join(sizes, "group").where("n = size")
             todo = todo.join(whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "group"))).alias("homes")), "id", "left")
         settled = stored(todo.groupBy("label").applyInPandas(_settled, shape), "cluster-settled")
+        steps.append(settled)
         done = settled if done is None else done.unionByName(settled)
-    if done is None:
-        return rows.select("id", F.col("id").alias("group"))
-    return rows.select("id").join(done.select("id", "group"), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
+    found = rows.select("id", F.col("id").alias("group")) if done is None else rows.select("id").join(done.select("id", "group"), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
+    out = stored(found, "cluster-groups")
+    discard(*steps)
+    return out
 
 
 def _settled(part: pd.DataFrame) -> pd.DataFrame:
@@ -172,10 +179,18 @@ def _settled(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["label", "id", "group", "first"])
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows with `ord`, their place in clustering: by company, time (undated last), url and id."""
+    return rows.withColumn("ord", F.struct(F.lower("company").alias("c"), F.col("published_at").isNull().alias("n"), F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("t"), F.lower("url").alias("u"), F.col("id").alias("i")))
+
+
 def clustered(rows: DataFrame, hours: int = WINDOW_HOURS, verdicts: DataFrame | None = None) -> DataFrame:
     """H8: rows(id, company, published_at, url, title_key, facts) -> (id, group). Pairs never leave their company. verdicts(left_id, right_id, verdict) settle AMBIGUOUS pairs."""
-    ordered = rows.withColumn("ord", F.struct(F.lower("company").alias("c"), F.col("published_at").isNull().alias("n"), F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("t"), F.lower("url").alias("u"), F.col("id").alias("i")))
-    return greedy_groups(ordered, same_pairs(ordered, ["company"], F.col("company"), hours, verdicts))
+    ordered = in_order(rows)
+    same = same_pairs(ordered, ["company"], F.col("company"), hours, verdicts)
+    groups = greedy_groups(ordered, same)
+    discard(same)
+    return groups
 
 
 def external_clusters(links: DataFrame, hours: int = WINDOW_HOURS, verdicts: DataFrame | None = None) -> DataFrame:

@@ -25,4 +25,6 @@ def components(links: DataFrame) -> DataFrame:
         discard(before)
         if labels.where("changed").limit(1).count() == 0:
             discard(edges)
-            return labels.select("id", "label")
+            out = labels.select("id", "label")
+            out.stored_at = labels.stored_at  # the caller may discard it
+            return out

@@ -24,7 +24,8 @@ def lookback_window(now: datetime, days: int) -> tuple[datetime, datetime]:
 
 def freshness(ts: Column, start, end) -> Column:
     """D3: closed interval; the four classes exclude each other."""
-    return F.when(ts.isNull(), "missing").when(ts > F.lit(end), "future").when(ts < F.lit(start), "too_old").otherwise("accepted")
+    start, end = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    return F.when(ts.isNull(), "missing").when(ts > end, "future").when(ts < start, "too_old").otherwise("accepted")
 
 
 def lookback_days(start: datetime | Column, end: datetime | Column, maximum: int) -> int | Column:

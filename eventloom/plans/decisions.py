@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from eventloom.functions import facts as ft
 from eventloom.operators import metrics, verdicts
+from eventloom.plans.events import FACTS as _FACTS
 from eventloom.sources import io, views
-from eventloom.sources.shared import shared_dir
+from eventloom.sources.shared import shared_dir, stored
 from eventloom.sources.views import table
-from eventloom.streaming import incremental
+from eventloom.streaming import incremental, keyed, rolling
 
 Q = {}
 
@@ -284,25 +288,37 @@ def _scratch(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _slices(spark, rows, order, n=3):
-    """rows as n files of one folder, in order: a stream that comes in n batches."""
-    path = _scratch(spark, "stream-in")
+def _parts(rows, order, n=3):
+    """rows in n parts by value of `order`."""
     cuts = rows.approxQuantile(order, [k / n for k in range(1, n)], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if low is None else rows.where(F.col(order) > low)
-        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
-    return path
+        yield part if high is None else part.where(F.col(order) <= high)
 
 
-@query("SELECT freshness, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'missing' WHEN ts < TIMESTAMP '2024-01-10' THEN 'too_old' WHEN ts > TIMESTAMP '2024-01-20' THEN 'future' ELSE 'accepted' END AS freshness FROM events) GROUP BY 1")
+_RUNS = """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts FROM events), w(run, a, b) AS (VALUES (1, TIMESTAMP '2024-01-08 18:00:00', TIMESTAMP '2024-01-10 00:00:00'), (3, TIMESTAMP '2024-01-09 22:00:00', TIMESTAMP '2024-01-20 00:00:00'))"""
+
+
+@query(f"{_RUNS} SELECT run, CASE WHEN ts IS NULL THEN 'missing' WHEN ts < a THEN 'too_old' WHEN ts > b THEN 'future' ELSE 'accepted' END AS freshness, count(*) AS n FROM e, w GROUP BY 1, 2")
 def op_n1_incremental_freshness(spark, d):
-    """Events as a stream of three files, a batch each; every batch writes its classes, late rows apart."""
-    out = _scratch(spark, "n1")
+    """Three runs, each over events that come as files: the second fails, so the third's window starts at the first's end. The counts are observed as each run writes its rows."""
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("ts").cast("timestamp")).alias("published_at"))
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(_slices(spark, e, "event_id"))
-    handle = incremental.fresh_batches(out, "2024-01-10 00:00:00", "2024-01-20 00:00:00")
-    incremental.run_batches(stream, handle, _scratch(spark, "n1-checkpoint")).awaitTermination()
-    return spark.read.schema("event_id long, published_at timestamp, batch long, freshness string").parquet(out).groupBy("freshness").agg(F.count(F.lit(1)).alias("n"))
+    source, out, ledger = (_scratch(spark, f"n1-{x}") for x in ("in", "out", "ledger"))
+    e.write.parquet(source)
+    told = []
+
+    def fails(batch, batch_id):
+        raise RuntimeError("planted")
+
+    for run, (day, handle) in enumerate(((10, None), (15, fails), (20, None)), 1):
+        stream = spark.readStream.schema(e.schema).parquet(source)
+        now = datetime(2024, 1, day, tzinfo=UTC)
+        try:
+            counts = incremental.incremental_run(stream, ledger, f"{out}/run={run}", f"{out}-checkpoint-{run}", now, handle=handle)
+            told += [(run, c, counts[c]) for c in incremental.CLASSES if counts[c]]
+        except StreamingQueryException:
+            continue
+    return spark.createDataFrame(told, "run int, freshness string, n long")
 
 
 @query("SELECT DISTINCT 'u' || user_id AS fingerprint FROM events WHERE user_id % 5 <> 0")
@@ -317,10 +333,21 @@ def op_n3_idempotent_delivery(spark, d):
     return spark.read.schema("fingerprint string").parquet(f"{out}/*").select("fingerprint")
 
 
-@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 72 HOURS FROM events WHERE event_id % 2 = 1) AND event_id % 2 = 0 UNION ALL SELECT event_id FROM events WHERE event_id % 2 = 1")
+_LIVE = f"{_FACTS}, v AS (SELECT * FROM e WHERE published_at >= (SELECT max(published_at) FROM e) - INTERVAL 720 HOURS), s AS (SELECT a.seq AS l, b.seq AS r FROM v a JOIN v b ON a.company = b.company AND (a.published_at, lower(a.url), a.seq) < (b.published_at, lower(b.url), b.seq) AND b.published_at - a.published_at <= INTERVAL 72 HOURS WHERE a.amounts = b.amounts AND a.primary_action = b.primary_action AND a.dates = b.dates)"
+
+
+@query(f"{_LIVE} SELECT v.seq AS id, coalesce((SELECT min(l) FROM s WHERE s.r = v.seq), v.seq) AS \"group\" FROM v")
 def op_n4_rolling_window(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("ts").alias("published_at"))
-    return incremental.rolling_members(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")).select("event_id")
+    """Headlines in three batches by time; the members of the last thirty days and their groups after the last one, as if that window were clustered anew."""
+    h = ft.with_facts(views.headlines(spark, d)).withColumn("id", F.col("seq"))
+    rows = stored(h.select(*rolling.ROW, F.unix_timestamp("published_at").cast("double").alias("at")), "n4-rows")
+    source, state, out = (_scratch(spark, f"n4-{x}") for x in ("in", "state", "out"))
+    handle = rolling.rolling_clusters(state, out, keep_hours=720)
+    for part in _parts(rows, "at"):
+        part.drop("at").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.drop("at").schema).parquet(source)
+        incremental.run_batches(stream, handle, f"{out}-checkpoint").awaitTermination()
+    return rolling.members(spark, state, rows.schema).select("id", "group")
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'UNRELATED' ELSE 'RELATED' END AS verdict FROM events")
@@ -438,9 +465,10 @@ def op_c2_jsonld(spark, d):
 
 @query("SELECT min(event_id) AS seq FROM events GROUP BY user_id")
 def op_n2_stream_dedup(spark, d):
-    """Events as a stream of articles whose url is their user's, in three batches; a url that an earlier batch retained stays out of the later ones."""
-    out, state = _scratch(spark, "n2"), _scratch(spark, "n2-state")
-    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("url_key"), F.lit("").alias("title_key"))
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(_slices(spark, e, "seq"))
-    incremental.run_batches(stream, incremental.dedup_batches(out, state), _scratch(spark, "n2-checkpoint")).awaitTermination()
-    return spark.read.schema("seq long, url_key string").parquet(f"{out}/*").select("seq")
+    """Events as a stream of articles whose url is their user's, in three batches; a url that an earlier batch retained stays out of the later ones. Retained keys are in the state store, here for longer than the stream lasts."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("url_key"), F.lit("").alias("title_key"), F.col("ts").cast("timestamp").alias("arrived"))
+    source, out, work = (_scratch(spark, f"n2-{x}") for x in ("in", "out", "work"))
+    for part in _parts(e, "seq"):
+        part.write.mode("append").parquet(source)
+        keyed.dedup_run(spark, spark.readStream.schema(e.schema).parquet(source), out, work, "400 days").awaitTermination()
+    return spark.read.schema("seq long").parquet(f"{out}/*").select("seq")

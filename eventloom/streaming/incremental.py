@@ -1,15 +1,17 @@
-"""Incremental runs with Structured Streaming: freshness with late rows apart, exact dedup over all batches, idempotent delivery, a rolling event window."""
+"""Incremental runs with Structured Streaming: freshness windows from the run ledger, exact dedup over all batches, idempotent delivery."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.operators.dedup import dedup_map
-from eventloom.operators.windows import freshness
+from eventloom.operators.ledger import last_checkpoint
+from eventloom.operators.windows import delivery_window, freshness
 
 
 def fresh_stream(spark: SparkSession, path: str, schema: str, late: str = "2 hours", ts: str = "published_at", key: str = "canonical_url") -> DataFrame:
@@ -29,13 +31,51 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def fresh_batches(out: str, start, end, ts: str = "published_at") -> Callable[[DataFrame, int], None]:
-    """Writes each batch's rows under their class (accepted, too_old, future, missing), so that late rows are kept and counted apart from those that go on. A repeated batch replaces its own folder."""
+#: The ledger of runs.
+RUN = "mode string, at timestamp, status string, checkpoint timestamp"
+CLASSES = ("accepted", "too_old", "future", "missing")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("freshness", freshness(F.col(ts), start, end)).write.mode("overwrite").partitionBy("freshness").parquet(f"{out}/batch={batch_id}")
 
-    return handle
+def window_now(spark: SparkSession, ledger: str, mode: str, now: datetime, overlap_hours: int = 2, first_run_hours: int = 30) -> tuple[datetime, datetime]:
+    """The window of a run that starts now: from the checkpoint of the mode's last success in the ledger, less the overlap. A failed run has no checkpoint, so it doesn't move the window."""
+    last = last_checkpoint(_read(spark, ledger, RUN)).where(F.col("mode") == mode).select(F.unix_micros("checkpoint")).first()
+    return delivery_window(now, datetime.fromtimestamp(last[0] / 1e6, UTC) if last else None, overlap_hours, first_run_hours)
+
+
+def _ran(spark: SparkSession, ledger: str, mode: str, now: datetime, status: str) -> None:
+    instant = F.timestamp_micros(F.lit(round(now.timestamp() * 1_000_000)))
+    row = spark.range(1).select(F.lit(mode).alias("mode"), instant.alias("at"), F.lit(status).alias("status"), F.when(F.lit(status == "success"), instant).alias("checkpoint"))
+    row.write.mode("append").parquet(ledger)
+
+
+def incremental_run(stream: DataFrame, ledger: str, out: str, checkpoint: str, now: datetime, mode: str = "delivery", ts: str = "published_at", handle: Callable[[DataFrame, int], None] | None = None, overlap_hours: int = 2, first_run_hours: int = 30) -> dict[str, int]:
+    """One run over what the stream has now. Each batch's rows are written under their class of freshness, out/batch=<id>/freshness=<class>, so that late rows are kept apart from those that go on; the accepted ones then go to
+    `handle`. Rows of each class are counted as they are written (observed), not in a pass of their own. The ledger gets the run with its status: its checkpoint, from which the next window is laid, moves only if everything succeeded.
+
+    Returns the number of rows of each class, and the window's ends (microseconds)."""
+    spark = stream.sparkSession
+    start, end = window_now(spark, ledger, mode, now, overlap_hours, first_run_hours)
+    micros = lambda t: round(t.timestamp() * 1_000_000)
+    found = dict.fromkeys(CLASSES, 0) | {"start": micros(start), "end": micros(end)}
+
+    def batches(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        edge = [F.timestamp_micros(F.lit(micros(t))) for t in (start, end)]
+        said = batch.withColumn("freshness", freshness(F.col(ts), *edge))
+        said = said.observe(seen, *(F.count_if(F.col("freshness") == c).alias(c) for c in CLASSES))
+        said.write.mode("overwrite").partitionBy("freshness").parquet(f"{out}/batch={batch_id}")
+        for c, n in seen.get.items():
+            found[c] += n
+        if handle:
+            handle(spark.read.schema(batch.schema).parquet(f"{out}/batch={batch_id}/freshness=accepted") if seen.get["accepted"] else batch.limit(0), batch_id)
+
+    try:
+        run_batches(stream, batches, checkpoint).awaitTermination()
+    except Exception:
+        _ran(spark, ledger, mode, now, "failed")
+        raise
+    _ran(spark, ledger, mode, now, "success")
+    return found
 
 
 def dedup_batches(out: str, state: str, seq: str = "seq") -> Callable[[DataFrame, int], None]:
@@ -69,9 +109,3 @@ def deliver(out: str, ledger: str, kind: str = "event") -> Callable[[DataFrame,
         spark.read.parquet(f"{out}/batch={batch_id}").select("fingerprint", F.lit(kind).alias("kind")).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
 
     return handle
-
-
-def rolling_members(state: DataFrame, batch: DataFrame, hours: int = 72, ts: str = "published_at") -> DataFrame:
-    """Members to cluster together: the batch and what the state has of the last hours before the batch's newest row."""
-    newest = batch.agg(F.max(ts)).first()[0]
-    return state.where(F.col(ts) >= F.lit(newest) - F.expr(f"INTERVAL {hours} HOURS")).unionByName(batch)
