@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.order import summed
+
 
 def feed_metrics(outcomes: DataFrame) -> DataFrame:
-    """outcomes(status, http_status, retry_attempts) -> one row."""
+    """outcomes(status, http_status, retry_attempts, optionally retry_after_used) -> one row. A missed deadline of the collection is a timeout."""
     n, ok = F.count(F.lit(1)), F.count_if(F.col("status") == "success")
+    of = lambda *names: F.count_if(F.col("status").isin(*names))
+    waited = F.col("retry_after_used") if "retry_after_used" in outcomes.columns else F.lit(0)
     return outcomes.agg(
-        n.alias("total"), ok.alias("succeeded"), (n - ok).alias("failed"), F.coalesce(F.try_divide(ok, n), F.lit(0.0)).alias("success_ratio"), F.count_if(F.col("status") == "rate_limited").alias("rate_limited"),
-        F.count_if((F.col("http_status") >= 500) & (F.col("http_status") != 503)).alias("other_5xx"), F.count_if(F.col("status") == "timeout").alias("timeouts"), F.coalesce(F.sum("retry_attempts"), F.lit(0)).alias("retries"),
+        n.alias("total"), ok.alias("succeeded"), (n - ok).alias("failed"), F.coalesce(F.try_divide(ok, n), F.lit(0.0)).alias("success_ratio"), of("rate_limited").alias("rate_limited"), of("service_unavailable").alias("unavailable"),
+        F.count_if((F.col("status") == "http_error") & F.col("http_status").between(500, 599)).alias("other_5xx"), of("timeout", "collection_deadline").alias("timeouts"), of("connection_error").alias("connection_errors"),
+        of("parse_error").alias("parse_errors"), of("skipped_systemic_failure").alias("skipped"), F.coalesce(F.sum("retry_attempts"), F.lit(0)).alias("retries"), F.coalesce(F.sum(waited), F.lit(0)).cast("long").alias("retry_after_used"),
     )
 
 
@@ -27,21 +32,33 @@ def coverage_gate(outcomes: DataFrame, threshold: float = 0.90, zero_news: float
 def latencies(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """p50 is element (n-1) div 2, p95 element min(n-1, int(0.95 n)), counted from 0, of the sorted values; 2 decimals, 0 where there is none.
 
-    Counts of distinct values (pre-aggregated) are summed in order of value, so a group's rows never meet in one task as such."""
+    Counts of distinct values (pre-aggregated) are summed over a range shuffle by group and value, so a group of any size lies over many tasks; its sought elements are places in that order."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    run = counts.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
-    got = run.groupBy(*by).agg(at(F.floor((F.col("total") - 1) / 2)).alias("p50"), at(F.least(F.col("total") - 1, F.floor(F.col("total") * 0.95))).alias("p95"), F.max(value).alias("max"))
-    every = rows.select(*by).distinct().join(got, by, "left")
+    run = summed(counts, [*(F.col(c) for c in by), F.col(value)], "n", "upto")
+    named = {c: f"__{k}" for k, c in enumerate(by)}  # a group's columns on the other side of a join, where nulls meet nulls
+    met = lambda left, right: left.join(right, [F.equal_null(F.col(c), F.col(n)) for c, n in named.items()], "left").drop(*named.values())
+    ends = run.groupBy(*by).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.max("upto").alias("stop"), F.max(value).alias("max"))
+    total = F.col("stop") - F.col("start")
+    sought = ends.select(*(F.col(c).alias(n) for c, n in named.items()), "max", (F.col("start") + F.floor((total - 1) / 2)).alias("half"), (F.col("start") + F.least(total - 1, F.floor(total * 0.95))).alias("most"))
+    at = lambda k: F.max(F.when((F.col("upto") > F.col(k)) & (F.col("upto") - F.col("n") <= F.col(k)), F.col(value)))
+    got = met(run, sought).groupBy(*by).agg(at("half").alias("p50"), at("most").alias("p95"), F.max("max").alias("max"))
+    every = met(rows.select(*by).distinct(), got.select(*(F.col(c).alias(n) for c, n in named.items()), "p50", "p95", "max"))
     return every.select(*by, *(F.round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("p50", "p95", "max")))
 
 
-def stage_rates(rows: DataFrame, statuses: list[str]) -> DataFrame:
-    """rows(stage, status) -> counts by status, share resolved (accept or reject) and escalated."""
-    g = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in statuses))
-    least1 = F.greatest("total", F.lit(1))
-    return g.withColumn("resolution_rate", F.round((F.col("accept") + F.col("reject")) / least1, 6)).withColumn("escalation_rate", F.round(F.col("escalate") / least1, 6))
+def stage_rates(rows: DataFrame, candidates: int) -> DataFrame:
+    """rows(stage, outcome, retries, latency_ms, input_tokens, cached_tokens, output_tokens, reasoning_tokens), a row a request; outcome: accept, reject, escalate, or why it failed: rate_limit, timeout, server_error,
+    schema_failure, client_error -> for each stage its counts, latencies (I5) and tokens, the share of all candidates that it resolved and the share that reached it (5 decimals)."""
+    of = lambda name: F.count_if(F.col("outcome") == name)
+    failures = {"rate_limit": "rate_limits", "timeout": "timeouts", "server_error": "server_errors", "schema_failure": "schema_failures"}
+    tokens = ("input_tokens", "cached_tokens", "output_tokens", "reasoning_tokens")
+    g = rows.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("requests"), of("accept").alias("accepts"), of("reject").alias("rejects"), of("escalate").alias("escalates"), F.count_if(F.col("outcome").isin(*failures, "client_error")).alias("failures"),
+        F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), *(of(k).alias(v) for k, v in failures.items()), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens),
+    )
+    share = lambda c: F.round(c / max(candidates, 1), 5)
+    g = g.withColumn("resolution_rate", share(F.col("accepts") + F.col("rejects"))).withColumn("reached_rate", share(F.col("requests")))
+    return g.join(latencies(rows, "latency_ms", ["stage"]), "stage")
 
 
 def stage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -82,6 +99,43 @@ def decision_report(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.groupBy("tier").agg(c(True, True, "both"), c(True, False, "lost"), c(False, True, "gained"), c(False, False, "neither"))
 
 
+def _replayed(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.select("candidate_id", F.col("accept").alias("_old")).join(new, "candidate_id")
+
+
+def replay_report(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old(candidate_id, accept), new(candidate_id, accept, tier1: ACCEPT, REJECT or anything else, tier2 boolean: it was asked, failed boolean: accepted because it failed) -> one row of all counts and rates."""
+    n, asked, failed = F.count(F.lit(1)), F.coalesce(F.col("tier2"), F.lit(False)), F.coalesce(F.col("failed"), F.lit(False))
+    first = lambda name: F.col("tier1").eqNullSafe(F.lit(name))
+    settled = F.count_if(first("ACCEPT") | first("REJECT"))
+    share = lambda c: F.round(c / F.greatest(n, F.lit(1)), 5)
+    return _replayed(old, new).agg(
+        n.alias("candidates"), F.count_if("_old").alias("old_accept"), F.count_if(~F.col("_old")).alias("old_reject"), F.count_if(first("ACCEPT")).alias("tier1_accept"), F.count_if(first("REJECT")).alias("tier1_reject"),
+        (n - settled).alias("tier1_escalate"), F.count_if(asked).alias("tier2_calls"), F.count_if(asked & F.col("accept") & ~failed).alias("tier2_accept"), F.count_if(asked & ~F.col("accept")).alias("tier2_reject"), F.count_if(failed).alias("failure_accept"),
+        F.count_if("accept").alias("new_accept"), F.count_if(~F.col("accept")).alias("new_reject"), F.count_if(F.col("_old") & ~F.col("accept")).alias("lost"), F.count_if(~F.col("_old") & F.col("accept")).alias("gained"),
+        share(settled).alias("resolution_rate"), share(F.count_if(asked)).alias("escalation_rate"),
+    )
+
+
+def replay_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new's rows whose decision isn't the old one, with `change`: lost or gained."""
+    met = _replayed(old, new).where("_old <> accept")
+    return met.withColumn("change", F.when(F.col("_old"), "lost").otherwise("gained")).drop("_old")
+
+
+#: What an editorial run counts, by the event that its trace tells.
+EDITORIAL = {
+    "call": ("summary_calls",), "validation_retry": ("summary_retries", "summary_evidence_retries"), "failure": ("summary_failures",), "implication": ("insight_implication_count",), "watchpoint": ("insight_watchpoint_count",),
+    "grounding_call": ("grounding_verifier_calls",), "grounding_failure": ("grounding_verifier_failures",), "unsupported_implication": ("unsupported_implications",), "watchpoint_rewrite": ("watchpoint_rewrites",),
+    "watchpoint_fallback": ("watchpoint_fallbacks",), "core_rewrite": ("core_rewrites",), "core_fallback": ("core_fallbacks",),
+}
+
+
+def editorial_counters(trace: DataFrame) -> DataFrame:
+    """trace(event) -> one row with the thirteen counters."""
+    return trace.agg(*(F.count_if(F.col("event") == e).alias(name) for e, names in EDITORIAL.items() for name in names))
+
+
 def column_profile(df: DataFrame, columns: list[str], low: int = 20, high: int = 1000) -> DataFrame:
     """Per column nonblank count, distinct share and whether it may be the name column (count within low..high); one pass, one row per column."""
     blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))

@@ -6,10 +6,12 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from eventloom.functions.text import canonical_url, is_aggregator, safe_url
 
@@ -18,7 +20,7 @@ MOST, LEAST = 20_000, 20
 CHROME = re.compile(r"(?:related|recommended|recommendation|footer|sidebar|navigation|breadcrumb|promo|advert|outbrain|taboola)", re.I)
 UNWANTED = {"script", "style", "noscript", "template", "svg", "nav", "footer", "aside", "form"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-METAS = ("og:title", "og:description", "description", "twitter:title", "twitter:description")
+METAS = {"og:title": "property", "og:description": "property", "description": "name", "twitter:title": "name", "twitter:description": "name"}
 ARTICLE_TYPES = {"article", "newsarticle", "reportagenewsarticle"}
 
 
@@ -36,9 +38,9 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "meta":
-            key = a.get("property") or a.get("name")
-            if key in METAS and a.get("content") is not None:
-                self.metas.setdefault(key, a["content"])
+            for key, attribute in METAS.items():  # the first tag of each key counts, with or without content
+                if a.get(attribute) == key and key not in self.metas:
+                    self.metas[key] = a.get("content")
         if tag == "script" and re.search(r"application/ld\+json", a.get("type") or "", re.I):
             self.scripts.append("")
         if tag in VOID:
@@ -94,7 +96,7 @@ def evidence(page: str | None) -> tuple[str | None, str | None]:
     p = _Page()
     p.feed(page)
     p.close()
-    meta = ([p.title] if p.title else []) + [p.metas[k] for k in METAS if k in p.metas]
+    meta = ([p.title] if p.title else []) + [p.metas[k] for k in METAS if p.metas.get(k) is not None]
     tidy = lambda parts: " ".join(" ".join(parts).split())[:MOST]
     said = []
     for raw in p.scripts:
@@ -124,27 +126,76 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return slim.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, evidence string, tier string").withColumnRenamed("id", id_col)
 
 
+class _Links(HTMLParser):
+    """Targets of a page: that of the first canonical link, of the first og:url, and of all anchors in order; attributes in any order and quoting, entities resolved."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.first, self.anchors = {}, []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "link" and "canonical" in (a.get("rel") or "").split():
+            self.first.setdefault("canonical", a.get("href"))
+        if tag == "meta" and a.get("property") == "og:url":
+            self.first.setdefault("og:url", a.get("content"))
+        if tag == "a" and a.get("href") is not None:
+            self.anchors.append(a["href"])
+
+    def targets(self) -> list[str]:
+        return [x for x in (self.first.get("canonical"), self.first.get("og:url")) if x is not None] + self.anchors
+
+
+def page_targets(page: str | None, base: str | None) -> list[str]:
+    """Targets as absolute urls, by reference resolution against the page's own url; what can't be resolved is left out."""
+    links = _Links()
+    links.feed(page or "")
+    links.close()
+    out = []
+    for target in links.targets():
+        try:
+            out.append(urljoin(base or "", target))
+        except ValueError:
+            continue
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def absolute_targets(html: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([page_targets(h, b) for h, b in zip(html, base, strict=True)])
+
+
 def publisher_links(pages: DataFrame, id_col: str, html: Column, base: Column) -> DataFrame:
     """C4: (id_col, publisher_url): canonical link, og:url, then anchors; the first safe one that isn't an aggregator's."""
-    grab = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    found = F.concat(grab(r'(?i)<link[^>]*rel="canonical"[^>]*href="([^"]+)"'), grab(r'(?i)<meta[^>]*property="og:url"[^>]*content="([^"]+)"'), grab(r'(?i)<a\s[^>]*href="([^"]+)"'))
-    absolute = F.transform(found, lambda u: F.when(u.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), u).when(u.startswith("/"), F.concat(root, u)).otherwise(F.concat(root, F.lit("/"), u)))
-    links = pages.select(id_col, F.posexplode(absolute).alias("pos", "link"))
+    links = pages.select(id_col, F.posexplode(absolute_targets(html, base)).alias("pos", "link"))
     return links.where(safe_url(F.col("link")) & ~is_aggregator(F.col("link"))).groupBy(id_col).agg(F.min_by("link", "pos").alias("publisher_url"))
 
 
 def enriched(articles: DataFrame, owned: DataFrame, identified: DataFrame, pages: DataFrame) -> DataFrame:
-    """articles(seq, url), owned(seq), identified(seq), pages(url, evidence, tier, resolved_url): no owner passes through, identified ones don't need text, others get
-    their page's; success replaces the canonical url unless it is an aggregator's."""
+    """articles(seq, url), owned(seq), identified(seq), pages(url, evidence, tier, resolved_url, optionally fetch_status as of B22): no owner passes through, identified ones don't need text, others get
+    their page's; success replaces the canonical url unless it is an aggregator's. A url that isn't safe is blocked unfetched."""
+    if "fetch_status" not in pages.columns:
+        pages = pages.withColumn("fetch_status", F.lit("success"))
     met = articles.join(owned.select("seq", F.lit(True).alias("_o")), "seq", "left").join(identified.select("seq", F.lit(True).alias("_i")), "seq", "left").join(pages.dropDuplicates(["url"]), "url", "left")
     needs = F.col("_o").isNotNull() & F.col("_i").isNull()
-    status = F.when(F.col("_o").isNull(), "no_owner").when(F.col("_i").isNotNull(), "not_needed").when(F.col("evidence").isNull(), "insufficient_content").otherwise("success")
+    status = F.when(F.col("_o").isNull(), "no_owner").when(F.col("_i").isNotNull(), "not_needed").when(~safe_url(F.col("url")), "blocked").when(F.col("fetch_status") != "success", F.col("fetch_status")).when(F.col("evidence").isNull(), "insufficient_content").otherwise("success")
     resolved = F.coalesce("resolved_url", "url")
-    return met.select("seq", "url", status.alias("status"), F.when(status == "success", F.col("evidence")).alias("text"), F.when(needs, F.col("tier")).alias("tier"), F.when((status == "success") & ~is_aggregator(resolved), canonical_url(resolved)).otherwise(canonical_url(F.col("url"))).alias("canonical_url"))
+    return met.select("seq", "url", status.alias("status"), F.when(status == "success", F.col("evidence")).alias("text"), F.when(needs, F.col("tier")).alias("tier"), F.when((status == "success") & ~is_aggregator(resolved), canonical_url(resolved)).otherwise(canonical_url(F.col("url"))).alias("canonical_url"), F.when(status == "success", F.col("resolved_url")).alias("resolved_url"))
+
+
+#: How a needed fetch may end.
+FETCH_ENDS = ("success", "timeout", "http_error", "blocked", "parse_error", "insufficient_content")
 
 
-def enrichment_counters(rows: DataFrame) -> DataFrame:
-    """C6."""
-    need = F.col("status").isin("success", "insufficient_content")
-    return rows.agg(F.count(F.lit(1)).alias("articles"), F.count_if(need).alias("candidates"), F.count_if(F.col("status") == "not_needed").alias("skipped"), F.count_if(F.col("status") == "success").alias("succeeded"), (F.count_if(need) - F.count_distinct(F.when(need, F.col("url")))).alias("cache_hits"))
+def enrichment_counters(rows: DataFrame, seen_before: DataFrame, seen_after: DataFrame) -> DataFrame:
+    """One row of counters over `enriched` rows: candidates, skipped (identity was visible), attempted (distinct urls of candidates that are safe), each end, resolved publisher urls, cache hits (candidates whose url another one fetched),
+    and matches that the feed text of skipped articles, and the page text of enriched ones, gave: seen_before(seq, n), seen_after(seq, n)."""
+    need = F.col("status").isin(*FETCH_ENDS)
+    key = F.when(need, F.lower(F.trim(canonical_url(F.col("url")))))
+    met = rows.join(seen_before.select("seq", F.col("n").alias("_before")), "seq", "left").join(seen_after.select("seq", F.col("n").alias("_after")), "seq", "left")
+    total = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0)).cast("long")
+    return met.agg(
+        F.count(F.lit(1)).alias("articles"), F.count_if(need).alias("candidates"), F.count_if(F.col("status") == "not_needed").alias("skipped"), F.count_distinct(F.when(safe_url(F.col("url")), key)).alias("attempted"),
+        *(F.count_if(F.col("status") == s).alias(s) for s in FETCH_ENDS), F.count_if((F.col("status") == "success") & F.col("resolved_url").isNotNull() & ~is_aggregator(F.col("resolved_url"))).alias("resolved_urls"),
+        (F.count_if(need) - F.count_distinct(key)).alias("cache_hits"), total(F.col("status") == "not_needed", "_before").alias("matches_before"), total(F.col("status") == "success", "_after").alias("matches_after"),
+    )

@@ -168,12 +168,64 @@ def safe_summary(title: Column, mechanism: Column, dimension: Column, route: Col
     return F.struct(said(title, 500, NO_TITLE).alias("fact"), F.when(route == "external", said(mechanism, 350, NO_MECHANISM)).alias("mechanism"), mark.alias("watchpoint"))
 
 
-def evidence_payload(events: DataFrame, members: DataFrame, limit: int = 2) -> DataFrame:
-    """events(event_id, rank), members(event_id, id, member_rank, title, facts words) -> representative, corroborating ids, words, valid ids as JSON."""
-    m = F.array_sort(F.collect_list(F.struct("member_rank", "id", "title")))
-    g = members.groupBy("event_id").agg(m.alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("terms"))
-    p = F.struct(F.get("m", F.lit(0))["title"].alias("representative"), F.transform(F.slice("m", 2, limit), lambda s: s["id"]).alias("corroborating"), F.col("terms").alias("terms"), F.transform(F.col("m"), lambda s: s["id"]).alias("valid_ids"))
-    return events.join(g.select("event_id", F.to_json(p).alias("payload")), "event_id")
+#: Names of the facts in payloads, and the facts they come from.
+ANCHORS = {
+    "action_terms": "actions", "primary_action_terms": "primary", "secondary_action_terms": "secondary", "counterparties": "parties", "milestone_terms": "milestones", "explicit_date_tokens": "dates",
+    "numeric_tokens": "numbers", "amount_tokens": "amounts", "percentage_tokens": "percentages", "subject_terms": "subjects", "event_families": "families",
+}
+
+
+def anchors(facts: Column) -> Column:
+    return F.struct(*(F.array_sort(facts[k]).alias(name) for name, k in ANCHORS.items()))
+
+
+def _article(url: bool) -> Column:
+    """An article as payloads show it; null fields stay."""
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return F.struct(F.col("id").cast("string").alias("article_id"), "title", *(["url"] if url else []), "source", at.alias("published_at"), "description", "text")
+
+
+_WHOLE = {"ignoreNullFields": "false"}
+
+
+def evidence_payload(events: DataFrame, members: DataFrame, picks: DataFrame, links: DataFrame | None = None, limit: int = 2) -> DataFrame:
+    """What a summary may rest on: events(event_id, route, company, companies, materiality), members(event_id, id, rank, title, url, source, published_at, description, text, facts), picks(group, pick, id) of `corroborating`,
+    links(event_id, company, direction, mechanism, materiality, family) of external events -> (event_id, payload as JSON, valid_ids).
+
+    The representative is the member of rank 1; the corroborating ones are the first `limit` picks (H17). An external event tells its families (the first of them is the canonical one, or unknown) and approved links. Only these members' texts are moved."""
+    first = members.where("rank = 1").select("event_id", _article(True).alias("representative"), anchors(F.col("facts")).alias("anchors"))
+    chosen = picks.where(F.col("pick") <= limit).select(F.col("group").alias("event_id"), "id", "pick")
+    more = members.join(chosen, ["event_id", "id"]).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("pick", _article(True).alias("a")))).alias("more"))
+    met = events.join(first, "event_id").join(more, "event_id", "left").withColumn("corroborating", F.coalesce(F.transform("more", lambda s: s["a"]), F.array().cast("array<" + first.schema["representative"].dataType.simpleString() + ">")))
+    external = F.col("route") == "external"
+    approved = F.lit(None).cast("array<struct<company:string,impact_direction:string,causal_mechanism:string,materiality:string,event_family:string>>")
+    if links is not None:
+        link = F.struct("company", F.col("direction").alias("impact_direction"), F.col("mechanism").alias("causal_mechanism"), "materiality", F.col("family").alias("event_family"))
+        told = links.groupBy("event_id").agg(F.array_sort(F.collect_list(link)).alias("links"), F.array_sort(F.collect_set(F.when(~F.col("family").isin("", "none"), F.col("family")))).alias("families"))
+        met = met.join(told, "event_id", "left")
+        approved = F.when(external, F.coalesce("links", F.array().cast(told.schema["links"].dataType)))
+    families = F.coalesce(F.col("families"), F.array().cast("array<string>")) if links is not None else F.array().cast("array<string>")
+    context = F.when(external, F.to_json(F.struct(F.coalesce(F.get(families, F.lit(0)), F.lit("unknown")).alias("canonical_event_family"), families.alias("source_event_families")))).otherwise("{}")
+    parts = {"route": F.col("route"), "event_id": F.col("event_id"), "company": F.col("company"), "impacted_companies": F.col("companies"), "event_materiality": F.col("materiality"), "canonical_event_anchors": F.col("anchors")}
+    body = lambda fields: F.regexp_extract(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), _WHOLE), r"(?s)^\{(.*)\}$", 1)
+    rest = {"representative_article": F.col("representative"), "corroborating_articles": F.col("corroborating")}
+    tail = F.coalesce(F.concat(F.lit(',"approved_impact_links":'), F.to_json(approved, _WHOLE)), F.lit(""))
+    payload = F.concat(F.lit("{"), body(parts), F.lit(',"event_family_context":'), context, F.lit(","), body(rest), tail, F.lit("}"))
+    ids = F.concat(F.array(F.col("representative.article_id")), F.transform("corroborating", lambda a: a["article_id"]))
+    return met.select("event_id", payload.alias("payload"), ids.alias("valid_ids"))
+
+
+def judge_payload(events: DataFrame, members: DataFrame, limit: int = 3) -> DataFrame:
+    """What a judge of a direct event sees: events(event_id, company), members(event_id, id, rank, title, source, published_at, description, text, facts, matched_terms) -> (event_id, payload as JSON): the terms that any member matched,
+    the number of members, the primary's facts, and the articles of the primary and the first `limit` others."""
+    terms = members.select("event_id", F.explode("matched_terms").alias("term")).groupBy("event_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # distinct before they are gathered
+    sizes = members.groupBy("event_id").agg(F.count(F.lit(1)).alias("coverage"))
+    first = members.where("rank = 1").select("event_id", anchors(F.col("facts")).alias("anchors"))
+    shown = members.where(F.col("rank") <= limit + 1).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", _article(False).alias("a")))), lambda s: s["a"]).alias("articles"))
+    met = events.join(first, "event_id").join(sizes, "event_id").join(terms, "event_id", "left").join(shown, "event_id")
+    none = F.array().cast("array<string>")
+    payload = F.struct("company", F.coalesce("terms", none).alias("matched_identity_terms"), "event_id", F.col("coverage").alias("coverage_count"), "anchors", "articles")
+    return met.select("event_id", F.to_json(payload, _WHOLE).alias("payload"))
 
 
 def recovered_final(audit: Column, qualifies: Column) -> Column:

@@ -274,9 +274,12 @@ def _outcomes(spark, d):
     return o.withColumn("o", t.feed_outcome(F.col("http_status"), F.col("error"))).select("*", "o.status", "o.transient", "o.signal").drop("o")
 
 
-@query(f"WITH {views.OUTCOMES_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') / count(*) AS success_ratio, count(*) FILTER (status = 'rate_limited') AS rate_limited, count(*) FILTER (http_status >= 500 AND http_status <> 503) AS other_5xx, count(*) FILTER (status = 'timeout') AS timeouts, sum(retry_attempts)::BIGINT AS retries FROM f")
+@query(f"WITH {views.OUTCOMES_SQL}, g AS (SELECT * REPLACE (CASE event_id % 17 WHEN 1 THEN 'collection_deadline' WHEN 2 THEN 'parse_error' WHEN 3 THEN 'skipped_systemic_failure' WHEN 4 THEN 'connection_error' ELSE status END AS status) FROM f) SELECT count(*) AS total, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') / count(*) AS success_ratio, count(*) FILTER (status = 'rate_limited') AS rate_limited, count(*) FILTER (status = 'service_unavailable') AS unavailable, count(*) FILTER (status = 'http_error' AND http_status BETWEEN 500 AND 599) AS other_5xx, count(*) FILTER (status IN ('timeout', 'collection_deadline')) AS timeouts, count(*) FILTER (status = 'connection_error') AS connection_errors, count(*) FILTER (status = 'parse_error') AS parse_errors, count(*) FILTER (status = 'skipped_systemic_failure') AS skipped, sum(retry_attempts)::BIGINT AS retries, sum(event_id % 3)::BIGINT AS retry_after_used FROM g")
 def op_i1_feed_metrics(spark, d):
-    return metrics.feed_metrics(_outcomes(spark, d))
+    """Some outcomes are replaced by those that no code tells."""
+    k = F.col("event_id") % 17
+    status = F.when(k == 1, "collection_deadline").when(k == 2, "parse_error").when(k == 3, "skipped_systemic_failure").when(k == 4, "connection_error").otherwise(F.col("status"))
+    return metrics.feed_metrics(_outcomes(spark, d).withColumn("status", status).withColumn("retry_after_used", F.col("event_id") % 3))
 
 
 _GATE = f"WITH {views.OUTCOMES_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status = 'success') / count(*) AS ratio, count(*) FILTER (status = 'success') / count(*) >= {{0}} AS sufficient, count(*) FILTER (status = 'success') / count(*) >= 0.98 AS zero_news_healthy FROM f"

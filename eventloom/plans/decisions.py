@@ -196,15 +196,45 @@ def op_d8_filler(spark, d):
     return table(spark, d, "orders").select("o_orderkey", has_filler(said).alias("filler"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
-SELECT l_orderkey AS event_id, '{"representative":"part ' || max(CASE WHEN k = 1 THEN l_partkey END) || '","corroborating":[' || coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY k) FILTER (k IN (2, 3)), '') || '],"terms":[' || (SELECT string_agg('"' || w || '"', ',' ORDER BY w) FROM (SELECT DISTINCT 's' || y.l_suppkey AS w FROM x y WHERE y.l_orderkey = x.l_orderkey)) || '],"valid_ids":[' || string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY k) || ']}' AS payload FROM x GROUP BY l_orderkey""")
-def op_l17_evidence_payload(spark, d):
-    """L17, L18."""
+def _evidence(spark, d):
+    """Line items as members of their order's event, in order; every fourth order is external, with its items' suppliers as links."""
     from pyspark.sql import Window
 
-    li = table(spark, d, "lineitem").withColumn("member_rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
-    m = li.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("id"), "member_rank", F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"), F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("words"))
-    return verdicts.evidence_payload(m.select("event_id").distinct(), m)
+    li = table(spark, d, "lineitem")
+    m = li.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    word = lambda c: F.array(F.concat(F.lit(c[2]), F.col(c).cast("string")))
+    none = F.array().cast("array<string>")
+    facts = F.struct(*((word("l_suppkey") if k == "parties" else word("l_partkey") if k == "subjects" else none).alias(k) for k in dict.fromkeys(verdicts.ANCHORS.values())))
+    m = m.select(
+        F.col("l_orderkey").alias("event_id"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("rank").cast("string")).alias("id"), "rank", F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"), F.concat(F.lit("https://x.example/"), F.col("l_partkey").cast("string")).alias("url"),
+        F.lit("desk").alias("source"), F.col("l_shipdate").cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("description"), F.when(F.col("rank") % 2 == 0, F.lit('say "so"')).alias("text"), facts.alias("facts"), word("l_suppkey").alias("matched_terms"), "l_suppkey", "l_partkey")
+    e = m.where("rank = 1").select("event_id", F.when(F.col("event_id") % 4 == 0, "external").otherwise("direct").alias("route"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("company"), F.array(F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("companies"), F.lit("high").alias("materiality"))
+    picks = m.where("rank > 1").select(F.col("event_id").alias("group"), (F.col("rank") - 1).alias("pick"), "id")
+    links = m.where("event_id % 4 = 0").select("event_id", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("company"), F.lit("mixed").alias("direction"), F.lit("cost").alias("mechanism"), F.lit("low").alias("materiality"), F.when(F.col("l_partkey") % 3 == 0, "none").otherwise(F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string"))).alias("family"))
+    return e, m, picks, links
+
+
+_MEMBERS = """WITH x AS (SELECT *, l_orderkey || '/' || row_number() OVER w AS id, row_number() OVER w AS rank FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+y AS (SELECT *, '{"article_id":"' || id || '","title":"part ' || l_partkey || '",' AS head, '"source":"desk","published_at":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S+00:00') || '","description":null,"text":' || CASE WHEN rank % 2 = 0 THEN '"say \\"so\\""' ELSE 'null' END || '}' AS tail,
+  '{"action_terms":[],"primary_action_terms":[],"secondary_action_terms":[],"counterparties":["s' || l_suppkey || '"],"milestone_terms":[],"explicit_date_tokens":[],"numeric_tokens":[],"amount_tokens":[],"percentage_tokens":[],"subject_terms":["p' || l_partkey || '"],"event_families":[]}' AS anchors FROM x)"""
+
+
+@query(f"""{_MEMBERS}, z AS (SELECT *, head || '"url":"https://x.example/' || l_partkey || '",' || tail AS article, CASE l_partkey % 3 WHEN 0 THEN 'none' ELSE 'f' || l_partkey % 3 END AS fam FROM y),
+f AS (SELECT l_orderkey, list_sort(list_distinct(list(fam) FILTER (fam <> 'none'))) AS fs, string_agg('{{"company":"s' || l_suppkey || '","impact_direction":"mixed","causal_mechanism":"cost","materiality":"low","event_family":"' || fam || '"}}', ',' ORDER BY 's' || l_suppkey, fam) AS ls FROM z GROUP BY 1)
+SELECT l_orderkey AS event_id, '{{"route":"' || CASE WHEN l_orderkey % 4 = 0 THEN 'external' ELSE 'direct' END || '","event_id":' || l_orderkey || ',"company":"c' || l_orderkey || '","impacted_companies":["c' || l_orderkey || '"],"event_materiality":"high","canonical_event_anchors":' || max(anchors) FILTER (rank = 1)
+  || ',"event_family_context":' || CASE WHEN l_orderkey % 4 = 0 THEN '{{"canonical_event_family":"' || coalesce(any_value(fs)[1], 'unknown') || '","source_event_families":' || CAST(to_json(coalesce(any_value(fs), [])) AS VARCHAR) || '}}' ELSE '{{}}' END
+  || ',"representative_article":' || max(article) FILTER (rank = 1) || ',"corroborating_articles":[' || coalesce(string_agg(article, ',' ORDER BY rank) FILTER (rank IN (2, 3)), '') || ']' || CASE WHEN l_orderkey % 4 = 0 THEN ',"approved_impact_links":[' || any_value(ls) || ']' ELSE '' END || '}}' AS payload,
+  list(id ORDER BY rank) FILTER (rank < 4) AS valid_ids FROM z JOIN f USING (l_orderkey) GROUP BY l_orderkey""")
+def op_l17_evidence_payload(spark, d):
+    """Payloads of direct and external events, every field."""
+    return verdicts.evidence_payload(*_evidence(spark, d))
+
+
+@query(f"""{_MEMBERS} SELECT l_orderkey AS event_id, '{{"company":"c' || l_orderkey || '","matched_identity_terms":' || CAST(to_json(list_sort(list_distinct(list('s' || l_suppkey)))) AS VARCHAR) || ',"event_id":' || l_orderkey || ',"coverage_count":' || count(*) || ',"anchors":' || max(anchors) FILTER (rank = 1)
+  || ',"articles":[' || string_agg(head || tail, ',' ORDER BY rank) FILTER (rank < 5) || ']}}' AS payload FROM y GROUP BY l_orderkey""")
+def op_l18_judge_payload(spark, d):
+    e, m, _, _ = _evidence(spark, d)
+    return verdicts.judge_payload(e, m)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN toxic = 1 THEN 'REJECT' ELSE 'ACCEPT' END WHEN quality = 1 THEN 'ACCEPT' ELSE 'REJECT' END AS final FROM labels")
@@ -233,11 +263,45 @@ def op_i12_decision_report(spark, d):
     return metrics.decision_report(old, new)
 
 
-@query("SELECT CAST(user_id % 3 AS VARCHAR) AS stage, count(*) AS total, count(*) FILTER (event_id % 4 = 0) AS accept, count(*) FILTER (event_id % 4 = 1) AS reject, count(*) FILTER (event_id % 4 = 2) AS escalate, count(*) FILTER (event_id % 4 = 3) AS failure, round(count(*) FILTER (event_id % 4 < 2) / count(*), 6) AS resolution_rate, round(count(*) FILTER (event_id % 4 = 2) / count(*), 6) AS escalation_rate FROM events GROUP BY 1")
+_STAGE = "s[(len(s) - 1) // 2 + 1], 2) AS p50, round(s[least(len(s) - 1, CAST(floor(len(s) * 0.95) AS BIGINT)) + 1], 2) AS p95, round(s[len(s)], 2) AS max"
+
+
+@query(f"""WITH x AS (SELECT *, CAST(user_id % 3 AS VARCHAR) AS stage, ['accept', 'reject', 'escalate', 'rate_limit', 'timeout', 'server_error', 'schema_failure', 'client_error'][event_id % 8 + 1] AS outcome FROM events),
+g AS (SELECT stage, count(*) AS requests, count(*) FILTER (outcome = 'accept') AS accepts, count(*) FILTER (outcome = 'reject') AS rejects, count(*) FILTER (outcome = 'escalate') AS escalates, count(*) FILTER (outcome NOT IN ('accept', 'reject', 'escalate')) AS failures, sum(event_id % 5)::BIGINT AS retries,
+  count(*) FILTER (outcome = 'rate_limit') AS rate_limits, count(*) FILTER (outcome = 'timeout') AS timeouts, count(*) FILTER (outcome = 'server_error') AS server_errors, count(*) FILTER (outcome = 'schema_failure') AS schema_failures, sum(event_id % 1000)::BIGINT AS input_tokens, sum(event_id % 100)::BIGINT AS cached_tokens,
+  sum(user_id)::BIGINT AS output_tokens, sum(event_id % 7)::BIGINT AS reasoning_tokens, list_sort(list(value)) AS s FROM x GROUP BY 1)
+SELECT * EXCLUDE (s), round((accepts + rejects) / (SELECT count(*) FROM events), 5) AS resolution_rate, round(requests / (SELECT count(*) FROM events), 5) AS reached_rate, round({_STAGE} FROM g""")
 def op_i6_stage_rates(spark, d):
+    """Every counter of the stages."""
     e = table(spark, d, "events")
-    status = F.element_at(F.array(*map(F.lit, ("accept", "reject", "escalate", "failure"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return metrics.stage_rates(e.select((F.col("user_id") % 3).cast("string").alias("stage"), status.alias("status")), ["accept", "reject", "escalate", "failure"])
+    outcome = F.element_at(F.array(*map(F.lit, ("accept", "reject", "escalate", "rate_limit", "timeout", "server_error", "schema_failure", "client_error"))), (F.col("event_id") % 8 + 1).cast("int"))
+    k = F.col("event_id")
+    rows = e.select((F.col("user_id") % 3).cast("string").alias("stage"), outcome.alias("outcome"), (k % 5).alias("retries"), F.col("value").alias("latency_ms"), (k % 1000).alias("input_tokens"), (k % 100).alias("cached_tokens"), F.col("user_id").alias("output_tokens"), (k % 7).alias("reasoning_tokens"))
+    return metrics.stage_rates(rows, e.count())
+
+
+def _replay(spark, d):
+    x = table(spark, d, "labels")
+    k = F.col("doc_id")
+    tier1 = F.when(k % 5 == 0, "ACCEPT").when(k % 5 == 1, "REJECT").when(k % 5 == 2, "ESCALATE")
+    asked = k % 5 >= 2
+    failed = asked & (k % 7 == 0)
+    accept = F.when(k % 5 == 0, True).when(k % 5 == 1, False).when(failed, True).otherwise(F.col("toxic") == 0)
+    return x.select(k.alias("candidate_id"), (F.col("quality") == 1).alias("accept")), x.select(k.alias("candidate_id"), accept.alias("accept"), tier1.alias("tier1"), asked.alias("tier2"), failed.alias("failed"))
+
+
+_REPLAY = "WITH x AS (SELECT doc_id AS id, quality = 1 AS old, doc_id % 5 AS k, doc_id % 5 >= 2 AS asked, doc_id % 5 >= 2 AND doc_id % 7 = 0 AS failed, CASE doc_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE doc_id % 7 = 0 OR toxic = 0 END AS new FROM labels)"
+
+
+@query(f"{_REPLAY} SELECT count(*) AS candidates, count(*) FILTER (old) AS old_accept, count(*) FILTER (NOT old) AS old_reject, count(*) FILTER (k = 0) AS tier1_accept, count(*) FILTER (k = 1) AS tier1_reject, count(*) FILTER (k > 1) AS tier1_escalate, count(*) FILTER (asked) AS tier2_calls, count(*) FILTER (asked AND new AND NOT failed) AS tier2_accept, count(*) FILTER (asked AND NOT new) AS tier2_reject, count(*) FILTER (failed) AS failure_accept, count(*) FILTER (new) AS new_accept, count(*) FILTER (NOT new) AS new_reject, count(*) FILTER (old AND NOT new) AS lost, count(*) FILTER (new AND NOT old) AS gained, round(count(*) FILTER (k < 2) / count(*), 5) AS resolution_rate, round(count(*) FILTER (asked) / count(*), 5) AS escalation_rate FROM x")
+def op_i12_replay_report(spark, d):
+    """Old decisions by quality, new ones by two tiers of which the second fails at times."""
+    return metrics.replay_report(*_replay(spark, d))
+
+
+@query(f"{_REPLAY} SELECT id AS candidate_id, CASE WHEN old THEN 'lost' ELSE 'gained' END AS change, failed FROM x WHERE old <> new")
+def op_i12_replay_changes(spark, d):
+    return metrics.replay_changes(*_replay(spark, d)).select("candidate_id", "change", "failed")
 
 
 @query("SELECT event_type AS stage, sum(event_id % 1000)::BIGINT AS input_tokens, sum(event_id % 100)::BIGINT AS cached_tokens, sum(user_id)::BIGINT AS output_tokens, CASE WHEN event_type <> 'view' THEN round((sum(event_id % 1000 - event_id % 100) * 0.25 + sum(event_id % 100) * 0.025 + sum(user_id) * 2.0) / 1e6, 8) END AS cost FROM events GROUP BY 1")
@@ -278,10 +342,15 @@ def op_i17_identity_audit(spark, d):
     return metrics.identity_audit(said, F.when(F.col("verdict") != "UNCERTAIN", "judged"))
 
 
-@query("SELECT sum(event_id % 3)::BIGINT AS calls, sum(event_id % 2)::BIGINT AS rewrites, count(*) FILTER (event_type = 'error') AS failed FROM events")
+_TRACE = {name: i for i, (_, names) in enumerate(metrics.EDITORIAL.items()) for name in names}
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER ((event_id + user_id) % {len(metrics.EDITORIAL) + 1} = {i}) AS {name}" for name, i in _TRACE.items()) + " FROM events")
 def op_i18_editorial_counters(spark, d):
+    """Events as the trace of an editorial run; one of thirteen kinds counts nothing."""
     e = table(spark, d, "events")
-    return e.agg(F.sum(F.col("event_id") % 3).alias("calls"), F.sum(F.col("event_id") % 2).alias("rewrites"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    kinds = F.array(*map(F.lit, (*metrics.EDITORIAL, "begin")))
+    return metrics.editorial_counters(e.select(F.element_at(kinds, ((F.col("event_id") + F.col("user_id")) % (len(metrics.EDITORIAL) + 1) + 1).cast("int")).alias("event")))
 
 
 def _scratch(spark, name):
@@ -412,15 +481,14 @@ def op_a9_stage_snapshots(spark, d):
     return metrics.histogram(spark.read.parquet(path), "stage")
 
 
-def _saved(rows, place, path, size=500):
-    """rows as saved runs: JSON files that hold up to `size` rows under a nested place, two names deep."""
+def _saved(rows, places, path, size=500):
+    """rows(_pos, record: JSON) as saved runs: JSON files of up to `size` records, in turn under each of the places (names from the outside in)."""
     from eventloom.operators.rank import chunked
 
     chunks = chunked(rows.withColumn("_all", F.floor(F.col("_pos") / 100_000)), ["_all"], [F.col("_pos")], size)
-    kept = [c for c in rows.columns if c != "_pos"]
-    listed = chunks.groupBy("_all", "chunk").agg(F.collect_list(F.struct(*kept)).alias("rows"))
-    outer, inner, name = place
-    listed.select(F.to_json(F.struct(F.struct(F.struct(F.col("rows").alias(name)).alias(inner)).alias(outer))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    listed = chunks.groupBy("_all", "chunk").agg(F.array_join(F.array_sort(F.collect_list("record")), ",").alias("rows"))
+    made = F.element_at(F.array(*(F.concat(F.lit("".join(f'{{"{n}": ' for n in place) + "["), F.col("rows"), F.lit("]" + "}" * len(place))) for place in places)), (F.col("chunk") % len(places) + 1).cast("int"))
+    listed.select(made.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 @query("SELECT 'company-' || c_custkey AS company_id, c_name AS display_name, [lower(c_mktsegment)] AS search_terms FROM customer")
@@ -431,26 +499,33 @@ def op_a2_companies(spark, d):
     return io.read_companies(spark, path).select("company_id", "display_name", "search_terms")
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS article_id, CASE WHEN page_id % 3 = 0 THEN 'c/' || page_id ELSE url END AS canonical_url FROM pages WHERE page_id % 7 <> 0")
+@query("SELECT url, CASE WHEN page_id % 3 = 0 THEN 'c/' || page_id ELSE url END AS canonical_url, CASE WHEN page_id % 2 = 0 THEN 'text ' || page_id END AS text FROM pages")
 def op_a5_snapshot(spark, d):
-    """Pages saved as a run's articles; every seventh lacks its id, two of three their canonical url."""
+    """Pages saved as runs' articles in both places; every seventh has no id, two of three no canonical url."""
     path = _scratch(spark, "snapshot")
     a = views.page_articles(spark, d)
-    rows = a.select(F.col("seq").alias("_pos"), F.when(F.col("seq") % 7 != 0, F.col("seq").cast("string")).alias("article_id"), "title", "url", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("c/"), F.col("seq").cast("string"))).alias("canonical_url"))
-    _saved(rows, ("stages", "enrichment", "articles"), path)
-    return io.read_snapshot(spark, path).select("article_id", "canonical_url")
+    k = F.col("seq")
+    record = F.to_json(F.struct(F.when(k % 7 != 0, k.cast("string")).alias("article_id"), "title", "url", F.when(k % 3 == 0, F.concat(F.lit("c/"), k.cast("string"))).alias("canonical_url"), F.when(k % 2 == 0, F.concat(F.lit("text "), k.cast("string"))).alias("text"), F.struct(F.lit("q").alias("query")).alias("origin_metadata")))
+    _saved(a.select(k.alias("_pos"), record.alias("record")), (("stages", "enrichment", "articles"), ("debug", "journal_stages", "enrichment", "articles")), path)
+    return io.read_snapshot(spark, path).select("url", "canonical_url", "text")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS candidate_id, o_orderkey % 4 <> 0 AS whole FROM orders")
+@query("SELECT 'order ' || o_orderkey AS title, CASE o_orderkey % 5 WHEN 3 THEN 'article lacks description, text' WHEN 4 THEN 'record lacks company or exposure' END AS reason, CASE o_orderkey % 5 WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'REJECT' WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'ACCEPT' ELSE 'REJECT' END END AS baseline FROM orders")
 def op_a6_judgments(spark, d):
-    """Orders saved as judgments; every fourth lacks its exposure."""
+    """Orders saved as judgments in both places: with the audit's decision (of five, two), with the judge's answer only, without two fields of the article, without an exposure."""
     path = _scratch(spark, "judgments")
     o = table(spark, d, "orders")
-    key = F.col("o_orderkey").cast("string")
-    rows = o.select(F.col("o_orderkey").alias("_pos"), key.alias("candidate_id"), F.lit("c").alias("company"), F.struct(key.alias("title"), key.alias("url")).alias("article"), F.when(F.col("o_orderkey") % 4 != 0, F.struct(key.alias("exposure_id"))).alias("exposure"), F.struct(F.lit(True).alias("qualifies")).alias("judge"))
-    _saved(rows, ("stages", "judging", "records"), path)
+    k = F.col("o_orderkey")
+    null = F.lit(None).cast("string")
+    parts = {"source": F.lit("s"), "source_type": F.lit("rss"), "title": F.concat(F.lit("order "), k.cast("string")), "url": F.concat(F.lit("https://x.example/"), k.cast("string")), "published_at": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "retrieved_at": null, "origin_metadata": F.struct(F.lit("q").alias("query"))}
+    told = lambda p: F.to_json(F.struct(*(c.alias(n) for n, c in p.items())), {"ignoreNullFields": "false"})
+    article = F.when(k % 5 == 3, told(parts)).otherwise(told(parts | {"description": null, "text": null}))
+    exposure = F.to_json(F.struct(F.lit("e").alias("exposure_id"), F.lit("chips").alias("subject"), F.array(F.lit("supply")).alias("allowed_event_families")))
+    judge = F.to_json(F.struct((k % 2 == 0).alias("qualifies"), F.struct(F.when(k % 5 == 0, "ACCEPT").when(k % 5 == 1, "REJECT").otherwise("PENDING").alias("final_decision")).alias("audit")))
+    record = F.concat(F.lit('{"company": "c", "article": '), article, F.when(k % 5 == 4, "").otherwise(F.concat(F.lit(', "exposure": '), exposure)), F.lit(', "judge": '), judge, F.lit("}"))
+    _saved(o.select(k.alias("_pos"), record.alias("record")), (("debug", "route_b", "judgments"), ("stages", "qualification", "judgments")), path)
     good, bad = io.read_judgments(spark, path)
-    return good.select("candidate_id", F.lit(True).alias("whole")).union(bad.select("candidate_id", F.lit(False).alias("whole")))
+    return good.select("title", F.lit(None).cast("string").alias("reason"), "baseline").union(bad.select("title", "reason", F.lit(None).cast("string")))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'jsonld' ELSE 'article_tag' END AS tier FROM pages")

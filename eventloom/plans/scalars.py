@@ -242,28 +242,54 @@ def op_c1_page_evidence(spark, d):
     return _evidence(spark, d)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://pub.example.com/story/' || page_id ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(html, '<a href=\"([^\"]+)\"', 1) END AS publisher_url FROM pages WHERE page_id % 2 = 0 OR contains(html, '<a href=\"')")
+_LINK_KINDS = (  # what stands before every page's own html, by page_id modulo 8; {0} is its number
+    """<a href="https://news.google.com/x">1</a><link href='https://pub.example.com/story/{0}' rel="alternate canonical">""",
+    """<link rel=canonical href=//cdn.example.org/{0}><a href="https://z.example.com/">z</a>""",
+    """<link rel="canonical"><meta content="../up/{0}?a=1&amp;b=2" property='og:url'>""",
+    """<!-- <a href="https://hidden.example.com/"> --><script>'<a href="https://script.example.com/">'</script><a class=x href='?q={0}'>q</a>""",
+    """<a href="mailto:x@example.com">m</a><a href="http://127.0.0.1/{0}">l</a><a href="HTTPS://Other.example.com/{0}">o</a>""",
+    """<meta name="og:url" content="https://wrong.example.com/"><a href="https://user:pw@pub.example.com/">u</a><a href="/root/{0}">r</a>""",
+    """<a>no target</a><a href="">self</a>""",
+    "",
+)
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 8 AS k, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^[^?#]+', 0) AS bare, html FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'https://pub.example.com/story/' || page_id WHEN 1 THEN scheme || '//cdn.example.org/' || page_id WHEN 2 THEN CASE WHEN ends_with(bare, '/') THEN regexp_replace(bare, '[^/]+/$', '') ELSE root || '/' END || 'up/' || page_id || '?a=1&b=2'
+  WHEN 3 THEN bare || '?q=' || page_id WHEN 4 THEN CASE scheme WHEN 'https:' THEN 'https' ELSE 'HTTPS' END || '://Other.example.com/' || page_id WHEN 5 THEN root || '/root/' || page_id WHEN 6 THEN url ELSE root || regexp_extract(html, '<a href="([^"]+)"', 1) END AS publisher_url FROM p WHERE k < 7 OR contains(html, '<a href="')""")
 def op_c4_publisher_links(spark, d):
-    """Every other page is given an aggregator's anchor and a canonical link; the others show their own anchors."""
+    """Links before every page's own, of eight kinds: attributes in any order and quoting, entities, references of every form, aggregators, unsafe targets, comments and scripts; without one, the page's own anchors."""
     p = table(spark, d, "pages")
-    html = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<a href="https://news.google.com/x">'), F.lit('<link rel="canonical" href="https://pub.example.com/story/'), F.col("page_id").cast("string"), F.lit('">'), F.col("html"))).otherwise(F.col("html"))
-    return pg.publisher_links(p, "page_id", html, F.col("url"))
+    kinds = F.array(*(F.replace(F.lit(k), F.lit("{0}"), F.col("page_id").cast("string")) for k in _LINK_KINDS))
+    return pg.publisher_links(p, "page_id", F.concat(F.element_at(kinds, (F.col("page_id") % 8 + 1).cast("int")), F.col("html")), F.col("url"))
 
 
 def _enriched(spark, d):
     a = views.page_articles(spark, d)
-    ev = _evidence(spark, d).join(a.select(F.col("seq").alias("page_id"), "url"), "page_id").select("url", "evidence", "tier", F.lit(None).cast("string").alias("resolved_url"))
+    ends = F.when(F.col("page_id") % 15 == 2, "timeout").when(F.col("page_id") % 15 == 5, "http_error").when(F.col("page_id") % 15 == 8, "parse_error").otherwise("success")
+    ev = _evidence(spark, d).join(a.select(F.col("seq").alias("page_id"), "url"), "page_id")
+    resolved = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://pub.example.com/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 5 == 1, F.lit("https://news.google.com/articles/x"))
+    ev = ev.select("url", F.when(F.col("page_id") % 11 != 0, F.col("evidence")).alias("evidence"), "tier", resolved.alias("resolved_url"), ends.alias("fetch_status"))
     return pg.enriched(a.select("seq", "url"), a.where("seq % 3 <> 0").select("seq"), a.where("seq % 3 = 1").select("seq"), ev)
 
 
-@query("SELECT page_id AS seq, CASE page_id % 3 WHEN 0 THEN 'no_owner' WHEN 1 THEN 'not_needed' ELSE 'success' END AS status, CASE WHEN page_id % 3 = 2 THEN 'article_tag' END AS tier FROM pages")
+_ENRICHED = "SELECT page_id AS seq, url, CASE page_id % 3 WHEN 0 THEN 'no_owner' WHEN 1 THEN 'not_needed' ELSE CASE page_id % 15 WHEN 2 THEN 'timeout' WHEN 5 THEN 'http_error' WHEN 8 THEN 'parse_error' ELSE CASE WHEN page_id % 11 = 0 THEN 'insufficient_content' ELSE 'success' END END END AS status FROM pages"
+
+
+@query(f"SELECT seq, status, CASE WHEN seq % 3 = 2 THEN 'article_tag' END AS tier FROM ({_ENRICHED})")
 def op_c5_enrichment(spark, d):
     return _enriched(spark, d).select("seq", "status", "tier")
 
 
-@query("SELECT count(*) AS articles, count(*) FILTER (page_id % 3 = 2) AS candidates, count(*) FILTER (page_id % 3 = 1) AS skipped, count(*) FILTER (page_id % 3 = 2) AS succeeded, count(*) FILTER (page_id % 3 = 2) - count(DISTINCT CASE WHEN page_id % 3 = 2 THEN url END) AS cache_hits FROM pages")
+@query(f"""SELECT count(*) AS articles, count(*) FILTER (seq % 3 = 2) AS candidates, count(*) FILTER (seq % 3 = 1) AS skipped, count(DISTINCT CASE WHEN seq % 3 = 2 THEN lower(k.canonical_url) END) AS attempted, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'timeout') AS timeout,
+  count(*) FILTER (status = 'http_error') AS http_error, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'parse_error') AS parse_error, count(*) FILTER (status = 'insufficient_content') AS insufficient_content, count(*) FILTER (status = 'success' AND seq % 2 = 0) AS resolved_urls,
+  count(*) FILTER (seq % 3 = 2) - count(DISTINCT CASE WHEN seq % 3 = 2 THEN lower(k.canonical_url) END) AS cache_hits, coalesce(sum(seq % 4) FILTER (status = 'not_needed'), 0)::BIGINT AS matches_before, coalesce(sum(seq % 3 + 1) FILTER (status = 'success' AND seq % 2 = 0), 0)::BIGINT AS matches_after
+  FROM ({_ENRICHED}) e JOIN (WITH {CANON} SELECT page_id, canonical_url FROM k) k ON k.page_id = e.seq""")
 def op_c6_enrichment_counters(spark, d):
-    return pg.enrichment_counters(_enriched(spark, d))
+    """Every counter; numbers of matches are made from the page's."""
+    rows = _enriched(spark, d)
+    before, after = rows.select("seq", (F.col("seq") % 4).alias("n")), rows.where("seq % 2 = 0").select("seq", (F.col("seq") % 3 + 1).alias("n"))
+    return pg.enrichment_counters(rows, before, after)
 
 
 @query("SELECT c_custkey FROM customer ORDER BY sha256('smoke|' || c_name), c_name LIMIT 25")

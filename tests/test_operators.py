@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -108,11 +109,61 @@ def test_feed_files(spark, tmp_path):
 
 
 def test_snapshots(spark, tmp_path):
-    (tmp_path / "s.json").write_text('{"stages": {"enrichment": {"articles": [{"article_id": "1", "title": "t", "url": "u"}, {"title": "lost"}]}}}')
-    assert [(r.article_id, r.canonical_url) for r in io.read_snapshot(spark, str(tmp_path / "s.json")).collect()] == [("1", "u")]
-    (tmp_path / "j.json").write_text('{"records": [{"candidate_id": "1", "company": "c", "article": {"title": "t", "url": "u"}, "exposure": {"exposure_id": "e"}, "judge": {"qualifies": true}}, {"candidate_id": "2"}]}')
-    good, bad = io.read_judgments(spark, str(tmp_path / "j.json"))
-    assert (good.count(), bad.count()) == (1, 1)
+    """Both places; an article without the id it was saved with stays; a run without articles is an error of the whole."""
+    one = {"article_id": "1", "title": "t", "url": "u", "canonical_url": "c", "origin_metadata": {"query": "q", "n": [1, None]}, "published_at": "2026-01-01T00:00:00Z"}
+    for name, run in (("a", {"stages": {"enrichment": {"articles": [one, {"title": "kept", "url": "v"}]}}}), ("b", {"debug": {"journal_stages": {"enrichment": {"articles": [one | {"title": "second place"}]}}}})):
+        (tmp_path / "runs").mkdir(exist_ok=True)
+        (tmp_path / "runs" / f"{name}.json").write_text(json.dumps(run, indent=2))
+    got = io.read_snapshot(spark, str(tmp_path / "runs")).collect()
+    assert sorted((r.title, r.url, r.canonical_url) for r in got) == [("kept", "v", "v"), ("second place", "u", "c"), ("t", "u", "c")]
+    assert json.loads(next(r.origin_metadata for r in got if r.title == "t")) == one["origin_metadata"]
+    (tmp_path / "runs" / "c.json").write_text('{"stages": {"enrichment": {"articles": []}}}')
+    with pytest.raises(ValueError, match="c.json"):
+        io.read_snapshot(spark, str(tmp_path / "runs"))
+
+
+def test_judgments(spark, tmp_path):
+    article = dict.fromkeys(io.REQUIRED) | {"title": "t", "url": "u", "published_at": "2026-01-01T00:00:00+00:00", "origin_metadata": {}}
+    exposure = {"exposure_id": "e", "subject": "s", "allowed_event_families": ["f"]}
+    less = {k: v for k, v in article.items() if k not in ("text", "retrieved_at")}
+    rows = [
+        {"company": "c", "article": article, "exposure": exposure, "judge": {"qualifies": False, "audit": {"final_decision": "ACCEPT"}}}, {"company": "c", "article": article, "exposure": exposure, "judge": {"qualifies": True, "audit": {"final_decision": "x"}}},
+        {"company": "c", "article": article, "exposure": exposure}, {"company": "c", "article": less, "exposure": exposure, "judge": {}}, {"company": "c", "article": article, "exposure": {"exposure_id": "e"}, "judge": {}}, {"company": "c", "exposure": exposure},
+    ]
+    (tmp_path / "a.json").write_text(json.dumps({"debug": {"route_b": {"judgments": rows[:4]}}}))
+    (tmp_path / "b.json").write_text(json.dumps({"stages": {"qualification": {"judgments": rows[4:]}}}))
+    good, bad = io.read_judgments(spark, str(tmp_path / "*.json"))
+    assert sorted(r.baseline for r in good.collect()) == ["ACCEPT", "ACCEPT", "REJECT"]
+    assert {(r.canonical_url, r.published_at.year, tuple(r.families)) for r in good.collect()} == {("u", 2026, ("f",))}
+    assert sorted(r.reason for r in bad.collect()) == ["article lacks " + ", ".join(sorted(io.REQUIRED)), "article lacks retrieved_at, text", "record lacks company or exposure"]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<link href="/a" rel="canonical"><a href="/b">', ["https://h.example/a", "https://h.example/b"]),
+        ("<a href='../x'><a href='?q=1&amp;r=2'><a href=#top><a href='//other.example/y'>", ["https://h.example/x", "https://h.example/d/p?q=1&r=2", "https://h.example/d/p?old=1#top", "https://other.example/y"]),
+        ('<link rel="canonical"><link rel="canonical" href="/late"><meta property="og:url" content="z"><meta name="og:url" content="no">', ["https://h.example/d/z"]),
+        ("<!-- <a href='/c'> --><script>'<a href=\"/s\">'</script><A HREF=/u>", ["https://h.example/u"]),
+        ("<a href='http://[bad/'><a href=' /sp '>", ["https://h.example/sp"]),
+        (None, []),
+    ],
+)
+def test_page_targets(html, want):
+    assert [x.strip() for x in pages.page_targets(html, "https://h.example/d/p?old=1")] == want
+
+
+def test_metas_are_told_apart():
+    """og:... is a property, the others are names; only the first tag of a key counts."""
+    text, tier = pages.evidence('<title>Some title</title><meta name="og:title" content="wrong one"><meta property="description" content="wrong two"><meta name="description"><meta name="description" content="late"><meta property="og:title" content="right title here">')
+    assert tier == "opengraph" and text == "Some title right title here"
+
+
+def test_latencies_of_a_hot_group(spark):
+    """A group of all rows, all values distinct, and null groups."""
+    rows = [("hot", float(k)) for k in range(20_000)] + [(None, 3.0), (None, 1.0), ("none", None)]
+    got = {r.s: (r.p50, r.p95, r.max) for r in metrics.latencies(spark.createDataFrame(rows, "s string, v double").repartition(8), "v", ["s"]).collect()}
+    assert got == {"hot": (9999.0, 19000.0, 19999.0), None: (1.0, 3.0, 3.0), "none": (0.0, 0.0, 0.0)}
 
 
 def test_stream_dedup_and_delivery(spark, tmp_path):
