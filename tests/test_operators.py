@@ -34,6 +34,27 @@ def test_contexts(spark):
     assert found(spark, "alpha", {"term": "alpha", "forbidden": True}) == set()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_automaton_equals_the_join(spark, seed):
+    """Random texts and dictionaries with Korean terms, boundaries, overlapping negatives and every kind of context."""
+    rng = random.Random(seed)
+    words = ["alpha", "alpha-x", "beta", "c++", "x", "알파", "컴퍼니", "알파 컴퍼니", "베타", "aa", "★", "a a", "3m", "alphabet"]
+    glue = [" ", "", "-", "\n", ". ", "–", "\t"]
+    text = lambda n: "".join(rng.choice(words).upper() if rng.random() < 0.2 else rng.choice(words) + rng.choice(glue) for _ in range(n))
+    some = lambda p: rng.sample(words, rng.randrange(1, 4)) if rng.random() < p else (None if rng.random() < 0.5 else [])
+    rules = [(f"c{rng.randrange(4)}", rng.choice(words) if rng.random() < 0.8 else f"{rng.choice(words)} {rng.choice(words)}", some(0.4), some(0.2), rng.random() < 0.2, some(0.5), some(0.2), some(0.2)) for _ in range(25)]
+    terms = spark.createDataFrame(rules, RULES)
+    articles = spark.createDataFrame([(k, text(rng.randrange(12))) for k in range(300)] + [(900, None), (901, "")], "seq long, title string").repartition(3)
+    ways = [{(r.seq, r.company_id, *r.matched_terms) for r in match.matches(articles, terms, "seq", F.col("title"), most_terms=most).collect()} for most in (1000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) > 100
+
+
+def test_no_terms_and_no_articles(spark):
+    none = spark.createDataFrame([], RULES)
+    assert match.matches(spark.createDataFrame([(1, "x")], "seq long, title string"), none, "seq", F.col("title")).count() == 0
+    assert found(spark, "", {"term": "a"}) == set()
+
+
 def test_longest_evidence(spark):
     assert found(spark, "alpha-x grows", {"term": "alpha"}, {"term": "alpha-x"}) == {("c", "alpha-x")}
 
