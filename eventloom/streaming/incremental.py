@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventloom.operators.dedup import dedup_map
 from eventloom.operators.ledger import last_checkpoint
 from eventloom.operators.windows import delivery_window, freshness
+from eventloom.sources.shared import discard
 
 
 def fresh_stream(spark: SparkSession, path: str, schema: str, late: str = "2 hours", ts: str = "published_at", key: str = "canonical_url") -> DataFrame:
@@ -89,9 +90,10 @@ def dedup_batches(out: str, state: str, seq: str = "seq") -> Callable[[DataFrame
         known = _read(spark, state, "seq long, url_key string, title_key string, batch long").where(F.col("batch") < batch_id)
         for key in ("url_key", "title_key"):
             rows = rows.join(known.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
-        kept = dedup_map(rows).where("reason IS NULL").select("seq")
-        stay = batch.withColumnRenamed(seq, "seq").join(kept, "seq", "left_semi")
+        found = dedup_map(rows)
+        stay = batch.withColumnRenamed(seq, "seq").join(found.where("reason IS NULL").select("seq"), "seq", "left_semi")
         stay.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        discard(found)
         spark.read.schema(stay.schema).parquet(f"{out}/batch={batch_id}").select("seq", blank("url_key").alias("url_key"), blank("title_key").alias("title_key")).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     return handle

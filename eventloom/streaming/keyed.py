@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventloom.operators.dedup import dedup_map
+from eventloom.sources.shared import discard
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What a key's events are: a row's question, or (retained) the news that a row with the key stayed.
@@ -62,11 +63,12 @@ def dedup_run(spark: SparkSession, rows: DataFrame, out: str, work: str, ttl: st
     def handle(batch: DataFrame, batch_id: int) -> None:
         key = lambda k: F.max(F.when(F.col("kind") == k, F.col("key"))).alias(f"{k}_key")
         asked = batch.groupBy("seq").agg(key("url"), key("title"), F.min("arrived").alias("arrived"), F.count("by").alias("known")).persist()
-        stay = dedup_map(asked.where("known = 0").select("seq", "url_key", "title_key")).where("reason IS NULL").select("seq")
-        kept = asked.join(stay, "seq", "left_semi")
+        found = dedup_map(asked.where("known = 0").select("seq", "url_key", "title_key"))
+        kept = asked.join(found.where("reason IS NULL").select("seq"), "seq", "left_semi")
         kept.select("seq").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         news = questions(kept.select("seq", "url_key", "title_key", "arrived")).where("kind <> 'none'").withColumn("retained", F.lit(True))
         news.write.mode("append").parquet(feedback)  # news of a repeated batch say the same again
         asked.unpersist()
+        discard(found)
 
     return answered.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()

@@ -71,6 +71,46 @@ def test_dedup_is_not_transitive(spark):
     assert {(r.seq, r.primary_seq, r.reason) for r in dedup.dedup_map(rows).collect()} == {(1, 1, None), (2, 1, "canonical_url"), (3, 3, None), (4, 4, None), (5, 5, None)}
 
 
+def greedy(rows):
+    taken, want = {}, {}
+    for s, u, x in rows:
+        by = taken.get(("u", u)) if u else None
+        by = by if by is not None else (taken.get(("t", x)) if x else None)
+        want[s] = s if by is None else by
+        if by is None:
+            taken.update({k: s for k in (("u", u), ("t", x)) if k[1]})
+    return want
+
+
+def test_dedup_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    """A chain in which every row shares one key with the row before it, by turns; and shuffled chains. Few tables are written, and only the result stays."""
+    written = []
+    monkeypatch.setattr(dedup, "stored", lambda df, name, f=dedup.stored: written.append(name) or f(df, name))
+    chain = [(k, f"u{k // 2}", f"t{(k + 1) // 2}") for k in range(10_000)]
+    order = list(range(10_000, 12_000))
+    random.Random(1).shuffle(order)
+    chain += sorted((s, f"v{k // 2}", f"w{(k + 1) // 2}") for k, s in enumerate(order))
+    got = dedup.dedup_map(spark.createDataFrame(chain, "seq long, url_key string, title_key string").repartition(4))
+    assert {m.seq: m.primary_seq for m in got.collect()} == greedy(chain)
+    assert sum(n in ("dedup-stays", "dedup-chunk") for n in written) <= 20
+    from pathlib import Path
+
+    left = [p.name for p in Path(got.stored_at.removeprefix("file:")).parent.iterdir() if p.name.startswith(("dedup", "edges", "labels"))]
+    assert Path(got.stored_at).name in left and not [n for n in left if n.startswith(("dedup-left", "dedup-stays", "dedup-chunk", "dedup-rows", "dedup-places", "edges"))]
+
+
+@pytest.mark.parametrize(("seed", "rounds", "chunk"), [(1, 1, 3), (2, 2, 10), (3, 4, 100_000)])
+def test_dedup_by_rounds_and_chunks(spark, seed, rounds, chunk):
+    r = random.Random(seed)
+    rows = [(k, f"u{r.randrange(60)}" if r.random() < 0.9 else "", f"t{r.randrange(60)}" if r.random() < 0.9 else None) for k in range(150)]
+    df = spark.createDataFrame(rows, "seq long, url_key string, title_key string").orderBy(F.rand(3))
+    assert {m.seq: m.primary_seq for m in dedup.dedup_map(df, rounds, chunk).collect()} == greedy(rows)
+
+
+def test_dedup_of_nothing(spark):
+    assert dedup.dedup_map(spark.createDataFrame([], "seq long, url_key string, title_key string")).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_equals_the_greedy_loop(spark, seed):
     r = random.Random(seed)
