@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.sources.shared import stored
+from eventloom.operators.graph import components
+from eventloom.operators.order import numbered
+from eventloom.sources.shared import discard, stored
 
 #: Order of (route, materiality).
 PRIORITY = {"direct|high": 0, "external|high": 1, "direct|medium": 2, "direct|low": 3, "external|medium": 4, "external|low": 5}
@@ -41,21 +46,57 @@ def capped(items: DataFrame, per_company: int, total: int | None = None) -> Data
     return kept.orderBy(*rank_order()).limit(total) if total else kept
 
 
-def capped_shared(items: DataFrame, cap: int, total: int | None = None) -> DataFrame:
+#: Items of a component that one task settles in order.
+CHUNK = 100_000
+
+
+def capped_shared(items: DataFrame, cap: int, total: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """J2, several companies an item: items(item_id, rank, companies) that fit every company's cap when taken in order of rank; of these the first `total`.
 
-    Rounds: an undecided item is accepted when each of its companies has room even if all undecided items before it were accepted, rejected when one is
-    full with earlier accepted items. The first undecided item is always settled."""
-    left = stored(items.select("item_id", "rank", F.explode(F.array_distinct("companies")).alias("company"), F.lit(None).cast("boolean").alias("ok")), "caps")
-    while True:
-        w = Window.partitionBy("company").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        seen = left.withColumn("sure", F.coalesce(F.sum(F.col("ok").eqNullSafe(True).cast("int")).over(w), F.lit(0))).withColumn("open", F.coalesce(F.sum(F.col("ok").isNull().cast("int")).over(w), F.lit(0)))
-        said = seen.groupBy("item_id").agg(F.min((F.col("sure") + F.col("open") < cap).cast("int")).alias("fits"), F.max((F.col("sure") >= cap).cast("int")).alias("full"))
-        now = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.col("fits") == 1, True).when(F.col("full") == 1, False)
-        left = stored(left.join(said, "item_id").select("item_id", "rank", "company", now.alias("ok")), "caps")
-        if left.where("ok IS NULL").limit(1).count() == 0:
-            kept = items.join(left.where("ok").select("item_id").distinct(), "item_id", "left_semi")
-            return kept.orderBy("rank").limit(total) if total else kept
+    Companies that share items form components. In a round, one task takes the first `chunk` open items of each component in order; then all items of a company that is full are rejected at once, wherever they are. So a round
+    settles at least `chunk` items of every component, and a hot company's items are gone with the round that fills it: there are about cap * companies / chunk rounds. An item without a company always fits."""
+    left = stored(items.select("item_id", "rank", F.array_distinct(F.filter(F.coalesce("companies", F.array().cast("array<string>")), lambda c: c.isNotNull())).alias("companies")), "caps-left")
+    free = left.where(F.size("companies") == 0).select("item_id")
+    kept, used, first = [stored(free, "caps-kept")], None, left
+    left = stored(left.where(F.size("companies") > 0), "caps-left")
+    discard(first)
+    while left.limit(1).count():
+        one = F.get("companies", F.lit(0))
+        labels = components(left.where(F.size("companies") > 1).select(one.alias("a"), F.explode(F.slice("companies", 2, 1 << 30)).alias("b")))
+        own = left.withColumn("id", one).join(labels, "id", "left").select("item_id", "rank", "companies", F.coalesce("label", "id").alias("label"))
+        placed = numbered(own, ["label", "rank", "item_id"], "pos", "caps-places")
+        begin = placed.groupBy("label").agg(F.min("pos").alias("begin"))
+        now = stored(placed.join(begin, "label").where(F.col("pos") < F.col("begin") + chunk).select("label", "item_id", "pos", "companies"), "caps-chunk")
+        each = now.select("label", "item_id", "pos", F.posexplode("companies").alias("i", "company"))
+        each = each.join(used, "company", "left").withColumn("n", F.coalesce("n", F.lit(0))) if used is not None else each.withColumn("n", F.lit(0).cast("long"))
+        told = each.groupBy("label", "item_id", "pos").agg(F.sort_array(F.collect_list(F.struct("i", "company", "n"))).alias("room"))
+        shape = f"item_id {items.schema['item_id'].dataType.simpleString()}, companies array<string>"
+        taken = stored(told.groupBy("label").applyInPandas(lambda part: _taken(part, cap), shape), "caps-kept")
+        kept.append(taken)
+        more = taken.select(F.explode("companies").alias("company")).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+        before, used = used, stored(more if used is None else more.unionByName(used).groupBy("company").agg(F.sum("n").alias("n")), "caps-used")
+        closed = left.select("item_id", F.explode("companies").alias("company")).join(used.where(F.col("n") >= cap).select("company"), "company", "left_semi").select("item_id")
+        last, left = left, stored(left.join(now.select("item_id").unionByName(closed).distinct(), "item_id", "left_anti"), "caps-left")
+        discard(last, placed, labels, now, *([before] if before is not None else []))
+    chosen = stored(reduce(DataFrame.unionByName, (k.select("item_id") for k in kept)), "caps-chosen")
+    discard(left, *kept, *([used] if used is not None else []))
+    out = items.join(chosen, "item_id", "left_semi")
+    return out.orderBy("rank").limit(total) if total else out
+
+
+def _taken(part: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """The items of one component that fit, in order; room: each company with the number of items that it has already."""
+    used: dict[str, int] = {}
+    out = []
+    for row in part.sort_values("pos").itertuples():
+        for r in row.room:
+            used.setdefault(r["company"], r["n"])
+        names = [r["company"] for r in row.room]
+        if all(used[c] < cap for c in names):
+            out.append((row.item_id, names))
+            for c in names:
+                used[c] += 1
+    return pd.DataFrame(out, columns=["item_id", "companies"])
 
 
 def unsent(items: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ def test_longest_evidence(spark):
     assert found(spark, "alpha-x grows", {"term": "alpha"}, {"term": "alpha-x"}) == {("c", "alpha-x")}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_shared_caps_equal_the_greedy_loop(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 100_000), (2, 15)])
+def test_shared_caps_equal_the_greedy_loop(spark, seed, chunk):
     r = random.Random(seed)
     items = [(k, k, r.sample("abcdef", r.choice((1, 1, 2, 3)))) for k in range(40)]
     full, want = {}, set()
@@ -70,7 +70,25 @@ def test_shared_caps_equal_the_greedy_loop(spark, seed):
             for c in cs:
                 full[c] = full.get(c, 0) + 1
     df = spark.createDataFrame(items, "item_id long, rank long, companies array<string>")
-    assert {x.item_id for x in rank.capped_shared(df, 3).collect()} == want
+    assert {x.item_id for x in rank.capped_shared(df, 3, chunk=chunk).collect()} == want
+    assert [x.item_id for x in rank.capped_shared(df, 3, 5, chunk).collect()] == sorted(want)[:5]
+
+
+def test_shared_caps_of_odd_items(spark):
+    rows = [(1, 1, None), (2, 2, []), (3, 3, ["a", "a"]), (4, 4, ["a"]), (5, 5, ["a", None]), (6, 6, ["b"])]
+    df = spark.createDataFrame(rows, "item_id long, rank long, companies array<string>")
+    assert {x.item_id for x in rank.capped_shared(df, 2).collect()} == {1, 2, 3, 4, 6}
+    assert rank.capped_shared(df.limit(0), 2).count() == 0
+
+
+def test_a_hot_company_is_closed_at_once(spark, monkeypatch):
+    """Nine in ten items share a company: it is full after the first round, whatever the number of its items."""
+    written = []
+    monkeypatch.setattr(rank, "stored", lambda df, name, f=rank.stored: written.append(name) or f(df, name))
+    rows = [(k, k, ["hot", f"c{k % 5}"] if k % 10 else [f"c{k % 5}"]) for k in range(5000)]
+    df = spark.createDataFrame(rows, "item_id long, rank long, companies array<string>")
+    assert {x.item_id for x in rank.capped_shared(df, 3, chunk=50).collect()} == {0, 1, 2, 3, 10, 20}
+    assert written.count("caps-chunk") <= 4
 
 
 @pytest.mark.parametrize("n", [1, 2, 19, 20, 21])
