@@ -24,6 +24,13 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if 2 * min(len(x), len(y)) >= RATIO * (len(x) + len(y)) else None for x, y in zip(a, b, strict=True)])
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """An upper bound of the ratio (H7): matching blocks can't have more of any character than both texts have."""
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    return F.coalesce(F.try_divide(2 * common, F.length(a) + F.length(b)), F.lit(1.0))
+
+
 def pairs(rows: DataFrame, scope: list[str], hours: int = WINDOW_HOURS, fresh: Column | None = None) -> DataFrame:
     """Candidate pairs (l, r structs; l before r in cluster order) of rows(ord, id, published_at, title_key, facts, *scope). fresh: only pairs with a row for which it holds; the others aren't joined among themselves.
 
@@ -71,8 +78,9 @@ def decided(met: DataFrame, company: Column | None = None, hours: int = WINDOW_H
     equal = lambda k: (F.size(a[k]) > 0) & (a[k] == b[k])
     has_company = F.lit(company is not None)
     maybe = (F.size("_ids") > 0) & subject & (2 * F.least(F.length("l.title_key"), F.length("r.title_key")) >= RATIO * (F.length("l.title_key") + F.length("r.title_key")))
-    # the ratio runs in Python, so only on pairs that it can decide; the others keep a null
-    met = met.withColumn("_t", F.when(maybe, F.col("r.title_key")).otherwise(F.lit("")))
+    # the ratio runs in Python, so only on pairs that it can decide and whose characters allow it; the others keep a null
+    allowed = maybe & (F.when(maybe, ratio_bound(F.col("l.title_key"), F.col("r.title_key"))) >= RATIO)
+    met = met.withColumn("_t", F.when(allowed, F.col("r.title_key")).otherwise(F.lit("")))
     met = met.withColumn("_ratio", title_ratio(F.col("l.title_key"), F.col("_t")))
     rules = [
         (gap, "DIFFERENT_EVENT", F.lit("publication_window_conflict")),

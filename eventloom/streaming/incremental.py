@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.operators.dedup import dedup_map
-from eventloom.operators.ledger import last_checkpoint
+from eventloom.operators.ledger import appended_sent, last_checkpoint
 from eventloom.operators.windows import delivery_window, freshness
 from eventloom.sources.shared import discard
+from eventloom.streaming.state import Versions
 
 
 def fresh_stream(spark: SparkSession, path: str, schema: str, late: str = "2 hours", ts: str = "published_at", key: str = "canonical_url") -> DataFrame:
@@ -99,6 +100,31 @@ def dedup_batches(out: str, state: str, seq: str = "seq") -> Callable[[DataFrame
     return handle
 
 
+SENT = "kind string, fingerprint string, seq long"
+
+
+def mark_sent(path: str, keep: int = 5000) -> Callable[[DataFrame, int], None]:
+    """A7 as a versioned table: batch(kind, fingerprint, pos) -> the next version of the ledger. A version counts once its mark is written, last of all: after a crash before that the batch finds the version before it, and a batch that was
+    committed changes nothing."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        versions = Versions(batch.sparkSession, path)
+        if batch_id in versions.committed():
+            return
+        new = appended_sent(versions.read(versions.before(batch_id), "sent", SENT), batch.select("kind", "fingerprint", "pos"), keep)
+        versions.write(batch_id, "sent", new)
+        versions.commit(batch_id)
+        discard(new)
+
+    return handle
+
+
+def sent(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger by its last committed version."""
+    versions = Versions(spark, path)
+    return versions.read(max(versions.committed(), default=None), "sent", SENT)
+
+
 def deliver(out: str, ledger: str, kind: str = "event") -> Callable[[DataFrame, int], None]:
     """Writes rows whose fingerprint the ledger lacks, then marks them. Both writes replace their batch's own folder, so a repeated batch changes nothing; a row is
     marked only after it was written."""

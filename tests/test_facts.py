@@ -155,3 +155,31 @@ def test_words_end_as_unicode_has_it(spark):
     assert got.p == ["0.07"] and got.d == ["2026-03-06"] and got.a == ["KRW:15"]
     row = ft.with_facts(spark.createDataFrame([("3억 규모 42 items", "", "")], "title string, description string, text string").withColumn("published_at", F.lit(None).cast("timestamp"))).first()
     assert row.facts.numbers == ["42"]
+
+
+def test_title_ratio_and_its_bound(spark):
+    """The ratio is that of the plain matcher wherever it can reach the threshold, at and around it; the bound is never below it, and lets few other pairs through."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(9)
+    letters = "abcdefghij 가나다"
+    pairs = []
+    for _ in range(600):
+        a = "".join(r.choices(letters, k=r.randrange(1, 60)))
+        b = list(a)
+        for _ in range(r.randrange(0, 8)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choices(letters, k=r.randrange(2))
+        pairs.append((a, "".join(b) if r.random() < 0.7 else "".join(r.sample(a, len(a)))))
+    pairs += [("abcd" * 6 + "x", "abcd" * 6 + "y"), ("a" * 23 + "bb", "a" * 23 + "cc"), ("", ""), ("a", "")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", cluster.title_ratio(F.col("a"), F.col("b")).alias("ratio"), cluster.ratio_bound(F.col("a"), F.col("b")).alias("bound"))
+    near = 0
+    for x in df.collect():
+        want = SequenceMatcher(None, x.a, x.b).ratio()
+        assert x.bound >= want - 1e-12
+        assert x.ratio == want if x.ratio is not None else want < cluster.RATIO
+        near += abs(want - cluster.RATIO) < 0.03
+    assert near > 20
+    apart = [("".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=40)), "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=40))) for _ in range(300)]
+    through = spark.createDataFrame(apart, "a string, b string").where(cluster.ratio_bound(F.col("a"), F.col("b")) >= cluster.RATIO).count()
+    assert through == 0  # lengths alone would have sent all of them to Python

@@ -120,3 +120,32 @@ def test_rolling_clusters_equal_the_window_clustered_anew(spark, tmp_path, keep)
     assert sorted(map(tuple, state())) == before
     said = spark.read.parquet(str(tmp_path / "out/batch=3")).where("status = 'late'").collect()
     assert [r.id for r in said] == [late]
+
+
+def test_ledger_survives_a_crash_before_its_mark(spark, tmp_path, monkeypatch):
+    """Batches of a hot kind; the second fails after its rows are written, comes again, and comes once more after it was committed."""
+    from eventloom.streaming.state import Versions
+
+    batches = [[("event", f"f{(b * 37 + k * 11) % 90}", k) for k in range(40)] + [("article", f"a{b}", 0), ("article", f"a{b}", 1)] for b in range(4)]
+    want: dict[str, list[str]] = {"event": [], "article": []}
+    for rows in batches:
+        for kind, f, _ in sorted(rows, key=lambda r: r[2]):
+            if f not in want[kind]:
+                want[kind].append(f)
+        want["event"] = want["event"][-50:]
+    path = str(tmp_path / "ledger")
+    mark = incremental.mark_sent(path, keep=50)
+    frame = lambda b: spark.createDataFrame(batches[b], "kind string, fingerprint string, pos long").repartition(3)
+    read = lambda: [tuple(r) for r in incremental.sent(spark, path).orderBy("kind", "seq").select("kind", "fingerprint").collect()]
+    mark(frame(0), 0)
+    before = read()
+    commit = Versions.commit
+    monkeypatch.setattr(Versions, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        mark(frame(1), 1)
+    assert read() == before
+    monkeypatch.setattr(Versions, "commit", commit)
+    for b in (1, 1, 2, 3, 2):
+        mark(frame(b), b)
+    assert read() == [(kind, f) for kind in ("article", "event") for f in want[kind]]
+    assert len(Versions(spark, path).committed()) == 2
