@@ -283,7 +283,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, recall: flo
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, grams) of the texts in wanted(id), and of few others: a filter picks them (where they are too many for one, all texts' sets are kept)."""
+    """(id, grams) of the texts in wanted(id), and of others that its filter lets through by chance."""
     asked = stored(wanted.select(F.xxhash64("id").alias("digest")), "ngram-wanted")
     kept = Sieve.of(asked).split(texts.withColumn("digest", F.xxhash64("id")))[0].select("id", "text")
     kind = texts.schema["id"].dataType.simpleString()

@@ -56,7 +56,6 @@ def test_filters_let_every_digest_through(spark):
     sieve = exact_dedup.Sieve.of(half)
     maybe, sure = sieve.split(df)
     assert maybe.where("digest % 2 = 0").count() == half.count() and maybe.count() + sure.count() == 5000 and sure.count() > 2000
-    assert exact_dedup.Sieve(None).split(df)[0].count() == 5000
 
 
 def test_removal_keeps_clashing_columns(spark, odd):
@@ -84,12 +83,41 @@ def test_dedup_index_of_several_loads(spark):
     assert len(digests) == len(set(digests))
 
 
-def test_dedup_without_filters(spark, monkeypatch):
-    """Beyond the size of what may be broadcast the result is the same."""
-    rows = [(k, f"text {k % 17}") for k in range(300)]
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 1)
-    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == brute_dedup(rows)
+def test_dedup_plan_is_alike_at_every_size(spark, monkeypatch):
+    """Small bounds stand for large tables: run filters meet their rows in a shuffle, texts are read in many loads, filters have less bits than they ask for. The rows are the same."""
+    rows = [(k, f"text {k % 170} {'z' * (k % 3)}") for k in range(900)] + [(900 + k, "one hot text") for k in range(450)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute_dedup(rows)
+    for name, value in (("BROADCAST_BITS", 1), ("LOAD_ROWS", 300), ("SIEVE_BITS", exact_dedup.ROW_BITS)):
+        monkeypatch.setattr(exact_dedup, name, value)
+        assert sorted(map(tuple, exact_dedup.exact_dedup(df).collect())) == want
+
+
+def test_dedup_filters_of_other_sizes(spark):
+    """A small run's filter serves a large run's slots, and nothing is lost when they are merged."""
+    index = exact_dedup.DigestIndex()
+    ids = lambda lo, hi: spark.range(lo, hi).select("id", F.xxhash64("id").alias("digest"))
+    index.add(ids(0, 30_000), memtables=1).add(ids(29_990, 30_010), memtables=1)
+    assert [r.slots for r in index.runs] == [16, 1] and index.hits().count() == 10 and index.entries().count() == 30_010
+
+
+def test_dedup_index_opens_again(spark, tmp_path):
+    """An index is taken up from its list of runs; each run has its filter beside it; replaced runs are deleted."""
+    import os
+
+    from eventloom.sources.shared import shared_dir
+
+    tables = lambda: {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith(("dedup-runs", "dedup-filters"))}
+    before = tables()
+    ids = lambda lo, hi: spark.range(lo, hi).select("id", F.xxhash64("id").alias("digest"))
+    index = exact_dedup.DigestIndex().add(ids(0, 1000)).add(ids(500, 1500), memtables=1)
+    index.save(spark, str(tmp_path / "index"))
+    kept = {os.path.basename(x) for r in index.runs for x in (r.table.stored_at, r.filters.stored_at)}
+    assert tables() - before == kept
+    again = exact_dedup.DigestIndex.open(spark, str(tmp_path / "index"))
+    assert again.hits().count() == 500 and again.add(ids(0, 10)).hits().count() == 510
+    again.drop()
+    assert not again.runs
 
 
 def test_licences(spark, odd, none):
