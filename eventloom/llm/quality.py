@@ -171,7 +171,8 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0
+    """Whether the id's row is kept from the fit; a null id has no remainder and counts as not held out."""
+    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
