@@ -240,14 +240,16 @@ def _verified(texts: DataFrame, hits: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = FAN_IN, digest=text_digest, index: DigestIndex | None = None) -> DataFrame:
     """One row per row of docs: (id_col, keep_id, group_size, kept, text_sha256). digest: column of the normalised text -> long column.
-    index: the index of docs, if it is there already (see `keyed`); else docs are one load."""
+    index: the index of docs, if it is there already (see `keyed`); else docs are one load. The result reads the tables `spent`, an attribute of it: `discard` them when it has been used."""
     norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).select("id", "norm", digest(F.col("norm")).alias("digest"))
     texts = stored(norm.select("*", F.sha2("norm", 256).alias("text_sha256"), F.spark_partition_id().alias("part")), "dedup-texts")
     own = DigestIndex().add(texts.select("id", "digest"), memtables) if index is None else DigestIndex()
     index = own if index is None else index
     total = texts.count()
     if not index.runs or not total:
-        return texts.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        alone = texts.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        alone.spent = [texts]
+        return alone
     hits = stored(index.hits(), "dedup-hits")
     own.drop()
     verified = _verified(texts, hits)
@@ -258,10 +260,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = every.withColumn("digest", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("id", "text_sha256", F.spark_partition_id())))  # a hot group is dealt out evenly
     found = every.join(cold, ["digest", "text_sha256"], "left").withColumn("class", F.coalesce("hot", "cold"))
     keep = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class.keep_id"))
-    return found.select(
+    found = found.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("class.group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256",
     )
+    found.spent = [texts, verified]
+    return found
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=text_digest) -> DataFrame:
