@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, exact_dedup, mixing, ngram_join
 from eventloom.llm import toxicity as toxic
-from eventloom.llm.common import stored, table
+from eventloom.llm.common import discard, stored, table
 
 #: Classifiers, MinHash and BPE can't be said in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -27,7 +27,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row, that of the smallest doc_id."""
     rows = _numbered(docs)
     found = exact_dedup.exact_dedup(rows.select(KEY, "text"), KEY)
-    return _without(rows, found.where(~F.col("kept")).select(f"{KEY}.{ROW}"), docs.columns)
+    kept = _without(rows, found.where(~F.col("kept")).select(f"{KEY}.{ROW}"), docs.columns)
+    discard(*found.spent)
+    return kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
