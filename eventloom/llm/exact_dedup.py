@@ -36,7 +36,7 @@ ROW_BITS = 32768
 DIGEST_BITS = 16
 #: Run filters of up to so many bits together (8 MB) are broadcast; larger ones meet their rows in a shuffle.
 BROADCAST_BITS = 1 << 26
-#: Rows of a load: its filter has at most twice 64 MB (sizes are powers of two).
+#: Rows of a load (a file with more is a load by itself): its filter has at most 64 MB.
 LOAD_ROWS = 1 << 25
 #: Bits of a filter over a set of any size: beyond this number more rows pass by chance, none is lost.
 SIEVE_BITS = 1 << 29
