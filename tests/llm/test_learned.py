@@ -104,6 +104,7 @@ def test_quality_of_null_ids(spark, nameless, labels):
     named = {i: x for none, i, x in scores if not none}
     others = sorted(x for none, _, x in scores if none)
     assert len(others) == 4 and others.count(named[3]) == 2 and named[5] in others
+    assert [r[0] for r in nameless.where("doc_id IS NULL").select(quality.held_out()).collect()] == [False] * 4
     assert quality.train(nameless, labels.select(F.lit(None).cast("long").alias("doc_id"), "quality")).curve == (0.0, 0.0)
 
 
