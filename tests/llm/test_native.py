@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -147,13 +148,39 @@ def test_licences_inside_longer_text(spark):
     assert {(r.doc_id, r.unit) for r in got} >= {(1, "window"), (2, "window"), (3, "text")} and all(r.dice >= 0.8 for r in got)
 
 
-def test_licence_pruning_loses_nothing():
+def test_licence_headings_and_tags(spark):
+    """Lines that name a licence, tags amid code, the warranty; a name amid a sentence, an unknown tag and a bare word are no notices."""
+    warranty = license_scan.TEXTS["MIT"][2]
+    texts = [
+        (1, "/* SPDX-License-Identifier: MIT */ int main() { return 0; }"), (2, "# SPDX-License-Identifier: Apache-2.0\nimport os"), (3, "MIT License\n\nCopyright (c) 2020 Foo"), (4, "Name: foo\nLicense: GPLv3+\n"),
+        (5, "x\n\n" + warranty.replace("WITHOUT", "\nWITHOUT")), (6, "we compared the MIT License with others"), (7, "SPDX-License-Identifier: Foo"), (8, "Classifier: License :: OSI Approved :: MIT License"),
+        (9, "// SPDX-License-Identifier: GPL-2.0-or-later"), (10, "The MIT License (MIT)"), (11, "License: Foo"), (12, "License"),
+    ]
+    got = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "MIT"), (2, "Apache-2.0"), (3, "MIT"), (4, "GPL-3.0"), (5, "MIT"), (8, "MIT"), (9, "GPL-2.0"), (10, "MIT")]
+
+
+def test_licences_of_cut_texts(spark, monkeypatch):
+    """Stretches of any length give the same windows; an anchor that fills a text makes few of them."""
+    texts = [(1, "a b c " * 40 + "released under the MIT License " + "d e " * 60 + "licensed under the Apache License, Version 2.0 " + "f " * 30), (2, "license " * 20_000 + "\nReleased under the MIT License.")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    scan = lambda: sorted(map(tuple, license_scan.license_scan(docs).collect()))
+    want = scan()
+    assert [w[:2] for w in want] == [(1, "Apache-2.0"), (1, "MIT"), (2, "MIT")]
+    monkeypatch.setattr(license_scan, "LONG_TEXT", 10)
+    for words in (64, 1000):
+        monkeypatch.setattr(license_scan, "STRETCH", words)
+        assert scan() == want
+
+
+@pytest.mark.parametrize("telling", [False, True])
+def test_licence_pruning_loses_nothing(telling):
     """Brute force: every subset of a template that reaches the threshold holds an anchor and an admitted size."""
     rng = np.random.default_rng(1)
-    for texts in license_scan.TEMPLATES.values():
+    for texts in license_scan.both(license_scan.TEMPLATES, license_scan.HEADINGS).values():
         for text in texts:
             grams = license_scan.template_bigrams(text)
-            anchors = license_scan.anchor_words(grams, 0.8)
+            anchors = license_scan.anchor_words(grams, 0.8, telling)
             for _ in range(200):
                 part = [g for g in grams if rng.random() < 0.75]
                 if part and 2 * len(part) / (len(part) + len(grams)) >= 0.8:
