@@ -57,14 +57,14 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-#: Longer texts are no part of a sample that classifiers are fitted on: so its rows bound what the driver gets. They are scored like all others.
+#: By default, longer texts are no part of a sample that classifiers are fitted on: so its rows bound what the driver gets. They are scored like all others.
 SAMPLE_TEXT_BYTES = 1 << 16
 
 
-def labelled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, labels: list[str]) -> DataFrame:
-    """(text, *labels) of the chosen ids (a bounded sample, one row an id); of an id that repeats in docs, the text of the smallest hash."""
+def labelled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, labels: list[str], most_bytes: int = SAMPLE_TEXT_BYTES) -> DataFrame:
+    """(text, *labels) of the chosen ids (a bounded sample, one row an id) whose text has at most most_bytes; of an id that repeats in docs, the text of the smallest hash."""
     text = whole(text_col)
-    rows = docs.select(id_col, text.alias("text")).where(F.octet_length(text) <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), id_col)
+    rows = docs.select(id_col, text.alias("text")).where(F.octet_length(text) <= most_bytes).join(F.broadcast(chosen), id_col)
     one = rows.groupBy(id_col, *labels).agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("first"))
     return one.select("first.text", *labels)
 

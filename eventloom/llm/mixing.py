@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, labelled_texts, mapped, stored, table, whole
+from eventloom.llm.common import SAMPLE_TEXT_BYTES, bounded_sample, labelled_texts, mapped, stored, table, whole
 from eventloom.llm.learn import fit_softmax, settled, softmax
 from eventloom.llm.texthash import BLANK, slices
 
@@ -58,10 +58,10 @@ def _sample_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), batch.column(1)[first : first + len(x)]], ["x", "domain"])
 
 
-def train(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Domains:
-    """labelled(id_col, domain): at most sample_rows rows of it are used."""
+def train(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_TEXT_BYTES) -> Domains:
+    """labelled(id_col, domain): at most sample_rows rows of it are used, with texts of at most sample_bytes."""
     chosen = bounded_sample(labelled.where(F.col("domain").isin(names)), id_col, sample_rows)
-    rows = labelled_texts(docs, chosen, id_col, text_col, ["domain"])
+    rows = labelled_texts(docs, chosen, id_col, text_col, ["domain"], sample_bytes)
     got = mapped(rows, _sample_shares, "x array<float>, domain string").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(len(got), 256)
     y = np.array([names.index(d) for d in got["domain"].to_pylist()], int)

@@ -1,8 +1,8 @@
 """Quality classifier: a linear-chain conditional random field labels every line good or bad; length-weighted marginals make the document's score.
 
 Features of a line: its looks (shares of byte groups, word length, length), whether the line stood in the text before, and the
-same of the lines before and after. The field has two states; it is trained by maximum likelihood on a bounded sample of labelled rows (SAMPLE_ROWS, smallest hashed
-ids, texts of up to SAMPLE_LINES lines and SAMPLE_TEXT_BYTES), each line bearing its document's label. A document's quality is the mean of its lines' forward-backward marginals, weighted by length, mapped
+same of the lines before and after. The field has two states; it is trained by maximum likelihood on a bounded sample of labelled rows (`sample_rows`, smallest hashed
+ids, texts of up to `sample_lines` lines and `sample_bytes`), each line bearing its document's label. A document's quality is the mean of its lines' forward-backward marginals, weighted by length, mapped
 to a probability by a logistic curve that is fitted on the same sample.
 
 Defined results: null counts as empty; an empty text is one empty line and is scored as such. Equal texts get equal scores. Null ids are kept.
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, labelled_texts, mapped, table, whole
+from eventloom.llm.common import SAMPLE_TEXT_BYTES, bounded_sample, labelled_texts, mapped, table, whole
 from eventloom.llm.learn import fit_logistic, looks, settled, sigmoid
 from eventloom.llm.texthash import _P, mix, slices
 
 SAMPLE_ROWS, ROUNDS, GOOD = 4000, 150, 0.3
-#: Texts of more lines are no part of the sample.
+#: By default, texts of more lines are no part of the sample.
 SAMPLE_LINES = 1000
 
 
@@ -135,13 +135,13 @@ def fit_field(x: np.ndarray, length: np.ndarray, first: np.ndarray, good: np.nda
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Fits the field on at most sample_rows rows of labels(id_col, label)."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES, sample_bytes: int = SAMPLE_TEXT_BYTES) -> Field:
+    """Fits the field on at most sample_rows rows of labels(id_col, label) whose texts have at most sample_lines lines and sample_bytes bytes."""
     chosen = bounded_sample(labels.select(id_col, F.col(label).cast("int").alias("good")).dropna(), id_col, sample_rows)
     lines = F.size(F.split("text", "\n"))
-    rows = labelled_texts(docs, chosen, id_col, text_col, ["good"]).where(lines <= SAMPLE_LINES)
+    rows = labelled_texts(docs, chosen, id_col, text_col, ["good"], sample_bytes).where(lines <= sample_lines)
     got = mapped(rows, _sample_lines, "good int, length array<double>, features array<double>").toArrow()
-    parts = sorted(zip(got["good"].to_pylist(), (np.array(c) for c in got["length"].to_pylist()), (np.array(c) for c in got["features"].to_pylist()), strict=True), key=lambda r: (r[0], r[2].tobytes()))
+    parts = sorted(zip(got["good"].to_pylist(), _arrays(got["length"]), _arrays(got["features"]), strict=True), key=lambda r: (r[0], r[2].tobytes()))
     if not parts:
         return Field(0.0, 1.0, np.zeros(1), np.zeros((2, 2)), (0.0, 0.0))
     first = np.concatenate(([0], np.cumsum([len(p[1]) for p in parts])))
@@ -149,6 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     return fit_field(x, np.concatenate([p[1] for p in parts]), first, np.array([p[0] for p in parts]))
 
 
+def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The lists of a column as views of its buffers: no number becomes a Python object on the driver."""
+    for chunk in column.chunks:
+        values, at = np.asarray(chunk.flatten()), np.concatenate(([0], np.cumsum(np.asarray(chunk.value_lengths()))))
+        yield from (values[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
 def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, starts in slices(batch.column(0)):

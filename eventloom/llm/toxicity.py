@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: categories are predicted one after the other, each linear model gets the probabilities of the
 earlier categories as features, and while training these probabilities are out-of-fold predictions.
 
-The models are fitted on a bounded sample of labelled rows (`sample_rows`, smallest hashed ids; texts of up to SAMPLE_TEXT_BYTES). Rows of equal content share a fold; a
+The models are fitted on a bounded sample of labelled rows (`sample_rows`, smallest hashed ids; texts of up to `sample_bytes`). Rows of equal content share a fold; a
 fold's words, scales and weights are chosen without it. Features: presence of the words (runs of letters,
 ASCII capitals as small) that tell the sample's categories best, and shares of byte groups. Scoring reads every whole text once, in numpy.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bounded_sample, labelled_texts, mapped, table, whole
+from eventloom.llm.common import SAMPLE_TEXT_BYTES, bounded_sample, labelled_texts, mapped, table, whole
 from eventloom.llm.learn import fit_logistic, looks, predict_logistic, settled
 from eventloom.llm.texthash import mix, slices, word_hashes
 
@@ -130,11 +130,11 @@ def fit_chain(owner: np.ndarray, words: np.ndarray, look: np.ndarray, y: np.ndar
     return chain, seen
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Chain, np.ndarray, np.ndarray]:
-    """Fits a chain on at most sample_rows rows of labels(id_col, ...): (chain, out-of-fold probabilities, labels). categories: 0/1 columns over labels, in chain order."""
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_TEXT_BYTES) -> tuple[Chain, np.ndarray, np.ndarray]:
+    """Fits a chain on at most sample_rows rows of labels(id_col, ...) whose texts have at most sample_bytes: (chain, out-of-fold probabilities, labels). categories: 0/1 columns over labels, in chain order."""
     flags = labels.select(id_col, *(c.cast("int").alias(f"flag_{k}") for k, c in enumerate(categories.values()))).dropna()
     names = [f"flag_{k}" for k in range(len(categories))]
-    rows = labelled_texts(docs, bounded_sample(flags, id_col, sample_rows), id_col, text_col, names)
+    rows = labelled_texts(docs, bounded_sample(flags, id_col, sample_rows), id_col, text_col, names, sample_bytes)
     got = mapped(rows, _sample_words, "words array<long>, looks array<double>, " + ", ".join(f"{n} int" for n in names)).toArrow()
     lists = got["words"].combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)

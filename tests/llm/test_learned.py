@@ -243,3 +243,20 @@ def test_softmax_and_logistic():
     assert ((learn.predict_logistic(x, learn.fit_logistic(x, y)) > 0.5) == y).mean() > 0.95
     w = learn.fit_softmax(x, y + (x[:, 1] > 1), 3)
     assert (np.column_stack((x, np.ones(600))) @ w).argmax(axis=1).shape == (600,)
+
+
+def test_samples_have_bounds(spark):
+    """Rows, lines and bytes that a sample may have are parameters; texts beyond them are left out of the fit alone."""
+    texts = [(k, ("word " * 5 if k % 2 else "?! ## ") * (1 + 40 * (k % 3)) + "\nx" * (k % 4)) for k in range(40)]
+    docs, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    whole, short = quality.train(docs, marks), quality.train(docs, marks, sample_bytes=60)
+    assert not np.allclose(whole.middle, short.middle)
+    assert np.allclose(short.middle, quality.train(docs.where("octet_length(text) <= 60"), marks).middle)
+    few = quality.train(docs, marks, sample_lines=2)
+    assert np.allclose(few.middle, quality.train(docs.where("size(split(text, '\\n')) <= 2"), marks).middle)
+    assert quality.train(docs, marks, sample_lines=0).weights.size == 1
+
+
+def test_lists_of_chunks_as_arrays():
+    column = pa.chunked_array([pa.array([[1.0, 2.0], [], [3.0]]), pa.array([[9.0], [4.0, 5.0]]).slice(1), pa.array([], pa.list_(pa.float64()))])
+    assert [a.tolist() for a in quality._arrays(column)] == [[1.0, 2.0], [], [3.0], [4.0, 5.0]]
