@@ -113,21 +113,25 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def anchor_words(grams: list[str], threshold: float, telling: bool = False) -> set[str]:
-    """Words until fewer bigrams are untouched than any match must hold: longest first, numbers and COMMON words last.
+def anchor_words(grams: list[str], threshold: float, telling: bool = False, known: set[str] | frozenset[str] = frozenset()) -> set[str]:
+    """Words until fewer bigrams are untouched than any match must hold: known ones first, then the longest, numbers and COMMON words last.
 
     If telling, USUAL words come after the others, and of these those first that touch most."""
     need, left, anchors = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9), [g.split() for g in grams], set()
     while len(left) >= need:
         touched = Counter(w for g in left for w in set(g))
-        word = min(touched, key=lambda w: (w in COMMON, w.isdigit(), *((w in USUAL, -touched[w]) if telling else ()), -len(w), w))
+        word = min(touched, key=lambda w: (w in COMMON, w.isdigit(), *((w in USUAL, -touched[w]) if telling else (w not in known,)), -len(w), w))
         anchors.add(word)
         left = [g for g in left if word not in g]
     return anchors
 
 
 def all_anchors(templates: dict[str, list[str]], threshold: float, telling: bool = False) -> list[str]:
-    return sorted(set().union(*(anchor_words(grams, threshold, telling) for texts in templates.values() for t in texts if (grams := template_bigrams(t)))))
+    """Anchors of all templates. Unless telling, short templates choose first and the others take what is chosen already: a text is searched for each of them."""
+    chosen: set[str] = set()
+    for grams in sorted((g for texts in templates.values() for t in texts if (g := template_bigrams(t))), key=len):
+        chosen |= anchor_words(grams, threshold, telling, chosen)
+    return sorted(chosen)
 
 
 def headings(license: str) -> list[str]:
