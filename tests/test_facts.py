@@ -8,6 +8,7 @@ import pytest
 from eventloom.functions import facts as ft
 from eventloom.functions import text as t
 from eventloom.operators import cluster, dedup
+from eventloom.sources import views
 from pyspark.sql import functions as F
 
 ARTICLE = "id string, company string, title string, description string, text string, url string, source string, published_at timestamp"
@@ -46,6 +47,25 @@ def test_classes_and_parties(spark):
     assert facts_of(spark, "grew 12.50% in 3").percentages == ["0.125"]
 
 
+def test_marks_hide_no_match(spark):
+    """Texts that differ from a mark in case; a long s makes no month."""
+    f = facts_of(spark, "Alpha wins 7 PERCENT on \u017fep 5, 2026, MAY 6 2026")
+    assert f.percentages == ["0.07"] and f.dates == ["2026-05-06"]
+    assert facts_of(spark, "베타와 협력, Alpha와 계약").parties == sorted(facts_of(spark, "베타와 협력, Alpha와 계약").parties) != []
+
+
+def test_a_pattern_is_tried_once(spark):
+    """A fact that several columns read is worked out by one expression, and orders in one file are dealt out before."""
+    plan = ft.with_facts(articles(spark, ["x"])).select("facts")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_instr(") == 2 * len(ft.ACTIONS) + len(ft.MILESTONES) and plan.count("(20\\d{2})[-/.]") <= 4
+    for was in [spark.conf.get("spark.sql.adaptive.enabled")]:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            assert views.headlines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def decide(spark, left, right, gap=0):
     start = datetime(2026, 7, 20, 9)
     rows = ft.with_facts(articles(spark, [left, right], [start, start + timedelta(hours=gap)])).withColumn("ord", F.col("id"))
