@@ -203,3 +203,22 @@ def test_title_ratio_and_its_bound(spark):
     apart = [("".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=40)), "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=40))) for _ in range(300)]
     through = spark.createDataFrame(apart, "a string, b string").where(cluster.ratio_bound(F.col("a"), F.col("b")) >= cluster.RATIO).count()
     assert through == 0  # lengths alone would have sent all of them to Python
+
+
+def test_a_frequent_party_makes_no_pairs(spark):
+    """Two hundred rows name one party on one day, each with another amount; two are told twice. Only these meet, and all SAME pairs are among them."""
+    titles = [f"Alpha acquires unit {k} with Beta Corp for ${k} million on 2026-07-21" for k in range(1, 201)]
+    rows = ft.with_facts(articles(spark, titles + titles[:2])).withColumn("ord", F.col("id")).cache()
+    assert cluster.likely_pairs(rows, ["company"]).count() == 2
+    same = lambda met: {(x.a, x.b) for x in cluster.decided(met, F.col("company")).where("decision = 'SAME_EVENT'").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).collect()}
+    assert same(cluster.likely_pairs(rows, ["company"])) == same(cluster.all_pairs(rows, ["company"])) != set()
+
+
+def test_components_share_a_call(spark, monkeypatch):
+    """Many small components are settled by few calls of the Python function, with the same groups."""
+    rows = spark.range(600).select("id", F.col("id").alias("ord"))
+    same = spark.range(200).select((F.col("id") * 3).alias("l"), (F.col("id") * 3 + 1).alias("r")).union(spark.range(200).select((F.col("id") * 3 + 1).alias("l"), (F.col("id") * 3 + 2).alias("r")))
+    for size in (50, 2000):
+        monkeypatch.setattr(cluster, "CALL_ROWS", size)
+        got = {x.id: x.group for x in cluster.greedy_groups(rows, same).collect()}
+        assert got == {k: k - 1 if k % 3 == 1 else k for k in range(600)}
