@@ -173,10 +173,11 @@ def publisher_links(pages: DataFrame, id_col: str, html: Column, base: Column) -
 
 def enriched(articles: DataFrame, owned: DataFrame, identified: DataFrame, pages: DataFrame) -> DataFrame:
     """articles(seq, url), owned(seq), identified(seq), pages(url, evidence, tier, resolved_url, optionally fetch_status as of B22): no owner passes through, identified ones don't need text, others get
-    their page's; success replaces the canonical url unless it is an aggregator's. A url that isn't safe is blocked unfetched."""
+    their page's; success replaces the canonical url unless it is an aggregator's. A url that isn't safe is blocked unfetched. Pages with a seq in place of the url were landed for each article: then articles that share a url keep their own."""
     if "fetch_status" not in pages.columns:
         pages = pages.withColumn("fetch_status", F.lit("success"))
-    met = articles.join(owned.select("seq", F.lit(True).alias("_o")), "seq", "left").join(identified.select("seq", F.lit(True).alias("_i")), "seq", "left").join(pages.dropDuplicates(["url"]), "url", "left")
+    key = "seq" if "seq" in pages.columns else "url"
+    met = articles.join(owned.select("seq", F.lit(True).alias("_o")), "seq", "left").join(identified.select("seq", F.lit(True).alias("_i")), "seq", "left").join(pages.dropDuplicates([key]), key, "left")
     needs = F.col("_o").isNotNull() & F.col("_i").isNull()
     status = F.when(F.col("_o").isNull(), "no_owner").when(F.col("_i").isNotNull(), "not_needed").when(~safe_url(F.col("url")), "blocked").when(F.col("fetch_status") != "success", F.col("fetch_status")).when(F.col("evidence").isNull(), "insufficient_content").otherwise("success")
     resolved = F.coalesce("resolved_url", "url")

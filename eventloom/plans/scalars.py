@@ -267,9 +267,9 @@ def op_c4_publisher_links(spark, d):
 def _enriched(spark, d):
     a = views.page_articles(spark, d)
     ends = F.when(F.col("page_id") % 15 == 2, "timeout").when(F.col("page_id") % 15 == 5, "http_error").when(F.col("page_id") % 15 == 8, "parse_error").otherwise("success")
-    ev = _evidence(spark, d).join(a.select(F.col("seq").alias("page_id"), "url"), "page_id")
+    ev = _evidence(spark, d)
     resolved = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://pub.example.com/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 5 == 1, F.lit("https://news.google.com/articles/x"))
-    ev = ev.select("url", F.when(F.col("page_id") % 11 != 0, F.col("evidence")).alias("evidence"), "tier", resolved.alias("resolved_url"), ends.alias("fetch_status"))
+    ev = ev.select(F.col("page_id").alias("seq"), F.when(F.col("page_id") % 11 != 0, F.col("evidence")).alias("evidence"), "tier", resolved.alias("resolved_url"), ends.alias("fetch_status"))
     return pg.enriched(a.select("seq", "url"), a.where("seq % 3 <> 0").select("seq"), a.where("seq % 3 = 1").select("seq"), ev)
 
 
