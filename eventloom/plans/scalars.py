@@ -221,8 +221,7 @@ def op_a1_feed_articles(spark, d):
     """Pages as feed items; every fifth one lacks its title."""
     p = table(spark, d, "pages")
     items = p.select("page_id", F.when(F.col("page_id") % 5 != 0, F.lit("x")).alias("title"), F.col("url").alias("link"), F.lit("a &amp; b").alias("description"), F.lit("").alias("summary"), F.lit("Thu, 01 Jan 2026 00:00:00 GMT").alias("pubDate"), F.lit("s").alias("source"))
-    made = io.feed_articles(items, "q")
-    return made.join(p.select("page_id", F.trim("url").alias("url")), "url").select("page_id", "canonical_url", "url")
+    return io.feed_articles(items, "q", keep=("page_id",)).select("page_id", "canonical_url", "url")
 
 
 @query("SELECT p_brand AS company, p_brand || '/' || p_type AS exposure_id, lower(p_type) AS query_term FROM part GROUP BY p_brand, p_type")
