@@ -54,36 +54,56 @@ def capped_shared(items: DataFrame, cap: int, total: int | None = None, chunk: i
     """J2, several companies an item: items(item_id, rank, companies) that fit every company's cap when taken in order of rank; of these the first `total`.
 
     Companies that share items form components. In a round, one task takes the first `chunk` open items of each component in order; then all items of a company that is full are rejected at once, wherever they are. So a round
-    settles at least `chunk` items of every component, and a hot company's items are gone with the round that fills it: there are about cap * companies / chunk rounds. An item without a company always fits."""
+    settles at least `chunk` items of every component, and a hot company's items are gone with the round that fills it: there are about cap * companies / chunk rounds. An item without a company always fits.
+
+    Whether an item fits hangs on earlier ones only. So with a `total` of up to `chunk` components aren't needed: a round settles the first open items of all in one task, and ends with `total` of them taken."""
     left = stored(items.select("item_id", "rank", F.array_distinct(F.filter(F.coalesce("companies", F.array().cast("array<string>")), lambda c: c.isNotNull())).alias("companies")), "caps-left")
     free = left.where(F.size("companies") == 0).select("item_id")
     kept, used, first = [stored(free, "caps-kept")], None, left
     left = stored(left.where(F.size("companies") > 0), "caps-left")
     discard(first)
+    few = bool(total) and total <= chunk
+    size, found = min(chunk, max(50 * (total or 0), 1000)), 0
     while left.limit(1).count():
-        one = F.get("companies", F.lit(0))
-        labels = components(left.where(F.size("companies") > 1).select(one.alias("a"), F.explode(F.slice("companies", 2, 1 << 30)).alias("b")))
-        own = left.withColumn("id", one).join(labels, "id", "left").select("item_id", "rank", "companies", F.coalesce("label", "id").alias("label"))
-        placed = numbered(own, ["label", "rank", "item_id"], "pos", "caps-places")
-        begin = placed.groupBy("label").agg(F.min("pos").alias("begin"))
-        now = stored(placed.join(begin, "label").where(F.col("pos") < F.col("begin") + chunk).select("label", "item_id", "pos", "companies"), "caps-chunk")
+        steps = ()
+        if few:
+            place = F.row_number().over(Window.partitionBy("label").orderBy("rank", "item_id"))
+            now = left.orderBy("rank", "item_id").limit(size).withColumn("label", F.lit(0)).withColumn("pos", place)
+        else:
+            now, steps = _first_of_components(left, chunk)
+        now = stored(now.select("label", "item_id", "pos", "companies"), "caps-chunk")
         each = now.select("label", "item_id", "pos", F.posexplode("companies").alias("i", "company"))
         each = each.join(used, "company", "left").withColumn("n", F.coalesce("n", F.lit(0))) if used is not None else each.withColumn("n", F.lit(0).cast("long"))
         told = each.groupBy("label", "item_id", "pos").agg(F.sort_array(F.collect_list(F.struct("i", "company", "n"))).alias("room"))
         shape = f"item_id {items.schema['item_id'].dataType.simpleString()}, companies array<string>"
         taken = stored(told.groupBy("label").applyInPandas(lambda part: _taken(part, cap), shape), "caps-kept")
         kept.append(taken)
+        found += taken.count() if few else 0
+        if few and found >= total:
+            discard(now)
+            break
+        size = min(chunk, 8 * size)
         more = taken.select(F.explode("companies").alias("company")).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
         before, used = used, stored(more if used is None else more.unionByName(used).groupBy("company").agg(F.sum("n").alias("n")), "caps-used")
         closed = left.select("item_id", F.explode("companies").alias("company")).join(used.where(F.col("n") >= cap).select("company"), "company", "left_semi").select("item_id")
         last, left = left, stored(left.join(now.select("item_id").unionByName(closed).distinct(), "item_id", "left_anti"), "caps-left")
-        discard(last, placed, labels, now, *([before] if before is not None else []))
+        discard(last, *steps, now, *([before] if before is not None else []))
     chosen = stored(reduce(DataFrame.unionByName, (k.select("item_id") for k in kept)), "caps-chosen")
     discard(left, *kept, *([used] if used is not None else []))
     out = items.join(chosen, "item_id", "left_semi")
     return out.orderBy("rank").limit(total) if total else out
 
 
+def _first_of_components(left: DataFrame, chunk: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(the first `chunk` open items of each component, with label and pos; the tables they are read from)."""
+    one = F.get("companies", F.lit(0))
+    labels = components(left.where(F.size("companies") > 1).select(one.alias("a"), F.explode(F.slice("companies", 2, 1 << 30)).alias("b")))
+    own = left.withColumn("id", one).join(labels, "id", "left").select("item_id", "rank", "companies", F.coalesce("label", "id").alias("label"))
+    placed = numbered(own, ["label", "rank", "item_id"], "pos", "caps-places")
+    begin = placed.groupBy("label").agg(F.min("pos").alias("begin"))
+    return placed.join(begin, "label").where(F.col("pos") < F.col("begin") + chunk), (placed, labels)
+
+
 def _taken(part: pd.DataFrame, cap: int) -> pd.DataFrame:
     """The items of one component that fit, in order; room: each company with the number of items that it has already."""
     used: dict[str, int] = {}
