@@ -86,7 +86,8 @@ def with_prints(pieces: DataFrame) -> DataFrame:
     at = lambda x: (F.lit(PLACES - 1) - x.bitwiseAND(F.lit(PLACES - 1))).cast("int")
     one = lambda x: F.struct(F.xxhash64(F.substring(F.col("piece"), at(x) + 1, F.lit(K))).alias("hash"), (F.col("place") + at(x)).alias("position"))
     found = window_minima(pieces)
-    return found.withColumn("prints", F.transform("kept", one)).drop("piece", "kept", "n_windows")
+    # `kept` stands twice, so that it stays a projection of its own: Spark compiles no lambda nor anything merged into one
+    return found.withColumn("prints", F.when(F.size("kept") >= 0, F.transform("kept", one))).drop("piece", "kept", "n_windows")
 
 
 def gathered(rows: Column) -> Column:
